@@ -9,6 +9,7 @@ from .chat import digest_formatted, format_conversations
 from .common import table
 from .decontaminate import contamination
 from .html_extract import extract_pages
+from .jaccard import near_duplicates
 from .mixing import mix_sources
 from .perplexity import quality_rules
 from .quality import score_quality, train
@@ -17,6 +18,10 @@ from .secrets import scan_secrets
 from .sharding import shard_by_bytes
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -69,7 +74,7 @@ def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_classifier, op3_karmarkar_karp_shards, op4_html_crf, op5_poisson_mixing, op6_chat_format, op7_winnowing, op8_kneser_ney_rules, op9_token_records, op10_secret_automata)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_karmarkar_karp_shards, op4_html_crf, op5_poisson_mixing, op6_chat_format, op7_winnowing, op8_kneser_ney_rules, op9_token_records, op10_secret_automata)}
 
 
 def oracle_sql() -> dict[str, str]:
