@@ -1,17 +1,811 @@
-"""Queries of the correlation engine over the driver's tables, and their DuckDB SQL."""
+"""Queries of the correlation engine over the driver's tables, each with its DuckDB SQL where it has one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def contrast_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+from .functions import kernels as K
+from .functions import scalars as S
+from .operators import aggregates as A
+from .operators import filters as Fl
+from .operators import matrix as M
+from .operators import scaling as Sc
+from .operators import views as V
+from .operators import windows as W
+from .plans.parameters import parameter_table
+from .sources.events import SQL as BASE
+from .sources.events import angle_table, events_dataset, frame_table, intensity
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def queries() -> dict:
-    return {}
+
+def query(sql: str | None = None, base: bool = True):
+    """Register a query under its function's name; ``sql`` continues the adapter's WITH clause or, without ``base``, stands alone."""
+
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            text = sql.strip()
+            _SQL[f.__name__] = (BASE + (text if text.upper().startswith("SELECT") else ", " + text)) if base else text
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import fits
+
+    return {**_QUERIES, **fits.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r9(x: Column | str) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, 9)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_dataset(spark, sf_dir).c2
+
+
+def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells beside a fixed decaying model and a sigma."""
+    return cells(spark, sf_dir).withColumns({"model": MODEL, "sigma": F.lit(0.01)})
+
+
+MODEL = 1 + 0.05 * F.exp(-F.abs(F.col("i") - F.col("j")) / 5.0)
+MODEL_SQL = "m AS (SELECT angle_idx, i, j, c2, 1 + 0.05 * exp(-abs(i - j) / 5.0) AS model, 0.01 AS sigma FROM c2)"
+DIAGONAL_SQL = """side AS (SELECT angle_idx, least(i, j) AS k, sum(c2) / 2 AS s FROM c2 WHERE abs(i - j) = 1 GROUP BY 1, 2),
+diag AS (SELECT angle_idx, i, avg(s) AS d FROM (SELECT angle_idx, k AS i, s FROM side UNION ALL SELECT angle_idx, k + 1, s FROM side) GROUP BY 1, 2),
+fixed AS (SELECT c.angle_idx, c.i, c.j, CASE WHEN c.i = c.j THEN coalesce(d.d, c.c2) ELSE c.c2 END AS c2 FROM c2 c LEFT JOIN diag d ON d.angle_idx = c.angle_idx AND d.i = c.i)"""
+
+
+def _quantiles(source: str, low: float = 0.2, high: float = 0.8, floor: float = 0.1, ceiling: float = 0.9, bounded: bool = True) -> str:
+    o = "CASE WHEN n_late >= 10 THEN late_floor ELSE all_floor END"
+    o = f"greatest(least({o}, 1.5), 0.5)" if bounded else o
+    c = "greatest(least(top - o, 1.0), 0.0)" if bounded else "top - o"
+    return f"""lags AS (SELECT angle_idx, quantile_cont(abs(i - j)::DOUBLE, {low}) AS early, quantile_cont(abs(i - j)::DOUBLE, {high}) AS late FROM {source} GROUP BY 1),
+stats AS (SELECT x.angle_idx, count(*) AS n, count(*) FILTER (WHERE abs(i - j) >= late) AS n_late, quantile_cont(c2, {floor}) FILTER (WHERE abs(i - j) >= late) AS late_floor,
+  quantile_cont(c2, {floor}) AS all_floor, quantile_cont(c2, {ceiling}) FILTER (WHERE abs(i - j) <= early) AS top FROM {source} x JOIN lags USING (angle_idx) GROUP BY 1),
+offs AS (SELECT angle_idx, n, top, {o} AS o FROM stats),
+scal AS (SELECT angle_idx, n, CASE WHEN n >= 100 THEN {c} ELSE 0.5 END AS contrast, CASE WHEN n >= 100 THEN o ELSE 1.0 END AS off FROM offs)"""
+
+
+# ---- sources ----
+
+
+@query("SELECT angle_idx, i, cents FROM intensity")
+def event_intensity(spark, sf_dir):
+    return intensity(spark, sf_dir)
+
+
+@query("SELECT angle_idx, i, j, c2 FROM c2")
+def correlation_cells(spark, sf_dir):
+    return cells(spark, sf_dir)
+
+
+@query("SELECT round(avg(q), 9) AS q_mean, round(stddev_pop(q), 9) AS q_std, count(q) AS n_q, count(phi) AS n_phi, (SELECT min(i) FROM frame) AS first_frame, (SELECT max(i) FROM frame) AS last_frame FROM angle")
+def cache_metadata(spark, sf_dir):
+    d = events_dataset(spark, sf_dir)
+    q = d.angle.agg(r9(F.avg("q")).alias("q_mean"), r9(F.stddev_pop("q")).alias("q_std"), F.count("q").alias("n_q"), F.count("phi").alias("n_phi"))
+    return q.crossJoin(d.frame.agg(F.min("i").alias("first_frame"), F.max("i").alias("last_frame")))
+
+
+@query("SELECT sha256(string_agg(name || '=' || q::VARCHAR, ',' ORDER BY name)) AS cache_key FROM angle")
+def cache_key(spark, sf_dir):
+    rows = angle_table(spark).select(F.concat_ws("=", "name", F.col("q").cast("string")).alias("kv"))
+    return rows.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("kv"))), 256).alias("cache_key"))
+
+
+@query("SELECT format('{:.6f}', phi) AS phi_text, format('{:.8e}', q) AS q_text FROM angle")
+def text_lists(spark, sf_dir):
+    return angle_table(spark).select(F.format_string("%.6f", "phi").alias("phi_text"), F.format_string("%.8e", "q").alias("q_text"))
+
+
+@query("SELECT ((k - 1) // 5)::INTEGER AS q_idx, ((k - 1) % 5)::INTEGER AS phi_idx, k AS processed_bin FROM range(1, 40) r(k) WHERE (k - 1) // 5 < 6", base=True)
+def bin_decode(spark, sf_dir):
+    return Fl.decode_bins(spark.range(1, 40).withColumnRenamed("id", "processed_bin"), 6, 5)
+
+
+@query("near AS (SELECT a.*, abs(a.q - 0.0068) AS gap FROM angle a), best AS (SELECT arg_min(q, gap) AS q0 FROM near), ok AS (SELECT count(*) FILTER (WHERE abs(q - q0) <= 0.1 * q0) AS n FROM near, best), top AS (SELECT angle_idx FROM near ORDER BY gap, angle_idx LIMIT 3) SELECT angle_idx, name, q, phi FROM near, best, ok WHERE (n >= 2 AND abs(q - q0) <= 0.1 * q0) OR (n < 2 AND angle_idx IN (SELECT angle_idx FROM top))")
+def legacy_q_selection(spark, sf_dir):
+    return Fl.near_q(angle_table(spark), 0.0068, least=2, fallback=3)
+
+
+# ---- filters ----
+
+
+@query("SELECT count(*) FILTER (WHERE q BETWEEN 0.006 AND 0.008) AS selected, count(*) AS total, count(*) FILTER (WHERE q BETWEEN 0.006 AND 0.008) / count(*) AS fraction, min(q) AS data_min, max(q) AS data_max FROM angle")
+def q_range_filter(spark, sf_dir):
+    return Fl.filter_statistics(angle_table(spark), "q", Fl.q_range(F.col("q"), 0.006, 0.008))
+
+
+@query("SELECT * FROM angle WHERE phi >= 170 OR phi <= -160")
+def phi_range_wrap(spark, sf_dir):
+    return angle_table(spark).where(S.angle_between(F.col("phi"), 170.0, -160.0))
+
+
+@query("SELECT * FROM angle WHERE phi BETWEEN -10 AND 90")
+def angle_in_range(spark, sf_dir):
+    return angle_table(spark).where(S.angle_between(F.col("phi"), -10.0, 90.0))
+
+
+@query("SELECT angle_idx, CASE WHEN ((a % 360) + 360) % 360 > 180 THEN ((a % 360) + 360) % 360 - 360 ELSE ((a % 360) + 360) % 360 END AS phi FROM (SELECT angle_idx, phi * 3 - 370 AS a FROM angle)")
+def normalise_angles(spark, sf_dir):
+    return angle_table(spark).select("angle_idx", S.normalise_angle(F.col("phi") * 3 - 370).alias("phi"))
+
+
+_RANGES = [(-10.0, 10.0), (170.0, -165.0)]
+_RANGE_SQL = "ranges(min_angle, max_angle) AS (VALUES (-10.0::DOUBLE, 10.0::DOUBLE), (170.0::DOUBLE, -165.0::DOUBLE))"
+_IN_RANGE = "CASE WHEN min_angle <= max_angle THEN phi BETWEEN min_angle AND max_angle ELSE phi >= min_angle OR phi <= max_angle END"
+
+
+@query(f"{_RANGE_SQL} SELECT * FROM angle WHERE EXISTS (SELECT 1 FROM ranges WHERE {_IN_RANGE})")
+def multi_range_angles(spark, sf_dir):
+    return Fl.semi_join_ranges(angle_table(spark), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))
+
+
+@query("SELECT * FROM angle WHERE phi BETWEEN -10 AND 10 OR phi >= 170 OR phi <= -170")
+def angles_for_optimisation(spark, sf_dir):
+    return Fl.select_angles(angle_table(spark), Fl.DEFAULT_RANGES, normalise=True)
+
+
+@query("SELECT * FROM angle WHERE phi BETWEEN -10 AND 10 OR phi BETWEEN 80 AND 100 OR phi BETWEEN 170 AND 190 OR phi BETWEEN 260 AND 280")
+def anisotropic_angles(spark, sf_dir):
+    return Fl.select_angles(angle_table(spark), Fl.ANISOTROPIC_RANGES)
+
+
+@query("SELECT * FROM angle")
+def fallback_on_empty(spark, sf_dir):
+    return Fl.or_all(angle_table(spark), Fl.q_range(F.col("q"), 0.5, 0.6))
+
+
+@query("SELECT angle_idx, (q >= 0.006) AND (phi > 0) AS both_masks, (q >= 0.006) OR (phi > 0) AS either_mask FROM angle")
+def mask_combination(spark, sf_dir):
+    masks = {"q": Fl.q_range(F.col("q"), 0.006), "phi": F.col("phi") > 0}
+    return angle_table(spark).select("angle_idx", Fl.combine(masks, "AND").alias("both_masks"), Fl.combine(masks, "OR").alias("either_mask"))
+
+
+@query("SELECT count(*) FILTER (WHERE idx < 0) AS negative, count(*) FILTER (WHERE idx >= 100) AS too_large, count(idx) - count(DISTINCT idx) AS repeated FROM (SELECT l_suppkey - 5 AS idx FROM lineitem)", base=True)
+def index_sanity(spark, sf_dir):
+    return Fl.index_sanity(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") - 5).alias("idx")), 100)
+
+
+@query("SELECT count(*) AS total, min(phi) AS phi_min, max(phi) AS phi_max, avg(phi) AS phi_mean, round(stddev_pop(phi), 9) AS phi_std FROM angle")
+def angle_statistics(spark, sf_dir):
+    out = Fl.angle_statistics(angle_table(spark), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))[0]
+    return out.withColumn("phi_std", r9("phi_std"))
+
+
+@query(f"{_RANGE_SQL} SELECT min_angle, max_angle, count(angle_idx) AS n, 100.0 * count(angle_idx) / 5 AS percent FROM ranges LEFT JOIN angle ON {_IN_RANGE} GROUP BY 1, 2")
+def angle_range_counts(spark, sf_dir):
+    return Fl.angle_statistics(angle_table(spark), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))[1]
+
+
+@query("want(w) AS (VALUES (5.4::DOUBLE), (84.2::DOUBLE)), near AS (SELECT w, arg_min(angle_idx, abs(phi - w)) AS angle_idx, min(abs(phi - w)) AS gap FROM angle, want GROUP BY w) SELECT * FROM angle WHERE (SELECT max(gap) FROM near) > 1.0 OR angle_idx IN (SELECT angle_idx FROM near)")
+def requested_angles(spark, sf_dir):
+    return Fl.subset_by_request(angle_table(spark), spark.createDataFrame([(5.4,), (84.2,)], "want double"))
+
+
+@query("SELECT angle_idx, i - 4 AS i, j - 4 AS j, c2 FROM c2 WHERE i >= 4 AND j >= 4 AND i < 20 AND j < 20")
+def frame_slice(spark, sf_dir):
+    return Fl.slice_frames(cells(spark, sf_dir), 5, 20)
+
+
+@query("SELECT * FROM angle ORDER BY abs(q - 0.0064), angle_idx LIMIT 1")
+def nearest_wavevector(spark, sf_dir):
+    return Fl.nearest(angle_table(spark), "q", 0.0064, "angle_idx")
+
+
+@query("SELECT * FROM angle ORDER BY abs(q - 0.0064), angle_idx LIMIT 3")
+def nearest_wavevectors(spark, sf_dir):
+    return Fl.nearest_k(angle_table(spark), "q", 0.0064, "angle_idx", 3)
+
+
+@query("SELECT angle_idx, i, j, c2 FROM c2 WHERE i > 0 AND j > 0 AND i <> j")
+def off_diagonal_cells(spark, sf_dir):
+    return Fl.off_diagonal(cells(spark, sf_dir))
+
+
+@query("SELECT angle_idx, i, j, c2 FROM c2 WHERE i > 0 AND j > 0")
+def without_first_frame(spark, sf_dir):
+    return Fl.drop_first_frame(cells(spark, sf_dir))
+
+
+@query(f"{MODEL_SQL} SELECT angle_idx, i, j, CASE WHEN i = j THEN 0.0 ELSE round((c2 - model) / sigma, 9) END AS residual FROM m")
+def masked_residuals(spark, sf_dir):
+    return modelled(spark, sf_dir).select("angle_idx", "i", "j", Fl.masked_residual(r9((F.col("c2") - F.col("model")) / F.col("sigma"))).alias("residual"))
+
+
+@query("SELECT angle_idx, i, j, c2 FROM c2 WHERE i <= j")
+def upper_triangle(spark, sf_dir):
+    return Fl.upper_triangle(cells(spark, sf_dir))
+
+
+@query("half AS (SELECT * FROM c2 WHERE i <= j) SELECT angle_idx, i, j, c2 FROM half UNION ALL SELECT angle_idx, j, i, c2 FROM half WHERE i < j")
+def mirrored_triangle(spark, sf_dir):
+    return Fl.mirror(Fl.upper_triangle(cells(spark, sf_dir)))
+
+
+@query("half AS (SELECT * FROM c2 WHERE i <= j), uu AS (SELECT angle_idx, i, j, c2 FROM half UNION ALL SELECT angle_idx, j, i, c2 FROM half) SELECT angle_idx, i, j, CASE WHEN i = j THEN sum(c2) / 2 ELSE sum(c2) END AS c2 FROM uu GROUP BY 1, 2, 3")
+def half_to_full(spark, sf_dir):
+    return Fl.half_to_full(Fl.upper_triangle(cells(spark, sf_dir)))
+
+
+@query("skew AS (SELECT angle_idx, i, j, c2 + 0.25 * i AS c2 FROM c2) SELECT a.angle_idx, a.i, a.j, round((a.c2 + b.c2) / 2, 9) AS c2 FROM skew a JOIN skew b ON a.angle_idx = b.angle_idx AND a.i = b.j AND a.j = b.i")
+def symmetrised(spark, sf_dir):
+    return Fl.symmetrise(cells(spark, sf_dir).withColumn("c2", F.col("c2") + 0.25 * F.col("i"))).withColumn("c2", r9("c2"))
+
+
+@query("SELECT vec_id, (p - 1)::INTEGER AS pos, embedding[p]::DOUBLE AS x FROM embeddings, range(1, 65) r(p) WHERE p <= len(embedding)")
+def unpivot_arrays(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+@query("SELECT angle_idx, i, j, c2, 0.01::DOUBLE AS sigma, TRUE AS sigma_is_default FROM c2")
+def default_sigma(spark, sf_dir):
+    return Fl.with_defaults(cells(spark, sf_dir))
+
+
+@query("SELECT angle_idx AS idx, phi AS angle, q AS wavevector FROM angle")
+def column_aliases(spark, sf_dir):
+    return angle_table(spark).select(F.col("angle_idx").alias("idx"), F.col("phi").alias("angle"), F.col("q").alias("wavevector"))
+
+
+# ---- joins ----
+
+
+@query("SELECT c.angle_idx, c.i, c.j, c.c2, a.t AS t1, b.t AS t2 FROM c2 c JOIN frame a ON a.i = c.i JOIN frame b ON b.i = c.j")
+def grid_lookup(spark, sf_dir):
+    d = events_dataset(spark, sf_dir)
+    f = F.broadcast(d.frame)
+    return d.c2.join(f.withColumnRenamed("t", "t1"), "i").join(f.select(F.col("i").alias("j"), F.col("t").alias("t2")), "j").select("angle_idx", "i", "j", "c2", "t1", "t2")
+
+
+@query("p AS (SELECT o_orderkey, (o_orderkey % 291) / 10.0 AS t FROM orders) SELECT o_orderkey, min(f.i) AS i FROM p JOIN frame f ON f.t >= p.t GROUP BY 1")
+def ceiling_lookup(spark, sf_dir):
+    """As-of join forward on a regular grid: the key is computed, so it is an equi-join."""
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", ((F.col("o_orderkey") % 291) / 10.0).alias("t"))
+    return p.withColumn("i", F.ceil("t").cast("int")).join(F.broadcast(frame_table(spark, 30).select("i")), "i").select("o_orderkey", "i")
+
+
+@query("SELECT angle_idx, k, count(*) AS n, round(sum(c2), 9) AS total FROM (SELECT angle_idx, i AS k, c2 FROM c2 WHERE i <> j AND abs(i - j) <= 3 UNION ALL SELECT angle_idx, j, c2 FROM c2 WHERE i <> j AND abs(i - j) <= 3) GROUP BY 1, 2")
+def diagonal_neighbours(spark, sf_dir):
+    return M._band(cells(spark, sf_dir), 3).groupBy("angle_idx", F.col("at").alias("k")).agg(F.count(F.lit(1)).alias("n"), r9(F.sum("c2")).alias("total"))
+
+
+@query("SELECT a.i, b.i AS j, a.t * b.t AS product, a.t - b.t AS difference FROM frame a, frame b")
+def outer_products(spark, sf_dir):
+    p = K.frame_pairs(frame_table(spark, 30), ["t"])
+    return p.select("i", "j", (F.col("t_i") * F.col("t_j")).alias("product"), (F.col("t_i") - F.col("t_j")).alias("difference"))
+
+
+@query("SELECT angle_idx, i, j, round((0.1 + 0.05 * angle_idx) * c2 + 1, 9) AS scaled FROM c2")
+def scaling_gather(spark, sf_dir):
+    s = angle_table(spark).select("angle_idx", (0.1 + 0.05 * F.col("angle_idx")).alias("contrast"))
+    return cells(spark, sf_dir).join(F.broadcast(s), "angle_idx").select("angle_idx", "i", "j", r9(F.col("contrast") * F.col("c2") + 1).alias("scaled"))
+
+
+@query("SELECT angle_idx FROM angle WHERE q >= 0.006 INTERSECT SELECT angle_idx FROM angle WHERE phi > 0")
+def index_intersection(spark, sf_dir):
+    a = angle_table(spark)
+    return a.where("q >= 0.006").select("angle_idx").intersect(a.where("phi > 0").select("angle_idx"))
+
+
+@query("wanted(name) AS (VALUES ('D0'), ('alpha'), ('phi0'), ('contrast')), param(name, lower, upper) AS (VALUES ('D0', 100.0::DOUBLE, 100000.0::DOUBLE), ('alpha', -2.0::DOUBLE, 2.0::DOUBLE), ('phi0', -10.0::DOUBLE, 10.0::DOUBLE), ('contrast', 0.0::DOUBLE, 1.0::DOUBLE)) SELECT name, lower, upper FROM wanted JOIN param USING (name)")
+def parameter_bounds(spark, sf_dir):
+    wanted = spark.createDataFrame([("D0",), ("alpha",), ("phi0",), ("contrast",)], "name string")
+    return wanted.join(F.broadcast(parameter_table(spark)), "name").select("name", "lower", "upper")
+
+
+@query("SELECT a.angle_idx, a.i, a.j, a.c2, b.c2 AS c2t FROM c2 a JOIN c2 b ON a.angle_idx = b.angle_idx AND a.i = b.j AND a.j = b.i")
+def transpose_join(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    return c.join(Fl.transpose(c), ["angle_idx", "i", "j"])
+
+
+# ---- aggregations and quality ----
+
+
+@query("n AS (SELECT l_suppkey::INTEGER AS angle_idx, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS total, max(n) AS most, min(n) AS least FROM n) SELECT angle_idx, n, n / total AS fraction, most / least AS imbalance, most / least < 5 AS balanced FROM n, t")
+def angle_distribution(spark, sf_dir):
+    return A.angle_distribution(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("int").alias("angle_idx")))
+
+
+@query("SELECT count(*) AS n, round(avg(c2), 9) AS mean, round(stddev_pop(c2), 9) AS std, min(c2) AS least, max(c2) AS most, 1.0::DOUBLE AS finite_fraction, round(sum(c2), 6) AS total, arg_min(c2, (angle_idx, i, j)) AS first_value, arg_max(c2, (angle_idx, i, j)) AS last_value FROM c2")
+def array_statistics(spark, sf_dir):
+    return A.array_statistics(cells(spark, sf_dir)).withColumns({"mean": r9("mean"), "std": r9("std"), "total": F.round("total", 6)})
+
+
+@query("SELECT round(greatest(least(1 - 0.2 * (count(*) FILTER (WHERE c2 < 0.85)) - 0.05 * 2 + 0.1 - 0.1 * 0.0 + 0.1, 1.0), 0.0), 9) AS score FROM c2")
+def validation_score(spark, sf_dir):
+    s = cells(spark, sf_dir).agg(F.sum((F.col("c2") < 0.85).cast("long")).alias("errors"))
+    return s.select(r9(A.validation_score(F.col("errors"), F.lit(2), F.lit(True), F.lit(0.0), F.lit(True))).alias("score"))
+
+
+@query("SELECT angle_idx, round(avg(c2), 9) AS mean, CASE WHEN avg(c2) BETWEEN 0.5 AND 3 THEN 85.0::DOUBLE WHEN avg(c2) BETWEEN 0.1 AND 5 THEN 60.0::DOUBLE ELSE 30.0::DOUBLE END AS range_score, round(least(10 * avg(c2) / stddev_pop(c2), 100.0), 9) AS snr_score FROM c2 GROUP BY 1")
+def basic_quality(spark, sf_dir):
+    return A.basic_quality(cells(spark, sf_dir)).withColumns({"mean": r9("mean"), "snr_score": r9("snr_score")})
+
+
+_GAP_SQL = "skew AS (SELECT angle_idx, i, j, c2 + 0.001 * i AS c2 FROM c2), gap AS (SELECT a.angle_idx, avg(abs(a.c2 - b.c2)) AS g, max(abs(a.c2)) AS m FROM skew a JOIN skew b ON a.angle_idx = b.angle_idx AND a.i = b.j AND a.j = b.i GROUP BY 1)"
+
+
+def _skew(spark, sf_dir):
+    return cells(spark, sf_dir).withColumn("c2", F.col("c2") + 0.001 * F.col("i"))
+
+
+@query(_GAP_SQL + ", dec AS (SELECT angle_idx, max(c2) FILTER (WHERE i = 0 AND j = 0) AS d0, max(c2) FILTER (WHERE i = 10 AND j = 10) AS d10 FROM skew GROUP BY 1) SELECT angle_idx, round(100 * (1 - g / m), 9) AS symmetry, round(CASE WHEN (d0 - d10) / d0 BETWEEN 0 AND 1 THEN (d0 - d10) / d0 END, 9) AS decay FROM gap JOIN dec USING (angle_idx)")
+def symmetry_and_decay(spark, sf_dir):
+    return A.symmetry_and_decay(_skew(spark, sf_dir)).select("angle_idx", r9("symmetry").alias("symmetry"), r9("decay").alias("decay"))
+
+
+@query(_GAP_SQL + ", s AS (SELECT angle_idx, max(c2) FILTER (WHERE i = 0 AND j = 0) AS d, avg(c2) AS mean FROM skew GROUP BY 1) SELECT angle_idx, round(0.4 + 0.3 * CASE WHEN d BETWEEN 0.5 AND 2 THEN 1.0 ELSE 0.5 END + 0.2 * greatest(1 - 100 * g, 0.0) + 0.1 * CASE WHEN mean BETWEEN 0.1 AND 5 THEN 1.0 ELSE 0.5 END, 9) AS score FROM gap JOIN s USING (angle_idx)")
+def matrix_quality(spark, sf_dir):
+    return A.matrix_quality(_skew(spark, sf_dir)).withColumn("score", r9("score"))
+
+
+@query("SELECT angle_idx, count(*) AS n FROM c2 WHERE angle_idx IN (SELECT angle_idx FROM c2 WHERE i = 0 AND j = 0 AND c2 BETWEEN 0.5 AND 2) GROUP BY 1")
+def quality_filtered(spark, sf_dir):
+    return A.quality_filter(cells(spark, sf_dir), 0.95).groupBy("angle_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT angle_idx, round(0.3 * 100.0 + 0.4 * 90.0 + 0.2 * least(10 * avg(c2) / stddev_pop(c2), 100.0) + 0.1 * 50.0, 9) AS readiness, round(greatest(least(0.2 * 100 + 0.25 * 90 + 0.2 * least(10 * avg(c2) / stddev_pop(c2), 100.0) + 0.15 * 85 + 0.1 * 50 + 0.1 * 100 - 10 - 5 * 2 + 5, 100.0), 0.0), 9) AS overall FROM c2 GROUP BY 1")
+def quality_scores(spark, sf_dir):
+    q = A.basic_quality(cells(spark, sf_dir))
+    snr = F.col("snr_score")
+    overall = A.overall_quality([F.lit(100.0), F.lit(90.0), snr, F.lit(85.0), F.lit(50.0), F.lit(100.0)], F.lit(1), F.lit(2), F.lit(1))
+    return q.select("angle_idx", r9(A.readiness(F.lit(100.0), F.lit(90.0), snr, F.lit(50.0))).alias("readiness"), r9(overall).alias("overall"))
+
+
+@query("st(stage, k) AS (VALUES ('raw', 0), ('filtered', 1), ('final', 2)), q AS (SELECT stage, k, round(avg(c2) FILTER (WHERE k = 0 OR (k = 1 AND i <> j) OR (k = 2 AND i > 0 AND j > 0 AND i <> j)), 9) AS mean FROM c2, st GROUP BY 1, 2) SELECT stage, mean, round(mean - lag(mean) OVER (ORDER BY k), 9) AS change FROM q")
+def stage_evolution(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = cells(spark, sf_dir)
+    stages = [("raw", c), ("filtered", Fl.off_diagonal(c, drop_first_frame=False)), ("final", Fl.off_diagonal(c))]
+    out = None
+    for k, (name, d) in enumerate(stages):
+        row = d.agg(r9(F.avg("c2")).alias("mean")).select(F.lit(name).alias("stage"), F.lit(k).alias("k"), "mean")
+        out = row if out is None else out.unionByName(row)
+    return out.select("stage", "mean", r9(F.col("mean") - F.lag("mean").over(Window.orderBy("k"))).alias("change"))
+
+
+@query(f"{MODEL_SQL} SELECT angle_idx, round(sum(((c2 - model) / sigma) ** 2), 6) AS chi2, count(*) AS n FROM m GROUP BY 1")
+def chi_squared(spark, sf_dir):
+    return A.chi_squared(modelled(spark, sf_dir), ["angle_idx"]).withColumn("chi2", F.round("chi2", 6))
+
+
+@query("p(param_id, amplitude) AS (VALUES (0, 0.01::DOUBLE), (1, 0.05::DOUBLE), (2, 0.1::DOUBLE)) SELECT param_id, round(sum(((c2 - (1 + amplitude * exp(-abs(i - j) / 5.0))) / 0.01) ** 2), 6) AS chi2, count(*) AS n FROM c2, p GROUP BY 1")
+def batch_chi_squared(spark, sf_dir):
+    p = F.broadcast(spark.createDataFrame([(0, 0.01), (1, 0.05), (2, 0.1)], "param_id int, amplitude double"))
+    c = cells(spark, sf_dir).crossJoin(p).withColumns({"model": 1 + F.col("amplitude") * F.exp(-F.abs(F.col("i") - F.col("j")) / 5.0), "sigma": F.lit(0.01)})
+    return A.chi_squared(c, ["param_id"]).withColumn("chi2", F.round("chi2", 6))
+
+
+@query(f"{MODEL_SQL}, s AS (SELECT angle_idx, sum((c2 - model) ** 2) AS ss, var_pop(c2) FILTER (WHERE abs(i - j) >= 15) AS v FROM m WHERE i <> j GROUP BY 1) SELECT angle_idx, round(ss, 9) AS chi2, 867::BIGINT AS dof, round(ss / v / 867, 9) AS reduced FROM s")
+def reduced_chi_squared(spark, sf_dir):
+    return A.per_angle_reduced(modelled(spark, sf_dir), 3).select("angle_idx", r9("chi2").alias("chi2"), "dof", r9("reduced").alias("reduced"))
+
+
+@query("d AS (SELECT l_returnflag AS g, l_quantity AS a, l_tax AS b, l_extendedprice / 1000 AS r FROM lineitem) SELECT g, round(sum(a * a), 3) AS g_0_0, round(sum(a * b), 3) AS g_0_1, round(sum(b * b), 3) AS g_1_1, round(sum(a * r), 3) AS h_0, round(sum(b * r), 3) AS h_1, round(sum(r * r), 3) AS chi2, count(*) AS n FROM d GROUP BY 1")
+def normal_equations(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("a"), F.col("l_tax").alias("b"), (F.col("l_extendedprice") / 1000).alias("r"))
+    out = A.normal_equations(d, ["a", "b"], "r", ["g"])
+    return out.select("g", *(F.round(c, 3).alias(c) for c in ("g_0_0", "g_0_1", "g_1_1", "h_0", "h_1", "chi2")), "n")
+
+
+@query(f"{MODEL_SQL} SELECT angle_idx, round(regr_slope(c2, model), 9) AS contrast, round(regr_intercept(c2, model), 9) AS off FROM m GROUP BY 1")
+def least_squares_scaling(spark, sf_dir):
+    return A.least_squares_scaling(modelled(spark, sf_dir)).select("angle_idx", r9("contrast").alias("contrast"), r9("offset").alias("off"))
+
+
+@query(f"{MODEL_SQL}, f AS (SELECT angle_idx, regr_slope(c2, model) AS s, regr_intercept(c2, model) AS o FROM m GROUP BY 1) SELECT round(avg(s), 9) AS contrast, round(avg(o), 9) AS off FROM f")
+def consistent_scaling(spark, sf_dir):
+    return A.least_squares_scaling(modelled(spark, sf_dir)).agg(r9(F.avg("contrast")).alias("contrast"), r9(F.avg("offset")).alias("off"))
+
+
+@query("e AS (SELECT 'p' || (l_suppkey % 7)::VARCHAR AS param, l_quantity AS value, l_discount + 0.01 AS variance, l_linenumber AS n_points FROM lineitem) SELECT param, round(sum(value / greatest(variance, 1e-10)) / sum(1 / greatest(variance, 1e-10)), 9) AS value, round(1 / sum(1 / (variance + 1e-10)), 12) AS variance FROM e GROUP BY 1")
+def combined_estimates(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("p"), (F.col("l_suppkey") % 7).cast("string")).alias("param"), F.col("l_quantity").alias("value"), (F.col("l_discount") + 0.01).alias("variance"), F.col("l_linenumber").alias("n_points"))
+    return A.combine_estimates(e).select("param", r9("value").alias("value"), F.round("variance", 12).alias("variance"))
+
+
+@query("SELECT avg((o_orderstatus = 'F')::INTEGER) AS success_rate, avg((o_orderstatus = 'F')::INTEGER) >= 0.5 AS passes FROM orders")
+def success_rate(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("success_rate"))
+    return s.withColumn("passes", F.col("success_rate") >= 0.5)
+
+
+@query("b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS batch, o_orderstatus = 'F' AS success, o_totalprice AS loss, o_custkey AS iterations FROM orders WHERE o_orderkey <= 500) SELECT batch, avg(success::INTEGER) OVER w AS success_rate, round(avg(loss) OVER w, 6) AS mean_loss, round(avg(iterations) OVER w, 6) AS mean_iterations FROM b WINDOW w AS (ORDER BY batch ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+def ring_statistics(spark, sf_dir):
+    from pyspark.sql import Window
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey <= 500").select(F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("batch"), (F.col("o_orderstatus") == "F").alias("success"), F.col("o_totalprice").alias("loss"), F.col("o_custkey").alias("iterations"))
+    return W.ring_statistics(o).withColumns({"mean_loss": F.round("mean_loss", 6), "mean_iterations": F.round("mean_iterations", 6)})
+
+
+@query("s AS (SELECT count(*) FILTER (WHERE c2 < 0) AS neg, avg(c2) AS mean, stddev_pop(c2) AS sd FROM (SELECT c2 - 0.9 AS c2 FROM c2)) SELECT 'warning' AS severity, 'sign' AS category, 'negative correlation' AS message, 'c2' AS parameter, neg::DOUBLE AS value FROM s WHERE neg > 0 UNION ALL SELECT 'warning', 'statistics', 'mean outside 0.5 to 2', 'c2', round(mean, 9) FROM s WHERE NOT mean BETWEEN 0.5 AND 2 UNION ALL SELECT 'info', 'statistics', 'std above mean', 'c2', round(sd, 9) FROM s WHERE sd > mean")
+def validation_issues(spark, sf_dir):
+    return A.issues(cells(spark, sf_dir).withColumn("c2", F.col("c2") - 0.9)).withColumn("value", r9("value"))
+
+
+@query("SELECT a.angle_idx, bool_and(abs(a.c2 - b.c2) <= 1e-10 + 1e-5 * abs(b.c2)) AS symmetric, max(a.c2) FILTER (WHERE a.i = 0 AND a.j = 1) BETWEEN 0.5 AND 2 AS near_zero_lag_ok FROM c2 a JOIN c2 b ON a.angle_idx = b.angle_idx AND a.i = b.j AND a.j = b.i GROUP BY 1")
+def correlation_checks(spark, sf_dir):
+    return A.correlation_checks(cells(spark, sf_dir))
+
+
+@query("p(param, value, lower, upper) AS (VALUES ('a', 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('b', 0.5::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('c', 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE)) SELECT *, CASE WHEN abs(value - lower) <= 1e-8 THEN 'at_lower' WHEN abs(value - upper) <= 1e-8 THEN 'at_upper' ELSE 'active' END AS status FROM p")
+def parameter_status(spark, sf_dir):
+    return V.parameter_status(spark.createDataFrame([("a", 0.0, 0.0, 1.0), ("b", 0.5, 0.0, 1.0), ("c", 1.0, 0.0, 1.0)], "param string, value double, lower double, upper double"))
+
+
+@query("SELECT angle_idx, round(CASE WHEN abs(avg(c2)) > 1e-10 THEN stddev_pop(c2) / abs(avg(c2)) ELSE stddev_pop(c2) END, 9) AS cv FROM c2 GROUP BY 1")
+def variation_coefficient(spark, sf_dir):
+    s, m = F.stddev_pop("c2"), F.abs(F.avg("c2"))
+    return cells(spark, sf_dir).groupBy("angle_idx").agg(r9(F.when(m > 1e-10, s / m).otherwise(s)).alias("cv"))
+
+
+@query("SELECT angle_idx, bool_and(c2 BETWEEN -10 AND 100) AS clean FROM c2 GROUP BY 1")
+def artefact_check(spark, sf_dir):
+    return A.artefact_free(cells(spark, sf_dir))
+
+
+@query("SELECT (29 * 28)::DOUBLE / 900 AS retention, 1.0::DOUBLE AS fidelity FROM frame LIMIT 1")
+def retention(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    return A.retention(c, Fl.off_diagonal(c))
+
+
+_HOLES = "holes AS (SELECT angle_idx, i, j, CASE WHEN (i * 7 + j) % 11 = 0 THEN 'nan'::DOUBLE WHEN (i + j) % 13 = 0 THEN -c2 ELSE c2 END AS c2 FROM c2)"
+
+
+def _holes(spark, sf_dir):
+    x = F.when((F.col("i") * 7 + F.col("j")) % 11 == 0, F.lit(float("nan"))).when((F.col("i") + F.col("j")) % 13 == 0, -F.col("c2")).otherwise(F.col("c2"))
+    return cells(spark, sf_dir).withColumn("c2", x)
+
+
+@query(f"{_HOLES}, med AS (SELECT angle_idx, median(c2) AS m FROM holes WHERE NOT isnan(c2) GROUP BY 1) SELECT angle_idx, i, j, round(CASE WHEN isnan(c2) THEN m ELSE c2 END, 9) AS c2 FROM holes JOIN med USING (angle_idx)")
+def repair_conservative(spark, sf_dir):
+    return A.repair(_holes(spark, sf_dir)).withColumn("c2", r9("c2"))
+
+
+@query(f"{_HOLES}, med AS (SELECT angle_idx, median(c2) AS m FROM holes WHERE NOT isnan(c2) GROUP BY 1), f AS (SELECT angle_idx, i, j, CASE WHEN isnan(c2) THEN m ELSE c2 END AS c2 FROM holes JOIN med USING (angle_idx)) SELECT angle_idx, i, j, round(CASE WHEN c2 < 0 THEN 1e-6 ELSE c2 END, 9) AS c2 FROM f")
+def repair_aggressive(spark, sf_dir):
+    return A.repair(_holes(spark, sf_dir), "aggressive").withColumn("c2", r9("c2"))
+
+
+# ---- quantiles ----
+
+
+@query(f"{DIAGONAL_SQL}, chosen AS (SELECT f.* FROM fixed f JOIN angle USING (angle_idx) WHERE phi >= 170 OR phi <= -160 OR phi BETWEEN -10 AND 10), {_quantiles('chosen')} SELECT angle_idx, n, round(contrast, 9) AS contrast, round(off, 9) AS off FROM scal")
+def contrast_offset(spark, sf_dir):
+    """The flagship: angle selection, diagonal correction, contrast and offset per angle."""
+    d = events_dataset(spark, sf_dir)
+    phi = F.col("phi")
+    chosen = d.angle.where(S.angle_between(phi, 170.0, -160.0) | S.angle_between(phi, -10.0, 10.0)).select("angle_idx")
+    fixed = M.diagonal_basic(d.c2.join(F.broadcast(chosen), "angle_idx", "left_semi"))
+    return Sc.quantile_scaling(fixed).select("angle_idx", "n", r9("contrast").alias("contrast"), r9("offset").alias("off"))
+
+
+@query(f"{_quantiles('c2')} SELECT angle_idx, n, round(contrast, 9) AS contrast, round(off, 9) AS off FROM scal")
+def quantile_scaling(spark, sf_dir):
+    return Sc.quantile_scaling(cells(spark, sf_dir)).select("angle_idx", "n", r9("contrast").alias("contrast"), r9("offset").alias("off"))
+
+
+@query(f"{_quantiles('c2')} SELECT round(avg(contrast), 9) AS contrast, round(avg(off), 9) AS off FROM scal")
+def averaged_scaling(spark, sf_dir):
+    return Sc.averaged_scaling(Sc.quantile_scaling(cells(spark, sf_dir))).select(r9("contrast").alias("contrast"), r9("offset").alias("off"))
+
+
+@query(f"{_quantiles('c2', floor=0.05, ceiling=0.95, bounded=False)} SELECT angle_idx, n, round(contrast, 9) AS contrast, round(off, 9) AS off, n >= 100 AS complete FROM scal")
+def strict_scaling(spark, sf_dir):
+    return Sc.strict_scaling(cells(spark, sf_dir)).select("angle_idx", "n", r9("contrast").alias("contrast"), r9("offset").alias("off"), "complete")
+
+
+@query("SELECT round(max(c2) - quantile_cont(c2, 0.05), 9) AS contrast, round(quantile_cont(c2, 0.05), 9) AS off FROM c2")
+def global_scaling(spark, sf_dir):
+    return Sc.global_scaling(cells(spark, sf_dir)).select(r9("contrast").alias("contrast"), r9("offset").alias("off"))
+
+
+@query("SELECT round(quantile_cont(c2, 0.01), 9) AS lo, round(quantile_cont(c2, 0.99), 9) AS hi FROM c2")
+def colour_limits(spark, sf_dir):
+    return Sc.colour_limits(cells(spark, sf_dir)).select(r9("lo").alias("lo"), r9("hi").alias("hi"))
+
+
+@query(f"{MODEL_SQL} SELECT round(quantile_cont(abs(c2 - model), 0.99), 9) AS lim FROM m")
+def residual_limit(spark, sf_dir):
+    return Sc.residual_limit(V.comparison(modelled(spark, sf_dir))).select(r9("limit").alias("lim"))
+
+
+# ---- ordered ----
+
+_RATE = "r AS (SELECT i, t, greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10) AS v FROM frame), mids AS (SELECT i, coalesce((lag(v) OVER (ORDER BY i) + v) / 2, 0.0) AS m FROM r), cum AS (SELECT i, sum(m) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM mids)"
+
+
+def _cumulative(spark):
+    f = frame_table(spark, 30).withColumn("v", S.rate(F.col("t"), 1000.0, 0.5, 10.0, 1.0))
+    return K.cumulative_trapezoid(f, "v", "c")
+
+
+@query(f"{_RATE} SELECT i, round(c, 6) AS c FROM cum")
+def cumulative_integral(spark, sf_dir):
+    return _cumulative(spark).select("i", F.round("c", 6).alias("c"))
+
+
+@query(f"{_RATE} SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN 0.0 ELSE round(sqrt((a.c - b.c) * (a.c - b.c) + 1e-12), 6) END AS integral, round(b.c - a.c, 6) AS signed FROM cum a, cum b")
+def integral_matrices(spark, sf_dir):
+    p = K.frame_pairs(_cumulative(spark), ["c"])
+    d = F.col("c_i") - F.col("c_j")
+    return p.select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.round(K.time_integral(d), 6)).alias("integral"), F.round(-d, 6).alias("signed"))
+
+
+@query("SELECT TRUE AS monotone FROM frame LIMIT 1")
+def monotone_time(spark, sf_dir):
+    return W.is_monotone(frame_table(spark, 30))
+
+
+@query("s AS (SELECT s_suppkey AS start, s_acctbal AS cost FROM supplier), k AS (SELECT greatest(3, floor(count(*) * 0.5)) AS k FROM s), rk AS (SELECT *, row_number() OVER (ORDER BY cost, start)::INTEGER AS rank FROM s) SELECT start, cost, rank FROM rk, k WHERE rank <= k")
+def kept_starts(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("start"), F.col("s_acctbal").alias("cost"))
+    return W.keep_best(s)
+
+
+@query("SELECT arg_min(s_suppkey, s_acctbal) AS start, min(s_acctbal) AS chi2 FROM supplier WHERE s_nationkey < 12")
+def best_start(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("start"), F.col("s_acctbal").alias("chi2"), (F.col("s_nationkey") < 12).alias("success"))
+    return W.best_result(s)
+
+
+_HISTORY = "h AS (SELECT event_id AS step, value, value > 60 AS triggered FROM events WHERE event_id < 2000)"
+
+
+def _history(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 2000").select(F.col("event_id").alias("step"), "value", (F.col("value") > 60).alias("triggered"))
+
+
+@query(f"{_HISTORY}, g AS (SELECT *, row_number() OVER (ORDER BY step) - sum(triggered::INTEGER) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS island FROM h), r AS (SELECT step, value, triggered, CASE WHEN triggered THEN sum(triggered::INTEGER) OVER (PARTITION BY island ORDER BY step ROWS UNBOUNDED PRECEDING) ELSE 0 END::BIGINT AS run FROM g) SELECT *, run >= 5 AS fires FROM r")
+def consecutive_triggers(spark, sf_dir):
+    return W.consecutive_triggers(_history(spark, sf_dir))
+
+
+@query(f"{_HISTORY} SELECT step, round(regr_slope(value, step) OVER (ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS slope FROM h")
+def metric_trend(spark, sf_dir):
+    return W.trend(_history(spark, sf_dir)).withColumn("slope", F.round("slope", 6))
+
+
+_POINTS = "pts AS (SELECT (l_suppkey % 5)::INTEGER AS angle_idx, l_orderkey * 10 + l_linenumber AS point_id FROM lineitem), ch AS (SELECT angle_idx, point_id, (ntile(7) OVER (PARTITION BY angle_idx ORDER BY point_id) - 1)::INTEGER AS chunk FROM pts)"
+
+
+def _points(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 5).cast("int").alias("angle_idx"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id")).distinct()
+
+
+@query(_POINTS.replace("SELECT (l_suppkey", "SELECT DISTINCT (l_suppkey", 1) + " SELECT angle_idx, point_id, chunk FROM ch")
+def stratified_chunks(spark, sf_dir):
+    return W.allocate_chunks(_points(spark, sf_dir), 7)
+
+
+@query(_POINTS.replace("SELECT (l_suppkey", "SELECT DISTINCT (l_suppkey", 1) + ", per AS (SELECT chunk, count(*) AS n, count(DISTINCT angle_idx) AS a FROM ch GROUP BY 1) SELECT avg(n) AS mean_size, round(stddev_pop(n), 9) AS std_size, min(n) AS least_size, max(n) AS most_size, round(stddev_pop(n) / avg(n), 9) AS variation, count(*) FILTER (WHERE a = 5) AS complete_chunks, count(*) AS chunks FROM per")
+def chunk_balance(spark, sf_dir):
+    return A.chunk_balance(W.allocate_chunks(_points(spark, sf_dir), 7)).withColumns({"std_size": r9("std_size"), "variation": r9("variation")})
+
+
+@query(f"{MODEL_SQL} SELECT angle_idx, round(var_samp(c2), 9) AS variance, round(sqrt(avg((c2 - model) ** 2)), 9) AS rmse FROM m WHERE i = j GROUP BY 1")
+def diagonal_overlay(spark, sf_dir):
+    return W.diagonal_overlay(modelled(spark, sf_dir)).select("angle_idx", r9("variance").alias("variance"), r9("rmse").alias("rmse"))
+
+
+@query("SELECT DISTINCT phi FROM angle ORDER BY phi")
+def distinct_grid(spark, sf_dir):
+    return cells(spark, sf_dir).select("angle_idx").distinct().join(F.broadcast(angle_table(spark)), "angle_idx").select("phi").distinct().orderBy("phi")
+
+
+@query("SELECT s_suppkey AS start, 'custom' AS kind FROM supplier WHERE s_acctbal > 0 AND s_suppkey <= 5 UNION ALL SELECT s_suppkey, 'generated' FROM supplier WHERE s_suppkey > 5")
+def concatenated_starts(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    custom = s.where("s_acctbal > 0 AND s_suppkey <= 5").select(F.col("s_suppkey").alias("start"), F.lit("custom").alias("kind"))
+    return custom.unionByName(s.where("s_suppkey > 5").select(F.col("s_suppkey").alias("start"), F.lit("generated").alias("kind")))
+
+
+# ---- matrices ----
+
+
+@query(f"{DIAGONAL_SQL} SELECT angle_idx, i, j, round(c2, 9) AS c2 FROM fixed")
+def diagonal_basic(spark, sf_dir):
+    return M.diagonal_basic(cells(spark, sf_dir)).withColumn("c2", r9("c2"))
+
+
+_NEAR = "near AS (SELECT angle_idx, i AS k, c2 FROM c2 WHERE i <> j AND abs(i - j) <= 3 UNION ALL SELECT angle_idx, j, c2 FROM c2 WHERE i <> j AND abs(i - j) <= 3)"
+_PUT = " SELECT c.angle_idx, c.i, c.j, round(CASE WHEN c.i = c.j THEN d.d ELSE c.c2 END, 9) AS c2 FROM c2 c LEFT JOIN d ON d.angle_idx = c.angle_idx AND d.k = c.i"
+
+
+@query(f"{_NEAR}, d AS (SELECT angle_idx, k, median(c2) AS d FROM near GROUP BY 1, 2){_PUT}")
+def diagonal_median(spark, sf_dir):
+    return M.diagonal_statistical(cells(spark, sf_dir)).withColumn("c2", r9("c2"))
+
+
+@query(f"{_NEAR}, d AS (SELECT angle_idx, k, avg(c2) AS d FROM near GROUP BY 1, 2){_PUT}")
+def diagonal_mean(spark, sf_dir):
+    return M.diagonal_statistical(cells(spark, sf_dir), estimator="mean").withColumn("c2", r9("c2"))
+
+
+@query(f"{_NEAR}, rk AS (SELECT *, row_number() OVER (PARTITION BY angle_idx, k ORDER BY c2) AS r, count(*) OVER (PARTITION BY angle_idx, k) AS n FROM near), d AS (SELECT angle_idx, k, avg(c2) AS d FROM rk WHERE r > floor(0.2 * n) AND r <= n - floor(0.2 * n) GROUP BY 1, 2){_PUT}")
+def diagonal_trimmed(spark, sf_dir):
+    return M.diagonal_statistical(cells(spark, sf_dir), estimator="trimmed_mean").withColumn("c2", r9("c2"))
+
+
+@query(f"d AS (SELECT angle_idx, j AS k, avg(c2) AS d FROM c2 WHERE abs(i - j) = 1 AND j BETWEEN 1 AND 28 GROUP BY 1, 2 UNION ALL SELECT angle_idx, 0, c2 FROM c2 WHERE i = 0 AND j = 1 UNION ALL SELECT angle_idx, 29, c2 FROM c2 WHERE i = 28 AND j = 29){_PUT}")
+def diagonal_interpolated(spark, sf_dir):
+    return M.diagonal_interpolation(cells(spark, sf_dir)).withColumn("c2", r9("c2"))
+
+
+def _normalised(method: str, aggregates: str, expression: str):
+    sql = f"s AS (SELECT angle_idx, {aggregates} FROM c2 GROUP BY 1) SELECT angle_idx, i, j, round({expression}, 9) AS c2 FROM c2 JOIN s USING (angle_idx)"
+
+    def run(spark, sf_dir):
+        return M.normalise(cells(spark, sf_dir), method).withColumn("c2", r9("c2"))
+
+    run.__name__ = f"normalise_{method}"
+    query(sql)(run)
+
+
+_normalised("baseline", "max(c2) FILTER (WHERE i = 0 AND j = 0) AS o", "c2 / o")
+_normalised("statistical", "avg(c2) AS m, stddev_pop(c2) AS sd", "(c2 - m) / sd")
+_normalised("minmax", "min(c2) AS lo, max(c2) AS hi", "(c2 - lo) / (hi - lo)")
+_normalised("robust", "median(c2) AS m, quantile_cont(c2, 0.25) AS lo, quantile_cont(c2, 0.75) AS hi", "(c2 - m) / (hi - lo)")
+_normalised("physics_based", "max(c2) AS hi, max(c2) FILTER (WHERE i = 0 AND j = 0) AS o", "CASE WHEN o / hi < 1 THEN (c2 / hi) / (o / hi) ELSE c2 / hi END")
+
+_REFLECT = "CASE WHEN {0} < 0 THEN -({0}) - 1 WHEN {0} > 29 THEN 59 - ({0}) ELSE {0} END"
+
+
+@query(f"st(s) AS (VALUES (-1), (0), (1)), w AS (SELECT angle_idx, i AS ti, j AS tj, {_REFLECT.format('i + a.s')} AS i, {_REFLECT.format('j + b.s')} AS j FROM c2, st a, st b) SELECT w.angle_idx, ti AS i, tj AS j, round(median(c2), 9) AS c2 FROM w JOIN c2 USING (angle_idx, i, j) GROUP BY w.angle_idx, ti, tj")
+def median_filter(spark, sf_dir):
+    return M.median_filter(cells(spark, sf_dir)).withColumn("c2", r9("c2"))
+
+
+_GAUSS = "ks AS (SELECT s::INTEGER AS s, exp(-0.5 * s * s) AS w FROM range(-4, 5) r(s)), kn AS (SELECT s, w / (SELECT sum(w) FROM ks) AS w FROM ks)"
+
+
+@query(f"{_GAUSS}, a1 AS (SELECT angle_idx, i AS ti, {_REFLECT.format('i + s')} AS i, j, w FROM c2, kn), s1 AS (SELECT a1.angle_idx, ti AS i, j, sum(w * c2) AS c2 FROM a1 JOIN c2 USING (angle_idx, i, j) GROUP BY 1, 2, 3), a2 AS (SELECT angle_idx, j AS tj, {_REFLECT.format('j + s')} AS j, i, w FROM s1, kn) SELECT a2.angle_idx, i, tj AS j, round(sum(w * c2), 9) AS c2 FROM a2 JOIN s1 USING (angle_idx, i, j) GROUP BY 1, 2, 3")
+def gaussian_filter(spark, sf_dir):
+    return M.gaussian_filter(cells(spark, sf_dir)).withColumn("c2", r9("c2"))
+
+
+@query("st(s) AS (VALUES (-1), (0), (1)), sent AS (SELECT angle_idx, i + a.s AS i, j + b.s AS j, c2 FROM c2, st a, st b), l AS (SELECT angle_idx, i, j, sum(c2) / 9 AS m, sum(c2 * c2) / 9 - (sum(c2) / 9) * (sum(c2) / 9) AS v FROM sent GROUP BY 1, 2, 3), x AS (SELECT c.angle_idx, c.i, c.j, c2, m, v FROM c2 c JOIN l USING (angle_idx, i, j)), nz AS (SELECT angle_idx, avg(v) AS noise FROM x GROUP BY 1) SELECT angle_idx, i, j, round(CASE WHEN v < noise THEN m ELSE m + (1 - noise / v) * (c2 - m) END, 9) AS c2 FROM x JOIN nz USING (angle_idx)")
+def wiener_filter(spark, sf_dir):
+    return M.wiener_filter(cells(spark, sf_dir)).withColumn("c2", r9("c2"))
+
+
+@query()
+def savgol_filter(spark, sf_dir):
+    return M.savgol_filter(cells(spark, sf_dir)).withColumn("c2", r9("c2"))
+
+
+@query(f"{_NEAR}, d AS (SELECT angle_idx, k, median(c2) AS d FROM near GROUP BY 1, 2), one AS (SELECT c.angle_idx, c.i, c.j, CASE WHEN c.i = c.j THEN d.d ELSE c.c2 END AS c2 FROM c2 c LEFT JOIN d ON d.angle_idx = c.angle_idx AND d.k = c.i), s AS (SELECT angle_idx, min(c2) AS lo, max(c2) AS hi FROM one GROUP BY 1), two AS (SELECT angle_idx, i, j, (c2 - lo) / (hi - lo) AS c2 FROM one JOIN s USING (angle_idx)), side AS (SELECT angle_idx, least(i, j) AS k, sum(c2) / 2 AS s FROM two WHERE abs(i - j) = 1 GROUP BY 1, 2), dg AS (SELECT angle_idx, i, avg(s) AS d FROM (SELECT angle_idx, k AS i, s FROM side UNION ALL SELECT angle_idx, k + 1, s FROM side) GROUP BY 1, 2) SELECT t.angle_idx, t.i, t.j, round(CASE WHEN t.i = t.j THEN d ELSE c2 END, 9) AS c2 FROM two t LEFT JOIN dg ON dg.angle_idx = t.angle_idx AND dg.i = t.i")
+def preprocessing_pipeline(spark, sf_dir):
+    return M.preprocess(cells(spark, sf_dir), "statistical", "minmax").withColumn("c2", r9("c2"))
+
+
+# ---- scalar functions ----
+
+
+@query("""x AS (SELECT i, i / 10.0 - 1.5 AS x FROM frame) SELECT i,
+round(exp(greatest(least(x * 100, 700), -700)) / exp(150.0), 9) AS safe_exp, round(CASE WHEN abs(x) < 1e-4 THEN 1 - x * x / 6 + pow(x, 4) / 120 ELSE sin(x) / x END, 9) AS sinc,
+round(CASE WHEN x > 0 THEN pow(x, 0.7) ELSE 0 END, 9) AS power, round(CASE WHEN abs(x) > 1e-30 THEN 1 / x ELSE -1 END, 9) AS divide,
+round(ln(greatest(x, 1e-30)), 9) AS log, round(sqrt(greatest(x, 0.0)), 9) AS root, round(sqrt(x * x + 1e-12), 9) AS sabs,
+round(1 - (greatest(50 * (1 - l), 0) + ln(1 + exp(-abs(50 * (1 - l))))) / 50, 9) AS sclip,
+round(abs(x - 1) / greatest(abs(x), 1, 1e-10), 9) AS reldiff, round(greatest(3 * pow(greatest(x, 0.5), 0.5) - 2, 1e-10), 9) AS rate,
+round(greatest(3 * CASE WHEN x > 0 THEN pow(x, 0.5) ELSE 0 END - 2, 0.0), 9) AS transport, round(3 * CASE WHEN x > 0 THEN pow(x, 0.5) ELSE 0 END - 2, 9) AS velocity,
+round((x + 2) / 5, 9) AS unit, round(least(greatest(x, -1), 1), 9) AS clipped
+FROM (SELECT i, x, (greatest(50 * x, 0) + ln(1 + exp(-abs(50 * x)))) / 50 AS l FROM x)""")
+def scalar_functions(spark, sf_dir):
+    x = F.col("x")
+    f = frame_table(spark, 30).select("i", (F.col("i") / 10.0 - 1.5).alias("x"))
+    out = {
+        "safe_exp": S.safe_exp(x * 100) / F.exp(F.lit(150.0)), "sinc": S.sinc_taylor(x), "power": S.safe_power(x, 0.7), "divide": S.safe_divide(F.lit(1.0), x, -1.0), "log": S.safe_log(x), "root": S.safe_sqrt(x), "sabs": S.smooth_abs(x), "sclip": S.smooth_clip(x),
+        "reldiff": S.relative_difference(x, F.lit(1.0)), "rate": S.rate(x, 3.0, 0.5, -2.0, 1.0), "transport": S.transport_rate(x, 3.0, 0.5, -2.0), "velocity": S.velocity_rate(x, 3.0, 0.5, -2.0), "unit": S.to_unit(x, -2.0, 3.0), "clipped": S.clip(x, -1.0, 1.0),
+    }
+    return f.select("i", *(r9(v).alias(k) for k, v in out.items()))
+
+
+@query("SELECT angle_idx, round(1 / (q * q * 1000) * 1.5, 9) AS tau, round((0.1 + 0.9 * pow(abs(cos(radians(10 - phi))), 2)) / (SELECT avg(0.1 + 0.9 * pow(abs(cos(radians(10 - phi))), 2)) FROM angle), 9) AS shear, round(cos(2 * radians(phi)), 9) AS c2phi, round(sin(2 * radians(phi)), 9) AS s2phi FROM angle")
+def angle_functions(spark, sf_dir):
+    a = angle_table(spark).withColumn("w", S.shear_weight(F.col("phi"), 10.0, 0.1, 2.0))
+    mean = F.broadcast(a.agg(F.avg("w").alias("mean")))
+    return a.crossJoin(mean).select("angle_idx", r9(S.correlation_time(F.col("q"), 1000.0, 0.5)).alias("tau"), r9(F.col("w") / F.col("mean")).alias("shear"), r9(F.cos(2 * F.radians("phi"))).alias("c2phi"), r9(F.sin(2 * F.radians("phi"))).alias("s2phi"))
+
+
+@query("SELECT angle_idx, i, j, 1.0::DOUBLE AS uniform, round(1 / 0.0001, 6) AS inverse_variance, round(1 / greatest(abs(c2), 1e-30), 9) AS inverse_c2 FROM c2")
+def cell_weights(spark, sf_dir):
+    c = modelled(spark, sf_dir)
+    return c.select("angle_idx", "i", "j", S.weight("uniform", F.col("c2")).alias("uniform"), F.round(S.weight("inverse_variance", F.col("c2"), F.col("sigma")), 6).alias("inverse_variance"), r9(S.weight("inverse_c2", F.col("c2"))).alias("inverse_c2"))
+
+
+# ---- kernels ----
+
+STATIC = {"D0": 1000.0, "alpha": 0.5, "D_offset": 10.0}
+FLOW = {**STATIC, "gamma_dot_t0": 0.01, "beta": 0.3, "gamma_dot_t_offset": 0.001, "phi0": 5.0}
+TWO = dict(D0_ref=5000.0, alpha_ref=0.5, D_offset_ref=100.0, D0_sample=4000.0, alpha_sample=0.4, D_offset_sample=80.0, v0=50.0, v_beta=0.5, v_offset=5.0, f0=0.5, f1=0.01, f2=1.0, f3=0.1, phi0_het=2.0)
+
+
+def _cum(name: str, expression: str) -> str:
+    return f"{name}m AS (SELECT i, coalesce((lag(v) OVER (ORDER BY i) + v) / 2, 0.0) AS m FROM (SELECT i, {expression} AS v FROM frame)), {name} AS (SELECT i, sum(m) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM {name}m)"
+
+
+_PAIR = "sqrt(({0}a.c - {0}b.c) * ({0}a.c - {0}b.c) + 1e-12)"
+
+
+@query(_cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + f" SELECT angle_idx, da.i, db.i AS j, round(1.0 + 0.3 * pow(greatest(exp(greatest(-0.5 * q * q * CASE WHEN da.i = db.i THEN 0 ELSE {_PAIR.format('d')} END, -700)), 1e-10), 2), 9) AS g2 FROM d da, d db, angle")
+def homodyne_static_g2(spark, sf_dir):
+    s = K.homodyne_surface(frame_table(spark, 30), angle_table(spark), STATIC, 1.0)
+    return s.select("angle_idx", "i", "j", r9(K.scaled(F.col("g1"), F.lit(0.3), F.lit(1.0))).alias("g2"))
+
+
+@query(_cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + ", " + _cum("g", "greatest(0.01 * pow(greatest(t, 0.5), 0.3) + 0.001, 1e-10)") + f""", x AS (SELECT angle_idx, da.i, db.i AS j, exp(greatest(-0.5 * q * q * CASE WHEN da.i = db.i THEN 0 ELSE {_PAIR.format('d')} END, -700)) AS e,
+q * 2e6 / (2 * pi()) * cos(radians(5 - phi)) * CASE WHEN da.i = db.i THEN 0 ELSE {_PAIR.format('g')} END AS a FROM d da, d db, g ga, g gb, angle WHERE ga.i = da.i AND gb.i = db.i),
+y AS (SELECT angle_idx, i, j, e, CASE WHEN abs(a) < 1e-4 THEN 1 - a * a / 6 + pow(a, 4) / 120 ELSE sin(a) / a END AS s FROM x) SELECT angle_idx, i, j, round(greatest(e * s * s, 1e-10), 9) AS g1 FROM y""")
+def homodyne_flow_g1(spark, sf_dir):
+    return K.homodyne_surface(frame_table(spark, 30), angle_table(spark), FLOW, 1.0).withColumn("g1", r9("g1"))
+
+
+_T = "CASE WHEN t > 0 THEN pow(t, {}) ELSE 0 END"
+
+
+@query(_cum("cr", f"greatest(5000 * {_T.format(0.5)} + 100, 0.0)") + ", " + _cum("cm", f"greatest(4000 * {_T.format(0.4)} + 80, 0.0)") + ", " + _cum("cv", f"50 * {_T.format(0.5)} + 5") + """,
+fr AS (SELECT i, 1 - (greatest(50 * (1 - l), 0) + ln(1 + exp(-abs(50 * (1 - l))))) / 50 AS f FROM (SELECT i, (greatest(50 * x, 0) + ln(1 + exp(-abs(50 * x)))) / 50 AS l FROM (SELECT i, 0.5 * exp(0.01 * (t - 1)) + 0.1 AS x FROM frame))),
+z AS (SELECT angle_idx, ra.i, rb.i AS j, fa.f AS fi, fb.f AS fj, exp(greatest(-0.5 * q * q * sqrt((rb.c - ra.c) * (rb.c - ra.c) + 1e-12), -700)) AS hr, exp(greatest(-0.5 * q * q * sqrt((mb.c - ma.c) * (mb.c - ma.c) + 1e-12), -700)) AS hs, cos(q * cos(radians(phi + 2)) * (vb.c - va.c)) AS beat
+FROM cr ra, cr rb, cm ma, cm mb, cv va, cv vb, fr fa, fr fb, angle WHERE ma.i = ra.i AND mb.i = rb.i AND va.i = ra.i AND vb.i = rb.i AND fa.i = ra.i AND fb.i = rb.i)
+SELECT angle_idx, i, j, round((pow((1 - fi) * (1 - fj) * hr, 2) + pow(fi * fj * hs, 2) + 2 * (1 - fi) * fi * (1 - fj) * fj * hr * hs * beat) / greatest((fi * fi + (1 - fi) * (1 - fi)) * (fj * fj + (1 - fj) * (1 - fj)), 1e-10), 9) AS model FROM z""")
+def heterodyne_surface(spark, sf_dir):
+    return K.heterodyne_surface(frame_table(spark, 30), angle_table(spark), TWO, 1.0).withColumn("model", r9("model"))
+
+
+# ---- views ----
+
+
+@query(f"{MODEL_SQL} SELECT angle_idx, i, j, c2, round(model, 9) AS model, round(c2 - model, 9) AS residual FROM m")
+def comparison_view(spark, sf_dir):
+    return V.comparison(modelled(spark, sf_dir)).withColumns({"model": r9("model"), "residual": r9("residual")})
+
+
+@query(f"{MODEL_SQL} SELECT angle_idx, least(floor((c2 - model + 0.2) / 0.0403), 9)::INTEGER AS bin, count(*) AS n FROM m WHERE c2 - model BETWEEN -0.2 AND 0.203 GROUP BY 1, 2")
+def residual_histogram(spark, sf_dir):
+    return V.residual_histogram(modelled(spark, sf_dir), -0.2, 0.203, 10)
+
+
+@query("SELECT angle_idx, (i * 8 // 30)::INTEGER AS x, (j * 8 // 30)::INTEGER AS y, round(avg(c2), 9) AS c2 FROM c2 GROUP BY 1, 2, 3")
+def rasterised(spark, sf_dir):
+    return V.rasterise(cells(spark, sf_dir), 30, 8, 8).withColumn("c2", r9("c2"))
+
+
+@query("v AS (SELECT a.angle_idx AS a, b.angle_idx AS b, sum(a.d * b.d) AS value FROM fluct a JOIN fluct b ON a.i = b.i GROUP BY 1, 2), s AS (SELECT a AS k, sqrt(value) AS sd FROM v WHERE a = b) SELECT a, b, round(value / (x.sd * y.sd), 9) AS value FROM v JOIN s x ON x.k = a JOIN s y ON y.k = b")
+def correlation_matrix(spark, sf_dir):
+    x = intensity(spark, sf_dir)
+    m = x.groupBy("angle_idx").agg(F.avg("cents").alias("mu"))
+    d = x.join(F.broadcast(m), "angle_idx").select(F.col("angle_idx").alias("a"), "i", (F.col("cents") - F.col("mu")).alias("d"))
+    cov = d.join(F.broadcast(d.withColumnsRenamed({"a": "b", "d": "e"})), "i").groupBy("a", "b").agg(F.sum(F.col("d") * F.col("e")).alias("value"))
+    return V.correlation_of(cov).withColumn("value", r9("value"))
+
+
+@query("SELECT k::INTEGER AS angle_idx, 0.1 * (k + 1) AS contrast, 1 + 0.01 * k AS off FROM range(5) r(k)")
+def expanded_scaling(spark, sf_dir):
+    s = spark.createDataFrame([([0.1 * (k + 1) for k in range(5)], [1 + 0.01 * k for k in range(5)])], "contrast array<double>, offset array<double>")
+    return V.expand_scaling(s).withColumnRenamed("offset", "off").select("angle_idx", r9("contrast").alias("contrast"), r9("off").alias("off"))
+
+
+@query("SELECT k AS n_parameters, greatest(900 - k, 1)::BIGINT AS dof FROM range(1, 8) r(k)")
+def degrees_of_freedom(spark, sf_dir):
+    return spark.range(1, 8).select(F.col("id").alias("n_parameters"), F.greatest(900 - F.col("id"), F.lit(1)).cast("long").alias("dof"))
+
+
+@query("f(k, reduced, cond, sig) AS (VALUES (0, 1.5::DOUBLE, 1e3::DOUBLE, 5.0::DOUBLE), (1, 3.0::DOUBLE, 1e3::DOUBLE, 5.0::DOUBLE), (2, 9.0::DOUBLE, 1e3::DOUBLE, 5.0::DOUBLE), (3, 1.5::DOUBLE, 1e13::DOUBLE, 5.0::DOUBLE)) SELECT k, CASE WHEN cond > 1e12 OR sig < 2 THEN 'poor' WHEN reduced <= 2 THEN 'good' WHEN reduced <= 5 THEN 'marginal' ELSE 'poor' END AS quality FROM f")
+def fit_quality_bands(spark, sf_dir):
+    f = spark.createDataFrame([(0, 1.5, 1e3, 5.0), (1, 3.0, 1e3, 5.0), (2, 9.0, 1e3, 5.0), (3, 1.5, 1e13, 5.0)], "k int, reduced double, cond double, sig double")
+    return f.select("k", A.fit_quality(F.col("reduced"), F.col("cond"), F.col("sig")).alias("quality"))
