@@ -56,10 +56,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells beside a fixed decaying model and a sigma."""
-    return cells(spark, sf_dir).withColumns({"model": MODEL, "sigma": F.lit(0.01)})
+    return cells(spark, sf_dir).withColumns({"model": _model(), "sigma": F.lit(0.01)})
 
 
-MODEL = 1 + 0.05 * F.exp(-F.abs(F.col("i") - F.col("j")) / 5.0)
+def _model() -> Column:
+    return 1 + 0.05 * F.exp(-F.abs(F.col("i") - F.col("j")) / 5.0)
+
 MODEL_SQL = "m AS (SELECT angle_idx, i, j, c2, 1 + 0.05 * exp(-abs(i - j) / 5.0) AS model, 0.01 AS sigma FROM c2)"
 DIAGONAL_SQL = """side AS (SELECT angle_idx, least(i, j) AS k, sum(c2) / 2 AS s FROM c2 WHERE abs(i - j) = 1 GROUP BY 1, 2),
 diag AS (SELECT angle_idx, i, avg(s) AS d FROM (SELECT angle_idx, k AS i, s FROM side UNION ALL SELECT angle_idx, k + 1, s FROM side) GROUP BY 1, 2),
