@@ -24,16 +24,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_path, utf8_size
+from .shingles import hash_spans
 
 #: UTF-8 bytes of text whose ids go to one file; a reader holds one file in memory.
-FILE_TEXT_BYTES = 24 << 20
+FILE_TEXT_BYTES = 16 << 20
 NULL_ID = -(1 << 63)
 #: Pieces whose ids a worker remembers before it starts afresh.
-CACHE_PIECES = 400_000
-#: Fixed value: the byte-level pre-tokenizer's pattern.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Texts with other characters are encoded whole, as Unicode tables of two libraries may differ there.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
+CACHE_PIECES = 1_500_000
+#: Other texts are encoded whole: an apostrophe may begin a contraction, and Unicode tables of two libraries may differ elsewhere.
+PLAIN = regex.compile(r"[\t\n\r\x20-\x26\x28-\x7e\xa1-ɏ]*")
 
 
 def mask(crc: int) -> int:
@@ -46,7 +45,7 @@ def frame(payload: bytes) -> bytes:
     return head + struct.pack("<I", mask(zlib.crc32(head))) + payload + struct.pack("<I", mask(zlib.crc32(payload)))
 
 
-def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+def frames(data: bytes | memoryview) -> Iterator[tuple[int, int, bytes | memoryview]]:
     """(offset, length, payload) of each record; raises ValueError where a checksum or the framing is wrong."""
     at = 0
     while at < len(data):
@@ -62,33 +61,116 @@ def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += n + 13
 
 
+def _piece_classes() -> np.ndarray:
+    """Class of each code point below U+0250: 0 not handled here, 1 letter, 2 number, 3 other, 4 space, 5 other white space."""
+    out = np.zeros(0x250, np.int8)
+    for c in range(0x250):
+        if PLAIN.fullmatch(chr(c)):
+            out[c] = 1 if regex.match(r"\p{L}", chr(c)) else 2 if regex.match(r"\p{N}", chr(c)) else 5 if c in (9, 10, 13) else 4 if c == 32 else 3
+    return out
+
+
+_CLASS = _piece_classes()
+
+
+def split_pieces(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """First code point of every piece of plain texts: the byte-level pre-tokenizer's rule, for whole batches.
+
+    A run of letters, numbers or marks takes the one space before it; the last
+    white space before a run stands alone unless it is that space.
+    """
+    kinds = _CLASS[points]
+    space = kinds >= 4
+    first = np.zeros(len(points), bool)
+    first[bounds[:-1][bounds[:-1] < len(points)]] = True
+    before = np.concatenate([[0], kinds[:-1]])
+    before[first] = 0
+    run = (before != kinds) & ~space
+    start = space & (before < 4)
+    start |= run & (before != 4)
+    start[np.flatnonzero(run & (before >= 4)) - 1] = True
+    return np.flatnonzero(start)
+
+
 class PieceEncoder:
-    """Encodes texts with a byte-level tokenizer; each distinct piece of plain text only once."""
+    """Encodes texts with a byte-level tokenizer; a piece of plain text that was met before is not encoded again."""
 
     def __init__(self, tokenizer_file: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.end = np.array([end_id], self.dtype)
+        newline = self._ids(["\n"])[0]
+        self.newline = int(newline[0]) if len(newline) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Encode pieces and remember their ids; many at a time, with newlines between, which are pieces of their own."""
+        marks = [not p.isspace() for p in pieces] if self.newline is not None else [False] * len(pieces)
+        found: list[np.ndarray | None] = [None] * len(pieces)
+        words = [k for k, ok in enumerate(marks) if ok]
+        groups = [words[k : k + 100] for k in range(0, len(words), 100)]
+        for group, ids in zip(groups, self._ids(["\n".join(pieces[k] for k in g) for g in groups])):
+            for k, own in zip(group, np.split(ids, np.flatnonzero(ids == self.newline))):
+                found[k] = own if k == group[0] else own[1:]
+        rest = [k for k, ok in enumerate(marks) if not ok]
+        for k, own in zip(rest, self._ids([pieces[k] for k in rest])):
+            found[k] = own
+        sizes = np.array([len(x) for x in found], np.int64)
+        starts = len(self.ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.ids = np.concatenate([self.ids, *found])
+        at = np.searchsorted(self.hashes, hashes)  # the new hashes are sorted
+        self.hashes, self.starts, self.sizes = (np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.starts, starts), (self.sizes, sizes)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, then the end id, as bytes; null is empty."""
         texts = [t or "" for t in texts]
         plain = [PLAIN.fullmatch(t) is not None and not any(s in t for s in self.specials) for t in texts]
-        pieces = [PIECES.findall(t) if ok else None for t, ok in zip(texts, plain)]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        new = list({p for row in pieces if row for p in row if p not in known})
-        for lo in range(0, len(new), 20_000):
-            known.update(zip(new[lo : lo + 20_000], self._ids(new[lo : lo + 20_000])))
-        return [(b"".join([known[p] for p in row]) if row is not None else self._ids([t])[0]) + self.end for t, row in zip(texts, pieces)]
+        own = [t for t, ok in zip(texts, plain) if ok]
+        fast = iter(self._encode_plain(own))
+        slow = iter(self._ids([t for t, ok in zip(texts, plain) if not ok]))
+        return [np.concatenate([next(fast if ok else slow), self.end]).tobytes() for ok in plain]
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        joined = "".join(texts)
+        if not joined:
+            return [np.zeros(0, self.dtype)] * len(texts)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        starts = split_pieces(points, bounds)
+        ends = np.append(starts[1:], len(points))
+        distinct, where, inverse = np.unique(hash_spans(points, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHE_PIECES:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        if new.any():
+            self._learn(distinct[new], [joined[starts[k] : ends[k]] for k in where[new]])
+            at = np.searchsorted(self.hashes, distinct)
+        at = at[inverse]
+        sizes = self.sizes[at]
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[at] - done[:-1], sizes) + np.arange(done[-1])]
+        cuts = done[np.searchsorted(starts, bounds)]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+_ENCODERS: dict[tuple, PieceEncoder] = {}
+
+
+def encoder(tokenizer_file: str, end_id: int) -> PieceEncoder:
+    """The worker's own encoder: its tokenizer and what it remembers last over tasks."""
+    if (tokenizer_file, end_id) not in _ENCODERS:
+        _ENCODERS[tokenizer_file, end_id] = PieceEncoder(tokenizer_file, end_id)
+    return _ENCODERS[tokenizer_file, end_id]
 
 
 def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, file_text_bytes: int = FILE_TEXT_BYTES) -> None:
@@ -103,11 +185,11 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int,
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_file, end_id)
+        own = encoder(tokenizer_file, end_id)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                ids = encoder.encode(part.column("text").to_pylist())
+                ids = own.encode(part.column("text").to_pylist())
                 rows = [frame(struct.pack("<q", d) + b) for d, b in zip(part.column("doc_id").to_pylist(), ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
@@ -127,7 +209,7 @@ def read_index(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
         for batch in batches:
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content")):
                 rows = []
-                for k, (offset, length, payload) in enumerate(frames(data.as_buffer().to_pybytes())):
+                for k, (offset, length, payload) in enumerate(frames(memoryview(data.as_buffer()))):
                     ids = np.frombuffer(payload, f"<u{id_bytes}", offset=8).astype("<u4")
                     doc = struct.unpack_from("<q", payload)[0]
                     rows.append((file, k, offset, length, None if doc == NULL_ID else doc, len(ids), zlib.crc32(ids.tobytes())))
@@ -166,7 +248,7 @@ def encode_to_records(docs: DataFrame, tokenizer_file: str, end_id: int = 2, pat
     spark = docs.sparkSession
     path = path or shared_path(spark, "records")
     write_records(docs, f"{path}/records", tokenizer_file, end_id, file_text_bytes)
-    id_bytes = np.dtype(PieceEncoder(tokenizer_file, end_id).dtype).itemsize
+    id_bytes = encoder(tokenizer_file, end_id).dtype.itemsize
     read_index(spark, f"{path}/records", id_bytes).write.parquet(f"{path}/index")
     index = spark.read.schema(_INDEX).parquet(f"{path}/index")
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))

@@ -73,7 +73,7 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
             a, b = starts[lo], ends[hi - 1]
             up, down = _powers(b - a + 1)
             total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((raw[a:b] + np.uint64(1)) * up[:-1], out=total[1:])
+            np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
             s, e = starts[lo:hi] - a, ends[lo:hi] - a
             out[lo:hi] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return out
