@@ -58,7 +58,7 @@ class Crf:
         self.weights = np.zeros((0, 2))
         self.moves = np.zeros((2, 2))
 
-    def fit(self, pages: list[list[Block]], rounds: int = 160, rate: float = 0.15, penalty: float = 2e-3) -> Crf:
+    def fit(self, pages: list[list[Block]], rounds: int = 200, rate: float = 0.1, penalty: float = 2e-4) -> Crf:
         pages = [p for p in pages if p]
         n, longest = len(pages), max(map(len, pages))
         rows, columns = [], []
@@ -120,7 +120,7 @@ class Crf:
         return labels[::-1]
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 450, seed: int = 11) -> list[str]:
     """Labelled pages of many layouts with invented words; ``data-label`` marks main text (1) and the rest (0)."""
     rng = random.Random(seed)
     syllables = "an ar be co da de el en er et fa ga he in is ka la le ma mi na no on or pa qu ra re sa se st ta te th ti to tr un us ve wa".split()
@@ -142,8 +142,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     def aside() -> str:
         text = f"<p>{sentence(3, 40)}</p>" * rng.randint(1, 2)
         kind = rng.choice(["ad", "ads", "advert", "advertisement", "banner", "promo", "sponsored", "sidebar", "widget", "cookie", "cookie-notice", "consent", "notice", "alert", "popup", "newsletter", "subscribe", "related", "share", "social", "tags"])
-        plain = sentence(2, 30)
-        return rng.choice([f'<div class="{kind}" data-label="0">{text}</div>', f'<div class="{kind}" data-label="0">{plain}</div>', f'<div id="{kind}" data-label="0">{plain}</div>', f'<aside data-label="0">{text}</aside>', f'<section class="{kind}" data-label="0"><h3>{words(1, 4)}</h3>{text}</section>', f'<aside class="{kind}" data-label="0"><h3>{words(1, 3)}</h3><ul>{links(4)}</ul></aside>'])
+        plain, h = sentence(2, 30), rng.choice(["h2", "h3", "h4"])
+        return rng.choice([f'<div class="{kind}" data-label="0">{text}</div>', f'<div class="{kind}" data-label="0">{plain}</div>', f'<div id="{kind}" data-label="0">{plain}</div>', f'<aside data-label="0">{text}</aside>', f'<section class="{kind}" data-label="0"><{h}>{words(1, 4)}</{h}>{text}</section>', f'<aside class="{kind}" data-label="0"><{h}>{words(1, 3)}</{h}><ul>{links(4)}</ul></aside>'])
 
     def form() -> str:
         return f'<form class="{rng.choice(["search", "login", "subscribe", "contact"])}" data-label="0"><label>{words(1, 4)}</label><input name=q><p>{sentence(2, 15)}</p><button>{words(1, 2)}</button></form>'
@@ -151,7 +151,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     def comments() -> str:
         each = "".join(f'<{t} class="comment"><b>{words(1, 2)}</b> <p>{sentence(3, 50)}</p></{t}>' for t in [rng.choice(["div", "li", "article"])] for _ in range(rng.randint(1, 5)))
         name = rng.choice(["comments", "comment-list", "discussion", "respond", "replies"])
-        return rng.choice([f'<div id="{name}" data-label="0"><h3>{words(1, 3)}</h3>{each}</div>', f'<section class="{name}" data-label="0">{each}</section>', f'<ol class="{name}" data-label="0">{each}</ol>'])
+        plain, h = f"<p>{sentence(1, 25)}</p>" * rng.randint(1, 3), rng.choice(["h2", "h3", "h4"])
+        return rng.choice([f'<div class="{name}" data-label="0">{plain}</div>', f'<div id="{name}" data-label="0"><{h}>{words(1, 3)}</{h}>{each}</div>', f'<section {rng.choice(["class", "id"])}="{name}" data-label="0"><{h}>{words(1, 3)}</{h}>{each}</section>', f'<ol class="{name}" data-label="0">{each}</ol>'])
 
     def footer() -> str:
         text = f"&copy; {words(1, 3)} &middot; {sentence(1, 12)}"
@@ -176,7 +177,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     return pages
 
 
-def train_crf(n_pages: int = 400, seed: int = 11) -> Crf:
+def train_crf(n_pages: int = 450, seed: int = 11) -> Crf:
     return Crf().fit([leaf_blocks(p) for p in labelled_pages(n_pages, seed)])
 
 
