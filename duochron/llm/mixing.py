@@ -61,18 +61,19 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, temperature: float = 0.5, shuffle: bool = True, keep_draw: bool = False) -> DataFrame:
     """The documents, each as often as its Poisson draw, in one global hashed order over the output's partitions.
 
-    All columns stay. With ``keep_draw``: also mix_rate, mix_copy (0 and on) and
+    All columns stay. With ``keep_draw``: also (instead of columns so named) mix_rate, mix_copy (0 and on) and
     mix_key, the place in the global order. A null source is a source of its
     own. Rows of one doc_id share their draw. An empty table gives no rows.
     """
-    rates = source_rates(docs, weights, epochs, temperature).withColumnsRenamed({"source": "__source", "rate": "mix_rate"})
+    rates = source_rates(docs, weights, epochs, temperature).withColumnsRenamed({"source": "__source", "rate": "__rate"})
     # One row per source; the broadcast is guarded by a count.
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     drawn = docs.join(rates, docs["source"].eqNullSafe(rates["__source"])).drop("__source")
-    drawn = drawn.withColumn("__n", poisson_quantile(F.col("mix_rate"), hashed_unit(F.lit(f"draw{seed}"), F.col("doc_id"))))
-    copies = drawn.where(F.col("__n") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
-    copies = copies.withColumn("mix_key", hashed_unit(F.lit(f"order{seed}"), F.col("doc_id"), F.col("mix_copy")))
+    drawn = drawn.withColumn("__n", poisson_quantile(F.col("__rate"), hashed_unit(F.lit(f"draw{seed}"), F.col("doc_id"))))
+    copies = drawn.where(F.col("__n") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    copies = copies.withColumn("__key", hashed_unit(F.lit(f"order{seed}"), F.col("doc_id"), F.col("__copy")))
     if shuffle:
-        copies = copies.repartitionByRange("mix_key").sortWithinPartitions("mix_key", "doc_id", "mix_copy")
-    return copies if keep_draw else copies.drop("mix_rate", "mix_copy", "mix_key")
+        copies = copies.repartitionByRange("__key").sortWithinPartitions("__key", "doc_id", "__copy")
+    drawn = {"__rate": "mix_rate", "__copy": "mix_copy", "__key": "mix_key"}
+    return copies.drop(*drawn.values()).withColumnsRenamed(drawn) if keep_draw else copies.drop(*drawn)
