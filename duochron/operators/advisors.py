@@ -1,0 +1,31 @@
+"""What a fit of given data would need: advice as rows, since Spark itself decides."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Fixed values of the single-node planning rules.
+OVERHEAD, MEMORY_SHARE, FALLBACK_GB = 6.5, 0.75, 16.0
+LEAST_CHUNK, MOST_CHUNK = 10_000, 500_000
+
+
+def memory_advice(cases: DataFrame, available_gb: float = FALLBACK_GB) -> DataFrame:
+    """(n_points, n_params) with the peak of a dense Jacobian and the strategy that a single node would need."""
+    peak = F.col("n_points") * F.col("n_params") * 8 * OVERHEAD / F.lit(float(1 << 30))
+    limit = available_gb * MEMORY_SHARE
+    return cases.withColumn("peak_gb", peak).withColumn("strategy", F.when(peak <= limit, "standard").when(F.col("n_points") * 8.0 / (1 << 30) <= limit, "out_of_core").otherwise("streaming"))
+
+
+def chunk_advice(cases: DataFrame, available_gb: float = FALLBACK_GB) -> DataFrame:
+    """(n_points, n_params, n_angles) with a chunk size: 70 % of memory, five-fold safety, whole multiples of the angles."""
+    fits = 0.7 * available_gb * float(1 << 30) / (F.col("n_params") * 8 * 5)
+    size = F.greatest(F.least(fits, F.lit(float(MOST_CHUNK))), F.lit(float(LEAST_CHUNK)))
+    whole = (F.floor(size / F.col("n_angles")) * F.col("n_angles")).cast("long")
+    return cases.withColumn("chunk", whole).withColumn("chunks", F.ceil(F.col("n_points") / whole).cast("long"))
+
+
+def stratification_advice(counts: DataFrame) -> DataFrame:
+    """From (angle_idx, n): whether chunks should hold every angle."""
+    s = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("angles"), (F.max("n") / F.min("n")).alias("imbalance"))
+    return s.withColumn("stratify", (F.col("total") >= 100_000) & (F.col("angles") > 1) & (F.col("imbalance") <= 5))

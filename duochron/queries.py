@@ -811,3 +811,71 @@ def degrees_of_freedom(spark, sf_dir):
 def fit_quality_bands(spark, sf_dir):
     f = spark.createDataFrame([(0, 1.5, 1e3, 5.0), (1, 3.0, 1e3, 5.0), (2, 9.0, 1e3, 5.0), (3, 1.5, 1e13, 5.0)], "k int, reduced double, cond double, sig double")
     return f.select("k", A.fit_quality(F.col("reduced"), F.col("cond"), F.col("sig")).alias("quality"))
+
+
+# ---- fits of theory, pointwise models, advice ----
+
+
+@query(_cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + f""", th AS (SELECT angle_idx, da.i, db.i AS j, 1.0 + pow(greatest(exp(greatest(-0.5 * q * q * CASE WHEN da.i = db.i THEN 0 ELSE {_PAIR.format('d')} END, -700)), 1e-10), 2) AS model FROM d da, d db, angle),
+x AS (SELECT c.angle_idx, c.i, c.j, c2, model FROM c2 c JOIN th USING (angle_idx, i, j)), f AS (SELECT angle_idx, regr_slope(c2, model) AS s, regr_intercept(c2, model) AS o FROM x GROUP BY 1)
+SELECT angle_idx, i, j, round(o + s * model, 9) AS fitted, round(c2 - (o + s * model), 9) AS residual FROM x JOIN f USING (angle_idx)""")
+def theoretical_fit(spark, sf_dir):
+    """Raw surface, least-squares scaling per angle, scaled surface, residuals."""
+    d = events_dataset(spark, sf_dir)
+    surface = K.homodyne_surface(d.frame, d.angle, STATIC, 1.0).withColumn("model", K.scaled(F.col("g1"), F.lit(1.0), F.lit(1.0)))
+    both = d.c2.join(surface, ["angle_idx", "i", "j"])
+    fit = F.broadcast(A.least_squares_scaling(both))  # a row an angle
+    fitted = F.col("offset") + F.col("contrast") * F.col("model")
+    return both.join(fit, "angle_idx").select("angle_idx", "i", "j", r9(fitted).alias("fitted"), r9(F.col("c2") - fitted).alias("residual"))
+
+
+@query(_cum("cr", f"greatest(5000 * {_T.format(0.5)} + 100, 0.0)") + ", " + _cum("cm", f"greatest(4000 * {_T.format(0.4)} + 80, 0.0)") + ", " + _cum("cv", f"50 * {_T.format(0.5)} + 5") + " SELECT i, round(cr.c, 6) AS cr, round(cm.c, 6) AS cm, round(cv.c, 6) AS cv FROM cr JOIN cm USING (i) JOIN cv USING (i)")
+def heterodyne_vectors(spark, sf_dir):
+    """The one-dimensional integrals that every two-component evaluation starts from."""
+    return K.heterodyne_frames(frame_table(spark, 30), TWO, 1.0).select("i", *(F.round(c, 6).alias(c) for c in ("cr", "cm", "cv")))
+
+
+@query("p AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, (l_orderkey % 30)::INTEGER AS i, (l_partkey % 30)::INTEGER AS j FROM lineitem WHERE l_suppkey = 7), " + _cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + f" SELECT point_id, round(exp(greatest(-0.5 * 0.000036 * sqrt((da.c - db.c) * (da.c - db.c) + 1e-12), -700)), 9) AS g1 FROM p JOIN d da ON da.i = p.i JOIN d db ON db.i = p.j")
+def pointwise_diffusion(spark, sf_dir):
+    """The model at scattered points: two equi-joins with the frames' integrals instead of a float lookup."""
+    f = K.homodyne_frames(frame_table(spark, 30), STATIC, 1.0).select("i", "cd")
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey = 7").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_orderkey") % 30).cast("int").alias("i"), (F.col("l_partkey") % 30).cast("int").alias("j"))
+    both = p.join(F.broadcast(f), "i").join(F.broadcast(f.withColumnsRenamed({"i": "j", "cd": "cd_j"})), "j")
+    return both.select("point_id", r9(F.exp(F.greatest(-0.5 * 0.000036 * K.time_integral(F.col("cd") - F.col("cd_j")), F.lit(-700.0)))).alias("g1"))
+
+
+@query("n(n_points, n_params, n_angles) AS (VALUES (10000, 5, 3), (23000000, 16, 23), (2000000000, 53, 23)) SELECT n_points::BIGINT AS n_points, n_params, n_angles, round(n_points::DOUBLE * n_params * 8 * 6.5 / 1073741824.0, 6) AS peak_gb, CASE WHEN n_points::DOUBLE * n_params * 8 * 6.5 / 1073741824.0 <= 12 THEN 'standard' WHEN n_points * 8.0 / 1073741824.0 <= 12 THEN 'out_of_core' ELSE 'streaming' END AS strategy FROM n")
+def memory_advice(spark, sf_dir):
+    from .operators.advisors import memory_advice as advise
+
+    n = spark.createDataFrame([(10_000, 5, 3), (23_000_000, 16, 23), (2_000_000_000, 53, 23)], "n_points long, n_params int, n_angles int")
+    return advise(n).withColumn("peak_gb", F.round("peak_gb", 6))
+
+
+@query("n(n_points, n_params, n_angles) AS (VALUES (10000, 5, 3), (23000000, 16, 23), (2000000000, 53, 23)), s AS (SELECT *, (floor(greatest(least(0.7 * 16 * 1073741824.0 / (n_params * 8 * 5), 500000.0), 10000.0) / n_angles) * n_angles)::BIGINT AS chunk FROM n) SELECT n_points::BIGINT AS n_points, n_params, n_angles, chunk, ceil(n_points / chunk)::BIGINT AS chunks FROM s")
+def chunk_advice(spark, sf_dir):
+    from .operators.advisors import chunk_advice as advise
+
+    return advise(spark.createDataFrame([(10_000, 5, 3), (23_000_000, 16, 23), (2_000_000_000, 53, 23)], "n_points long, n_params int, n_angles int"))
+
+
+@query("n AS (SELECT event_type AS a, count(*) AS n FROM events GROUP BY 1) SELECT sum(n)::BIGINT AS total, count(*) AS angles, max(n) / min(n) AS imbalance, sum(n) >= 100000 AND count(*) > 1 AND max(n) / min(n) <= 5 AS stratify FROM n")
+def stratification_advice(spark, sf_dir):
+    from .operators.advisors import stratification_advice as advise
+
+    return advise(spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT l_returnflag AS g, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2 FROM lineitem GROUP BY 1")
+def grouped_regression(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("g")).agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"), r9(F.regr_r2("l_extendedprice", "l_quantity")).alias("r2"))
+
+
+@query()
+def component_hashes(spark, sf_dir):
+    d = events_dataset(spark, sf_dir)
+    out = None
+    for name, df in (("c2", d.c2), ("angle", d.angle), ("frame", d.frame)):
+        row = A.component_hash(df).select(F.lit(name).alias("component"), "hash", "n")
+        out = row if out is None else out.unionByName(row)
+    return out
