@@ -29,6 +29,9 @@ FIT_PER_GRADE = 3000
 #: A text's features share the weight 1 / (their number ** DAMPING), so that one telling word counts among few and many.
 DAMPING = 0.5
 
+#: The least probability of the top grade with which a document is kept.
+KEEP = 0.7
+
 #: Words for the features: runs of letters, lower-cased; bytes of non-ASCII characters count as letters.
 _BREAK = np.ones(256, bool)
 _BREAK[97:123] = False
@@ -61,15 +64,14 @@ def hashed_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(starts, offsets)
     grams = gram_hashes(hashes, 2)
     kinds = _KINDS[raw]
-    cumulated = [np.concatenate([[0], np.cumsum(kinds == k)]) for k in range(7)]
-    shares = np.stack([c[offsets[1:]] - c[offsets[:-1]] for c in cumulated], axis=1) if len(raw) else np.zeros((n, 7), np.int64)
     rows = []
     for t in range(n):
         a, b = at[t], at[t + 1]
         own = np.unique(np.concatenate([buckets[a:b], stem_buckets[a:b]]))
-        total, n_words = max(int(shares[t].sum()), 1), b - a
+        shares = np.bincount(kinds[offsets[t] : offsets[t + 1]], minlength=7)
+        total, n_words = max(int(shares.sum()), 1), b - a
         repeats = 1 - len(np.unique(grams[a : b - 1])) / (n_words - 1) if n_words > 1 else 0.0
-        values = [int(20 * s / total + 0.999) for s in shares[t]] + [int(10 * repeats + 0.999), int(n_words).bit_length()]
+        values = [int(20 * s / total + 0.999) for s in shares] + [int(10 * repeats + 0.999), int(n_words).bit_length()]
         shape = [_shape(k, min(v, 30)) for k, v in enumerate(values)] if total >= SHAPE_BYTES else []
         rows.append(np.concatenate([own, np.array(shape, np.int64)]))
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
@@ -117,15 +119,17 @@ def screen(features: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: i
     return keep & (seen >= least)
 
 
-def fit(features: np.ndarray, bounds: np.ndarray, grades: np.ndarray, rounds: int = 300, rate: float = 0.05, penalty: float = 1e-4, least: int = 8, deviations: float = 5.0, lift: float = 6.0) -> CumulativeLink:
-    """Penalised maximum likelihood of the cumulative-link model on the screened features; every grade weighs the same."""
+def fit(features: np.ndarray, bounds: np.ndarray, grades: np.ndarray, totals: np.ndarray | None = None, rounds: int = 300, rate: float = 0.05, penalty: float = 1e-4, least: int = 8, deviations: float = 5.0, lift: float = 6.0) -> CumulativeLink:
+    """Penalised maximum likelihood of the cumulative-link model on the screened features; ``totals``: of how many texts of each grade these are a sample."""
     n, k = len(grades), int(grades.max()) if len(grades) else 0
     owner = np.repeat(np.arange(n), np.diff(bounds))
     keep = screen(features, owner, grades, least, deviations, lift)[features]
     used, columns = np.unique(features[keep], return_inverse=True)
     owner = owner[keep]
     value = 1.0 / np.maximum(np.bincount(owner, minlength=n), 1.0)[owner] ** DAMPING
-    share = 1.0 / np.maximum(np.bincount(grades, minlength=k + 1), 1)[grades] / (k + 1)
+    own = np.maximum(np.bincount(grades, minlength=k + 1), 1)
+    totals = own if totals is None else np.asarray(totals, float)[: k + 1]
+    share = (totals / own / totals.sum())[grades]
     w, cuts = np.zeros(len(used)), np.linspace(-0.5, 0.5, k) if k else np.zeros(0)
     m = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(cuts)]
     for step in range(1, rounds + 1):
@@ -161,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = FIT_PER_GRADE) ->
     The sample is a documented bound for a fitted model; scoring covers every document.
     """
     graded = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).withColumn("h", F.xxhash64("doc_id"))
+    totals = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}  # three rows at most
     picked = None
     for grade in range(3):
         some = graded.where(F.col("grade") == grade).orderBy("h", "doc_id").limit(per_grade)
@@ -179,14 +184,15 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = FIT_PER_GRADE) ->
         return CumulativeLink(np.zeros(N_FEATURES, np.float32), np.array([-1.0, -0.5]))
     lists = rows["features"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return fit(lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), rows["grade"].to_numpy().astype(int))
+    return fit(lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), rows["grade"].to_numpy().astype(int), np.array([totals.get(g, 0) for g in range(3)]))
 
 
-def score_quality(docs: DataFrame, model: CumulativeLink) -> DataFrame:
-    """All columns of ``docs`` and expected_grade, p_toxic_or_good, p_good. A null text is empty. Nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.weights), model.weights[model.weights != 0], model.cuts))
+_SCORES = ("expected_grade", "p_toxic_or_good", "p_good")
+
 
-    schema = StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in ("expected_grade", "p_toxic_or_good", "p_good"))])
+def _scored(docs: DataFrame, model: CumulativeLink, text_of) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.weights), model.weights[model.weights != 0], model.cuts))
+    schema = StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in _SCORES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, values, cuts = shared.value
@@ -194,17 +200,21 @@ def score_quality(docs: DataFrame, model: CumulativeLink) -> DataFrame:
         weights[used] = values
         link = CumulativeLink(weights, cuts)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                part = whole.slice(lo, 2000)
-                tails = link.tails(*hashed_features(part.column("text")))
-                names = [*part.schema.names, "expected_grade", "p_toxic_or_good", "p_good"]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, -1])], names)
+            for lo in range(0, whole.num_rows, 500):
+                part = whole.slice(lo, 500)
+                tails = link.tails(*hashed_features(text_of(part)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, -1])], [*part.schema.names, *_SCORES])
 
     return docs.mapInArrow(run, schema)
 
 
-def select_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, per_grade: int = FIT_PER_GRADE) -> DataFrame:
+def score_quality(docs: DataFrame, model: CumulativeLink) -> DataFrame:
+    """All columns of ``docs`` and expected_grade, p_toxic_or_good, p_good. A null text is empty. Nothing is shuffled."""
+    return _scored(docs, model, lambda batch: batch.column("text"))
+
+
+def select_good(docs: DataFrame, labels: DataFrame, least: float = KEEP, per_grade: int = FIT_PER_GRADE) -> DataFrame:
     """The documents whose tail probability of the top grade is at least ``least``, with their own columns only."""
-    inner = docs.select(F.struct("*").alias("row"), "text")
-    kept = score_quality(inner, train(docs, labels, per_grade)).where(F.col("p_good") >= least)
-    return kept.select("row.*")
+    inner = docs.select(F.struct("*").alias("row"))  # a struct, so that no column of theirs can clash with a score
+    scored = _scored(inner, train(docs, labels, per_grade), lambda batch: batch.column("row").field("text"))
+    return scored.where(F.col("p_good") >= least).select("row.*")

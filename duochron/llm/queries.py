@@ -12,7 +12,7 @@ from .html_extract import extract_pages
 from .jaccard import near_duplicates
 from .mixing import mix_sources
 from .perplexity import quality_rules
-from .quality import score_quality, train
+from .quality import KEEP, score_quality, train
 from .records import encode_to_records
 from .secrets import scan_secrets
 from .sharding import shard_by_bytes
@@ -25,7 +25,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", "expected_grade", "p_toxic_or_good", "p_good", (F.col("p_good") >= 0.5).alias("kept"))
+    return scored.select("doc_id", "expected_grade", "p_toxic_or_good", "p_good", (F.col("p_good") >= KEEP).alias("kept"))
 
 
 def op3_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
