@@ -26,6 +26,9 @@ STEM = 5
 #: Labelled documents of each grade that the model is fitted on, at most.
 FIT_PER_GRADE = 3000
 
+#: Grades go from 0 to this one; each has a threshold, whether or not labels have it.
+TOP_GRADE = 2
+
 #: A text's features share the weight 1 / (their number ** DAMPING), so that one telling word counts among few and many.
 DAMPING = 0.5
 
@@ -119,9 +122,9 @@ def screen(features: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: i
     return keep & (seen >= least)
 
 
-def fit(features: np.ndarray, bounds: np.ndarray, grades: np.ndarray, totals: np.ndarray | None = None, rounds: int = 300, rate: float = 0.05, penalty: float = 1e-4, least: int = 8, deviations: float = 5.0, lift: float = 6.0) -> CumulativeLink:
+def fit(features: np.ndarray, bounds: np.ndarray, grades: np.ndarray, totals: np.ndarray | None = None, top: int = TOP_GRADE, rounds: int = 300, rate: float = 0.05, penalty: float = 1e-4, least: int = 8, deviations: float = 5.0, lift: float = 6.0) -> CumulativeLink:
     """Penalised maximum likelihood of the cumulative-link model on the screened features; ``totals``: of how many texts of each grade these are a sample."""
-    n, k = len(grades), int(grades.max()) if len(grades) else 0
+    n, k = len(grades), top
     owner = np.repeat(np.arange(n), np.diff(bounds))
     keep = screen(features, owner, grades, least, deviations, lift)[features]
     used, columns = np.unique(features[keep], return_inverse=True)
@@ -130,7 +133,7 @@ def fit(features: np.ndarray, bounds: np.ndarray, grades: np.ndarray, totals: np
     own = np.maximum(np.bincount(grades, minlength=k + 1), 1)
     totals = own if totals is None else np.asarray(totals, float)[: k + 1]
     share = (totals / own / totals.sum())[grades]
-    w, cuts = np.zeros(len(used)), np.linspace(-0.5, 0.5, k) if k else np.zeros(0)
+    w, cuts = np.zeros(len(used)), np.linspace(-0.5, 0.5, k)
     m = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(cuts)]
     for step in range(1, rounds + 1):
         z = np.bincount(owner, w[columns] * value, n)
@@ -163,6 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = FIT_PER_GRADE) ->
     """Fit on at most ``per_grade`` labelled documents of each of the three grades, those of least hash.
 
     The sample is a documented bound for a fitted model; scoring covers every document.
+    Equal texts count once, with the label of the least doc_id. Labels without a document are left
+    out; without any labelled document the model finds every text good.
     """
     graded = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade")).withColumn("h", F.xxhash64("doc_id"))
     totals = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}  # three rows at most
@@ -171,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = FIT_PER_GRADE) ->
         some = graded.where(F.col("grade") == grade).orderBy("h", "doc_id").limit(per_grade)
         picked = some if picked is None else picked.union(some)
     # At most 3 * per_grade rows of two longs.
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "grade")), "doc_id").dropDuplicates(["text"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "grade")), "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", "grade")).alias("first")).select("text", "first.*")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = FIT_PER_GRADE) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sample.mapInArrow(extract, f"doc_id {kind}, grade int, features array<int>").toArrow().sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
-        return CumulativeLink(np.zeros(N_FEATURES, np.float32), np.array([-1.0, -0.5]))
+        return CumulativeLink(np.zeros(N_FEATURES, np.float32), np.array([-5.0, -4.0]))  # p_good is above any threshold in use
     lists = rows["features"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     return fit(lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), rows["grade"].to_numpy().astype(int), np.array([totals.get(g, 0) for g in range(3)]))

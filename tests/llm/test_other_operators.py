@@ -59,6 +59,9 @@ def test_selection_keeps_columns_and_takes_edges(graded, spark):
     assert good.columns == docs.columns and good.count() < docs.count()
     assert select_good(docs.limit(0), labels).count() == 0
     assert select_good(docs, labels.limit(0)).count() == docs.count()
+    for grade in ((0, 0), (1, 1), (1, 0)):  # labels of one grade only
+        some = labels.where(F.col("quality") == grade[0]).where(F.col("toxic") == grade[1])
+        assert select_good(docs, some).count() == (docs.count() if grade == (1, 0) else 0)
 
 
 # ---- html ----
