@@ -1,83 +1,196 @@
 """Quality rules: base counts, and a modified Kneser-Ney character n-gram model.
 
-Spark counts every 4-gram of 32 character classes over all texts: each task
-counts its own texts, Spark sums. The count table cannot pass 32**4 rows,
-whatever the input, so the model (sorted n-gram hashes with log probabilities,
-and back-off tables) is of a proven bounded size and is broadcast. Each
+Spark counts every 4-gram of full code points per language. The count table
+and the model grow with the corpus and stay distributed: every order is a table
+hash-partitioned by its n-grams, and each language has its own. Documents are
+put into slabs of some megabytes; a slab asks for its distinct n-grams once, by
+a join with the model, and its documents are scored against the answer. Each
 language gets a lower and an upper bound of log perplexity from the quartiles
 of its own documents.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .shingles import gram_hashes, hash_spans, split_words, text_bytes
 
-BITS, ORDER = 5, 4
-GRAMS = 1 << BITS * ORDER
-#: Codes that a task gathers before it counts them.
-COUNT_AT = 1 << 21
+ORDER = 4
+#: Bits of a symbol: a code point plus one; 0 stands before each text.
+POINT_BITS = 21
+#: Bits of a symbol of ``kneser_ney``.
+BITS = 5
+#: Text bytes of a slab, and code points that are packed at once.
+SLAB_BYTES, CHUNK_POINTS = 1 << 23, 1 << 20
+#: Languages of which the discounts may be broadcast; more are joined by shuffling.
+BROADCAST_LANGS = 100_000
 
 
-def _classes() -> np.ndarray:
-    """Class of each ASCII character: 0 text start, 1-26 letters without case, 27 white space, 28 digit, 29 stop or comma, 30 other mark (31: not ASCII)."""
-    c = np.full(128, 30, np.int32)
-    c[:33] = 27
-    c[48:58] = 28
-    c[65:91] = c[97:123] = np.arange(1, 27)
-    c[[44, 46]] = 29
-    return c
-
-
-_ASCII = _classes()
-
-
-def gram_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(code of the 4-gram that ends at each code point, first of each text plus the total)."""
-    texts = column.to_pylist()
+def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(code point plus one of every text after three zeros, first code point of each text plus the total)."""
     lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     points = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = _ASCII[np.minimum(points, 127)]
-    symbols[points > 127] = 31
     pad = ORDER - 1
-    at = np.arange(len(symbols)) + np.repeat(pad * np.arange(1, len(texts) + 1), lengths)
-    padded = np.zeros(len(symbols) + pad * len(texts), np.int32)
-    padded[at] = symbols
-    codes = padded[at]
-    for k in range(1, ORDER):
-        codes = codes | (padded[at - k] << BITS * k)
-    return codes, bounds
+    padded = np.zeros(len(points) + pad * len(texts), np.int32)
+    padded[np.arange(len(points)) + np.repeat(pad * np.arange(1, len(texts) + 1), lengths)] = points + 1
+    return padded, bounds
+
+
+def distinct_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(histories, symbols, counts) of the distinct 4-grams that end at a code point, the place of every code point's gram in them, and the texts' bounds."""
+    padded, bounds = symbols(texts)
+    at = np.flatnonzero(padded)
+    seen = np.zeros((1 << POINT_BITS) + 1, bool)
+    seen[padded] = seen[0] = True
+    alphabet = np.flatnonzero(seen)
+    bits = max(int(len(alphabet) - 1).bit_length(), 1)
+    if bits * ORDER < 63:  # packed by the chunk's own alphabet
+        place = np.zeros(len(seen), np.int64)
+        place[alphabet] = np.arange(len(alphabet))
+        dense = place[padded]
+        codes = dense[at]
+        for k in range(1, ORDER):
+            codes = codes | (dense[at - k] << bits * k)
+        codes, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        mask = (1 << bits) - 1
+        part = [alphabet[(codes >> bits * k) & mask].astype(np.int64) for k in range(ORDER)]
+        history = part[3] << 2 * POINT_BITS | part[2] << POINT_BITS | part[1]
+        return history, part[0].astype(np.int32), counts, inverse, bounds
+    wide = padded.astype(np.int64)
+    history, symbol = wide[at - 3] << 2 * POINT_BITS | wide[at - 2] << POINT_BITS | wide[at - 1], padded[at]
+    by, first = _runs(history, symbol)
+    starts = np.flatnonzero(first)
+    inverse = np.empty(len(at), np.int64)
+    inverse[by] = np.cumsum(first) - 1
+    return history[by][starts], symbol[by][starts], np.diff(np.append(starts, len(at))), inverse, bounds
+
+
+def _runs(history: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by gram, and which rows in it begin a new gram."""
+    by = np.lexsort((symbol, history))
+    first = np.ones(len(by), bool)
+    first[1:] = (history[by][1:] != history[by][:-1]) | (symbol[by][1:] != symbol[by][:-1])
+    return by, first
+
+
+def _sum_grams(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    history, symbol, n = (np.concatenate(x) for x in zip(*parts))
+    by, first = _runs(history, symbol)
+    starts = np.flatnonzero(first)
+    return history[by][starts], symbol[by][starts], np.add.reduceat(n[by], starts) if len(starts) else n
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK_POINTS code points."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        size += len(t) if t else 0
+        if size >= CHUNK_POINTS:
+            yield lo, k + 1
+            lo, size = k + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def with_slabs(docs: DataFrame, slab_bytes: int | None = None) -> DataFrame:
+    """doc_id, lang, text, lang_key and slab: ranges of doc_id, and hashed parts of a range with many bytes.
+
+    A slab follows from a row's doc_id and text alone. Tables in the order of doc_id have most slabs in few tasks.
+    """
+    slab_bytes = slab_bytes or SLAB_BYTES
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    docs = docs.select("doc_id", "lang", "text", F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), "lang")).alias("lang_key"))
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = max(1, math.ceil(total / slab_bytes))
+    edges = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("e")).first()["e"] if n > 1 else []
+    edges = sorted(set(edges or []))
+    id_ = F.col("doc_id").cast("long")
+    in_range = F.coalesce(F.size(F.filter(F.lit(edges), lambda e: e <= id_)), F.lit(0)) if edges else F.lit(0)
+    docs = docs.withColumn("range", F.when(id_.isNull(), 0).otherwise(in_range).cast("int"))
+    held = {r["range"]: r["n"] for r in docs.groupBy("range").agg(F.sum(size).alias("n")).collect()}
+    parts = [max(1, math.ceil(held.get(k, 0) / (2 * slab_bytes))) for k in range(len(edges) + 1)]
+    part = F.pmod(F.xxhash64("text"), F.element_at(F.lit(parts), F.col("range") + 1)).cast("long")
+    return docs.select("doc_id", "lang", "text", "lang_key", (F.col("range").cast("long") * (1 << 32) + part).alias("slab"))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram int, n long) over all texts."""
+    """(slab long, lang_key string, history long, symbol int, n long): grams of the texts of each task by slab and language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, size = np.zeros(GRAMS, np.int64), [], 0
+        held: dict[tuple[int, str], list] = defaultdict(list)
+        rows = 0
+
+        def out(slab: int, lang: str, grams: tuple) -> pa.RecordBatch:
+            k = len(grams[0])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, slab, np.int64)), pa.array([lang], pa.string()).take(pa.array(np.zeros(k, np.int32))), pa.array(grams[0]), pa.array(grams[1]), pa.array(grams[2].astype(np.int64))], ["slab", "lang_key", "history", "symbol", "n"])
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                codes = gram_codes(batch.column(0).slice(lo, 500))[0]
-                waiting.append(codes)
-                size += len(codes)
-                if size >= COUNT_AT:
-                    total += np.bincount(np.concatenate(waiting), minlength=GRAMS)
-                    waiting, size = [], 0
-        if size:
-            total += np.bincount(np.concatenate(waiting), minlength=GRAMS)
-        seen = np.flatnonzero(total)
-        for lo in range(0, len(seen), 1 << 18):
-            part = seen[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["gram", "n"])
-
-    return docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            by: dict[tuple[int, str], list] = defaultdict(list)
+            for text, lang, slab in zip(batch.column("text").to_pylist(), batch.column("lang_key").to_pylist(), batch.column("slab").to_pylist()):
+                if text:
+                    by[slab, lang].append(text)
+            for key, texts in by.items():
+                for lo, hi in _chunks(texts):
+                    held[key].append(distinct_grams(texts[lo:hi])[:3])
+                    rows += len(held[key][-1][0])
+            if rows > 1 << 21:
+                held = defaultdict(list, {k: [_sum_grams(v)] for k, v in held.items()})
+                rows = sum(len(v[0][0]) for v in held.values())
+                if rows > 1 << 20:
+                    for (slab, lang), v in held.items():
+                        yield out(slab, lang, v[0])
+                    held, rows = defaultdict(list), 0
+        for (slab, lang), v in held.items():
+            yield out(slab, lang, _sum_grams(v))
+
+    return docs.select("text", "lang_key", "slab").mapInArrow(count, "slab long, lang_key string, history long, symbol int, n long")
+
+
+def language_models(grams: DataFrame) -> DataFrame:
+    """(lang_key, history, symbol, logp) of every counted 4-gram: interpolated modified Kneser-Ney, a model per language.
+
+    Lower orders count distinct left neighbours. Below order 1 stand a
+    language's symbols and one that was never seen, alike.
+    """
+    tables = [grams.groupBy("lang_key", "history", "symbol").agg(F.sum("n").alias("n"))]
+    tables[0] = materialize(tables[0], "kn-order4")
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.col("history").bitwiseAND(F.lit((1 << POINT_BITS * (order - 1)) - 1))
+        lower = tables[-1].groupBy("lang_key", shorter.alias("history"), "symbol").agg(F.count(F.lit(1)).alias("n"))
+        tables.append(materialize(lower, f"kn-order{order}"))
+
+    def of(k: int) -> Column:
+        return F.greatest(F.sum((F.col("n") == k).cast("double")), F.lit(1e-9))
+
+    below = None
+    for order, table in enumerate(reversed(tables), 1):
+        c = table.groupBy("lang_key").agg(*(of(k).alias(f"c{k}") for k in (1, 2, 3, 4)), F.count(F.lit(1)).alias("rows"))
+        y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+        d = [F.least(F.greatest(k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}"), F.lit(0.05 * k)), F.lit(0.95 * k)).alias(f"d{k}") for k in (1, 2, 3)]
+        d = materialize(c.select("lang_key", "rows", *d), "kn-discounts")
+        # One row per language; the broadcast is guarded by a count.
+        if d.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
+            d = F.broadcast(d)
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        cut = table.join(d, "lang_key").select("lang_key", "history", "symbol", "n", cut.alias("cut"), "rows")
+        totals = cut.groupBy("lang_key", "history").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
+        own = cut.join(totals, ["lang_key", "history"])
+        if below is None:
+            own = own.withColumn("lower", 1 / (F.col("rows") + 1))
+        else:
+            shorter = F.col("history").bitwiseAND(F.lit((1 << POINT_BITS * (order - 2)) - 1))
+            own = own.withColumn("shorter", shorter).join(below.select("lang_key", F.col("history").alias("shorter"), "symbol", F.col("p").alias("lower")), ["lang_key", "shorter", "symbol"])
+        below = own.select("lang_key", "history", "symbol", ((F.col("n") - F.col("cut") + F.col("left") * F.col("lower")) / F.col("total")).alias("p"))
+    return below.select("lang_key", "history", "symbol", F.log("p").cast("float").alias("logp"))
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -88,7 +201,7 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
 
 
 def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The interpolated model: sorted ``keys`` with ``logp``; ``back`` per 3-symbol history; ``lower``, the next order's log probability."""
+    """The same model of one language over 32 symbols, in one process, for comparison: sorted ``keys`` with ``logp``; ``back`` per 3-symbol history; ``lower``, the next order's log probability."""
     by = np.argsort(grams)
     keys, counts = grams[by].astype(np.int64), counts[by].astype(np.float64)
     tables = [(keys, counts)]
@@ -113,15 +226,9 @@ def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     raise AssertionError
 
 
-def build_model(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Counts over all documents, then the model; at most 32**4 rows come to the driver."""
-    rows = count_grams(docs).toArrow()
-    return kneser_ney(rows["gram"].to_numpy(), rows["n"].to_numpy())
-
-
 def expand(model: dict[str, np.ndarray]) -> np.ndarray:
     """Log probability by 4-gram code: the sorted arrays laid over their back-off."""
-    codes = np.arange(GRAMS, dtype=np.int64)
+    codes = np.arange(1 << BITS * ORDER, dtype=np.int64)
     out = model["back"][codes >> BITS] + model["lower"][codes & ((1 << BITS * (ORDER - 1)) - 1)]
     out[model["keys"]] = model["logp"]
     return out
@@ -174,27 +281,48 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
 _SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """Base counts and mean negative log probability per code point (null for no text) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _look_up(answer: tuple[np.ndarray, np.ndarray, np.ndarray], history: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The answer's log probability of each distinct gram; each has one."""
+    k = len(answer[0])
+    every = np.concatenate([answer[0], history]), np.concatenate([answer[1], symbol])
+    by, first = _runs(*every)  # stable: an answer stands before its question
+    asked = np.flatnonzero(by >= k)
+    if first[asked].any():
+        raise ValueError("a gram that was not counted")
+    out = np.empty(len(history))
+    out[by[asked] - k] = answer[2][by[asked - 1]]
+    return out
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp = expand(shared.value)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                text = batch.column("text")
-                base = base_counts(text)
-                codes, bounds = gram_codes(text)
-                total = np.concatenate([[0.0], np.cumsum(logp[codes], dtype=np.float64)])
-                n = np.diff(bounds)
-                mean = -np.diff(total[bounds]) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), batch.column("lang"), *[pa.array(base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], pa.array(mean, mask=n == 0)],
-                    ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"],
-                )
+def score(docs: DataFrame, grams: DataFrame, models: DataFrame) -> DataFrame:
+    """Base counts and mean negative log probability per code point (null for no text) of each document.
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, _SCORED)
+    ``docs`` have slabs, ``grams`` are those counted from them.
+    """
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, langs = docs.column("text").to_pylist(), np.array(docs.column("lang_key").to_pylist(), object)
+        mean, size = np.zeros(len(texts)), np.array([len(t) if t else 0 for t in texts], np.int64)
+        of = np.array(answers.column("lang_key").to_pylist(), object)
+        columns = [answers.column(c).to_numpy() for c in ("history", "symbol", "logp")]
+        for lang in set(langs):
+            own = np.flatnonzero((langs == lang) & (size > 0))
+            answer = tuple(c[of == lang] for c in columns)
+            mine = [texts[k] for k in own]
+            for lo, hi in _chunks(mine):
+                history, symbol, _, inverse, bounds = distinct_grams(mine[lo:hi])
+                total = np.concatenate([[0.0], np.cumsum(_look_up(answer, history, symbol)[inverse])])
+                mean[own[lo:hi]] = -np.diff(total[bounds]) / np.diff(bounds)
+        parts = []
+        for lo in range(0, docs.num_rows, 500):
+            base = base_counts(docs.column("text").slice(lo, 500).combine_chunks())
+            parts.append([base[k].astype(np.int64) for k in names])
+        counts = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(names)
+        return pa.table([docs.column("doc_id").cast(pa.int64()), docs.column("lang"), *[pa.array(c) for c in counts], pa.array(mean, mask=size == 0)], ["doc_id", "lang", *names, "log_perplexity"])
+
+    answers = grams.select("slab", "lang_key", "history", "symbol").distinct().join(models, ["lang_key", "history", "symbol"])
+    return docs.groupBy("slab").cogroup(answers.groupBy("slab")).applyInArrow(run, _SCORED)
 
 
 def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 4.0) -> DataFrame:
@@ -208,7 +336,9 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     own; null and empty texts have no words and fail. An empty table gives no
     rows.
     """
-    scored = materialize(score(docs, build_model(docs)), "kn-scored")
+    docs = with_slabs(docs)
+    grams = materialize(count_grams(docs), "kn-grams")
+    scored = materialize(score(docs, grams, language_models(grams)), "kn-scored")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 1000)

@@ -260,3 +260,49 @@ def test_odd_text_leaves_its_band(spark):
     docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate([*plain, odd])], "doc_id long, text string, lang string")
     kept = {r.doc_id for r in quality_rules(docs).where("kept").collect()}
     assert kept == set(range(60))
+
+
+def test_scripts_beyond_ascii_and_languages_have_models_of_their_own(spark, monkeypatch):
+    import duochron.llm.perplexity as P
+
+    rng, monk = np.random.default_rng(6), monkeypatch
+    monk.setattr(P, "SLAB_BYTES", 4000)
+    monk.setattr(P, "CHUNK_POINTS", 700)
+    words = ["".join(map(chr, rng.integers(0x430, 0x450, rng.integers(2, 7)))) for _ in range(30)]
+    prose = [" ".join(rng.choice(words, 80)) for _ in range(60)]
+    odd = " ".join("".join(map(chr, rng.integers(0x430, 0x450, len(w)))) for w in prose[0].split())  # the same spaces and lengths
+    rows = [(k, t, "ru") for k, t in enumerate([*prose, odd])] + [(100, odd, None), (None, odd, "xx"), (101, None, "ru"), (102, "", "ru")]
+    got = {(r.doc_id, r.lang): r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert len(got) == len(rows) and {k for k, r in got.items() if r.kept and k[1] == "ru"} == {(k, "ru") for k in range(60)}
+    assert got[101, "ru"].log_perplexity is None and got[102, "ru"].log_perplexity is None
+
+    def model(texts):
+        tables = [Counter(("\0" * 3 + t)[i : i + 4] for t in texts for i in range(len(t)))]
+        for _ in range(3):
+            tables.append(Counter(g[1:] for g in tables[-1]))
+        p = {"": 1 / (len(tables[-1]) + 1)}
+        for t in reversed(tables):
+            grams = list(t)
+            cut = dict(zip(grams, P._discounts(np.array([t[g] for g in grams]))[[min(t[g], 3) for g in grams]]))
+            total, left = Counter(), Counter()
+            for g in grams:
+                total[g[:-1]] += t[g]
+                left[g[:-1]] += cut[g]
+            p = {g: (t[g] - cut[g] + left[g[:-1]] * p[g[1:]]) / total[g[:-1]] for g in grams}
+        return p
+
+    for lang in ("ru", None, "xx"):
+        own = [(d, t) for d, t, x in rows if x == lang and t]
+        p = model([t for _, t in own])
+        for d, t in own:
+            want = -np.mean([np.log(p[("\0" * 3 + t)[i : i + 4]]) for i in range(len(t))])
+            assert abs(got[d, lang].log_perplexity - want) < 1e-5
+
+
+def test_grams_of_more_symbols_than_a_packed_code_holds():
+    from duochron.llm.perplexity import distinct_grams
+
+    text = "".join(map(chr, [*range(0x3400, 0xD7FF), *range(0x10000, 0x14000)])) + "abcabcabc"
+    history, symbol, counts, inverse, bounds = distinct_grams([text, "", "abc"])
+    assert len(set(zip(history.tolist(), symbol.tolist()))) == len(history) and counts.sum() == len(text) + 3 == bounds[-1]
+    assert (symbol[inverse] == [ord(c) + 1 for c in text + "abc"]).all() and sorted(counts.tolist())[-4:] == [1, 2, 2, 2]
