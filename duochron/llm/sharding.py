@@ -5,7 +5,9 @@ a partial partition with all its bytes in one slot; the two partial partitions
 with the largest spread are combined in opposite order until one is left.
 Blocks of groups are differenced in parallel, and the resulting partial
 partitions (one vector of shard sums per block) are differenced again, level by
-level, so no task ever sees more than one block.
+level, so no task ever sees more than one block. Groups above a hundredth of a
+fair share stay out of the blocks: they are differenced first, and every block
+starts from its part of their loads, so that small groups leave them room.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import materialize, text_key, utf8_size
 #: Groups that one task differences, and partial partitions that one task combines.
 BLOCK_GROUPS = 20_000
 BLOCK_PARTIALS = 500
+#: A group is large above a fair share divided by this.
+LARGE_PARTS = 100
 #: Documents numbered by one window group.
 SLOT_ROWS = 20_000
 
@@ -69,6 +73,20 @@ def _difference_groups(n_shards: int):
     return block
 
 
+def _difference_beside(load: np.ndarray, rest: int):
+    """Difference a block's groups together with its part of the large groups' loads, which fixes the shards."""
+
+    def block(groups: pd.DataFrame) -> pd.DataFrame:
+        groups = groups.sort_values(["bytes", "key"], ascending=[False, True], kind="stable")
+        partials = np.zeros((len(groups) + 1, len(load)), np.int64)
+        partials[0] = np.rint(load * (int(groups["bytes"].sum()) / rest))
+        partials[1:, 0] = groups["bytes"]
+        slot = difference(partials)
+        return pd.DataFrame({"key": groups["key"], "shard": np.argsort(slot[0])[slot[1:, 0]].astype(np.int32)})
+
+    return block
+
+
 def _difference_partials(n_shards: int):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot_table(index="block", columns="label", values="bytes", aggfunc="sum", fill_value=0).reindex(columns=range(n_shards), fill_value=0).sort_index()
@@ -82,6 +100,19 @@ def assign_groups(groups: DataFrame, n_shards: int, n_groups: int, block_groups:
     """(key, shard) for groups of (key binary, bytes long), differenced in blocks and then level by level."""
     n_blocks = max(1, math.ceil(n_groups / block_groups))
     blocks = groups.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
+    if n_blocks > 1:
+        total = groups.agg(F.sum("bytes")).first()[0]
+        large = groups.where(F.col("bytes") * (LARGE_PARTS * n_shards) > F.lit(total))  # fewer than LARGE_PARTS * n_shards rows
+        rows = sorted(large.collect(), key=lambda r: (-r["bytes"], bytes(r["key"])))
+        if rows:
+            partials = np.zeros((len(rows), n_shards), np.int64)
+            partials[:, 0] = [r["bytes"] for r in rows]
+            slot = difference(partials)[:, 0]
+            load = np.zeros(n_shards, np.int64)
+            np.add.at(load, slot, partials[:, 0])
+            placed = groups.sparkSession.createDataFrame([(bytes(r["key"]), int(k)) for r, k in zip(rows, slot)], "key binary, shard int")
+            small = blocks.where(F.col("bytes") * (LARGE_PARTS * n_shards) <= F.lit(total))
+            return small.groupBy("block").applyInPandas(_difference_beside(load, total - int(load.sum())), "key binary, shard int").unionByName(placed)
     labels = materialize(blocks.groupBy("block").applyInPandas(_difference_groups(n_shards), "key binary, bytes long, block int, label int"), "kk-labels")
     sums = labels.groupBy("block", "label").agg(F.sum("bytes").alias("bytes"))
     shard_of = None

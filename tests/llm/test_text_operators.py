@@ -150,6 +150,22 @@ def test_differencing_beats_or_equals_the_largest_item():
     assert difference(np.array([[5, 0]]))[0].tolist() in ([0, 1], [1, 0])
 
 
+@pytest.mark.parametrize("shares", [[0.5], [1.0], [0.9, 0.6, 0.3, 0.02]])
+def test_blocks_leave_room_for_large_groups(spark, shares):
+    from duochron.llm.sharding import assign_groups
+
+    rng = np.random.default_rng(3)
+    small = np.maximum(rng.lognormal(7, 1, 6000), 16).astype(int).tolist()
+    fair = sum(small) / (8 - sum(shares))
+    sizes = small + [int(x * fair) for x in shares]
+    groups = spark.createDataFrame([(k.to_bytes(4, "big"), n) for k, n in enumerate(sizes)], "key binary, bytes long").repartition(3)
+    got = assign_groups(groups, 8, len(sizes), block_groups=1000).collect()
+    load = np.zeros(8)
+    for r in got:
+        load[r.shard] += sizes[int.from_bytes(r.key, "big")]
+    assert len({bytes(r.key) for r in got}) == len(got) == len(sizes) and load.max() / load.mean() < 1.001
+
+
 def test_written_shards_hold_every_text(docs, corpus, tmp_path, spark):
     write_shards(docs, str(tmp_path / "s"), 3)
     back = spark.read.parquet(str(tmp_path / "s"))
