@@ -3,7 +3,7 @@
 A source's repetition rate is what brings its characters to its target weight
 of the budget. Each document's number of copies is a Poisson draw with that
 mean, made by inverting the distribution at a number in [0, 1) that is hashed
-from the seed and the doc_id; the copies are then put in one global order by a
+from the seed and the doc_id (large rates in equal parts); the copies are then put in one global order by a
 hash of their own.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Sources of which the rates may be broadcast; more are joined by shuffling.
 BROADCAST_SOURCES = 100_000
+#: The greatest rate that one hashed number inverts; exp(-rate) must not underflow.
+RATE_AT_ONCE = 500
 
 
 def hashed_unit(*parts: Column) -> Column:
@@ -26,6 +28,7 @@ def poisson_quantile(rate: Column, u: Column) -> Column:
     """The least n whose cumulative Poisson probability exceeds ``u``.
 
     The terms go far enough (mean + 12 deviations + 40) to pass 1 - 2**-48, so no draw is cut off.
+    For rates up to RATE_AT_ONCE; ``poisson_draw`` takes any.
     """
     terms = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int"))
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.when(u < F.exp(-rate), 0).otherwise(1).alias("n"))
@@ -38,6 +41,13 @@ def poisson_quantile(rate: Column, u: Column) -> Column:
     return F.aggregate(terms, start, step, lambda acc: acc["n"])
 
 
+def poisson_draw(rate: Column, *parts: Column) -> Column:
+    """A Poisson draw at the hash of ``parts``; a rate above RATE_AT_ONCE is the sum of draws of equal rates, each at a hash of its own."""
+    n = F.ceil(rate / RATE_AT_ONCE).cast("int")
+    split = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, k: acc + poisson_quantile(rate / n, hashed_unit(*parts, k)))
+    return F.when(rate <= RATE_AT_ONCE, poisson_quantile(rate, hashed_unit(*parts))).otherwise(split)
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = 0.5) -> DataFrame:
     """(source, rate): the repetition rate of every source.
 
@@ -70,7 +80,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     drawn = docs.join(rates, docs["source"].eqNullSafe(rates["__source"])).drop("__source")
-    drawn = drawn.withColumn("__n", poisson_quantile(F.col("__rate"), hashed_unit(F.lit(f"draw{seed}"), F.col("doc_id"))))
+    drawn = drawn.withColumn("__n", poisson_draw(F.col("__rate"), F.lit(f"draw{seed}"), F.col("doc_id")))
     copies = drawn.where(F.col("__n") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
     copies = copies.withColumn("__key", hashed_unit(F.lit(f"order{seed}"), F.col("doc_id"), F.col("__copy")))
     if shuffle:

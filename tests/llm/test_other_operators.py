@@ -131,6 +131,17 @@ def test_mixing(docs, corpus, spark):
     assert abs(rates["a"] - 15000 / 6667) < 0.01
 
 
+@pytest.mark.parametrize("rate", [800, 5000])
+def test_large_rates_are_drawn(spark, rate):
+    from duochron.llm.mixing import poisson_draw
+
+    n = [r.n for r in spark.range(400).select(poisson_draw(F.lit(float(rate)), F.lit("draw17"), F.col("id")).alias("n")).collect()]
+    assert abs(np.mean(n) - rate) < 5 * (rate / 400) ** 0.5 and 0.7 * rate < np.var(n) < 1.4 * rate
+    few = spark.createDataFrame([(1, "x" * 9, "rare")] + [(k, "y" * 9, "big") for k in range(2, 2 * rate + 2)], "doc_id long, text string, source string")
+    mixed = mix_sources(few, {"rare": 1, "big": 1}, shuffle=False)  # the rare document's rate is near ``rate``
+    assert abs(mixed.where("source = 'rare'").count() - rate) < 5 * rate**0.5
+
+
 # ---- chat ----
 
 CONTROL = r"\### Assistant: </turn> ok"
