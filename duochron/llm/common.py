@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if own:
-        return own.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duochron-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir``, or the session's checkpoint directory where that is unset."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not own:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return own.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -31,6 +30,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A side of at most so many rows is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 300_000
+#: Parts of a hot key where both sides are shuffled.
+JOIN_SALTS = 16
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows were counted to be few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def join_small(df: DataFrame, other: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``other``, whose keys are unique: broadcast if few, else with each key of ``df`` dealt over JOIN_SALTS parts.
+
+    Null keys match null keys. ``how`` is inner or left.
+    """
+    names = {k: f"__{k}" for k in keys}
+    right = other.withColumnsRenamed(names)
+    equal = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
+    if other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        right = F.broadcast(right)
+    else:
+        df = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(JOIN_SALTS)))
+        right = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+        equal.append(F.col("__salt") == F.col("__part"))
+    return df.join(right, reduce(and_, equal), how).drop(*names.values(), "__salt", "__part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import pytest
 
 from duochron.llm.components import connected_components
 from duochron.llm.decontaminate import contamination, drop_contaminated
-from duochron.llm.jaccard import keep_one_each, least_overlap, near_duplicates, prefix_length
+from duochron.llm.jaccard import keep_one_each, least_overlap, near_duplicates, prefix_length, star_links
 from duochron.llm.perplexity import base_counts, kneser_ney, quality_rules
 from duochron.llm.sharding import difference, shard_by_bytes, write_shards
 from duochron.llm.shingles import hash_spans, shingle_sets, word_hashes
@@ -57,17 +57,42 @@ def test_near_duplicates(docs, corpus):
     assert Counter(got) == Counter(brute_components(corpus))
 
 
-@pytest.mark.parametrize("short", [1, 3])
-def test_near_duplicates_of_split_lists_and_rounds(docs, corpus, monkeypatch, short):
+@pytest.mark.parametrize("shingles", [1, 200, 2000])
+def test_near_duplicates_of_split_lists_and_stars(docs, corpus, monkeypatch, shingles):
+    import duochron.llm.common as C
     import duochron.llm.jaccard as J
 
     monkeypatch.setattr(J, "LIST_ENTRIES", 1)
-    monkeypatch.setattr(J, "SHORT_LIST", short)
-    monkeypatch.setattr(J, "PAIRS_PER_ENTRY", -1)
-    monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(J, "STAR_SHINGLES", shingles)
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
     assert Counter(tuple(r) for r in near_duplicates(docs).collect()) == Counter(brute_components(corpus))
 
 
+def test_star_links_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        base = np.unique(rng.integers(0, 1 << 40, 60).astype(np.uint64))
+        sets = []
+        for _ in range(12):
+            kept = base[rng.random(len(base)) < rng.choice([0.8, 0.9, 1.0])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 40, rng.integers(0, 25)).astype(np.uint64)])))
+        apart = [100 * len(np.intersect1d(s, sets[0])) < 75 * len(np.union1d(s, sets[0])) for s in sets[1:]]
+        guests = (np.arange(11) >= 7) & apart if trial % 2 else None  # guests don't link with the leader
+        links, outside = star_links(sets[0], sets[1:], 75, guests)
+        every = [set(s.tolist()) for s in sets[1:]] + [set(sets[0].tolist())]
+        real = {(a, b) for a in range(-1, 11) for b in range(-1, 11) if a != b and 100 * len(every[a] & every[b]) >= 75 * len(every[a] | every[b])}
+        assert all(link in real for link in links)
+        if guests is not None:  # pairs of the star's own sets were compared before
+            real = {(a, b) for a, b in real if -1 in (a, b) or guests[a] != guests[b]}
+        label = {k: k for k in range(-1, 11)}
+        found = dict(label)
+        for names, pairs in ((label, real), (found, links)):
+            for _ in range(12):
+                for a, b in pairs:
+                    names[a] = names[b] = min(names[a], names[b])
+        assert label == found and (guests is not None or outside == [k for k in range(11) if label[k] != -1])
+
+
 def test_one_of_each_group_stays(docs, corpus):
     kept = keep_one_each(docs)
     assert kept.columns == docs.columns
