@@ -1,35 +1,43 @@
 """Quality rules: base counts, and a modified Kneser-Ney character n-gram model.
 
-Spark counts every 4-gram of full code points per language. The count table
-and the model grow with the corpus and stay distributed: every order is a table
-hash-partitioned by its n-grams, and each language has its own. Documents are
-put into slabs of some megabytes; a slab asks for its distinct n-grams once, by
-a join with the model, and its documents are scored against the answer. Each
-language gets a lower and an upper bound of log perplexity from the quartiles
-of its own documents.
+Spark counts every 4-gram of full code points per language over all texts. The
+count table and the model grow with the corpus: every order is a table
+partitioned by its n-grams, and each language has its own. The model is stored
+as sorted hash arrays, in slices of the hash range. Where its counted rows are
+few enough, the slices are broadcast and every task scores its own documents;
+a larger model stays where it is: documents are put into slabs of some
+megabytes, a slab asks for its distinct n-grams by a join with the model, and is
+scored against the answer. Each language gets a lower and an upper bound of log
+perplexity from the exact quartiles of its own documents.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .shingles import gram_hashes, hash_spans, split_words, text_bytes
+from .common import bounded, materialize
+from .shingles import gram_hashes, hash_spans, mix, split_words, text_bytes
 
 ORDER = 4
 #: Bits of a symbol: a code point plus one; 0 stands before each text.
 POINT_BITS = 21
-#: Bits of a symbol of ``kneser_ney``.
-BITS = 5
 #: Text bytes of a slab, and code points that are packed at once.
 SLAB_BYTES, CHUNK_POINTS = 1 << 23, 1 << 20
+#: A model of at most so many n-grams (12 bytes each) is broadcast; a larger one answers slabs of documents by a join.
+MODEL_GRAMS = 4_000_000
+#: N-grams of a stored slice, about.
+SLICE_GRAMS = 1 << 16
+#: Steps of log perplexity a unit, for the quartiles.
+STEPS = 10_000
 #: Languages of which the discounts may be broadcast; more are joined by shuffling.
 BROADCAST_LANGS = 100_000
 
@@ -101,29 +109,29 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text and lang_key, in which null differs from every language."""
+    return docs.select("doc_id", "lang", "text", F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), "lang")).alias("lang_key"))
+
+
 def with_slabs(docs: DataFrame, slab_bytes: int | None = None) -> DataFrame:
-    """doc_id, lang, text, lang_key and slab: ranges of doc_id, and hashed parts of a range with many bytes.
+    """The rows with slab: rows that follow each other in a task, of about ``slab_bytes`` text bytes. Written once, so that slabs stay as they are."""
+    limit = slab_bytes or SLAB_BYTES
 
-    A slab follows from a row's doc_id and text alone. Tables in the order of doc_id have most slabs in few tasks.
-    """
-    slab_bytes = slab_bytes or SLAB_BYTES
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    docs = docs.select("doc_id", "lang", "text", F.when(F.col("lang").isNull(), "").otherwise(F.concat(F.lit("="), "lang")).alias("lang_key"))
-    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n = max(1, math.ceil(total / slab_bytes))
-    edges = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("e")).first()["e"] if n > 1 else []
-    edges = sorted(set(edges or []))
-    id_ = F.col("doc_id").cast("long")
-    in_range = F.coalesce(F.size(F.filter(F.lit(edges), lambda e: e <= id_)), F.lit(0)) if edges else F.lit(0)
-    docs = docs.withColumn("range", F.when(id_.isNull(), 0).otherwise(in_range).cast("int"))
-    held = {r["range"]: r["n"] for r in docs.groupBy("range").agg(F.sum(size).alias("n")).collect()}
-    parts = [max(1, math.ceil(held.get(k, 0) / (2 * slab_bytes))) for k in range(len(edges) + 1)]
-    part = F.pmod(F.xxhash64("text"), F.element_at(F.lit(parts), F.col("range") + 1)).cast("long")
-    return docs.select("doc_id", "lang", "text", "lang_key", (F.col("range").cast("long") * (1 << 32) + part).alias("slab"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slab, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            size = np.cumsum(np.diff(text_bytes(batch.column("text"))[1])) + held
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slab + size // limit)], [*batch.schema.names, "slab"])
+            slab, held = slab + int(size[-1]) // limit if len(size) else slab, int(size[-1]) % limit if len(size) else held
+
+    return materialize(docs.mapInArrow(deal, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + ", slab long"), "kn-slabs")
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(slab long, lang_key string, history long, symbol int, n long): grams of the texts of each task by slab and language."""
+    """(slab long, lang_key string, history long, symbol int, n long): grams of the texts of each task by language, and by slab if ``docs`` have slabs."""
+    if "slab" not in docs.columns:
+        docs = docs.withColumn("slab", F.lit(0).cast("long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], list] = defaultdict(list)
@@ -193,47 +201,6 @@ def language_models(grams: DataFrame) -> DataFrame:
     return below.select("lang_key", "history", "symbol", F.log("p").cast("float").alias("logp"))
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """The discount for a count of 0, 1, 2 and of 3 or more."""
-    n = [max(float((counts == k).sum()), 1e-9) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05 * k), 0.95 * k) for k in (1, 2, 3)])
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The same model of one language over 32 symbols, in one process, for comparison: sorted ``keys`` with ``logp``; ``back`` per 3-symbol history; ``lower``, the next order's log probability."""
-    by = np.argsort(grams)
-    keys, counts = grams[by].astype(np.int64), counts[by].astype(np.float64)
-    tables = [(keys, counts)]
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct left neighbours
-        tables.append(np.unique(tables[-1][0] & ((1 << BITS * order) - 1), return_counts=True))
-    lower = np.full(1, 1.0 / (1 << BITS))
-    for order, (k, c) in enumerate(reversed(tables), 1):
-        c = c.astype(np.float64)
-        discount = _discounts(c)[np.minimum(c, 3).astype(int)]
-        history = k >> BITS
-        n_histories = 1 << BITS * (order - 1)
-        total = np.bincount(history, c, n_histories)
-        gamma = np.where(total > 0, np.bincount(history, discount, n_histories) / np.maximum(total, 1), 1.0)
-        shorter = (1 << BITS * (order - 1)) - 1
-        if order == ORDER:
-            p = (c - discount) / total[history] + gamma[history] * lower[k & shorter]
-            return {"keys": k.astype(np.int32), "logp": np.log(p).astype(np.float32), "back": np.log(gamma).astype(np.float32), "lower": np.log(lower).astype(np.float32)}
-        every = np.arange(1 << BITS * order)
-        dense = gamma[every >> BITS] * (lower[every & shorter] if order > 1 else lower[0])
-        dense[k] += (c - discount) / total[history]
-        lower = dense
-    raise AssertionError
-
-
-def expand(model: dict[str, np.ndarray]) -> np.ndarray:
-    """Log probability by 4-gram code: the sorted arrays laid over their back-off."""
-    codes = np.arange(1 << BITS * ORDER, dtype=np.int64)
-    out = model["back"][codes >> BITS] + model["lower"][codes & ((1 << BITS * (ORDER - 1)) - 1)]
-    out[model["keys"]] = model["logp"]
-    return out
-
-
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -294,37 +261,116 @@ def _look_up(answer: tuple[np.ndarray, np.ndarray, np.ndarray], history: np.ndar
     return out
 
 
-def score(docs: DataFrame, grams: DataFrame, models: DataFrame) -> DataFrame:
-    """Base counts and mean negative log probability per code point (null for no text) of each document.
+def gram_keys(lang_key: str, history: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each n-gram of a language."""
+    seed = np.frombuffer(hashlib.sha256(lang_key.encode()).digest()[:8], np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(mix(history.astype(np.uint64) + seed) + symbol.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    ``docs`` have slabs, ``grams`` are those counted from them.
-    """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+def store(models: DataFrame) -> DataFrame:
+    """(slice long, keys binary, logp binary): the models as sorted hash arrays, each slice a range of the hash."""
+    slices = max(1, models.count() // SLICE_GRAMS)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column("lang_key").dictionary_encode()
+            code, keys = lang.indices.to_numpy(), np.zeros(batch.num_rows, np.uint64)
+            history, symbol = batch.column("history").to_numpy(), batch.column("symbol").to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                own = code == k
+                keys[own] = gram_keys(name, history[own], symbol[own])
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int64) * slices >> 32), pa.array(keys.view(np.int64)), batch.column("logp")], ["slice", "key", "logp"])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        keys, logp = rows.column("key").to_numpy().view(np.uint64), rows.column("logp").to_numpy()
+        by = np.argsort(keys)
+        return pa.table([rows.column("slice").slice(0, 1), pa.array([keys[by].tobytes()], pa.binary()), pa.array([logp[by].astype(np.float32).tobytes()], pa.binary())], ["slice", "keys", "logp"])
+
+    rows = models.select("lang_key", "history", "symbol", "logp").mapInArrow(hashed, "slice long, key long, logp float")
+    return materialize(rows.groupBy("slice").applyInArrow(pack, "slice long, keys binary, logp binary"), "kn-arrays")
+
+
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _mean_logp(texts: list[str], of_grams) -> np.ndarray:
+    """Mean negative log probability a code point of texts that aren't empty."""
+    out = np.zeros(len(texts))
+    for lo, hi in _chunks(texts):
+        history, symbol, _, inverse, bounds = distinct_grams(texts[lo:hi])
+        out[lo:hi] = -np.add.reduceat(of_grams(history, symbol)[inverse], bounds[:-1]) / np.diff(bounds)
+    return out
+
+
+def _scored(doc_id: pa.Array, lang: pa.Array, text: pa.Array, mean: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+    parts = [base_counts(text.slice(lo, 500)) for lo in range(0, len(text), 500)]
+    counts = [np.concatenate([p[k] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for k in _COUNTS]
+    return [doc_id.cast(pa.int64()), lang, *[pa.array(c) for c in counts], pa.array(mean, mask=size == 0)]
+
+
+def score_here(docs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Base counts and mean negative log probability per code point (null for no text), by the broadcast arrays."""
+    slices = sorted((r["slice"], bytes(r["keys"]), bytes(r["logp"])) for r in arrays.collect())  # MODEL_GRAMS n-grams at most
+    shared = docs.sparkSession.sparkContext.broadcast((b"".join(k for _, k, _ in slices), b"".join(p for _, _, p in slices)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logp = np.frombuffer(shared.value[0], np.uint64), np.frombuffer(shared.value[1], np.float32).astype(np.float64)
+
+        def look_up(lang: str, history: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+            wanted = gram_keys(lang, history, symbol)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            if (keys[at] != wanted).any():
+                raise ValueError("an n-gram that was not counted")
+            return logp[at]
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                batch = whole.slice(lo, 2000)
+                texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang_key").to_pylist(), object)
+                size = np.array([len(t) if t else 0 for t in texts], np.int64)
+                mean = np.zeros(len(texts))
+                for lang in sorted(set(langs)):
+                    own = np.flatnonzero((langs == lang) & (size > 0))
+                    mean[own] = _mean_logp([texts[k] for k in own], partial(look_up, lang))
+                yield pa.RecordBatch.from_arrays(_scored(batch.column("doc_id"), batch.column("lang"), batch.column("text"), mean, size), ["doc_id", "lang", *_COUNTS, "log_perplexity"])
+
+    return docs.mapInArrow(run, _SCORED)
+
+
+def score_slabs(docs: DataFrame, models: DataFrame) -> DataFrame:
+    """What ``score_here`` gives, for a model that is too large to be broadcast: slabs of documents ask for their n-grams by a join."""
+    docs = with_slabs(docs)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts, langs = docs.column("text").to_pylist(), np.array(docs.column("lang_key").to_pylist(), object)
         mean, size = np.zeros(len(texts)), np.array([len(t) if t else 0 for t in texts], np.int64)
         of = np.array(answers.column("lang_key").to_pylist(), object)
         columns = [answers.column(c).to_numpy() for c in ("history", "symbol", "logp")]
-        for lang in set(langs):
+        for lang in sorted(set(langs)):
             own = np.flatnonzero((langs == lang) & (size > 0))
-            answer = tuple(c[of == lang] for c in columns)
-            mine = [texts[k] for k in own]
-            for lo, hi in _chunks(mine):
-                history, symbol, _, inverse, bounds = distinct_grams(mine[lo:hi])
-                total = np.concatenate([[0.0], np.cumsum(_look_up(answer, history, symbol)[inverse])])
-                mean[own[lo:hi]] = -np.diff(total[bounds]) / np.diff(bounds)
-        parts = []
-        for lo in range(0, docs.num_rows, 500):
-            base = base_counts(docs.column("text").slice(lo, 500).combine_chunks())
-            parts.append([base[k].astype(np.int64) for k in names])
-        counts = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(names)
-        return pa.table([docs.column("doc_id").cast(pa.int64()), docs.column("lang"), *[pa.array(c) for c in counts], pa.array(mean, mask=size == 0)], ["doc_id", "lang", *names, "log_perplexity"])
-
-    answers = grams.select("slab", "lang_key", "history", "symbol").distinct().join(models, ["lang_key", "history", "symbol"])
+            mean[own] = _mean_logp([texts[k] for k in own], partial(_look_up, tuple(c[of == lang] for c in columns)))
+        plain = [docs.column(c).combine_chunks() for c in ("doc_id", "lang", "text")]
+        return pa.table(_scored(*plain, mean, size), ["doc_id", "lang", *_COUNTS, "log_perplexity"])
+
+    answers = count_grams(docs).select("slab", "lang_key", "history", "symbol").distinct().join(models, ["lang_key", "history", "symbol"])
     return docs.groupBy("slab").cogroup(answers.groupBy("slab")).applyInArrow(run, _SCORED)
 
 
+def bands(scored: DataFrame, spread: float) -> DataFrame:
+    """(band_lang, lower, upper): ``spread`` interquartile ranges beyond each language's quartiles of log perplexity.
+
+    Quartiles are exact on values in steps of 1 / STEPS: counts of the steps add up alike in any order.
+    """
+    steps = scored.where("log_perplexity is not null").groupBy("lang", F.round(F.col("log_perplexity") * STEPS).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    up_to = Window.partitionBy("lang").orderBy("step")
+    ranked = steps.select("lang", "step", F.sum("n").over(up_to).alias("below"), F.sum("n").over(Window.partitionBy("lang")).alias("all"))
+    q = [F.min(F.when(4 * F.col("below") >= k * F.col("all"), F.col("step"))) / STEPS for k in (1, 3)]
+    found = ranked.groupBy("lang").agg(q[0].alias("q1"), q[1].alias("q3"))
+    reach = F.greatest(F.col("q3") - F.col("q1"), F.lit(0.01)) * spread
+    return found.select(F.col("lang").alias("band_lang"), (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper"))
+
+
 def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, spread: float = 4.0) -> DataFrame:
     """One row per document: base counts, base_failed, log_perplexity, its language's band and kept.
 
@@ -336,16 +382,16 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     own; null and empty texts have no words and fail. An empty table gives no
     rows.
     """
-    docs = with_slabs(docs)
-    grams = materialize(count_grams(docs), "kn-grams")
-    scored = materialize(score(docs, grams, language_models(grams)), "kn-scored")
+    docs = with_keys(docs)
+    models = materialize(language_models(count_grams(docs)), "kn-models")
+    if models.limit(MODEL_GRAMS + 1).count() <= MODEL_GRAMS:
+        scored = score_here(docs, store(models))
+    else:
+        scored = score_slabs(docs, models)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
-    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 1000)
-    bands = scored.where(~failed).groupBy("lang").agg(quartiles.alias("q"))
-    reach = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01)) * spread
-    bands = bands.select(F.col("lang").alias("band_lang"), (F.col("q")[0] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
+    scored = materialize(scored, "kn-scored").withColumn("base_failed", failed)
+    limits = bands(scored.where(~F.col("base_failed")), spread)
     within = F.col("log_perplexity").between(F.col("lower"), F.col("upper"))
-    return scored.join(bands, scored["lang"].eqNullSafe(bands["band_lang"]), "left").select(
+    return scored.join(bounded(limits), scored["lang"].eqNullSafe(limits["band_lang"]), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(False))).alias("kept"), "lang", "log_perplexity", "lower", "upper"
     )

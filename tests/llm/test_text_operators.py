@@ -11,7 +11,7 @@ import pytest
 from duochron.llm.components import connected_components
 from duochron.llm.decontaminate import contamination, drop_contaminated
 from duochron.llm.jaccard import keep_one_each, least_overlap, near_duplicates, prefix_length, star_links
-from duochron.llm.perplexity import base_counts, kneser_ney, quality_rules
+from duochron.llm.perplexity import base_counts, quality_rules
 from duochron.llm.sharding import difference, shard_by_bytes, write_shards
 from duochron.llm.shingles import hash_spans, shingle_sets, word_hashes
 
@@ -285,11 +285,53 @@ def test_quality_rules(docs, corpus):
         assert not (r.base_failed and r.kept)
 
 
+BITS, ORDER = 5, 4
+
+
+def _discounts(counts: np.ndarray) -> np.ndarray:
+    """The discount for a count of 0, 1, 2 and of 3 or more."""
+    n = [max(float((counts == k).sum()), 1e-9) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.array([0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05 * k), 0.95 * k) for k in (1, 2, 3)])
+
+
+def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The same model of one language over 32 symbols, in one process, for comparison: sorted ``keys`` with ``logp``; ``back`` per 3-symbol history; ``lower``, the next order's log probability."""
+    by = np.argsort(grams)
+    keys, counts = grams[by].astype(np.int64), counts[by].astype(np.float64)
+    tables = [(keys, counts)]
+    for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct left neighbours
+        tables.append(np.unique(tables[-1][0] & ((1 << BITS * order) - 1), return_counts=True))
+    lower = np.full(1, 1.0 / (1 << BITS))
+    for order, (k, c) in enumerate(reversed(tables), 1):
+        c = c.astype(np.float64)
+        discount = _discounts(c)[np.minimum(c, 3).astype(int)]
+        history = k >> BITS
+        n_histories = 1 << BITS * (order - 1)
+        total = np.bincount(history, c, n_histories)
+        gamma = np.where(total > 0, np.bincount(history, discount, n_histories) / np.maximum(total, 1), 1.0)
+        shorter = (1 << BITS * (order - 1)) - 1
+        if order == ORDER:
+            p = (c - discount) / total[history] + gamma[history] * lower[k & shorter]
+            return {"keys": k.astype(np.int32), "logp": np.log(p).astype(np.float32), "back": np.log(gamma).astype(np.float32), "lower": np.log(lower).astype(np.float32)}
+        every = np.arange(1 << BITS * order)
+        dense = gamma[every >> BITS] * (lower[every & shorter] if order > 1 else lower[0])
+        dense[k] += (c - discount) / total[history]
+        lower = dense
+    raise AssertionError
+
+
+def expand(model: dict[str, np.ndarray]) -> np.ndarray:
+    """Log probability by 4-gram code: the sorted arrays laid over their back-off."""
+    codes = np.arange(1 << BITS * ORDER, dtype=np.int64)
+    out = model["back"][codes >> BITS] + model["lower"][codes & ((1 << BITS * (ORDER - 1)) - 1)]
+    out[model["keys"]] = model["logp"]
+    return out
+
+
 def test_the_model_is_a_distribution():
     rng = np.random.default_rng(1)
     grams, counts = np.unique(rng.integers(0, 1 << 20, 4000) & 0b00011_00111_00011_01111, return_counts=True)
-    from duochron.llm.perplexity import expand
-
     p = np.exp(expand(kneser_ney(grams, counts)).astype(float)).reshape(-1, 32).sum(axis=1)
     np.testing.assert_allclose(p, 1.0, atol=1e-3)
 
@@ -303,10 +345,13 @@ def test_odd_text_leaves_its_band(spark):
     assert kept == set(range(60))
 
 
-def test_scripts_beyond_ascii_and_languages_have_models_of_their_own(spark, monkeypatch):
+@pytest.mark.parametrize("held", [4_000_000, 0])
+def test_scripts_beyond_ascii_and_languages_have_models_of_their_own(spark, monkeypatch, held):
     import duochron.llm.perplexity as P
 
     rng, monk = np.random.default_rng(6), monkeypatch
+    monk.setattr(P, "MODEL_GRAMS", held)
+    monk.setattr(P, "SLICE_GRAMS", 50)
     monk.setattr(P, "SLAB_BYTES", 4000)
     monk.setattr(P, "CHUNK_POINTS", 700)
     words = ["".join(map(chr, rng.integers(0x430, 0x450, rng.integers(2, 7)))) for _ in range(30)]
@@ -324,7 +369,7 @@ def test_scripts_beyond_ascii_and_languages_have_models_of_their_own(spark, monk
         p = {"": 1 / (len(tables[-1]) + 1)}
         for t in reversed(tables):
             grams = list(t)
-            cut = dict(zip(grams, P._discounts(np.array([t[g] for g in grams]))[[min(t[g], 3) for g in grams]]))
+            cut = dict(zip(grams, _discounts(np.array([t[g] for g in grams]))[[min(t[g], 3) for g in grams]]))
             total, left = Counter(), Counter()
             for g in grams:
                 total[g[:-1]] += t[g]
