@@ -12,6 +12,7 @@ are committed atomically on any file system that Spark writes to.
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 import zlib
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, utf8_size
+from .common import bounded, shared_path, utf8_size
 from .shingles import hash_spans
 
 #: UTF-8 bytes of text whose ids go to one file; a reader holds one file in memory.
@@ -92,8 +93,19 @@ def split_pieces(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def splits_like_bytes(tokenizer_file: str) -> bool:
+    """Whether ``split_pieces`` is this tokenizer's own rule: plain byte-level pieces, no normaliser."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        described = json.load(f)
+    rule = described.get("pre_tokenizer") or {}
+    return described.get("normalizer") is None and rule.get("type") == "ByteLevel" and not rule.get("add_prefix_space", True) and rule.get("use_regex", True)
+
+
 class PieceEncoder:
-    """Encodes texts with a byte-level tokenizer; a piece of plain text that was met before is not encoded again."""
+    """Encodes texts with a byte-level tokenizer; a piece of plain text that was met before is not encoded again.
+
+    Pieces are told apart by a 64-bit hash. A tokenizer with other rules for pieces encodes whole texts.
+    """
 
     def __init__(self, tokenizer_file: str, end_id: int):
         from tokenizers import Tokenizer
@@ -102,6 +114,7 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], self.dtype)
+        self.by_pieces = splits_like_bytes(tokenizer_file)
         newline = self._ids(["\n"])[0]
         self.newline = int(newline[0]) if len(newline) == 1 else None
         self._forget()
@@ -133,7 +146,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, then the end id, as bytes; null is empty."""
         texts = [t or "" for t in texts]
-        plain = [PLAIN.fullmatch(t) is not None and not any(s in t for s in self.specials) for t in texts]
+        plain = [self.by_pieces and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.specials) for t in texts]
         own = [t for t, ok in zip(texts, plain) if ok]
         fast = iter(self._encode_plain(own))
         slow = iter(self._ids([t for t, ok in zip(texts, plain) if not ok]))
@@ -173,16 +186,19 @@ def encoder(tokenizer_file: str, end_id: int) -> PieceEncoder:
     return _ENCODERS[tokenizer_file, end_id]
 
 
-def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, file_text_bytes: int = FILE_TEXT_BYTES) -> None:
-    """Encode every whole text and write its record under ``path``, in ascending doc_id order over files in name order.
+def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, file_text_bytes: int = FILE_TEXT_BYTES, order: list[Column] | None = None) -> None:
+    """Encode every whole text and write its record under ``path``, ordered over files in the order of their numbers.
 
-    Null doc_ids come first; rows of one doc_id are ordered by a hash of their
-    text. A null or empty text gives a record with the end id alone. An empty
-    table gives no records.
+    Without ``order`` doc_ids ascend, null ones first; rows of one doc_id are
+    ordered by a hash of their text. A null or empty text gives a record with
+    the end id alone. An empty table gives no records.
     """
     size = docs.agg(F.sum(utf8_size(F.col("text")))).first()[0] or 0
     files = max(1, math.ceil(size / file_text_bytes))
-    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    order = order or [doc_id, F.xxhash64("text")]
+    names = [f"order{k}" for k in range(len(order))]
+    ordered = docs.select(doc_id.alias("doc_id"), "text", *(c.alias(n) for c, n in zip(order, names))).repartitionByRange(files, *names).sortWithinPartitions(*names).select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_file, end_id)
@@ -196,25 +212,26 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int,
     ordered.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path, compression="none", lineSep="\n")
 
 
-_INDEX = "file string, record long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long"
+_INDEX = "file string, record long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, ids_before long"
 
 
 def read_index(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
     """The offset index, read from the files themselves with every checksum verified.
 
-    (file, record: its number in the file, offset, length, doc_id, n_tokens, ids_crc32 of the ids as u32).
+    (file, record: its number in the file, offset, length, doc_id, n_tokens, ids_crc32 of the ids as u32, ids_before: ids of the file's records before).
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                rows = []
+                rows, before = [], 0
                 for k, (offset, length, payload) in enumerate(frames(memoryview(data.as_buffer()))):
                     ids = np.frombuffer(payload, f"<u{id_bytes}", offset=8).astype("<u4")
                     doc = struct.unpack_from("<q", payload)[0]
-                    rows.append((file, k, offset, length, None if doc == NULL_ID else doc, len(ids), zlib.crc32(ids.tobytes())))
-                columns = list(zip(*rows)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], ["file", "record", "offset", "length", "doc_id", "n_tokens", "ids_crc32"])
+                    rows.append((file, k, offset, length, None if doc == NULL_ID else doc, len(ids), zlib.crc32(ids.tobytes()), before))
+                    before += len(ids)
+                columns = list(zip(*rows)) or [()] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.int64()) for i, c in enumerate(columns)], ["file", "record", "offset", "length", "doc_id", "n_tokens", "ids_crc32", "ids_before"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where(F.col("length") > 0)
     return files.select("path", "content").mapInArrow(parse, _INDEX)
@@ -240,18 +257,32 @@ def read_at(spark: SparkSession, wanted: DataFrame, path: str, id_bytes: int = 2
     return files.join(places, "file").select("content", "offsets").mapInArrow(read, "doc_id long, ids array<int>")
 
 
-def encode_to_records(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None, file_text_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
+#: Files whose totals are summed in one task; so many blocks again meet in one.
+FILE_BLOCK = 1000
+
+
+def file_starts(index: DataFrame) -> DataFrame:
+    """(file, file_start): the ids of all files before, in the order of the numbers in their names."""
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
+    files = files.withColumn("number", F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long"))
+    files = files.withColumn("block", F.floor(F.col("number") / FILE_BLOCK))
+    blocks = files.groupBy("block").agg(F.sum("tokens").alias("held"))
+    blocks = blocks.select(F.col("block").alias("of"), (F.sum("held").over(Window.orderBy("block")) - F.col("held")).alias("base"))
+    own = F.sum("tokens").over(Window.partitionBy("block").orderBy("number")) - F.col("tokens")
+    return files.withColumn("own", own).join(blocks, F.col("block") == F.col("of")).select("file", (F.col("base") + F.col("own")).alias("file_start"))
+
+
+def encode_to_records(docs: DataFrame, tokenizer_file: str, end_id: int = 2, path: str | None = None, file_text_bytes: int = FILE_TEXT_BYTES, order: list[Column] | None = None) -> DataFrame:
     """Write records and their index (``path``/records, ``path``/index), and return the index with each document's global ``start``.
 
-    ``start`` counts the ids of all documents before it in file order.
+    ``start`` counts the ids of all documents before it in file order, which is
+    ``order`` or else ascending doc_id.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "records")
-    write_records(docs, f"{path}/records", tokenizer_file, end_id, file_text_bytes)
+    write_records(docs, f"{path}/records", tokenizer_file, end_id, file_text_bytes, order)
     id_bytes = encoder(tokenizer_file, end_id).dtype.itemsize
     read_index(spark, f"{path}/records", id_bytes).write.parquet(f"{path}/index")
     index = spark.read.schema(_INDEX).parquet(f"{path}/index")
-    files = index.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = files.select("file", (F.sum("tokens").over(Window.orderBy("file")) - F.col("tokens")).alias("file_start"))
-    within = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("record")) - F.col("n_tokens")
-    return index.withColumn("within", within).join(before, "file").select("doc_id", (F.col("file_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
+    starts = bounded(file_starts(index))
+    return index.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
