@@ -9,11 +9,15 @@ hash of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources of which the rates may be broadcast; more are joined by shuffling.
-BROADCAST_SOURCES = 100_000
+from .common import bounded, materialize
+
+#: Characters of a partition of the output, at most about.
+PART_CHARS = 32 << 20
 #: The greatest rate that one hashed number inverts; exp(-rate) must not underflow.
 RATE_AT_ONCE = 500
 
@@ -49,7 +53,7 @@ def poisson_draw(rate: Column, *parts: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = 0.5) -> DataFrame:
-    """(source, rate): the repetition rate of every source.
+    """(source, size, rate): the size and the repetition rate of every source.
 
     ``weights`` are target shares by source (scaled to sum to 1; a source that
     isn't named gets none). Without them a source's share is its own size to
@@ -65,7 +69,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
         share = F.sqrt(F.col("size")) if temperature == 0.5 else F.pow(F.col("size").cast("double"), F.lit(temperature))
     shares = sizes.withColumn("share", share)
     total = shares.agg(F.sum("size").cast("double").alias("all_size"), F.sum("share").alias("all_share"))
-    return shares.crossJoin(F.broadcast(total)).select("source", (F.col("share") / F.col("all_share") * (F.lit(float(epochs)) * F.col("all_size")) / F.col("size")).alias("rate"))
+    return shares.crossJoin(F.broadcast(total)).select("source", "size", (F.col("share") / F.col("all_share") * (F.lit(float(epochs)) * F.col("all_size")) / F.col("size")).alias("rate"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, temperature: float = 0.5, shuffle: bool = True, keep_draw: bool = False) -> DataFrame:
@@ -75,15 +79,23 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     mix_key, the place in the global order. A null source is a source of its
     own. Rows of one doc_id share their draw. An empty table gives no rows.
     """
-    rates = source_rates(docs, weights, epochs, temperature).withColumnsRenamed({"source": "__source", "rate": "__rate"})
+    rates = materialize(source_rates(docs, weights, epochs, temperature), "mix-rates")
+    expected = rates.agg(F.sum(F.col("rate") * F.col("size"))).first()[0] or 0
     # One row per source; the broadcast is guarded by a count.
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
+    rates = bounded(rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
     drawn = docs.join(rates, docs["source"].eqNullSafe(rates["__source"])).drop("__source")
     drawn = drawn.withColumn("__n", poisson_draw(F.col("__rate"), F.lit(f"draw{seed}"), F.col("doc_id")))
     copies = drawn.where(F.col("__n") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
     copies = copies.withColumn("__key", hashed_unit(F.lit(f"order{seed}"), F.col("doc_id"), F.col("__copy")))
     if shuffle:
-        copies = copies.repartitionByRange("__key").sortWithinPartitions("__key", "doc_id", "__copy")
+        # Keys are uniform, so equal ranges are even without a sample of the draws.
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(expected / PART_CHARS))
+        copies = copies.repartitionById(parts, F.floor(F.col("__key") * parts).cast("int")).sortWithinPartitions("__key", "doc_id", "__copy")
     drawn = {"__rate": "mix_rate", "__copy": "mix_copy", "__key": "mix_key"}
     return copies.drop(*drawn.values()).withColumnsRenamed(drawn) if keep_draw else copies.drop(*drawn)
+
+
+def mix_order(seed: int = 17) -> list[Column]:
+    """The columns that put the rows of ``mix_sources`` back into its global order: copies are numbered and hashed again."""
+    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")) - 1
+    return [hashed_unit(F.lit(f"order{seed}"), F.col("doc_id"), copy), F.col("doc_id")]
