@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from duochron.llm.chat import TurnTemplate, digest_formatted, format_conversations, render_spans
 from duochron.llm.html_blocks import leaf_blocks
 from duochron.llm.html_extract import extract_pages, labelled_pages, main_text, train_crf
-from duochron.llm.mixing import mix_sources, poisson_quantile, source_rates
+from duochron.llm.mixing import mix_order, mix_sources, poisson_quantile, source_rates
 from duochron.llm.quality import KEEP, score_quality, select_good, train
-from duochron.llm.records import PieceEncoder, encode_to_records, frame, frames, read_at
-from duochron.llm.secrets import base_spans, classify, labelled, scan_secrets
-from duochron.llm.secrets import SECRET_FORMATS, train as train_automata
+from duochron.llm.records import PieceEncoder, encode_to_records, file_starts, frame, frames, read_at
+from duochron.llm.secrets import base_spans, is_secret, labelled, scan_run, scan_secrets, trained
 
 # ---- quality classifier ----
 
@@ -206,6 +205,27 @@ def test_records_round_trip(docs, corpus, tokenizer, spark, tmp_path):
     assert encode_to_records(docs.limit(0), tokenizer).count() == 0
 
 
+def test_files_are_summed_in_number_order(spark):
+    n = 100_020
+    names = F.concat(F.lit("file:/x/records/part-"), F.lpad(F.col("id").cast("string"), 5, "0"), F.lit("-c000.txt"))
+    # lpad cuts longer numbers, so those are written as they are
+    names = F.when(F.col("id") > 99_999, F.concat(F.lit("file:/x/records/part-"), F.col("id").cast("string"), F.lit("-c000.txt"))).otherwise(names)
+    index = spark.range(0, n, 1, 4).select(names.alias("file"), (F.col("id") % 7).alias("n_tokens"), "id")
+    starts = file_starts(index.drop("id")).join(index, "file").select("id", "file_start").toPandas().sort_values("id")
+    want = np.concatenate([[0], np.cumsum(np.arange(n) % 7)[:-1]])
+    assert (starts["file_start"].to_numpy() == want).all()
+
+
+def test_records_in_mix_order(spark, tokenizer, tmp_path):
+    rows = [(k, f"document {k} of the mix", s, "en") for k, s in enumerate(["a"] * 20 + ["b"] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    mixed = mix_sources(docs, {"a": 0.3, "b": 0.7}, epochs=4.0, keep_draw=True)
+    want = [r.doc_id for r in mixed.orderBy("mix_key").collect()]
+    index = encode_to_records(mixed.drop("mix_key", "mix_copy", "mix_rate"), tokenizer, path=str(tmp_path / "m"), file_text_bytes=300, order=mix_order())
+    got = [r.doc_id for r in index.orderBy("start").collect()]
+    assert got == want and len(set(want)) < len(want) and want != sorted(want)
+
+
 def test_broken_records_are_found():
     data = frame(b"abc") + b"\n" + frame(b"") + b"\n"
     assert [(a, n, bytes(p)) for a, n, p in frames(data)] == [(0, 16, b"abc"), (16, 13, b"")]
@@ -241,11 +261,45 @@ def test_base_spans_and_digest(spark):
         assert set(f"{k}:{a}:{b}" for k, a, b in want) <= set(r.spans.split(","))
 
 
-def test_automata_on_held_out_credentials(spark):
-    automata = train_automata()
-    for name, strings in labelled(40, seed=123).items():
-        found = np.mean([classify(automata, s) is not None for s in strings])
-        assert found > 0.8 if name in SECRET_FORMATS and name != "key40" else found < 0.05 or name == "key40", (name, found)
-    key = labelled(1, seed=5)["github"][0]
-    row = scan_secrets(spark.createDataFrame([(1, f"é use {key} here")], "doc_id long, text string")).first()
-    assert re.fullmatch(rf"format_\w+:6:{6 + len(key)}", row.spans) and row.n_hex == 0
+def test_automata_on_held_out_strings():
+    secret, plain = trained()
+    credentials, harmless = labelled(60, seed=123)
+    for name, strings in credentials.items():
+        found = np.mean([any(n == name and (a, b) == (3, 3 + len(s)) for n, a, b in scan_run(f"ab.{s}", secret, plain)) for s in strings])
+        assert found >= 0.9, (name, found)
+    for name, strings in harmless.items():
+        assert np.mean([bool(scan_run(s, secret, plain)) for s in strings]) <= 0.01, name
+    for near in ("sk_live_a", "ghp_" + "a1B" * 11, "2FD4E1C67A2D28FCED849EE1BB76E7391B93EB12", "getAbstractSingletonProxyFactoryBeanName", "A" * 40, "/usr/share/doc/python3/examples/lib2/to"):
+        assert not scan_run(near, secret, plain), near
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIiwiaWF0IjoxNTE2MjM5MDIyfQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    assert scan_run(jwt, secret, plain) == [("jwt", 0, len(jwt))]
+    assert [(n, a) for n, a, _ in scan_run("cfg/prod-east/" + credentials["github"][0] + "/x." + credentials["aws"][0], secret, plain)] == [("github", 14), ("aws", 57)]
+
+
+def test_scan_against_every_pair_of_ends():
+    secret, plain = trained()
+    credentials, harmless = labelled(6, seed=31)
+    rng, every = random.Random(2), [s for kind in (credentials, harmless) for v in kind.values() for s in v]
+    for _ in range(60):
+        run = rng.choice("./-=").join(rng.choices(every, k=rng.randint(1, 3)))
+        best = []
+        for name, a in secret.items():
+            for x in range(len(run)):
+                for y in range(x + a.least, len(run) + 1):
+                    score = a.log_likelihood(run[x:y])
+                    if score > -np.inf and a.may_begin(run[x - 1] if x else "") and a.may_end(run[y] if y < len(run) else "") and is_secret(score, run[x:y], plain):
+                        best.append((x, -y, -score, name))
+        want = []
+        for x, y, _, name in sorted(best):
+            if not want or x >= want[-1][2]:
+                want.append((name, x, -y))
+        assert scan_run(run, secret, plain) == want, run
+
+
+def test_secrets_of_odd_tables(spark):
+    key = labelled(1, seed=5)[0]["github"][0]
+    rows = [(1, f"é use {key} here", 1), (1, f"é use {key} here", 1), (2, "x" * 300_000 + " " + "ab/" * 50_000 + key, 2), (None, key, 3), (3, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    got = scan_secrets(df).collect()
+    assert sorted(r.spans for r in got) == sorted(["", f"format_github:0:{len(key)}", *[f"format_github:6:{6 + len(key)}"] * 2, f"format_github:450001:{450001 + len(key)}"])
+    assert all(r.n_hex == 0 for r in got) and scan_secrets(df.limit(0)).count() == 0
