@@ -10,7 +10,7 @@ import pytest
 
 from duochron.llm.components import connected_components
 from duochron.llm.decontaminate import contamination, drop_contaminated
-from duochron.llm.jaccard import keep_one_each, least_overlap, near_duplicates, prefix_length, star_links
+from duochron.llm.jaccard import keep_one_each, least_overlap, may_link, near_duplicates, parity_sketch, prefix_length, star_links
 from duochron.llm.perplexity import base_counts, quality_rules
 from duochron.llm.sharding import difference, shard_by_bytes, write_shards
 from duochron.llm.shingles import hash_spans, shingle_sets, word_hashes
@@ -93,6 +93,18 @@ def test_star_links_against_all_pairs():
         assert label == found and (guests is not None or outside == [k for k in range(11) if label[k] != -1])
 
 
+def test_sketches_let_every_link_through():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64)
+        sets = [np.unique(np.append(base[rng.random(len(base)) < rng.choice([0.1, 0.7, 0.95])], rng.integers(0, 1 << 63, rng.integers(1, 40)).astype(np.uint64))) for _ in range(12)]
+        ok = may_link(np.array([len(x) for x in sets]), [parity_sketch(x) for x in sets], 75)
+        real = [any(k != m and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y)) for m, y in enumerate(sets)) for k, x in enumerate(sets)]
+        assert (ok >= real).all()
+    apart = [np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(10)]
+    assert not may_link(np.array([len(x) for x in apart]), [parity_sketch(x) for x in apart], 75).any()
+
+
 def test_one_of_each_group_stays(docs, corpus):
     kept = keep_one_each(docs)
     assert kept.columns == docs.columns
