@@ -12,7 +12,8 @@ BLOCK_TAGS = frozenset(
     "hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TAGS = frozenset("button canvas datalist head iframe math noscript object option select svg template".split())
+#: Controls and what a browser replaces; their text is no part of the page.
+HIDDEN_TAGS = frozenset("datalist head iframe noscript option select svg template".split())
 #: An open tag of the key ends where a tag of the value begins.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
@@ -46,8 +47,9 @@ def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order, character references decoded and white space run together.
 
     ``names`` are the words of the class, id and role attributes of all
-    ancestors. A ``data-label`` attribute (labelled pages) gives ``label``.
-    Comments, scripts, styles, controls and hidden elements give no blocks.
+    ancestors, and ``hidden`` where one of them isn't shown: that is for the
+    model to weigh, not dropped here. A ``data-label`` attribute (labelled pages)
+    gives ``label``. Comments, scripts, styles and controls give no blocks.
     """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool, int | None]] = []
@@ -116,7 +118,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 if name in ("class", "id", "role"):
                     found += NAME.findall(value)
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                    hides = True
+                    found.append("hidden")
             names = tuple(found)
             if "data-label" in attributes:
                 label = int(attributes.split('data-label="')[1][0])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,8 @@ def labelled_pages(n: int = 450, seed: int = 11) -> list[str]:
         text = f"<p>{sentence(3, 40)}</p>" * rng.randint(1, 2)
         kind = rng.choice(["ad", "ads", "advert", "advertisement", "banner", "promo", "sponsored", "sidebar", "widget", "cookie", "cookie-notice", "consent", "notice", "alert", "popup", "newsletter", "subscribe", "related", "share", "social", "tags"])
         plain, h = sentence(2, 30), rng.choice(["h2", "h3", "h4"])
+        if rng.random() < 0.1:
+            kind += '" hidden="'
         return rng.choice([f'<div class="{kind}" data-label="0">{text}</div>', f'<div class="{kind}" data-label="0">{plain}</div>', f'<div id="{kind}" data-label="0">{plain}</div>', f'<aside data-label="0">{text}</aside>', f'<section class="{kind}" data-label="0"><{h}>{words(1, 4)}</{h}>{text}</section>', f'<aside class="{kind}" data-label="0"><{h}>{words(1, 3)}</{h}><ul>{links(4)}</ul></aside>'])
 
     def form() -> str:
@@ -162,8 +165,8 @@ def labelled_pages(n: int = 450, seed: int = 11) -> list[str]:
         body = rng.choice(["", f"<h1>{words(1, 12)}</h1>", f"<h1>{sentence(2, 12)}</h1>", f"<header><h1>{words(2, 10)}</h1></header>"])
         for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14])):
             body += rng.choices(
-                [f"<p>{sentence()}</p>", f"<p>{sentence(1, 6)}", f"<p><b>{sentence()}<br><p>{sentence(1, 40)}</p>", f"<h2>{words(1, 6)}</h2>", f"<ul><li>{sentence(1, 12)}</li><li>{sentence(1, 20)}</li></ul>", f"<blockquote><p>{sentence()}</p></blockquote>", f"<pre>{sentence()}</pre>", f"<p>{sentence()} <a href=x>{words(1, 3)}</a> {sentence()}</p>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<div>{sentence()}</div>", aside(), form()],
-                [12, 5, 5, 3, 3, 1, 1, 3, 1, 2, 2.5, 0.5],
+                [f"<p>{sentence()}</p>", f"<p>{sentence(1, 6)}", f"<p><b>{sentence()}<br><p>{sentence(1, 40)}</p>", f"<h2>{words(1, 6)}</h2>", f"<ul><li>{sentence(1, 12)}</li><li>{sentence(1, 20)}</li></ul>", f"<blockquote><p>{sentence()}</p></blockquote>", f"<pre>{sentence()}</pre>", f"<p>{sentence()} <a href=x>{words(1, 3)}</a> {sentence()}</p>", f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", f"<div>{sentence()}</div>", f"<p {rng.choice(['hidden', 'style=display:none'])}>{sentence()}</p>", f"<p>{words(1, 6)} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {sentence()} <button>{words(1, 2)}</button></p>", aside(), form()],
+                [12, 5, 5, 3, 3, 1, 1, 3, 1, 2, 0.7, 0.7, 2.5, 0.5],
             )[0]
         open_, close = rng.choice([("<article{}>", "</article>")] * 4 + [("<main{}>", "</main>"), ("<main><article{}>", "</article></main>")] + [(f'<div {a}="{name}"{{}}>', "</div>") for a, name in (("class", "content"), ("id", "content"), ("class", "post"), ("class", "entry-content"), ("class", "article-body"), ("id", "main"), ("class", "post-content"), ("class", "text"))] + [("<section{}>", "</section>"), ("<div{}>", "</div>")])
         return open_.format(' data-label="1"') + body + close
@@ -177,7 +180,9 @@ def labelled_pages(n: int = 450, seed: int = 11) -> list[str]:
     return pages
 
 
+@lru_cache(maxsize=2)
 def train_crf(n_pages: int = 450, seed: int = 11) -> Crf:
+    """The model of ``labelled_pages``, fitted once a process."""
     return Crf().fit([leaf_blocks(p) for p in labelled_pages(n_pages, seed)])
 
 
@@ -190,8 +195,8 @@ def extract_pages(pages: DataFrame, crf: Crf | None = None) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null or empty html, and pages without main text, give an empty text. Repeated
-    rows give repeated rows, an empty table none. Whole pages are read, however
-    long. Every row stands alone: nothing is shuffled.
+    rows give repeated rows, an empty table none; other columns are not read.
+    Whole pages are read, however long. Every row stands alone: nothing is shuffled.
     """
     shared = pages.sparkSession.sparkContext.broadcast(crf or train_crf())
 
