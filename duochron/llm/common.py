@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import reduce
 from operator import and_
@@ -11,10 +12,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the session's checkpoint directory where that is unset."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: ``spark.checkpoint.dir``, or the session's checkpoint directory where that is unset.
+
+    Without either, a local session (tests) gets a temporary folder; on a cluster there is none that all could reach.
+    """
+    context = spark.sparkContext
+    own = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not own:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="duochron-"))
+        own = context.getCheckpointDir()
     return own.rstrip("/")
 
 

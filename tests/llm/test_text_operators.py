@@ -98,11 +98,11 @@ def test_sketches_let_every_link_through():
     for _ in range(40):
         base = rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64)
         sets = [np.unique(np.append(base[rng.random(len(base)) < rng.choice([0.1, 0.7, 0.95])], rng.integers(0, 1 << 63, rng.integers(1, 40)).astype(np.uint64))) for _ in range(12)]
-        ok = may_link(np.array([len(x) for x in sets]), [parity_sketch(x) for x in sets], 75)
+        ok = may_link(np.array([len(x) for x in sets]), [parity_sketch(x) for x in sets], np.arange(12), 75)
         real = [any(k != m and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y)) for m, y in enumerate(sets)) for k, x in enumerate(sets)]
         assert (ok >= real).all()
     apart = [np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(10)]
-    assert not may_link(np.array([len(x) for x in apart]), [parity_sketch(x) for x in apart], 75).any()
+    assert not may_link(np.array([len(x) for x in apart]), [parity_sketch(x) for x in apart], np.arange(10), 75).any()
 
 
 def test_one_of_each_group_stays(docs, corpus):
