@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from .operators import filters as Fl
 from .operators import matrix as M
 from .operators import scaling as Sc
 from .operators import views as V
+from .operators import aggregates as A
+from .plans.layouts import Mapped, ScalingMap, hierarchical, recover, shear_weighted, variation_penalty
 from .plans.models import Heterodyne, Homodyne
 from .plans.parameters import MODES, REGISTRY, mode_of, scaling_layout
 from .plans.solve import FitResult, cma_es, keep_better, levenberg_marquardt, multistart
@@ -22,8 +26,8 @@ from .sources.files import load
 def load_data(spark: SparkSession, source: str | Dataset, config: dict | str | None = None, cache: str | None = None) -> Dataset:
     """Read, filter angles, slice frames, preprocess: the cells ready for a fit."""
     c = load_config(config or {})
-    d = source if isinstance(source, Dataset) else load(spark, source, cache)
     a, f = c["analyzer_parameters"], c["phi_filtering"]
+    d = source if isinstance(source, Dataset) else load(spark, source, cache, a["wavevector_q"], a["dt"], finite=c["preprocessing"]["repair"] == "disabled")
     cells, angle = d.c2, d.angle
     if f["enabled"]:
         angle = Fl.select_angles(angle, f["target_ranges"] or Fl.DEFAULT_RANGES, normalise=True, fallback=f["fallback_on_empty"])
@@ -31,6 +35,7 @@ def load_data(spark: SparkSession, source: str | Dataset, config: dict | str | N
     if a["start_frame"] > 1 or a["end_frame"] >= 0:
         cells = Fl.slice_frames(cells, a["start_frame"], a["end_frame"])
     p = c["preprocessing"]
+    cells = A.repair(cells, p["repair"])
     return Dataset(M.preprocess(cells, p["diagonal"], p["normalisation"], p["noise"]), angle, d.frame, a["dt"], a["stator_rotor_gap"])
 
 
@@ -43,6 +48,9 @@ def fit(spark: SparkSession, d: Dataset, config: dict | str | None = None) -> tu
     position = {a["angle_idx"]: k for k, a in enumerate(angles)}
     q, phi = (np.array([a[k] for a in angles], float) for k in ("q", "phi"))
     layout = scaling_layout(c["optimization"]["per_angle_mode"], len(angles))
+    order = min(2, (len(angles) - 1) // 2)
+    if layout == "fourier" and order < 1:
+        raise ValueError("fourier scaling needs three angles")
     shared = layout in ("averaged", "constant")
     if mode == "two_component":
         model = Heterodyne((np.arange(n_frames) + 1.0) * d.dt, q, phi, d.dt, shared)
@@ -65,14 +73,46 @@ def fit(spark: SparkSession, d: Dataset, config: dict | str | None = None) -> tu
     high = np.concatenate([np.full(k, REGISTRY["contrast"].upper), np.full(k, REGISTRY["offset"].upper), [REGISTRY[n].upper for n in MODES[mode]]])
     if layout == "constant":
         low[: 2 * k], high[: 2 * k] = start[: 2 * k], start[: 2 * k]
-    o = c["optimization"]
-    result = levenberg_marquardt(cells, model, start, low, high, o["max_iterations"])
+    o, guard = c["optimization"], c["optimization"]["anti_degeneracy"]
+    if guard["shear_weighting"] and mode == "laminar_flow":
+        turned = d.angle.select(lookup[F.col("angle_idx")].alias("angle_idx"), "phi")
+        cells = shear_weighted(cells, turned, own.get("phi0", REGISTRY["phi0"].default))
+    mapping = None
+    if layout == "fourier":
+        mapping = ScalingMap("fourier", phi, order)
+        model, m = Mapped(model, mapping), 1 + 2 * order
+        start, reach = mapping.reduce(start), (high - low) / 2
+        # The mean keeps the bounds of the scaling; waves may take half their width either way.
+        ends = [np.concatenate([e[:1], s * reach[:1].repeat(m - 1), e[k : k + 1], s * reach[k : k + 1].repeat(m - 1), e[2 * k :]]) for e, s in ((low, -1), (high, 1))]
+        low, high = ends
+        k = m
+    strength = guard["variation_penalty"]
+
+    def penalty(p: np.ndarray) -> tuple:
+        total = np.zeros((len(p), len(p))), np.zeros(len(p)), 0.0
+        for at in (slice(0, k), slice(k, 2 * k)):
+            h, g, r2 = variation_penalty(p[at], strength)
+            total[0][at, at] += h
+            total[1][at] += g
+            total = total[0], total[1], total[2] + r2
+        return total
+
+    options = {"max_iterations": o["max_iterations"], "loss": o["loss"], "penalty": penalty if strength > 0 and k > 1 and mapping is None else None}
+    if guard["hierarchical"]:
+        start = hierarchical(cells, model, start, low, high, k).parameters
+    result = levenberg_marquardt(cells, model, start, low, high, **options)
+    if not result.converged and o["recover"]:
+        result = recover(cells, model, result, low, high)
     if o["cmaes"]["enable"]:
         best, _ = cma_es(cells, model, result.parameters, low, high)
-        result = keep_better(result, levenberg_marquardt(cells, model, best, low, high, o["max_iterations"]))
+        result = keep_better(result, levenberg_marquardt(cells, model, best, low, high, **options))
     elif o["multi_start"]["enable"]:
         m = o["multi_start"]
         result = keep_better(result, multistart(cells, model, low, high, m["n_starts"], m["seed"], custom=start[None, :])[0])
+    if mapping is not None:
+        turn = mapping.jacobian(len(MODES[mode]))
+        covariance = turn @ result.covariance @ turn.T
+        result = replace(result, parameters=mapping.expand(result.parameters), covariance=covariance, uncertainties=np.sqrt(np.maximum(np.diag(covariance), 0)))
     return result, names
 
 

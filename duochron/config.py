@@ -7,15 +7,17 @@ from copy import deepcopy
 
 import yaml
 
-from .plans.parameters import REGISTRY, mode_of
+from .operators.aggregates import REPAIRS
+from .plans.parameters import LAYOUTS, REGISTRY, mode_of
+from .plans.solve import LOSSES
 
 # What a configuration has where nothing is said.
 DEFAULTS = {
     "analysis_mode": "static_isotropic",
     "analyzer_parameters": {"dt": 1.0, "start_frame": 1, "end_frame": -1, "wavevector_q": 0.005, "stator_rotor_gap": 2e6},
     "phi_filtering": {"enabled": False, "target_ranges": [], "fallback_on_empty": True},
-    "preprocessing": {"diagonal": "statistical", "normalisation": None, "noise": None},
-    "optimization": {"max_iterations": 50, "per_angle_mode": "auto", "multi_start": {"enable": False, "n_starts": 10, "seed": 42}, "cmaes": {"enable": False}},
+    "preprocessing": {"repair": "disabled", "diagonal": "statistical", "normalisation": None, "noise": None},
+    "optimization": {"max_iterations": 50, "per_angle_mode": "auto", "loss": "linear", "recover": True, "anti_degeneracy": {"hierarchical": False, "shear_weighting": False, "variation_penalty": 0.0}, "multi_start": {"enable": False, "n_starts": 10, "seed": 42}, "cmaes": {"enable": False}},
     "initial_parameters": {},
 }
 
@@ -38,6 +40,12 @@ def check(config: dict) -> list[str]:
         mode_of(config["analysis_mode"])
     except ValueError as e:
         wrong.append(str(e))
+    o = config["optimization"]
+    for name, known in (("per_angle_mode", LAYOUTS), ("loss", LOSSES)):
+        if o[name] not in known:
+            wrong.append(f"no such {name}: {o[name]}; one of {', '.join(known)}")
+    if config["preprocessing"]["repair"] not in REPAIRS:
+        wrong.append(f"no such repair: {config['preprocessing']['repair']}")
     a = config["analyzer_parameters"]
     for name, low, high in (("dt", 1e-6, 1e3), ("wavevector_q", 1e-4, 1.0), ("stator_rotor_gap", 1e5, 1e8)):
         if not low <= a[name] <= high:
@@ -77,3 +85,13 @@ def physics_issues(values: dict[str, float]) -> list[tuple[str, str]]:
         if values.get(scale) and abs(values.get(offset, 0)) / values[scale] > 0.5:
             out.append(("warning", f"{offset} is more than half of {scale}"))
     return out
+
+
+def save_config(config: dict, path: str) -> None:
+    """Write a checked configuration as YAML, or JSON by its suffix; a JSON one is brought to YAML by loading and saving it."""
+    config = load_config(config)
+    with open(path, "w", encoding="utf-8") as f:
+        if path.endswith(".json"):
+            json.dump(config, f, indent=2)
+        else:
+            yaml.safe_dump(config, f, sort_keys=False)

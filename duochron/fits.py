@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kernels as K
-from .plans.models import Homodyne
-from .plans.parameters import STATIC
-from .plans.solve import fit_angles, levenberg_marquardt, multistart
+from .plans.models import Heterodyne, Homodyne
+from .plans.parameters import REGISTRY, STATIC, TWO_COMPONENT
+from .plans.solve import cma_es, fit_angles, levenberg_marquardt, multistart
 from .sources.events import angle_table, frame_table
 
 TRUTH = {"D0": 3000.0, "alpha": 0.4, "D_offset": 20.0}
@@ -50,5 +50,36 @@ def fit_per_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_angles(synthetic_cells(spark), one, np.array([0.5, 1.0, 1000.0, 0.5, 10.0]), LOWER, UPPER)
 
 
+HETERODYNE = {"D0_ref": 8000.0, "alpha_ref": 0.2, "D_offset_ref": 100.0, "D0_sample": 12000.0, "alpha_sample": -0.1, "D_offset_sample": 50.0, "v0": 800.0, "v_beta": 1.0, "v_offset": 0.0, "f0": 0.4, "f1": 0.0, "f2": 0.0, "f3": 0.1, "phi0_het": 0.0}
+#: Fitted beside contrast and offset; the others are held.
+FREE = ("D0_ref", "D0_sample", "v0", "f0")
+
+
+def fit_heterodyne(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-component model jointly over all angles, fractions, rates and velocity free."""
+    angles = angle_table(spark).orderBy("angle_idx").collect()  # one row an angle
+    model = Heterodyne(np.arange(20) * 1.0 + 1.0, np.array([a["q"] for a in angles]), np.array([a["phi"] for a in angles]), 1.0, shared_scaling=True)
+    frames = frame_table(spark, 20, first=1)
+    surface = K.heterodyne_surface(frames, angle_table(spark), HETERODYNE, 1.0).where((F.col("i") > 0) & (F.col("j") > 0) & (F.col("i") != F.col("j")))
+    cells = surface.select("angle_idx", "i", "j", (1.0 + 0.3 * F.col("model")).alias("c2"), F.lit(0.01).alias("sigma"))
+    truth = np.array([0.3, 1.0, *HETERODYNE.values()])
+    free = np.array([True, True, *(n in FREE for n in TWO_COMPONENT)])
+    low = np.array([0.0, 0.5, *(REGISTRY[n].lower for n in TWO_COMPONENT)])
+    high = np.array([1.0, 1.5, *(REGISTRY[n].upper for n in TWO_COMPONENT)])
+    start = np.where(free, truth * 1.15, truth)
+    low, high = np.where(free, low, truth), np.where(free, high, truth)
+    fit = levenberg_marquardt(cells, model, start, low, high, 30)
+    rows = [(n, float(v), float(u)) for n, v, u, f in zip(["contrast", "offset", *TWO_COMPONENT], fit.parameters, fit.uncertainties, free) if f]
+    return spark.createDataFrame(rows, "param string, value double, uncertainty double")
+
+
+def fit_cmaes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evolution from the middle of the box, finished by Levenberg-Marquardt."""
+    cells, model = synthetic_cells(spark, 30), _model(spark, 30)
+    low, high = np.array([0.0, 0.5, 100.0, -1.0, -100.0]), np.array([1.0, 1.5, 1e4, 1.0, 100.0])
+    best, _ = cma_es(cells.persist(), model, (low + high) / 2, low, high, generations=12)
+    return _rows(spark, levenberg_marquardt(cells, model, best, low, high))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (fit_homodyne, fit_multistart, fit_per_angle)}
+    return {f.__name__: f for f in (fit_homodyne, fit_multistart, fit_per_angle, fit_heterodyne, fit_cmaes)}

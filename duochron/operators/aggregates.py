@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, finite
 from .filters import transpose
+from .quantiles import exact_percentiles
 
 
 def angle_distribution(cells: DataFrame) -> DataFrame:
@@ -35,24 +36,29 @@ def basic_quality(cells: DataFrame) -> DataFrame:
 
 
 def asymmetry(cells: DataFrame) -> DataFrame:
-    """Per matrix: mean |M - M^T|, from one aggregation of unordered pairs."""
-    pair = cells.where(F.col("i") != F.col("j")).groupBy("angle_idx", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg((F.max("c2") - F.min("c2")).alias("gap"))
-    total = cells.groupBy("angle_idx").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("c2")).alias("most"))
-    return pair.groupBy("angle_idx").agg((2 * F.sum("gap")).alias("gaps")).join(total, "angle_idx").select("angle_idx", (F.col("gaps") / F.col("n")).alias("mean_gap"), "most")
+    """Per matrix: mean |M - M^T| and the greatest |M| over finite cells, from one aggregation of unordered pairs.
+
+    Both are null where nothing is finite.
+    """
+    x = finite(F.col("c2"))
+    pair = cells.groupBy("angle_idx", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.count(x).alias("k"), (F.max(x) - F.min(x)).alias("gap"), F.max(F.abs(x)).alias("most"))
+    both = F.when((F.col("a") == F.col("b")) & (F.col("k") > 0), 1).when(F.col("k") > 1, 2).otherwise(0)
+    return pair.groupBy("angle_idx").agg((F.sum(both * F.coalesce("gap", F.lit(0.0))) / F.nullif(F.sum(both), F.lit(0))).alias("mean_gap"), F.max("most").alias("most"))
 
 
 def symmetry_and_decay(cells: DataFrame) -> DataFrame:
     """Per matrix: 100 * (1 - mean gap / max), and the decay of the diagonal over ten frames where it lies in [0, 1]."""
-    d0, d10 = (F.max(F.when((F.col("i") == k) & (F.col("j") == k), F.col("c2"))) for k in (0, 10))
+    d0, d10 = (F.max(F.when((F.col("i") == k) & (F.col("j") == k), finite(F.col("c2")))) for k in (0, 10))
     decay = cells.groupBy("angle_idx").agg(((d0 - d10) / d0).alias("decay"))
     return asymmetry(cells).join(decay, "angle_idx").select("angle_idx", (100 * (1 - F.col("mean_gap") / F.col("most"))).alias("symmetry"), F.when(F.col("decay").between(0, 1), F.col("decay")).alias("decay"))
 
 
 def matrix_quality(cells: DataFrame) -> DataFrame:
-    """Per matrix: weighted score of finiteness, first diagonal cell, symmetry and mean."""
-    s = cells.groupBy("angle_idx").agg(F.avg(finite(F.col("c2")).isNotNull().cast("int")).alias("f"), F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("c2"))).alias("d"), F.avg("c2").alias("m"))
+    """Per matrix: weighted score of finiteness, first diagonal cell, symmetry and mean, all of finite cells; 0 below nine tenths of them."""
+    x = finite(F.col("c2"))
+    s = cells.groupBy("angle_idx").agg(F.avg(x.isNotNull().cast("int")).alias("f"), F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), x)).alias("d"), F.avg(x).alias("m"))
     s = s.join(asymmetry(cells), "angle_idx")
-    score = 0.4 * F.col("f") + 0.3 * F.when(F.col("d").between(0.5, 2.0), 1.0).otherwise(0.5) + 0.2 * F.greatest(1 - 100 * F.col("mean_gap"), F.lit(0.0)) + 0.1 * F.when(F.col("m").between(0.1, 5.0), 1.0).otherwise(0.5)
+    score = 0.4 * F.col("f") + 0.3 * F.when(F.col("d").between(0.5, 2.0), 1.0).otherwise(0.5) + 0.2 * F.greatest(1 - 100 * F.coalesce("mean_gap", F.lit(0.0)), F.lit(0.0)) + 0.1 * F.when(F.col("m").between(0.1, 5.0), 1.0).otherwise(0.5)
     return s.select("angle_idx", F.when(F.col("f") < 0.9, 0.0).otherwise(score).alias("score"))
 
 
@@ -137,15 +143,33 @@ def issues(cells: DataFrame) -> DataFrame:
     return s.select(F.explode(rows).alias("r")).where("r.on").select("r.severity", "r.category", "r.message", "r.parameter", "r.value")
 
 
-def repair(cells: DataFrame, level: str = "conservative") -> DataFrame:
-    """NaN and infinities to their matrix's median; with ``aggressive`` also negatives to 1e-6 and a wrong scale."""
-    if level == "disabled":
-        return cells
+#: What each level of repair does.
+REPAIRS = {"disabled": (), "conservative": ("nan", "infinite"), "aggressive": ("nan", "infinite", "negative", "scale")}
+
+
+def repair(cells: DataFrame, level: str = "conservative", only: tuple[str, ...] | None = None) -> DataFrame:
+    """Repairs of a level, or those named in ``only``.
+
+    ``nan`` puts NaN (and infinities, with ``infinite``) to their matrix's median; ``infinite`` alone puts them to
+    its finite extremes; ``negative`` lifts negatives to 1e-6; ``scale`` undoes a wrong scale of all.
+    """
+    kinds = REPAIRS[level] if only is None else only
     x = F.col("c2")
-    middle = F.broadcast(cells.groupBy("angle_idx").agg(F.median(finite(x)).alias("mid")))
-    out = cells.join(middle, "angle_idx").select("angle_idx", "i", "j", F.coalesce(finite(x), "mid").alias("c2"))
-    if level == "aggressive":
+    out = cells
+    if "nan" in kinds or "infinite" in kinds:
+        known = cells.withColumn("c2", finite(x))
+        extremes = known.groupBy("angle_idx").agg(F.min("c2").alias("least"), F.max("c2").alias("most"))
+        limits = F.broadcast(extremes.join(exact_percentiles(known, ["angle_idx"], "c2", {"mid": 0.5}), "angle_idx", "left"))
+        fixed = finite(x)
+        if "nan" in kinds:
+            lost = x.isNull() | F.isnan(x)
+            fixed = F.coalesce(fixed, F.when(lost | F.lit("infinite" in kinds), F.col("mid")).otherwise(x))
+        else:
+            fixed = F.coalesce(fixed, F.when(x == float("inf"), F.col("most")).when(x == float("-inf"), F.col("least")).otherwise(x))
+        out = cells.join(limits, "angle_idx").select("angle_idx", "i", "j", fixed.alias("c2"))
+    if "negative" in kinds:
         out = out.withColumn("c2", F.when(x < 0, 1e-6).otherwise(x))
+    if "scale" in kinds:
         mean = F.broadcast(out.agg(F.avg("c2").alias("mean")))
         factor = F.when(F.col("mean") > 100, 0.01).when(F.col("mean") > 10, 0.1).when((F.col("mean") > 0) & (F.col("mean") < 0.01), 10.0).otherwise(1.0)
         out = out.crossJoin(mean).select("angle_idx", "i", "j", (x * factor).alias("c2"))
@@ -164,8 +188,12 @@ def retention(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def component_hash(df: DataFrame) -> DataFrame:
-    """One row: an order-free hash of all rows, to see whether a component changed."""
-    return df.agg(F.bit_xor(F.xxhash64(*df.columns)).alias("hash"), F.count(F.lit(1)).alias("n"))
+    """One row: an order-free hash of all rows, to see whether a component changed.
+
+    Sixty bits of each row's MD5 are summed, so that repeated rows count as often as they are there.
+    """
+    digest = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)))
+    return df.agg(F.sum(F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias("hash"), F.count(F.lit(1)).alias("n"))
 
 
 def fit_quality(reduced, condition, significance) -> Column:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_percentiles
+
 #: Keys of one matrix.
 BY = ["angle_idx"]
 
@@ -78,49 +83,81 @@ def normalise(cells: DataFrame, method: str, low: float = 0.25, high: float = 0.
         "baseline": ([origin.alias("o")], F.when(F.abs("o") > eps, x / F.col("o")).otherwise(x)),
         "statistical": ([F.avg("c2").alias("m"), F.stddev_pop("c2").alias("s")], F.when(F.col("s") > eps, (x - F.col("m")) / F.col("s")).otherwise(x)),
         "minmax": ([F.min("c2").alias("lo"), F.max("c2").alias("hi")], F.when(F.col("hi") - F.col("lo") > eps, (x - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(x)),
-        "robust": ([F.median("c2").alias("m"), F.percentile("c2", F.lit(low)).alias("lo"), F.percentile("c2", F.lit(high)).alias("hi")], F.when(F.col("hi") - F.col("lo") > eps, (x - F.col("m")) / (F.col("hi") - F.col("lo"))).otherwise(x)),
+        "robust": (None, F.when(F.col("hi") - F.col("lo") > eps, (x - F.col("m")) / (F.col("hi") - F.col("lo"))).otherwise(x)),
         "physics_based": ([F.max("c2").alias("hi"), origin.alias("o")], None),
     }[method]
     if result is None:
         scaled = F.when(F.abs("hi") > eps, x / F.col("hi")).otherwise(x)
         first = F.when(F.abs("hi") > eps, F.col("o") / F.col("hi")).otherwise(F.col("o"))
         result = F.when((first < 1) & (F.abs(first) > eps), scaled / first).otherwise(scaled)
-    return cells.join(F.broadcast(cells.groupBy(*BY).agg(*aggregates)), BY).select("angle_idx", "i", "j", result.alias("c2"))
+    statistics = cells.groupBy(*BY).agg(*aggregates) if aggregates else exact_percentiles(cells, BY, "c2", {"m": 0.5, "lo": low, "hi": high})
+    return cells.join(F.broadcast(statistics), BY).select("angle_idx", "i", "j", result.alias("c2"))
 
 
-def _reflect(k, n):
-    """Index k of a line of n cells continued by reflection about its edges."""
-    k = F.when(k < 0, -k - 1).otherwise(k)
-    return F.when(k >= n, 2 * n - 1 - k).otherwise(k)
+#: Rows and columns of a tile.
+TILE = 256
 
 
-def median_filter(cells: DataFrame, size: int = 3) -> DataFrame:
-    """Median over size x size cells, edges reflected.
+def stencil(cells: DataFrame, r: int, kernel: Callable[[np.ndarray], np.ndarray], tile: int = TILE) -> DataFrame:
+    """Every cell from the (2r + 1)-square around it, edges reflected: ``kernel`` takes an array with r more on each side.
 
-    Each cell is sent to the windows it lies in (size**2 rows, more at an edge), so it is one shuffle without a join.
+    Matrices are cut into tiles; a tile also gets the cells within r of it, so that each cell moves once, a few twice.
     """
-    r = size // 2
-    n = F.broadcast(cells.groupBy(*BY).agg((F.max("i") + 1).alias("n")))
-    steps = F.array(*(F.lit(k) for k in range(-r, r + 1)))
-    targets = cells.select("angle_idx", "i", "j").join(n, BY)
-    wanted = targets.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps))
-    wanted = wanted.select("angle_idx", F.col("i").alias("ti"), F.col("j").alias("tj"), _reflect(F.col("i") + F.col("di"), F.col("n")).alias("i"), _reflect(F.col("j") + F.col("dj"), F.col("n")).alias("j"))
-    return wanted.join(cells, [*BY, "i", "j"]).groupBy(*BY, "ti", "tj").agg(F.median("c2").alias("c2")).select("angle_idx", F.col("ti").alias("i"), F.col("tj").alias("j"), "c2")
+    n = F.broadcast(cells.groupBy(*BY).agg((F.max("i") + 1).alias("n")))  # one row a matrix
+
+    def places(axis: str):
+        """(tile, place) of every tile that needs this row or column, as itself or reflected at an edge."""
+        k, size = F.col(axis), F.col("n")
+        seen = F.array_compact(F.array(k, F.when(k < r, -k - 1), F.when(k >= size - r, 2 * size - 1 - k)))
+        last = F.floor((size - 1) / tile)
+
+        def tiles(at):
+            first = F.greatest(F.floor((at - r) / tile), F.lit(0))
+            to = F.least(F.floor((at + r) / tile), last)
+            return F.when(first <= to, F.transform(F.sequence(first, to), lambda t: F.struct(t.cast("int").alias("t"), (at - t * tile + r).cast("int").alias("at"))))
+
+        return F.flatten(F.array_compact(F.transform(seen, tiles)))
+
+    dealt = cells.select("angle_idx", "i", "j", "c2").join(n, BY).withColumn("x", F.explode(places("i"))).withColumn("y", F.explode(places("j")))
+    dealt = dealt.select("angle_idx", F.col("x.t").alias("ti"), F.col("y.t").alias("tj"), F.col("x.at").alias("x"), F.col("y.at").alias("y"), "c2", "n")
+
+    def smooth(rows: pa.Table) -> pa.Table:
+        x, y, v = (rows.column(k).to_numpy() for k in ("x", "y", "c2"))
+        angle, ti, tj, size = (rows.column(k)[0].as_py() for k in ("angle_idx", "ti", "tj", "n"))
+        height, width = (min(tile, size - t * tile) for t in (ti, tj))
+        a = np.full((height + 2 * r, width + 2 * r), np.nan)
+        ok = (x < height + 2 * r) & (y < width + 2 * r)
+        a[x[ok], y[ok]] = v[ok]
+        own = np.zeros((height, width), bool)
+        inside = (x >= r) & (x < r + height) & (y >= r) & (y < r + width)
+        own[x[inside] - r, y[inside] - r] = True
+        i, j = np.nonzero(own)
+        return pa.table({"angle_idx": pa.array(np.full(len(i), angle, np.int32)), "i": pa.array((i + ti * tile).astype(np.int32)), "j": pa.array((j + tj * tile).astype(np.int32)), "c2": pa.array(kernel(a)[i, j])})
+
+    return dealt.groupBy("angle_idx", "ti", "tj").applyInArrow(smooth, "angle_idx int, i int, j int, c2 double")
+
+
+def median_filter(cells: DataFrame, size: int = 3) -> DataFrame:
+    """Median over size x size cells, edges reflected."""
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        around = np.lib.stride_tricks.sliding_window_view(a, (size, size))
+        return np.concatenate([np.median(rows, axis=(2, 3)) for rows in np.array_split(around, max(1, len(around) // 32))])
+
+    return stencil(cells, size // 2, kernel)
 
 
 def gaussian_filter(cells: DataFrame, sigma: float = 1.0, truncate: float = 4.0) -> DataFrame:
     """Separable Gaussian, edges reflected; two weighted sums along i and j."""
     r = int(truncate * sigma + 0.5)
     weights = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    weights = (weights / weights.sum()).tolist()
-    n = F.broadcast(cells.groupBy(*BY).agg((F.max("i") + 1).alias("n")))
-    kernel = F.array(*(F.struct(F.lit(k - r).alias("d"), F.lit(w).alias("w")) for k, w in enumerate(weights)))
-    out = cells
-    for axis, other in (("i", "j"), ("j", "i")):
-        wanted = out.select("angle_idx", "i", "j").join(n, BY).withColumn("k", F.explode(kernel))
-        wanted = wanted.select("angle_idx", F.col(axis).alias("to"), _reflect(F.col(axis) + F.col("k.d"), F.col("n")).alias(axis), other, F.col("k.w").alias("w"))
-        out = wanted.join(out, [*BY, axis, other]).groupBy(*BY, "to", other).agg(F.sum(F.col("w") * F.col("c2")).alias("c2")).withColumnRenamed("to", axis).select("angle_idx", "i", "j", "c2")
-    return out
+    weights /= weights.sum()
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        down = sum(w * a[k : len(a) - 2 * r + k] for k, w in enumerate(weights))
+        return sum(w * down[:, k : down.shape[1] - 2 * r + k] for k, w in enumerate(weights))
+
+    return stencil(cells, r, kernel)
 
 
 def wiener_filter(cells: DataFrame, size: int = 3, noise: float | None = None) -> DataFrame:

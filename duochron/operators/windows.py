@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -24,30 +26,88 @@ def best_result(results: DataFrame) -> DataFrame:
     return results.where("success").agg(F.min_by("start", F.struct("chi2", "start")).alias("start"), F.min("chi2").alias("chi2"))
 
 
+#: Ranges of an ordered history, each one task's work.
+RANGES = 512
+
+
+def with_ranges(history: DataFrame, key: str, least: int, ranges: int = RANGES) -> DataFrame:
+    """Add range (0 and on, ascending with ``key``, at least ``least`` rows in each): edges by a sketch, so that no task orders all rows.
+
+    Keys that repeat stay in one range.
+    """
+    n = min(ranges, history.count() // max(4 * least, 1000))
+    while n > 1:
+        edges = sorted(set(history.approxQuantile(key, [k / n for k in range(1, n)], 1 / (8 * n))))
+        dealt = history.withColumn("range", F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e <= F.col(key))))
+        counts = dealt.groupBy("range").count().agg(F.min("count").alias("fewest"), F.count(F.lit(1)).alias("held")).first()
+        if edges and counts["fewest"] >= least and counts["held"] == len(edges) + 1:
+            return dealt
+        n //= 2
+    return history.withColumn("range", F.lit(0))
+
+
+def over_last(history: DataFrame, key: str, size: int, columns: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """``columns`` (functions of a window) over the last ``size`` rows by ``key``: each range is ordered with the last rows of the one before."""
+    dealt = with_ranges(history, key, size).withColumn("__own", F.lit(True))
+    tail = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("range").orderBy(F.col(key).desc()))).where(F.col("__at") < size).drop("__at")
+    rows = dealt.unionByName(tail.withColumns({"range": F.col("range") + 1, "__own": F.lit(False)}))
+    w = Window.partitionBy("range").orderBy(key).rowsBetween(-(size - 1), 0)
+    return rows.select("*", *(f(w).alias(k) for k, f in columns.items())).where("__own").drop("__own", "range")
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Add ``name``: the row's number (1 and on) by ``key``, from ranges that are numbered apart."""
+    dealt = with_ranges(rows, key, 1)
+    held = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("__n"))  # RANGES rows at most
+    before = held.select(F.col("range"), (F.sum("__n").over(Window.orderBy("range")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(key))
+    return dealt.join(F.broadcast(before), "range").withColumn(name, (own + F.col("__before")).cast("long")).drop("range", "__before")
+
+
 def consecutive_triggers(history: DataFrame, at: int = 5) -> DataFrame:
-    """(step, triggered, run, fires): the length of the run of triggers up to each step, and whether it reaches ``at``."""
-    w = Window.orderBy("step")
-    island = F.row_number().over(w) - F.sum(F.col("triggered").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = history.withColumn("__island", island)
-    run = F.sum(F.col("triggered").cast("int")).over(Window.partitionBy("__island").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("run", F.when(F.col("triggered"), run).otherwise(0)).withColumn("fires", F.col("run") >= at).drop("__island")
+    """(step, triggered, run, fires): the length of the run of triggers up to each step, and whether it reaches ``at``.
+
+    Runs are counted in each range of steps; what a range's first run brings along is summed over the ranges before.
+    """
+    dealt = with_ranges(history, "step", 1)
+    whole = Window.partitionBy("range").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    marked = dealt.withColumn("__breaks", F.sum((~F.col("triggered")).cast("int")).over(whole))
+    run = F.sum(F.col("triggered").cast("int")).over(Window.partitionBy("range", "__breaks").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    counted = marked.withColumn("__run", F.when(F.col("triggered"), run).otherwise(0))
+    ends = counted.groupBy("range").agg(F.max_by("__run", "step").alias("last"), F.max("__breaks").alias("breaks"))  # RANGES rows at most
+    # A range without a break hands on what it got: so do all since the last one with a break.
+    ordered = Window.orderBy("range")
+    ends = ends.withColumn("since", F.sum((F.col("breaks") > 0).cast("int")).over(ordered))
+    so_far = F.sum("last").over(Window.partitionBy("since").orderBy("range"))
+    carried = ends.withColumn("sum", so_far).select("range", F.coalesce(F.lag("sum").over(ordered), F.lit(0)).alias("__carried"))
+    total = F.when(F.col("triggered"), F.col("__run") + F.when(F.col("__breaks") == 0, F.col("__carried")).otherwise(0)).otherwise(0)
+    out = counted.join(F.broadcast(carried), "range").withColumn("run", total)
+    return out.withColumn("fires", F.col("run") >= at).drop("range", "__breaks", "__run", "__carried")
 
 
 def trend(history: DataFrame, size: int = 10) -> DataFrame:
     """(step, slope): the least-squares slope of value over the last ``size`` steps."""
-    w = Window.orderBy("step").rowsBetween(-(size - 1), 0)
-    return history.select("step", F.regr_slope("value", F.col("step").cast("double")).over(w).alias("slope"))
+    return over_last(history, "step", size, {"slope": lambda w: F.regr_slope("value", F.col("step").cast("double")).over(w)}).select("step", "slope")
 
 
 def ring_statistics(batches: DataFrame, size: int = 100) -> DataFrame:
     """Per batch: success rate, mean loss and mean iterations of the last ``size``."""
-    w = Window.orderBy("batch").rowsBetween(-(size - 1), 0)
-    return batches.select("batch", F.avg(F.col("success").cast("int")).over(w).alias("success_rate"), F.avg("loss").over(w).alias("mean_loss"), F.avg("iterations").over(w).alias("mean_iterations"))
+    means = {"success_rate": F.col("success").cast("int"), "mean_loss": F.col("loss"), "mean_iterations": F.col("iterations")}
+    return over_last(batches, "batch", size, {k: (lambda w, c=c: F.avg(c).over(w)) for k, c in means.items()}).select("batch", *means)
 
 
 def allocate_chunks(points: DataFrame, n_chunks: int, key: str = "point_id") -> DataFrame:
     """Add chunk (0 and on): every angle's points in order, as evenly as possible over all chunks."""
-    return points.withColumn("chunk", F.ntile(n_chunks).over(Window.partitionBy("angle_idx").orderBy(key)) - 1)
+    ranged = with_ranges(points, key, 1)
+    held = ranged.groupBy("angle_idx", "range").agg(F.count(F.lit(1)).alias("__n"))  # RANGES rows an angle at most
+    w = Window.partitionBy("angle_idx")
+    held = held.select("angle_idx", "range", (F.sum("__n").over(w.orderBy("range")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("__all"))
+    at = F.row_number().over(Window.partitionBy("angle_idx", "range").orderBy(key)) - 1 + F.col("__before")
+    # The first (all mod n) chunks have one more, as ntile deals them.
+    size, more = F.floor(F.col("__all") / n_chunks), F.col("__all") % n_chunks
+    chunk = F.when(F.col("__at") < more * (size + 1), F.floor(F.col("__at") / (size + 1))).otherwise(more + F.floor((F.col("__at") - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    dealt = ranged.join(F.broadcast(held), ["angle_idx", "range"]).withColumn("__at", at)
+    return dealt.withColumn("chunk", chunk.cast("int")).drop("range", "__before", "__all", "__at")
 
 
 def salted_chunks(points: DataFrame, n_chunks: int, key: str = "point_id") -> DataFrame:

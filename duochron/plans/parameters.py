@@ -56,15 +56,19 @@ MODES = {"static_isotropic": STATIC, "static_anisotropic": STATIC, "laminar_flow
 
 def mode_of(name: str, allow_bare_static: bool = False) -> str:
     """The analysis mode that a configuration's string means."""
-    s = name.strip().lower()
-    if "hetero" in s or "two_component" in s:
-        return "two_component"
-    if "laminar" in s or "flow" in s:
+    s = name.lower()
+    if "laminar" in s:
         return "laminar_flow"
-    if "anisotropic" in s:
-        return "static_anisotropic"
-    if "isotropic" in s or (s == "static" and allow_bare_static):
-        return "static_isotropic"
+    if any(k in s for k in ("two_component", "two-component", "heterodyne")):
+        return "two_component"
+    if "static" in s:
+        if "anisotropic" in s:
+            return "static_anisotropic"
+        if "isotropic" in s:
+            return "static_isotropic"
+        if allow_bare_static:
+            return "static_anisotropic"
+        raise ValueError(f"{name}: say static_anisotropic or static_isotropic")
     raise ValueError(f"no such mode: {name}")
 
 
@@ -86,8 +90,14 @@ def split(vector: np.ndarray, n_angles: int) -> tuple[np.ndarray, np.ndarray, np
     return np.broadcast_to(c, n_angles).copy() if k == 1 else c, np.broadcast_to(o, n_angles).copy() if k == 1 else o, vector[2 * k :]
 
 
+#: Ways of scaling the angles.
+LAYOUTS = ("auto", "individual", "averaged", "constant", "fourier")
+
+
 def scaling_layout(mode: str, n_angles: int, threshold: int = 3) -> str:
     """auto means averaged from ``threshold`` angles on, individual below."""
+    if mode not in LAYOUTS:
+        raise ValueError(f"no such per_angle_mode: {mode}; one of {', '.join(LAYOUTS)}")
     return ("averaged" if n_angles >= threshold else "individual") if mode == "auto" else mode
 
 

@@ -8,7 +8,7 @@ the plan is the same in every iteration.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,14 +30,25 @@ class FitResult:
     iterations: int
     converged: bool
     history: list[float] = field(default_factory=list)
+    #: converged, no_step (every trial was refused), max_iterations or not_finite.
+    status: str = ""
 
     @property
     def reduced_chi_squared(self) -> float:
         return self.chi_squared / max(self.n - len(self.parameters), 1)
 
 
-def accumulate(cells: DataFrame, model, p: np.ndarray, jacobian: bool = True) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(J^T J, J^T r, chi2, n) with r = (data - model) / sigma, over (angle_idx, i, j, c2, sigma)."""
+LOSSES = ("linear", "soft_l1")
+
+
+def accumulate(cells: DataFrame, model, p: np.ndarray, jacobian: bool = True, loss: str = "linear") -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(J^T J, J^T r, cost, n) with r = (data - model) / sigma, over (angle_idx, i, j, c2, sigma).
+
+    The cost is the sum of r**2 or, for ``soft_l1``, of 2 * (sqrt(1 + r**2) - 1), of which residuals are weighted
+    by the root of its derivative.
+    """
+    if loss not in LOSSES:
+        raise ValueError(f"no such loss: {loss}")
     size = len(p)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +59,13 @@ def accumulate(cells: DataFrame, model, p: np.ndarray, jacobian: bool = True) ->
             w = np.where(s > 0, 1.0 / np.where(s > 0, s, 1.0), 0.0)
             value, jac = model.evaluate(p, a, i, j, jacobian)
             r = (y - value) * w
-            total[-2] += r @ r
             total[-1] += len(r)
+            if loss == "linear":
+                total[-2] += r @ r
+            else:
+                root = np.sqrt(1 + r * r)
+                total[-2] += (2 * (root - 1)).sum()
+                w, r = w / np.sqrt(root), r / np.sqrt(root)
             if jacobian:
                 jac *= w[:, None]
                 total[: size * size] += (jac.T @ jac).ravel()
@@ -59,23 +75,37 @@ def accumulate(cells: DataFrame, model, p: np.ndarray, jacobian: bool = True) ->
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SALTS], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["salt", "sums"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"salt": rows["salt"].iloc[:1], "sums": [np.sum(np.stack(rows["sums"]), axis=0)]})
+        return pd.DataFrame({"salt": rows["salt"].iloc[:1], "sums": [np.sum([np.array(x, float) for x in rows["sums"]], axis=0)]})
 
     partial = cells.select("angle_idx", "i", "j", "c2", "sigma").mapInArrow(fold, "salt int, sums array<double>")
     merged = partial.groupBy("salt").applyInPandas(merge, "salt int, sums array<double>").collect()  # SALTS rows at most
-    total = np.sum([r["sums"] for r in sorted(merged, key=lambda r: r["salt"])], axis=0) if merged else np.zeros(size * size + size + 2)
+    total = np.sum([np.array(r["sums"], float) for r in sorted(merged, key=lambda r: r["salt"])], axis=0) if merged else np.zeros(size * size + size + 2)
     return total[: size * size].reshape(size, size), total[size * size : -2], float(total[-2]), int(total[-1])
 
 
-def levenberg_marquardt(cells: DataFrame, model, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, max_iterations: int = 50, damping: float = 0.01, tolerance: float = 1e-6) -> FitResult:
-    """Steps are clipped to the bounds and kept only if chi-squared falls."""
+def levenberg_marquardt(cells: DataFrame, model, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, max_iterations: int = 50, damping: float = 0.01, tolerance: float = 1e-6, loss: str = "linear", penalty: Callable[[np.ndarray], tuple] | None = None) -> FitResult:
+    """Steps are clipped to the bounds and kept only if the cost falls.
+
+    Converged is what moves and falls by less than the tolerance, or can't: where no step is accepted, the
+    reduction that the linear model promises must be below the tolerance too. ``penalty`` gives (J^T J, J^T r,
+    cost) of what the driver adds to the merged sums.
+    """
     p = np.clip(np.asarray(start, float), lower, upper)
+
+    def summed(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+        jtj, jtr, cost, n = accumulate(cells, model, p, loss=loss)
+        if penalty is not None:
+            more = penalty(p)
+            jtj, jtr, cost = jtj + more[0], jtr + more[1], cost + more[2]
+        return jtj, jtr, cost, n
+
     cells = cells.persist()
     try:
-        jtj, jtr, chi2, n = accumulate(cells, model, p)
-        history, converged, k = [chi2], False, 0
+        jtj, jtr, chi2, n = summed(p)
+        history, status, k = [chi2], "max_iterations", 0
         for k in range(1, max_iterations + 1):
             if not np.isfinite(chi2):
+                status = "not_finite"
                 break
             accepted = False
             for _ in range(10):
@@ -85,13 +115,15 @@ def levenberg_marquardt(cells: DataFrame, model, start: np.ndarray, lower: np.nd
                 scale = 1 / np.sqrt(np.maximum(np.diag(left), 1e-300))
                 step[free] = scale * np.linalg.lstsq(left * np.outer(scale, scale), jtr[free] * scale, rcond=1e-12)[0]
                 trial = np.clip(p + step, lower, upper)
-                now = accumulate(cells, model, trial)
+                now = summed(trial)
                 if np.isfinite(now[2]) and now[2] < chi2:
                     accepted = True
                     break
                 damping *= 10
             if not accepted:
-                converged = True
+                g, h = jtr[free], jtj[np.ix_(free, free)]
+                promised = float(g @ np.linalg.lstsq(h, g, rcond=1e-12)[0]) if np.isfinite(h).all() else np.inf
+                status = "converged" if promised <= tolerance * chi2 or chi2 < 1e-16 * n else "no_step"
                 break
             moved = np.max(np.abs(trial - p) / np.maximum(np.abs(p), 1e-8))
             fell = (chi2 - now[2]) / max(chi2, 1e-300)
@@ -99,13 +131,13 @@ def levenberg_marquardt(cells: DataFrame, model, start: np.ndarray, lower: np.nd
             history.append(chi2)
             damping = max(damping * 0.1, 1e-7)
             if moved < tolerance and fell < tolerance or chi2 < 1e-25 * n:
-                converged = True
+                status = "converged"
                 break
         free = lower < upper
         covariance = np.zeros_like(jtj)
         s2 = chi2 / max(n - int(free.sum()), 1)
         covariance[np.ix_(free, free)] = s2 * np.linalg.pinv(jtj[np.ix_(free, free)])
-        return FitResult(p, np.sqrt(np.maximum(np.diag(covariance), 0)), covariance, chi2, n, k, converged, history)
+        return FitResult(p, np.sqrt(np.maximum(np.diag(covariance), 0)), covariance, chi2, n, k, status == "converged", history, status)
     finally:
         cells.unpersist()
 
@@ -190,8 +222,8 @@ def chi_squared_of(cells: DataFrame, model, candidates: np.ndarray) -> np.ndarra
     return out
 
 
-def multistart(cells: DataFrame, model, lower: np.ndarray, upper: np.ndarray, n_starts: int = 10, seed: int = 42, custom: np.ndarray | None = None, keep: int = 3) -> tuple[FitResult, list[list[int]]]:
-    """Latin-hypercube starts, screened, evaluated in one job; the best ``keep`` fitted in full. (best fit, basins of start numbers)."""
+def multistart(cells: DataFrame, model, lower: np.ndarray, upper: np.ndarray, n_starts: int = 10, seed: int = 42, custom: np.ndarray | None = None, keep: int | None = None) -> tuple[FitResult, list[list[int]]]:
+    """Latin-hypercube starts, screened, evaluated in one job; all of them (or the best ``keep``) fitted in full. (best fit, basins of start numbers)."""
     starts = latin_hypercube(n_starts, lower, upper, seed)
     starts = starts[np.argsort(centre_distance(starts, lower, upper), kind="stable")[: max(3, n_starts // 2)]]
     if custom is not None:

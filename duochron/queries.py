@@ -425,11 +425,9 @@ def success_rate(spark, sf_dir):
     return s.withColumn("passes", F.col("success_rate") >= 0.5)
 
 
-@query("b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS batch, o_orderstatus = 'F' AS success, o_totalprice AS loss, o_custkey AS iterations FROM orders WHERE o_orderkey <= 500) SELECT batch, avg(success::INTEGER) OVER w AS success_rate, round(avg(loss) OVER w, 6) AS mean_loss, round(avg(iterations) OVER w, 6) AS mean_iterations FROM b WINDOW w AS (ORDER BY batch ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+@query("b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS batch, o_orderstatus = 'F' AS success, o_totalprice AS loss, o_custkey AS iterations FROM orders) SELECT batch, avg(success::INTEGER) OVER w AS success_rate, round(avg(loss) OVER w, 6) AS mean_loss, round(avg(iterations) OVER w, 6) AS mean_iterations FROM b WINDOW w AS (ORDER BY batch ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def ring_statistics(spark, sf_dir):
-    from pyspark.sql import Window
-
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey <= 500").select(F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("batch"), (F.col("o_orderstatus") == "F").alias("success"), F.col("o_totalprice").alias("loss"), F.col("o_custkey").alias("iterations"))
+    o = W.numbered(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey"), "o_orderkey", "batch").select("batch", (F.col("o_orderstatus") == "F").alias("success"), F.col("o_totalprice").alias("loss"), F.col("o_custkey").alias("iterations"))
     return W.ring_statistics(o).withColumns({"mean_loss": F.round("mean_loss", 6), "mean_iterations": F.round("mean_iterations", 6)})
 
 
@@ -565,11 +563,11 @@ def best_start(spark, sf_dir):
     return W.best_result(s)
 
 
-_HISTORY = "h AS (SELECT event_id AS step, value, value > 60 AS triggered FROM events WHERE event_id < 2000)"
+_HISTORY = "h AS (SELECT event_id AS step, value, value > 60 AS triggered FROM events)"
 
 
 def _history(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 2000").select(F.col("event_id").alias("step"), "value", (F.col("value") > 60).alias("triggered"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("step"), "value", (F.col("value") > 60).alias("triggered"))
 
 
 @query(f"{_HISTORY}, g AS (SELECT *, row_number() OVER (ORDER BY step) - sum(triggered::INTEGER) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS island FROM h), r AS (SELECT step, value, triggered, CASE WHEN triggered THEN sum(triggered::INTEGER) OVER (PARTITION BY island ORDER BY step ROWS UNBOUNDED PRECEDING) ELSE 0 END::BIGINT AS run FROM g) SELECT *, run >= 5 AS fires FROM r")
@@ -835,37 +833,15 @@ def heterodyne_vectors(spark, sf_dir):
     return K.heterodyne_frames(frame_table(spark, 30), TWO, 1.0).select("i", *(F.round(c, 6).alias(c) for c in ("cr", "cm", "cv")))
 
 
-@query("p AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, (l_orderkey % 30)::INTEGER AS i, (l_partkey % 30)::INTEGER AS j FROM lineitem WHERE l_suppkey = 7), " + _cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + f" SELECT point_id, round(exp(greatest(-0.5 * 0.000036 * sqrt((da.c - db.c) * (da.c - db.c) + 1e-12), -700)), 9) AS g1 FROM p JOIN d da ON da.i = p.i JOIN d db ON db.i = p.j")
+@query("p AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, (l_orderkey % 30)::INTEGER AS i, (l_partkey % 30)::INTEGER AS j FROM lineitem), " + _cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + f" SELECT point_id, round(exp(greatest(-0.5 * 0.000036 * sqrt((da.c - db.c) * (da.c - db.c) + 1e-12), -700)), 9) AS g1 FROM p JOIN d da ON da.i = p.i JOIN d db ON db.i = p.j")
 def pointwise_diffusion(spark, sf_dir):
     """The model at scattered points: two equi-joins with the frames' integrals instead of a float lookup."""
     f = K.homodyne_frames(frame_table(spark, 30), STATIC, 1.0).select("i", "cd")
-    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey = 7").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_orderkey") % 30).cast("int").alias("i"), (F.col("l_partkey") % 30).cast("int").alias("j"))
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_orderkey") % 30).cast("int").alias("i"), (F.col("l_partkey") % 30).cast("int").alias("j"))
     both = p.join(F.broadcast(f), "i").join(F.broadcast(f.withColumnsRenamed({"i": "j", "cd": "cd_j"})), "j")
     return both.select("point_id", r9(F.exp(F.greatest(-0.5 * 0.000036 * K.time_integral(F.col("cd") - F.col("cd_j")), F.lit(-700.0)))).alias("g1"))
 
 
-@query("n(n_points, n_params, n_angles) AS (VALUES (10000, 5, 3), (23000000, 16, 23), (2000000000, 53, 23)) SELECT n_points::BIGINT AS n_points, n_params, n_angles, round(n_points::DOUBLE * n_params * 8 * 6.5 / 1073741824.0, 6) AS peak_gb, CASE WHEN n_points::DOUBLE * n_params * 8 * 6.5 / 1073741824.0 <= 12 THEN 'standard' WHEN n_points * 8.0 / 1073741824.0 <= 12 THEN 'out_of_core' ELSE 'streaming' END AS strategy FROM n")
-def memory_advice(spark, sf_dir):
-    from .operators.advisors import memory_advice as advise
-
-    n = spark.createDataFrame([(10_000, 5, 3), (23_000_000, 16, 23), (2_000_000_000, 53, 23)], "n_points long, n_params int, n_angles int")
-    return advise(n).withColumn("peak_gb", F.round("peak_gb", 6))
-
-
-@query("n(n_points, n_params, n_angles) AS (VALUES (10000, 5, 3), (23000000, 16, 23), (2000000000, 53, 23)), s AS (SELECT *, (floor(greatest(least(0.7 * 16 * 1073741824.0 / (n_params * 8 * 5), 500000.0), 10000.0) / n_angles) * n_angles)::BIGINT AS chunk FROM n) SELECT n_points::BIGINT AS n_points, n_params, n_angles, chunk, ceil(n_points / chunk)::BIGINT AS chunks FROM s")
-def chunk_advice(spark, sf_dir):
-    from .operators.advisors import chunk_advice as advise
-
-    return advise(spark.createDataFrame([(10_000, 5, 3), (23_000_000, 16, 23), (2_000_000_000, 53, 23)], "n_points long, n_params int, n_angles int"))
-
-
-@query("n AS (SELECT event_type AS a, count(*) AS n FROM events GROUP BY 1) SELECT sum(n)::BIGINT AS total, count(*) AS angles, max(n) / min(n) AS imbalance, sum(n) >= 100000 AND count(*) > 1 AND max(n) / min(n) <= 5 AS stratify FROM n")
-def stratification_advice(spark, sf_dir):
-    from .operators.advisors import stratification_advice as advise
-
-    return advise(spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
-
-
 @query("SELECT l_returnflag AS g, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2 FROM lineitem GROUP BY 1")
 def grouped_regression(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("g")).agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"), r9(F.regr_r2("l_extendedprice", "l_quantity")).alias("r2"))

@@ -1,10 +1,11 @@
 import json
+import os
 
 import numpy as np
 import pytest
 
 from duochron import api
-from duochron.config import ConfigError, load_config, physics_issues
+from duochron.config import ConfigError, load_config, physics_issues, save_config
 from duochron.sources import files
 from duochron.sources.events import events_dataset
 
@@ -49,7 +50,7 @@ def test_guards():
 
 
 def test_config(tmp_path):
-    (tmp_path / "c.yaml").write_text("analysis_mode: laminar_flow\nanalyzer_parameters: {dt: 0.5}\n")
+    (tmp_path / "c.yaml").write_text("analysis_mode: laminar_flow\nanalyzer_parameters: {dt: 0.5}\noptimization: {recover: false}\n")
     c = load_config(str(tmp_path / "c.yaml"))
     assert c["analyzer_parameters"]["dt"] == 0.5 and c["optimization"]["max_iterations"] == 50
     with pytest.raises(ConfigError, match="dt"):
@@ -76,3 +77,64 @@ def test_plot_tables_and_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM win").first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+class Array(np.ndarray):
+    """An array that is read whole by ``[()]``, as a stored one is."""
+
+
+def stored(x):
+    return np.asarray(x).view(Array)
+
+
+def test_both_layouts_of_correlation_files():
+    rng = np.random.default_rng(1)
+    half = [np.triu(rng.random((4, 4))) for _ in range(12)]
+    q = np.array([0.005] * 6 + [0.0052] * 2 + [0.009] * 4)
+    old = {"xpcs/dqlist": stored(q[None]), "xpcs/dphilist": stored(np.arange(12.0)[None]), "exchange/C2T_all": {str(k): stored(h) for k, h in enumerate(half)}}
+    got = files.arrays_of(old, 0.0049)
+    assert got["phi_angles_list"].tolist() == list(range(8)) and got["c2_exp"].shape == (8, 4, 4)
+    np.testing.assert_allclose(got["c2_exp"][3], np.triu(half[3], 1) + np.triu(half[3], 1).T + np.diag(np.diag(half[3])))
+    assert len(files.choose_old(np.linspace(0.001, 0.02, 30), 0.01)) == 10 or len(files.choose_old(np.linspace(0.001, 0.02, 30), 0.01)) >= 5
+    new = {
+        "xpcs/qmap/dynamic_v_list_dim0": stored([0.004, 0.006]), "xpcs/qmap/dynamic_v_list_dim1": stored([0.0, 45.0, 90.0]), "xpcs/twotime/processed_bins": stored([1, 3, 5, 6, 99]),
+        "xpcs/twotime/correlation_map": {f"c2_{k:05d}": stored(h) for k, h in reversed(list(enumerate(half[:5])))},
+    }
+    got = files.arrays_of(new, 0.0061)
+    assert got["wavevector_q_list"].tolist() == [0.006, 0.006] and got["phi_angles_list"].tolist() == [45.0, 90.0]
+    np.testing.assert_allclose(got["c2_exp"][0][0], half[2][0])
+    with pytest.raises(ValueError):
+        files.arrays_of({}, 0.005)
+
+
+def test_configuration_is_checked_and_saved(tmp_path):
+    for wrong in ({"optimization": {"per_angle_mode": "furrier"}}, {"optimization": {"loss": "cauchy"}}, {"preprocessing": {"repair": "all"}}):
+        with pytest.raises(ConfigError):
+            load_config(wrong)
+    (tmp_path / "a.json").write_text('{"analysis_mode": "laminar_flow"}')
+    save_config(load_config(str(tmp_path / "a.json")), str(tmp_path / "b.yaml"))
+    assert load_config(str(tmp_path / "b.yaml"))["analysis_mode"] == "laminar_flow"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from duochron.__main__ import main
+
+    (tmp_path / "c.yaml").write_text("analysis_mode: static_isotropic\nanalyzer_parameters: {dt: 0.5}\noptimization: {recover: false}\n")
+    assert main(["check", str(tmp_path / "c.yaml")]) == 0
+    (tmp_path / "bad.yaml").write_text("analysis_mode: static\n")
+    assert main(["check", str(tmp_path / "bad.yaml")]) == 1
+    archive(tmp_path / "a.npz", n=16)
+    one = ["fit", str(tmp_path / "a.npz"), "--config", str(tmp_path / "c.yaml"), "--output", str(tmp_path / "out")]
+    assert main([*one, "--max-iterations", "1"]) == 2
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["status"] != "converged"
+    assert os.path.isdir(tmp_path / "out" / "parameters") and os.path.isdir(tmp_path / "out" / "fitted")
+
+
+def test_loaded_cells_are_repaired(spark, tmp_path):
+    c2 = archive(tmp_path / "n.npz")
+    c2[1, 2, 3] = np.nan
+    archive(tmp_path / "n.npz", c2_exp=c2)
+    options = {"analyzer_parameters": {"dt": 0.5}, "preprocessing": {"diagonal": None, "repair": "conservative"}}
+    cells = api.load_data(spark, str(tmp_path / "n.npz"), options).c2
+    got = cells.where("angle_idx = 1 AND i = 2 AND j = 3").first().c2
+    assert abs(got - np.nanmedian(c2[1])) < 1e-12

@@ -59,3 +59,62 @@ def test_alternating_fit_lowers_chi_squared_and_recovery_keeps_the_better(spark)
     assert gradient_ratio(cells, model, start, 1) >= 0
     w = shear_weighted(cells, angle_table(spark), 5.0).groupBy("angle_idx").agg({"sigma": "min"}).collect()
     assert len({round(r[1], 9) for r in w}) > 1
+
+
+def _flow_cells(spark, noise=0.0, outliers=0):
+    from duochron.plans.models import Homodyne
+
+    phi, q = np.array([-60.0, -20.0, 5.0, 30.0, 70.0]), np.full(5, 0.006)
+    m = Homodyne(np.arange(14.0), q, phi, 1.0, 2e3)
+    a, i, j = (x.ravel() for x in np.meshgrid(range(5), range(14), range(14), indexing="ij"))
+    off = i != j
+    a, i, j = a[off], i[off], j[off]
+    contrast, offset = 0.3 + 0.05 * np.cos(np.radians(phi)), 1 + 0.02 * np.sin(np.radians(phi))
+    y = m.evaluate(np.concatenate([contrast, offset, [3000.0, 0.4, 20.0]]), a, i, j, False)[0]
+    rng = np.random.default_rng(0)
+    y = y + noise * rng.standard_normal(len(y))
+    y[rng.choice(len(y), outliers, replace=False)] += 3.0
+    cells = spark.createDataFrame([(int(x), int(k), int(l), float(v)) for x, k, l, v in zip(a, i, j, y)], "angle_idx int, i int, j int, c2 double")
+    angle = spark.createDataFrame([(k, "", float(q[k]), float(phi[k])) for k in range(5)], "angle_idx int, name string, q double, phi double")
+    frame = spark.createDataFrame([(k, float(k)) for k in range(14)], "i int, t double")
+    return cells, angle, frame, contrast, offset
+
+
+def test_public_fit_by_fourier_scaling(spark):
+    from duochron import api
+    from duochron.schema import Dataset
+
+    cells, angle, frame, contrast, offset = _flow_cells(spark)
+    result, names = api.fit(spark, Dataset(cells, angle, frame, 1.0, 2e3), {"optimization": {"per_angle_mode": "fourier", "max_iterations": 40}})
+    got = dict(zip(names, result.parameters))
+    assert result.status == "converged" and len(names) == 13 and result.covariance.shape == (13, 13)
+    np.testing.assert_allclose([got[f"contrast_{k}"] for k in range(5)], contrast, rtol=2e-2)
+    assert abs(got["D0"] / 3000 - 1) < 0.05 and abs(got["alpha"] - 0.4) < 0.05
+
+
+def test_soft_loss_withstands_outliers(spark):
+    from duochron.plans.models import Homodyne
+    from duochron.plans.solve import levenberg_marquardt
+
+    cells, angle, frame, *_ = _flow_cells(spark, noise=0.002, outliers=12)
+    m = Homodyne(np.arange(14.0), np.full(5, 0.006), np.array([-60.0, -20.0, 5.0, 30.0, 70.0]), 1.0, 2e3)
+    low, high = np.concatenate([np.zeros(5), np.full(5, 0.5), [100, -2, -1e5]]), np.concatenate([np.ones(5), np.full(5, 1.5), [1e5, 2, 1e5]])
+    start = np.concatenate([np.full(5, 0.4), np.ones(5), [2500.0, 0.3, 10.0]])
+    cells = cells.selectExpr("*", "0.002D AS sigma")
+    off = {loss: levenberg_marquardt(cells, m, start, low, high, 40, loss=loss).parameters[10] / 3000 - 1 for loss in ("linear", "soft_l1")}
+    assert abs(off["soft_l1"]) < 0.05 and abs(off["soft_l1"]) < abs(off["linear"])
+
+
+def test_refused_steps_are_no_convergence(spark):
+    from duochron.plans.solve import levenberg_marquardt
+
+    class Broken:
+        names = ("x",)
+
+        def evaluate(self, p, a, i, j, jacobian=True):
+            value = np.full(len(a), 0.0 if p[0] == 1.0 else np.nan)
+            return value, (np.ones((len(a), 1)) if jacobian else None)
+
+    cells = spark.createDataFrame([(0, 0, 1, 5.0, 1.0), (0, 1, 0, 5.0, 1.0)], "angle_idx int, i int, j int, c2 double, sigma double")
+    r = levenberg_marquardt(cells, Broken(), np.array([1.0]), np.array([-9.0]), np.array([9.0]))
+    assert r.status == "no_step" and not r.converged

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from duochron.operators import aggregates as A
 from duochron.operators import filters as Fl
 from duochron.operators import matrix as M
+from duochron.operators import scaling as Sc
 from duochron.operators import windows as W
+from duochron.plans.parameters import mode_of
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +103,111 @@ def test_chunks_are_a_permutation(spark):
         own = sorted((r["count"] for r in sizes if r["angle_idx"] == a), reverse=True)
         assert own[0] - own[-1] <= 1
     assert W.salted_chunks(points, 4).count() == 103
+
+
+def _matrix(spark, a, angle=0):
+    n = len(a)
+    return spark.createDataFrame([(angle, i, j, float(a[i, j])) for i in range(n) for j in range(n)], "angle_idx int, i int, j int, c2 double")
+
+
+@pytest.mark.parametrize("n", [1, 5, 13, 17])
+def test_stencils_in_tiles_equal_whole_matrices(spark, n):
+    rng = np.random.default_rng(n)
+    a = rng.random((n, n))
+    for r, got in ((1, M.stencil(_matrix(spark, a), 1, lambda x: np.median(np.lib.stride_tricks.sliding_window_view(x, (3, 3)), axis=(2, 3)), tile=4)), (2, M.stencil(_matrix(spark, a), 2, lambda x: np.median(np.lib.stride_tricks.sliding_window_view(x, (5, 5)), axis=(2, 3)), tile=6))):
+        if n < r:
+            continue
+        padded = np.pad(a, r, mode="symmetric")
+        want = np.median(np.lib.stride_tricks.sliding_window_view(padded, (2 * r + 1, 2 * r + 1)), axis=(2, 3))
+        rows = got.collect()
+        assert len(rows) == n * n and all(abs(row.c2 - want[row.i, row.j]) < 1e-12 for row in rows)
+
+
+def test_quality_ignores_a_cell_that_is_not_finite(spark):
+    rng = np.random.default_rng(4)
+    a = 1 + rng.random((8, 8)) * 0.01
+    skew = a.copy()
+    skew[0, 5] = np.nan
+    one = np.array([[1.2]])
+    cells = _matrix(spark, skew).union(_matrix(spark, one, 1)).union(_matrix(spark, np.full((3, 3), np.nan), 2))
+    got = {r.angle_idx: r.score for r in A.matrix_quality(cells).collect()}
+    gap = np.nanmean(np.abs(skew - skew.T))
+    assert abs(got[0] - (0.4 * 63 / 64 + 0.3 + 0.2 * max(0, 1 - 100 * gap) + 0.1)) < 1e-9 and abs(got[1] - 1) < 1e-12 and got[2] == 0
+    assert {r.angle_idx for r in A.quality_filter(cells, 0.99).select("angle_idx").distinct().collect()} == {1}
+    s = {r.angle_idx: r.symmetry for r in A.symmetry_and_decay(cells).collect()}
+    assert abs(s[0] - 100 * (1 - gap / np.nanmax(skew))) < 1e-9 and s[1] == 100 and s[2] is None
+
+
+def test_repairs_one_by_one(spark):
+    a = np.array([[1.0, np.nan, np.inf], [2.0, 3.0, -np.inf], [4.0, 5.0, -6.0]])
+    cells = _matrix(spark, a)
+
+    def fixed(only):
+        return {(r.i, r.j): r.c2 for r in A.repair(cells, only=only).collect()}
+
+    both = fixed(("nan", "infinite"))
+    assert both[0, 1] == both[0, 2] == both[1, 2] == 2.5 and both[2, 2] == -6
+    edge = fixed(("infinite",))
+    assert np.isnan(edge[0, 1]) and edge[0, 2] == 5 and edge[1, 2] == -6
+    nan = fixed(("nan",))
+    assert nan[0, 1] == 2.5 and nan[0, 2] == np.inf
+    assert fixed(("negative",))[2, 2] == 1e-6 and A.repair(cells, "disabled") is cells
+
+
+def test_percentiles_are_exact_beyond_the_sketch(spark, monkeypatch):
+    import duochron.operators.quantiles as Q
+
+    monkeypatch.setattr(Q, "SMALL", 50)
+    monkeypatch.setattr(Q, "MARGIN", 0.02)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.lognormal(0, 2, 3000), np.full(700, 1.5)])
+    rows = spark.createDataFrame([(0, float(x), k % 3 == 0) for k, x in enumerate(v)] + [(1, 4.0, True), (1, 5.0, False), (1, None, True), (2, None, True)], "g int, v double, third boolean").repartition(4)
+    shares = {f"p{k}": q for k, q in enumerate((0.0, 0.05, 0.2, 0.5, 0.61, 0.9, 0.99, 1.0))}
+    got = {r.g: r for r in Q.exact_percentiles(rows, ["g"], "v", shares | {"own": (0.3, "third")}).collect()}
+    for k, q in shares.items():
+        assert abs(got[0][k] - np.quantile(v, q)) < 1e-12, k
+    assert abs(got[0].own - np.quantile(v[::3], 0.3)) < 1e-12 and got[1].p3 == 4.5 and got[1].own == 4.0 and 2 not in got
+    none = Sc.colour_limits(rows.where("g = 2").select(F.col("v").alias("c2"))).first()
+    assert (none.lo, none.hi) == (1.0, 1.5)
+
+
+def test_ordered_ranges_equal_one_window(spark, monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    step = np.sort(rng.choice(10**6, 9000, replace=False))
+    on = rng.random(9000) < 0.9
+    on[2000:5000] = True  # a run over several ranges
+    h = spark.createDataFrame([(int(s), bool(o), float(v)) for s, o, v in zip(step, on, rng.random(9000))], "step long, triggered boolean, value double").repartition(5)
+    assert W.with_ranges(h, "step", 10).select("range").distinct().count() > 3
+    run, want = 0, {}
+    for s, o in zip(step.tolist(), on.tolist()):
+        run = run + 1 if o else 0
+        want[s] = run
+    got = {r.step: (r.run, r.fires) for r in W.consecutive_triggers(h).collect()}
+    assert got == {s: (r, r >= 5) for s, r in want.items()}
+    pdf = h.toPandas().sort_values("step").reset_index(drop=True)
+    rolled = W.ring_statistics(h.select(F.col("step").alias("batch"), F.col("triggered").alias("success"), F.col("value").alias("loss"), F.col("step").alias("iterations"))).toPandas().sort_values("batch")
+    np.testing.assert_allclose(rolled["mean_loss"].to_numpy(), pdf["value"].rolling(100, min_periods=1).mean().to_numpy(), rtol=1e-9)
+    numbers = W.numbered(h.select("step"), "step", "k").toPandas().sort_values("step")
+    assert (numbers["k"].to_numpy() == np.arange(1, 9001)).all() and isinstance(pdf, pd.DataFrame)
+
+
+def test_a_changed_pair_of_repeated_rows_changes_the_hash(spark):
+    a = spark.createDataFrame([(1, 2.0), (1, 2.0), (3, 4.0)], "k int, v double")
+    b = spark.createDataFrame([(7, 2.0), (7, 2.0), (3, 4.0)], "k int, v double")
+    assert A.component_hash(a).first().hash != A.component_hash(b).first().hash
+    assert A.component_hash(a).first().hash == A.component_hash(a.orderBy("v", ascending=False)).first().hash
+
+
+@pytest.mark.parametrize("name, mode", [("Heterodyne", "two_component"), ("two-component", "two_component"), ("laminar", "laminar_flow"), ("static_anisotropic", "static_anisotropic"), ("Static-Isotropic", "static_isotropic")])
+def test_mode_names(name, mode):
+    assert mode_of(name) == mode
+
+
+@pytest.mark.parametrize("name", ["static", "isotropic", "flow", ""])
+def test_mode_names_that_are_none(name):
+    with pytest.raises(ValueError):
+        mode_of(name)
+    if name == "static":
+        assert mode_of(name, allow_bare_static=True) == "static_anisotropic"
