@@ -55,6 +55,17 @@ def homodyne_surface(frames: DataFrame, angles: DataFrame, p: dict[str, float],
     """
     pairs = frame_pairs(homodyne_frames(frames, p, dt).select("i", "cd", "cs"), ["cd", "cs"])
     cells = pairs.crossJoin(F.broadcast(angles.select("angle_idx", "phi", "q")))
+    return cells.select("angle_idx", "i", "j", _homodyne_g1(p, dt, length).alias("g1"))
+
+
+def homodyne_at(points: DataFrame, frames: DataFrame, angles: DataFrame, p: dict[str, float], dt: float, length: float = 2e6) -> DataFrame:
+    """``points`` (angle_idx, i, j, ...) with g1: the model of ``homodyne_surface`` at scattered cells, by equi-joins with the frames."""
+    at = _at(points, homodyne_frames(frames, p, dt).select("i", "cd", "cs"), angles, ["cd", "cs"])
+    return at.select(*points.columns, _homodyne_g1(p, dt, length).alias("g1"))
+
+
+def _homodyne_g1(p: dict[str, float], dt: float, length: float):
+    """g1 from q, phi and both frames' integrals."""
     off = F.col("i") != F.col("j")
     diffusion = F.when(off, time_integral(F.col("cd_i") - F.col("cd_j"))).otherwise(0.0)
     g1 = F.exp(F.greatest(F.least(-0.5 * F.col("q") * F.col("q") * dt * diffusion, F.lit(0.0)), F.lit(-700.0)))
@@ -62,7 +73,15 @@ def homodyne_surface(frames: DataFrame, angles: DataFrame, p: dict[str, float],
         shear = F.when(off, time_integral(F.col("cs_i") - F.col("cs_j"))).otherwise(0.0)
         s = sinc_taylor(F.col("q") * length * dt / (2 * math.pi) * F.cos(F.radians(F.lit(p["phi0"]) - F.col("phi"))) * shear)
         g1 = g1 * s * s
-    return cells.select("angle_idx", "i", "j", F.greatest(g1, F.lit(1e-10)).alias("g1"))
+    return F.greatest(g1, F.lit(1e-10))
+
+
+def _at(points: DataFrame, frames: DataFrame, angles: DataFrame, columns: list[str]) -> DataFrame:
+    """Points with both frames' columns and their angle's q and phi; frames and angles are dimensions."""
+    frames = F.broadcast(frames) if frames.limit(BROADCAST_FRAMES + 1).count() <= BROADCAST_FRAMES else frames
+    first = frames.select("i", *(F.col(c).alias(f"{c}_i") for c in columns))
+    second = frames.select(F.col("i").alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns))
+    return points.join(first, "i").join(second, "j").join(F.broadcast(angles.select("angle_idx", "phi", "q")), "angle_idx")
 
 
 def scaled(g1, contrast, offset):
@@ -90,7 +109,19 @@ def heterodyne_surface(frames: DataFrame, angles: DataFrame, p: dict[str, float]
     Reference and sample parts and their beat, divided by the intensities'
     normalisation. Parameters as in the two-component registry.
     """
-    cells = frame_pairs(heterodyne_frames(frames, p, dt).select("i", "cr", "cm", "cv", "fs"), ["cr", "cm", "cv", "fs"]).crossJoin(F.broadcast(angles.select("angle_idx", "phi", "q")))
+    names = ["cr", "cm", "cv", "fs"]
+    cells = frame_pairs(heterodyne_frames(frames, p, dt).select("i", *names), names).crossJoin(F.broadcast(angles.select("angle_idx", "phi", "q")))
+    return cells.select("angle_idx", "i", "j", _heterodyne_c2(p).alias("model"))
+
+
+def heterodyne_at(points: DataFrame, frames: DataFrame, angles: DataFrame, p: dict[str, float], dt: float) -> DataFrame:
+    """``points`` (angle_idx, i, j, ...) with model: that of ``heterodyne_surface`` at scattered cells."""
+    names = ["cr", "cm", "cv", "fs"]
+    at = _at(points, heterodyne_frames(frames, p, dt).select("i", *names), angles, names)
+    return at.select(*points.columns, _heterodyne_c2(p).alias("model"))
+
+
+def _heterodyne_c2(p: dict[str, float]):
     q, fi, fj = F.col("q"), F.col("fs_i"), F.col("fs_j")
     ri, rj = 1 - fi, 1 - fj
 
@@ -101,7 +132,7 @@ def heterodyne_surface(frames: DataFrame, angles: DataFrame, p: dict[str, float]
     beat = F.cos(q * F.cos(F.radians(F.col("phi") + F.lit(p["phi0_het"]))) * (F.col("cv_j") - F.col("cv_i")))
     top = F.pow(ri * rj * hr, F.lit(2.0)) + F.pow(fi * fj * hs, F.lit(2.0)) + 2 * ri * fi * rj * fj * hr * hs * beat
     norm = F.greatest((fi * fi + ri * ri) * (fj * fj + rj * rj), F.lit(1e-10))
-    return cells.select("angle_idx", "i", "j", (top / norm).alias("model"))
+    return top / norm
 
 
-__all__ = ["cumulative_trapezoid", "frame_pairs", "heterodyne_frames", "heterodyne_surface", "homodyne_frames", "homodyne_surface", "safe_exp", "scaled", "time_integral"]
+__all__ = ["cumulative_trapezoid", "frame_pairs", "heterodyne_at", "heterodyne_frames", "heterodyne_surface", "homodyne_at", "homodyne_frames", "homodyne_surface", "safe_exp", "scaled", "time_integral"]

@@ -40,3 +40,10 @@ def expand_scaling(scaling: DataFrame) -> DataFrame:
     """(contrast array, offset array) to a row per angle."""
     c = scaling.select(F.posexplode(F.arrays_zip("contrast", "offset")).alias("angle_idx", "s"))
     return c.select("angle_idx", "s.contrast", "s.offset")
+
+
+def clipped(values: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(name, value) clipped to the bounds (name, lower, upper), and whether it was within."""
+    b = F.broadcast(bounds.select("name", "lower", "upper"))  # one row a parameter
+    inside = F.col("value").between(F.col("lower"), F.col("upper"))
+    return values.join(b, "name").select("name", F.greatest(F.least("value", "upper"), F.col("lower")).alias("value"), inside.alias("within"))

@@ -16,6 +16,7 @@ from .operators import scaling as Sc
 from .operators import views as V
 from .operators import windows as W
 from .plans.parameters import parameter_table
+from .sources.events import HOURLY_SQL
 from .sources.events import SQL as BASE
 from .sources.events import angle_table, events_dataset, frame_table, intensity
 
@@ -683,7 +684,15 @@ def wiener_filter(spark, sf_dir):
     return M.wiener_filter(cells(spark, sf_dir)).withColumn("c2", r9("c2"))
 
 
-@query()
+def _savgol_taps() -> str:
+    """(at, of, v): the weights of a quadratic over five cells; the ends by the polynomial of the first and last five."""
+    ends = {0: (31, 9, -3, -5, 3), 1: (9, 13, 12, 6, -5), 28: (-5, 6, 12, 13, 9), 29: (3, -5, -3, 9, 31)}  # fixed values, over 35
+    rows = [(at, of, v) for at, taps in ends.items() for of, v in enumerate(taps, 0 if at < 2 else 25)]
+    rows += [(at, at + d, v) for at in range(2, 28) for d, v in zip(range(-2, 3), (-3, 12, 17, 12, -3))]
+    return "sg(at_, of_, v) AS (VALUES " + ", ".join(f"({a}, {o}, {v}::DOUBLE / 35)" for a, o, v in rows) + ")"
+
+
+@query(f"{_savgol_taps()}, rows_ AS (SELECT angle_idx, i, at_ AS j, sum(v * c2) AS c2 FROM c2 JOIN sg ON of_ = j GROUP BY ALL) SELECT angle_idx, at_ AS i, j, round(sum(v * c2), 9) AS c2 FROM rows_ JOIN sg ON of_ = i GROUP BY ALL")
 def savgol_filter(spark, sf_dir):
     return M.savgol_filter(cells(spark, sf_dir)).withColumn("c2", r9("c2"))
 
@@ -833,13 +842,86 @@ def heterodyne_vectors(spark, sf_dir):
     return K.heterodyne_frames(frame_table(spark, 30), TWO, 1.0).select("i", *(F.round(c, 6).alias(c) for c in ("cr", "cm", "cv")))
 
 
-@query("p AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, (l_orderkey % 30)::INTEGER AS i, (l_partkey % 30)::INTEGER AS j FROM lineitem), " + _cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + f" SELECT point_id, round(exp(greatest(-0.5 * 0.000036 * sqrt((da.c - db.c) * (da.c - db.c) + 1e-12), -700)), 9) AS g1 FROM p JOIN d da ON da.i = p.i JOIN d db ON db.i = p.j")
+_SCATTERED = "p AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, (l_suppkey % 5)::INTEGER AS angle_idx, (l_orderkey % 30)::INTEGER AS i, (l_partkey % 30)::INTEGER AS j FROM lineitem), "
+
+
+def _scattered(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return p.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_suppkey") % 5).cast("int").alias("angle_idx"), (F.col("l_orderkey") % 30).cast("int").alias("i"), (F.col("l_partkey") % 30).cast("int").alias("j"))
+
+
+def _at_points(surface_sql: str, column: str) -> str:
+    """The SQL of a surface, looked up at the scattered points."""
+    inner, last = surface_sql[len(BASE):].rsplit(" SELECT angle_idx, ", 1) if " SELECT angle_idx, " in surface_sql else surface_sql[len(BASE):].rsplit("\nSELECT angle_idx, ", 1)
+    return f"{_SCATTERED}{inner.lstrip(', ')}, surface AS (SELECT angle_idx, {last}) SELECT point_id, p.angle_idx, p.i, p.j, {column} FROM p JOIN surface s ON s.angle_idx = p.angle_idx AND s.i = p.i AND s.j = p.j"
+
+
+@query(_at_points(_SQL["homodyne_static_g2"], "g2"))
 def pointwise_diffusion(spark, sf_dir):
-    """The model at scattered points: two equi-joins with the frames' integrals instead of a float lookup."""
-    f = K.homodyne_frames(frame_table(spark, 30), STATIC, 1.0).select("i", "cd")
-    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_orderkey") % 30).cast("int").alias("i"), (F.col("l_partkey") % 30).cast("int").alias("j"))
-    both = p.join(F.broadcast(f), "i").join(F.broadcast(f.withColumnsRenamed({"i": "j", "cd": "cd_j"})), "j")
-    return both.select("point_id", r9(F.exp(F.greatest(-0.5 * 0.000036 * K.time_integral(F.col("cd") - F.col("cd_j")), F.lit(-700.0)))).alias("g1"))
+    """The model at scattered points: equi-joins with the frames' integrals instead of a float lookup."""
+    at = K.homodyne_at(_scattered(spark, sf_dir), frame_table(spark, 30), angle_table(spark), STATIC, 1.0)
+    return at.select("point_id", "angle_idx", "i", "j", r9(K.scaled(F.col("g1"), F.lit(0.3), F.lit(1.0))).alias("g2"))
+
+
+@query(_at_points(_SQL["homodyne_flow_g1"], "g1"))
+def pointwise_shear(spark, sf_dir):
+    return K.homodyne_at(_scattered(spark, sf_dir), frame_table(spark, 30), angle_table(spark), FLOW, 1.0).withColumn("g1", r9("g1"))
+
+
+@query(_at_points(_SQL["heterodyne_surface"], "model"))
+def pointwise_two_component(spark, sf_dir):
+    return K.heterodyne_at(_scattered(spark, sf_dir), frame_table(spark, 30), angle_table(spark), TWO, 1.0).withColumn("model", r9("model"))
+
+
+@query("SELECT i, round(CASE WHEN abs(x) <= 1e-10 THEN 1.0 ELSE sin(x) / x END, 9) AS sinc FROM (SELECT i, (i - 15) / 5.0 AS x FROM frame)")
+def heterodyne_sinc(spark, sf_dir):
+    return frame_table(spark, 30).select("i", r9(S.sinc_plain((F.col("i") - 15) / 5.0)).alias("sinc"))
+
+
+@query("param(name, lower, upper) AS (VALUES ('D0', 100.0::DOUBLE, 100000.0::DOUBLE), ('alpha', -2.0::DOUBLE, 2.0::DOUBLE), ('phi0', -10.0::DOUBLE, 10.0::DOUBLE)), v AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'D0' WHEN 1 THEN 'alpha' ELSE 'phi0' END AS name, (p_retailprice - 1000) / (CASE p_partkey % 3 WHEN 0 THEN 1 ELSE 100 END) AS value FROM part) SELECT name, greatest(least(value, upper), lower) AS value, value BETWEEN lower AND upper AS within FROM v JOIN param USING (name)")
+def clipped_parameters(spark, sf_dir):
+    kind = F.col("p_partkey") % 3
+    v = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.when(kind == 0, "D0").when(kind == 1, "alpha").otherwise("phi0").alias("name"), ((F.col("p_retailprice") - 1000) / F.when(kind == 0, 1).otherwise(100)).alias("value"))
+    return V.clipped(v, parameter_table(spark))
+
+
+@query(_POINTS.split(", ch AS")[0].replace("SELECT (l_suppkey", "SELECT DISTINCT (l_suppkey", 1) + " SELECT angle_idx, point_id, floor(('0x' || substr(md5('42|' || angle_idx || '|' || point_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * 7)::INTEGER AS chunk FROM pts")
+def shuffled_chunks(spark, sf_dir):
+    return W.shuffled_chunks(_points(spark, sf_dir), 7)
+
+
+@query("gaps AS (SELECT angle_idx, i, j, CASE WHEN angle_idx = 1 AND i = 3 AND j = 5 OR angle_idx = 2 AND i < 4 THEN NULL ELSE c2 + 0.001 * i END AS c2 FROM c2), g AS (SELECT a.angle_idx, avg(abs(a.c2 - b.c2)) AS e FROM gaps a JOIN gaps b ON a.angle_idx = b.angle_idx AND a.i = b.j AND a.j = b.i GROUP BY 1), s AS (SELECT angle_idx, count(c2) / count(*) AS f, max(c2) FILTER (WHERE i = 0 AND j = 0) AS d, avg(c2) AS m FROM gaps GROUP BY 1) SELECT angle_idx, round(CASE WHEN f < 0.9 THEN 0 ELSE 0.4 * f + 0.3 * (CASE WHEN d BETWEEN 0.5 AND 2 THEN 1 ELSE 0.5 END) + 0.2 * greatest(1 - 100 * e, 0) + 0.1 * (CASE WHEN m BETWEEN 0.1 AND 5 THEN 1 ELSE 0.5 END) END, 9) AS score FROM s JOIN g USING (angle_idx)")
+def quality_with_gaps(spark, sf_dir):
+    """Scores of matrices of which one lacks a cell and one four rows."""
+    lost = ((F.col("angle_idx") == 1) & (F.col("i") == 3) & (F.col("j") == 5)) | ((F.col("angle_idx") == 2) & (F.col("i") < 4))
+    gaps = cells(spark, sf_dir).withColumn("c2", F.when(lost, float("nan")).otherwise(F.col("c2") + 0.001 * F.col("i")))
+    return A.matrix_quality(gaps).select("angle_idx", r9("score").alias("score"))
+
+
+# ---- hourly frames: some million cells at a tenth of the scale ----
+
+
+@query(HOURLY_SQL + f", {_quantiles('c2')} SELECT angle_idx, n, round(contrast, 9) AS contrast, round(off, 9) AS off FROM scal", base=False)
+def hourly_scaling(spark, sf_dir):
+    out = Sc.quantile_scaling(events_dataset(spark, sf_dir, "hour").c2)
+    return out.select("angle_idx", "n", r9("contrast").alias("contrast"), r9("offset").alias("off"))
+
+
+@query(HOURLY_SQL + ", gap AS (SELECT a.angle_idx, avg(abs(a.c2 - b.c2)) AS g FROM c2 a JOIN c2 b ON a.angle_idx = b.angle_idx AND a.i = b.j AND a.j = b.i GROUP BY 1), s AS (SELECT angle_idx, max(c2) FILTER (WHERE i = 0 AND j = 0) AS d, avg(c2) AS m FROM c2 GROUP BY 1) SELECT angle_idx, round(0.4 + 0.3 * (CASE WHEN d BETWEEN 0.5 AND 2 THEN 1 ELSE 0.5 END) + 0.2 * greatest(1 - 100 * g, 0) + 0.1 * (CASE WHEN m BETWEEN 0.1 AND 5 THEN 1 ELSE 0.5 END), 9) AS score FROM s JOIN gap USING (angle_idx)", base=False)
+def hourly_quality(spark, sf_dir):
+    return A.matrix_quality(events_dataset(spark, sf_dir, "hour").c2).select("angle_idx", r9("score").alias("score"))
+
+
+@query(HOURLY_SQL + ", st(s) AS (VALUES (-1), (0), (1)), w AS (SELECT angle_idx, i, j + s AS j, c2 FROM c2, st WHERE j + s BETWEEN 0 AND 719), one AS (SELECT angle_idx, i, j, sum(c2) AS c2 FROM w GROUP BY ALL), edge AS (SELECT angle_idx, i, j, one.c2 + CASE WHEN j IN (0, 719) THEN c2.c2 ELSE 0 END AS c2 FROM one JOIN c2 USING (angle_idx, i, j)), v AS (SELECT angle_idx, i + s AS i, j, c2 FROM edge, st WHERE i + s BETWEEN 0 AND 719), two AS (SELECT angle_idx, i, j, sum(c2) AS c2 FROM v GROUP BY ALL), box AS (SELECT angle_idx, i, j, (two.c2 + CASE WHEN i IN (0, 719) THEN edge.c2 ELSE 0 END) / 9 AS c2 FROM two JOIN edge USING (angle_idx, i, j)) SELECT angle_idx, count(*) AS n, round(avg(c2), 7) AS mean, round(max(c2), 7) AS most, round(min(c2), 7) AS least FROM box GROUP BY 1", base=False)
+def hourly_box_filter(spark, sf_dir):
+    """Means over 3 x 3 cells in tiles, edges reflected."""
+    box = M.stencil(events_dataset(spark, sf_dir, "hour").c2, 1, _box)
+    return box.groupBy("angle_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c2"), 7).alias("mean"), F.round(F.max("c2"), 7).alias("most"), F.round(F.min("c2"), 7).alias("least"))
+
+
+def _box(a):
+    rows = a[:-2] + a[1:-1] + a[2:]
+    return (rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]) / 9
 
 
 @query("SELECT l_returnflag AS g, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2 FROM lineitem GROUP BY 1")
@@ -847,11 +929,16 @@ def grouped_regression(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("g")).agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"), r9(F.regr_r2("l_extendedprice", "l_quantity")).alias("r2"))
 
 
-@query()
+_HASHED = "sum(('0x' || substr(md5({0}), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS hash, count(*) AS n"
+
+
+@query(f"SELECT 'c2' AS component, {_HASHED.format("angle_idx || '|' || i || '|' || j || '|' || round(c2 * 1e6)::BIGINT")} FROM c2 UNION ALL SELECT 'angle', {_HASHED.format("angle_idx || '|' || name")} FROM angle UNION ALL SELECT 'frame', {_HASHED.format("i::VARCHAR")} FROM frame")
 def component_hashes(spark, sf_dir):
+    """Hashes of the parts of a data set; c2 in millionths, so that any engine writes it alike."""
     d = events_dataset(spark, sf_dir)
+    parts = {"c2": d.c2.select("angle_idx", "i", "j", F.round(F.col("c2") * 1e6).cast("long").alias("c2")), "angle": d.angle.select("angle_idx", "name"), "frame": d.frame.select("i")}
     out = None
-    for name, df in (("c2", d.c2), ("angle", d.angle), ("frame", d.frame)):
+    for name, df in parts.items():
         row = A.component_hash(df).select(F.lit(name).alias("component"), "hash", "n")
         out = row if out is None else out.unionByName(row)
     return out

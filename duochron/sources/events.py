@@ -10,7 +10,8 @@ from ..schema import ANGLE, Dataset
 #: The event types stand for angles (degrees).
 ANGLES = [(0, "click", 0.005, -170.0), (1, "error", 0.006, -90.0), (2, "purchase", 0.007, 5.0), (3, "signup", 0.008, 85.0), (4, "view", 0.009, 175.0)]
 START_DAY = 19723
-STEPS = {"day": (86_400_000_000, 30), "hour": (3_600_000_000, 720)}
+#: Steps of a day, and frames of a data set.
+STEPS = {"day": (1, 30), "hour": (24, 720)}
 
 
 def angle_table(spark: SparkSession) -> DataFrame:
@@ -22,11 +23,15 @@ def frame_table(spark: SparkSession, n: int, dt: float = 1.0, first: int = 0) ->
 
 
 def intensity(spark: SparkSession, sf_dir: str, step: str = "day") -> DataFrame:
-    """(angle_idx, i, cents), every pair present: cents summed as integers, so any engine gets the same."""
-    micros, n = STEPS[step]
+    """(angle_idx, i, cents), every pair present: cents summed as integers, so any engine gets the same.
+
+    The data set is defined on these five angles and thirty days; events of other types or days are no part of it.
+    """
+    of_day, n = STEPS[step]
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
-    # ts has no zone; it is read as UTC.
-    i = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - START_DAY * 86_400_000_000) / micros).cast("int")
+    # ts has no zone, and none comes in: the time since 1970 of two zone-less values.
+    since = "(CAST(ts AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+    i = F.expr(f"CAST((EXTRACT(DAY FROM {since}) - {START_DAY}) * {of_day} + FLOOR(EXTRACT(HOUR FROM {since}) * {of_day} / 24) AS INT)")
     sums = events.select(F.col("event_type").alias("name"), i.alias("i"), F.round(F.col("value") * 100).cast("long").alias("cents")).groupBy("name", "i").agg(F.sum("cents").alias("cents"))
     grid = F.broadcast(angle_table(spark).select("angle_idx", "name")).crossJoin(frame_table(spark, n).select("i"))
     return grid.join(sums, ["name", "i"], "left").select("angle_idx", "i", F.coalesce("cents", F.lit(0)).alias("cents"))
@@ -52,3 +57,5 @@ mean AS (SELECT angle_idx, sum(cents)::DOUBLE / count(*) AS mu FROM intensity GR
 fluct AS (SELECT x.angle_idx, i, cents - mu AS d, mu FROM intensity x JOIN mean USING (angle_idx)),
 c2 AS (SELECT a.angle_idx, a.i, b.i AS j, 1 + a.d * b.d / (a.mu * a.mu) AS c2 FROM fluct a JOIN fluct b USING (angle_idx))
 """
+#: The same in hourly frames.
+HOURLY_SQL = SQL.replace("range(30)", "range(720)").replace("// 86400000000)::INTEGER", "// 3600000000)::INTEGER")

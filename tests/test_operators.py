@@ -102,7 +102,7 @@ def test_chunks_are_a_permutation(spark):
     for a in range(3):
         own = sorted((r["count"] for r in sizes if r["angle_idx"] == a), reverse=True)
         assert own[0] - own[-1] <= 1
-    assert W.salted_chunks(points, 4).count() == 103
+    assert W.shuffled_chunks(points, 4).count() == 103
 
 
 def _matrix(spark, a, angle=0):
