@@ -3,14 +3,16 @@
 op5_poisson_mixing = r"""
 WITH RECURSIVE sizes AS (SELECT source, sum(coalesce(length(text), 0) + 1)::BIGINT AS size FROM documents GROUP BY source),
 total AS (SELECT sum(size)::DOUBLE AS all_size, sum(sqrt(size)) AS all_share FROM sizes),
-rates AS (SELECT source, sqrt(size) / all_share * (1.0 * all_size) / size AS rate FROM sizes, total),
+rates AS (SELECT source, rate, greatest(ceil(rate / 500), 1)::INTEGER AS parts FROM (SELECT source, sqrt(size) / all_share * (1.0 * all_size) / size AS rate FROM sizes, total)),
 terms AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  SELECT source, rate / parts AS rate, 0 AS k, exp(-rate / parts) AS p, exp(-rate / parts) AS c FROM rates
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM terms WHERE k < ceil(rate + 12 * sqrt(rate) + 40)
 ),
-drawn AS (SELECT doc_id, source, text, ('0x' || substr(md5('draw17|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM documents),
-counted AS (SELECT d.doc_id, d.source, d.text, d.u, count(*) FILTER (WHERE t.c <= d.u) AS n FROM drawn d JOIN terms t ON t.source IS NOT DISTINCT FROM d.source GROUP BY ALL)
+rows_ AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+drawn AS (SELECT r, doc_id, d.source, text, ('0x' || substr(md5('draw17|' || coalesce(doc_id::VARCHAR, '') || CASE WHEN parts > 1 THEN '|' || part ELSE '' END), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM (SELECT rows_.*, parts, unnest(range(1, parts + 1)) AS part FROM rows_ JOIN rates ON rates.source IS NOT DISTINCT FROM rows_.source) d),
+counted AS (SELECT d.r, d.doc_id, d.source, d.text, count(*) FILTER (WHERE t.c <= d.u) AS n FROM drawn d JOIN terms t ON t.source IS NOT DISTINCT FROM d.source GROUP BY ALL)
 SELECT doc_id, source, copy::BIGINT AS mix_copy,
   ('0x' || substr(md5('order17|' || coalesce(doc_id::VARCHAR, '') || '|' || copy), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS mix_key, sha256(text) AS text_sha256
 FROM counted, LATERAL (SELECT unnest(range(n)) AS copy)

@@ -154,6 +154,19 @@ def test_mixing(docs, corpus, spark):
     assert abs(rates["a"] - 15000 / 6667) < 0.01
 
 
+def test_sql_of_large_rates(spark):
+    import duckdb
+
+    from duochron.llm.oracles import op5_poisson_mixing
+
+    rows = [(k, "x" * 100_000, "big") for k in range(400)] + [(1000 + k, "tiny", "small") for k in range(2)] + [(2000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    c = duckdb.connect()
+    c.register("documents", docs.toArrow())
+    want = Counter(c.execute(op5_poisson_mixing).df()["doc_id"])
+    assert Counter(r.doc_id for r in mix_sources(docs).select("doc_id").collect()) == want and want[1000] > 1500
+
+
 @pytest.mark.parametrize("rate", [800, 5000])
 def test_large_rates_are_drawn(spark, rate):
     from duochron.llm.mixing import poisson_draw
