@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import ascii_lower, materialize
 
@@ -95,9 +96,12 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _keys() -> dict[str, Column]:
+def _keys(docs: DataFrame) -> dict[str, Column]:
     """A key of (doc_id, text) without nulls."""
-    return {"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "k2": F.xxhash64("text")}
+    id_ = F.col("doc_id")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        id_ = F.when(id_.isNotNull(), F.xxhash64(id_))
+    return {"k1": F.coalesce(id_.cast("long"), F.lit(-(1 << 63))), "k2": F.xxhash64("text")}
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +117,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
     prints = prints.union(item_windows.where(F.col("len") < SPAN).select(F.xxhash64("gram", "len")))
     prints = _bounded(materialize(prints.distinct().withColumn("known", F.lit(True)), "bench-prints"))
 
-    keyed = docs.select("doc_id", "text", *(c.alias(n) for n, c in _keys().items()))
+    keyed = docs.select("doc_id", "text", *(c.alias(n) for n, c in _keys(docs).items()))
     # One row per document (print null) and one per fingerprint that some item has.
     seen = _fingerprints(_hashed(keyed, "text").drop("text"), short).select("doc_id", "k1", "k2", F.size("h").cast("long").alias("n_words"), F.explode(F.concat("prints", F.array(F.lit(None).cast("long")))).alias("print"))
     seen = seen.join(prints, "print", "left").where(F.col("print").isNull() | F.col("known"))
@@ -156,5 +160,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, all columns and repeated rows as they are."""
     dirty = materialize(_matches(docs, benchmark)[1].select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "bench-dirty")
-    keyed = docs.withColumns({f"__{n}": c for n, c in _keys().items()})
+    keyed = docs.withColumns({f"__{n}": c for n, c in _keys(docs).items()})
     return keyed.join(_bounded(dirty), ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")

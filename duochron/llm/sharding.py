@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key, utf8_size
+from .common import join_small, materialize, text_key, utf8_size
 
 #: Groups that one task differences, and partial partitions that one task combines.
 BLOCK_GROUPS = 20_000
@@ -146,7 +146,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, overhead: int = 16, block_gro
     groups = materialize(base.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "kk-groups")
     total = groups.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
     chunks = max(1, math.ceil(total["rows"] / slot_rows))
-    placed = base.join(assign_groups(groups.select("key", "bytes"), n_shards, total["groups"], block_groups), "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)).cast("int"))
+    shards = materialize(assign_groups(groups.select("key", "bytes"), n_shards, total["groups"], block_groups), "kk-shards")
+    placed = join_small(base, shards, "key").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)).cast("int"))
     placed = materialize(placed.drop("key"), "kk-placed")
     starts = placed.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("rows")).withColumn("start", F.sum("rows").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("rows")).drop("rows")
     rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "size", "text_crc32")) - 1
@@ -158,9 +159,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, overhead: int = 16, block_gro
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int) -> None:
-    """Write the documents as Parquet, one folder a shard, each text with its slot."""
+    """Write the documents as Parquet, one folder a shard (``kk_shard``, instead of a column so named)."""
     keyed = docs.withColumn("__key", text_key(F.col("text")))
     groups = keyed.groupBy("__key").agg((F.sum(utf8_size(F.col("text"))) + 16 * F.count(F.lit(1))).alias("bytes")).withColumnRenamed("__key", "key")
     groups = materialize(groups, "kk-groups")
-    shard = assign_groups(groups, n_shards, groups.count()).withColumnsRenamed({"key": "__key", "shard": "__shard"})
-    keyed.join(shard, "__key").drop("__key").withColumnRenamed("__shard", "kk_shard").write.partitionBy("kk_shard").parquet(path)
+    shards = materialize(assign_groups(groups, n_shards, groups.count()), "kk-shards").withColumnsRenamed({"key": "__key", "shard": "__shard"})
+    join_small(keyed, shards, "__key").drop("__key", "kk_shard").withColumnRenamed("__shard", "kk_shard").write.partitionBy("kk_shard").parquet(path)

@@ -65,3 +65,16 @@ def test_sql_of_operators(name, spark, sf):
     assert columns == sorted(got.columns)
     w, g = (x[columns].sort_values(columns).reset_index(drop=True) for x in (want, got))
     assert w.equals(g)
+
+
+def test_stages_of_empty_tables_and_nulls(spark, tmp_path):
+    """Every stage takes a table without rows, and one with nulls in every column."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    for rows in ([], [(None, None, None, None, None), (7, "", None, None, 0), (8, None, "en", "web", None)]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, docs, sf)
+            assert out.count() <= max(len(rows), 1) * 20, name

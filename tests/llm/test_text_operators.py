@@ -251,6 +251,12 @@ def test_contamination(docs, corpus, items, spark):
     assert clean.columns == docs.columns and clean.count() == sum(1 for r in brute_contamination(corpus, items) if not r[5])
 
 
+def test_text_ids_and_pipeline_stages_of_odd_tables(spark, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    named = spark.createDataFrame([("a", "one"), ("b", "two words here"), (None, "three")], "doc_id string, text string")
+    assert {r.doc_id for r in drop_contaminated(named, bench).collect()} == {"b", None}
+
+
 def test_winnowing_runs_no_python(docs, items, spark, monkeypatch):
     plan = contamination(docs, spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
