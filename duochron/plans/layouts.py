@@ -75,6 +75,10 @@ class LogShear:
         out[self.positions] = np.log(np.maximum(p[self.positions], 1e-300))
         return out
 
+    def bounds(self, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bounds of the logarithms; a bound that isn't positive becomes the least one there is."""
+        return self.to_log(lower), self.to_log(upper)
+
     def evaluate(self, p, a, i, j, jacobian=True):
         full = self.to_model(p)
         value, jac = self.model.evaluate(full, a, i, j, jacobian)
@@ -89,6 +93,27 @@ class LogShear:
         return covariance * np.outer(scale, scale)
 
 
+class Centred:
+    """A power measured from a reference: position ``k`` of the vector is the model's parameter less ``reference``."""
+
+    def __init__(self, model, k: int, reference: float):
+        self.model, self.k, self.reference = model, k, reference
+
+    def to_model(self, p: np.ndarray) -> np.ndarray:
+        out = p.copy()
+        out[self.k] += self.reference
+        return out
+
+    def to_centred(self, p: np.ndarray) -> np.ndarray:
+        """Of parameters and of bounds alike; the covariance stays as it is."""
+        out = p.copy()
+        out[self.k] -= self.reference
+        return out
+
+    def evaluate(self, p, a, i, j, jacobian=True):
+        return self.model.evaluate(self.to_model(p), a, i, j, jacobian)
+
+
 def variation_penalty(values: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(J^T J, J^T r, r**2) of the residual sqrt(strength) * std / |mean| of a group of parameters; added on the driver after the merge."""
     n, mean, std = len(values), values.mean(), values.std()

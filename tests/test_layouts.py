@@ -118,3 +118,44 @@ def test_refused_steps_are_no_convergence(spark):
     cells = spark.createDataFrame([(0, 0, 1, 5.0, 1.0), (0, 1, 0, 5.0, 1.0)], "angle_idx int, i int, j int, c2 double, sigma double")
     r = levenberg_marquardt(cells, Broken(), np.array([1.0]), np.array([-9.0]), np.array([9.0]))
     assert r.status == "no_step" and not r.converged
+
+
+def test_reduced_model_factors_and_checks(spark):
+    from duochron.plans.checks import Reduced, factors, fit_issues, gradient_and_hessian
+    from duochron.plans.layouts import Centred, LogShear
+    from duochron.plans.models import Heterodyne, Homodyne
+    from duochron.plans.parameters import REGISTRY, TWO_COMPONENT
+    from duochron.plans.solve import FitResult, chi_squared_of
+
+    m = Heterodyne(np.arange(8.0) + 1, np.array([0.006]), np.array([20.0]), 1.0, shared_scaling=True)
+    small = Reduced(m, ("v0", "f0"), {"f3": 0.2})
+    full = small.expand(np.array([0.3, 1.0, 500.0, 0.4]))
+    named = dict(zip(TWO_COMPONENT, full[2:]))
+    assert named["v0"] == 500 and named["f0"] == 0.4 and named["f3"] == 0.2 and named["D0_ref"] == REGISTRY["D0_ref"].default
+    a, i, j = np.zeros(5, int), np.array([1, 2, 3, 4, 5]), np.array([2, 4, 1, 6, 7])
+    value, jac = small.evaluate(np.array([0.3, 1.0, 500.0, 0.4]), a, i, j)
+    whole = m.evaluate(full, a, i, j)
+    np.testing.assert_array_equal(value, whole[0])
+    np.testing.assert_array_equal(jac, whole[1][:, [0, 1, 2 + TWO_COMPONENT.index("v0"), 2 + TWO_COMPONENT.index("f0")]])
+    with pytest.raises(ValueError):
+        Reduced(m, ("speed",))
+    f = factors(0.006, 2e6, 0.5)
+    assert f.diffusion == 0.5 * 0.006**2 * 0.5 and abs(f.shear - 0.006 * 2e6 * 0.5 / (2 * np.pi)) < 1e-9
+    with pytest.raises(ValueError):
+        factors(0.0, 2e6, 0.5)
+    low, high = np.zeros(2), np.ones(2)
+    sound = FitResult(np.array([0.5, 0.4]), np.ones(2), np.eye(2), 1.0, 50, 3, True, [], "converged")
+    assert fit_issues(sound, low, high) == []
+    wrong = FitResult(np.array([1.0, np.nan]), np.ones(2), -np.eye(2), np.inf, 1, 3, False, [], "no_step")
+    assert {s for s, _ in fit_issues(wrong, low, high)} == {"error", "warning"} and len(fit_issues(wrong, low, high)) >= 4
+    h = Homodyne(np.arange(6.0), np.array([0.006]), np.array([20.0]), 1.0, shared_scaling=True)
+    p = np.array([0.3, 1.0, 2000.0, 0.4, 10.0])
+    c = Centred(h, 3, 0.3)
+    np.testing.assert_allclose(c.evaluate(c.to_centred(p), a, i % 6, j % 6)[0], h.evaluate(p, a, i % 6, j % 6)[0], rtol=1e-14)
+    lo, hi = LogShear(h, [2]).bounds(np.array([0, 0.5, 100, -2, -1e5]), np.array([1, 1.5, 1e5, 2, 1e5]))
+    assert abs(lo[2] - np.log(100)) < 1e-12 and abs(hi[2] - np.log(1e5)) < 1e-12
+    cells = spark.createDataFrame([(0, int(x), int(y), 1.2, 0.1) for x in range(6) for y in range(6) if x != y], "angle_idx int, i int, j int, c2 double, sigma double")
+    g, _ = gradient_and_hessian(cells, h, p)
+    step = np.array([0, 1e-5, 0, 0, 0])
+    up, down = chi_squared_of(cells, h, np.stack([p + step, p - step]))
+    assert abs(g[1] / ((up - down) / 2e-5) - 1) < 1e-5

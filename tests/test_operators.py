@@ -211,3 +211,33 @@ def test_mode_names_that_are_none(name):
         mode_of(name)
     if name == "static":
         assert mode_of(name, allow_bare_static=True) == "static_anisotropic"
+
+
+def test_components_are_validated_once(spark):
+    from duochron.operators import validation as Va
+    from duochron.schema import Dataset
+
+    c2 = np.full((3, 3), 1.2)
+    c2[0, 0] = -1
+    angle = spark.createDataFrame([(0, "", 5.0, 10.0), (1, "", 0.01, 400.0)], "angle_idx int, name string, q double, phi double")
+    frame = spark.createDataFrame([(0, 0.0), (1, 2.0), (2, 1.0)], "i int, t double")
+    d = Dataset(_matrix(spark, c2), angle, frame, 1e5)
+    rows, hashes = Va.validate(d)
+    assert {(r.component, r.parameter) for r in rows.collect()} >= {("c2", "c2"), ("angle", "q"), ("angle", "phi"), ("frame", "t"), ("frame", "dt")}
+    assert Va.validate(d, hashes)[0].count() == 0
+    other = Dataset(_matrix(spark, c2 + 1), angle, frame, 1e5)
+    assert {r.component for r in Va.validate(other, hashes)[0].collect()} <= {"c2"}
+    with pytest.raises(ValueError):
+        Va.component_issues(d, "q")
+
+
+def test_stages_are_the_operators_in_turn(spark, cells):
+    from duochron.operators import validation as Va
+
+    df, _ = cells
+    keep = spark.createDataFrame([(1,)], "angle_idx int")
+    at = Va.stages(df, keep, "basic", "minmax", None)
+    want = M.diagonal_basic(M.normalise(M.diagonal_basic(df.where("angle_idx = 1")), "minmax"))
+    np.testing.assert_allclose(matrix(at["final"])[1], matrix(want)[1])
+    report = {r.stage: r for r in Va.stage_report(at).collect()}
+    assert list(at) == list(Va.STAGES) and report["raw"].n == 512 and report["final"].n == 256 and report["final"].finite_fraction == 1
