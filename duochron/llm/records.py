@@ -31,7 +31,7 @@ from .shingles import hash_spans
 FILE_TEXT_BYTES = 16 << 20
 NULL_ID = -(1 << 63)
 #: Pieces whose ids a worker remembers before it starts afresh.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 #: Other texts are encoded whole: an apostrophe may begin a contraction, and Unicode tables of two libraries may differ elsewhere.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x26\x28-\x7e\xa1-ɏ]*")
 
@@ -257,6 +257,15 @@ def read_at(spark: SparkSession, wanted: DataFrame, path: str, id_bytes: int = 2
     return files.join(places, "file").select("content", "offsets").mapInArrow(read, "doc_id long, ids array<int>")
 
 
+def stored_order(docs: DataFrame) -> list[Column] | None:
+    """The columns that put rows read from Parquet files into the order in which they were written; None for other rows."""
+    # A join has the metadata of any side, so only a plain scan counts.
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation" or plan.relation().fileFormat().toString() != "Parquet":
+        return None
+    return [F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long"), F.col("_metadata.row_index")]
+
+
 #: Files whose totals are summed in one task; so many blocks again meet in one.
 FILE_BLOCK = 1000
 

@@ -15,7 +15,7 @@ from duochron.llm.html_blocks import leaf_blocks
 from duochron.llm.html_extract import extract_pages, features, labelled_pages, main_text, train_crf
 from duochron.llm.mixing import mix_order, mix_sources, poisson_quantile, source_rates
 from duochron.llm.quality import KEEP, score_quality, select_good, train
-from duochron.llm.records import PieceEncoder, encode_to_records, file_starts, frame, frames, read_at
+from duochron.llm.records import PieceEncoder, encode_to_records, file_starts, frame, frames, read_at, stored_order
 from duochron.llm.secrets import base_spans, is_secret, labelled, scan_run, scan_secrets, trained
 
 # ---- quality classifier ----
@@ -260,6 +260,11 @@ def test_records_in_mix_order(spark, tokenizer, tmp_path):
     want = [r.doc_id for r in mixed.orderBy("mix_key").collect()]
     index = encode_to_records(mixed.drop("mix_key", "mix_copy", "mix_rate"), tokenizer, path=str(tmp_path / "m"), file_text_bytes=300, order=mix_order())
     got = [r.doc_id for r in index.orderBy("start").collect()]
+    assert stored_order(mixed) is None
+    mix_sources(docs, {"a": 0.3, "b": 0.7}, epochs=4.0).write.parquet(str(tmp_path / "p"))
+    back = spark.read.parquet(str(tmp_path / "p"))
+    index = encode_to_records(back, tokenizer, path=str(tmp_path / "q"), file_text_bytes=300, order=stored_order(back))
+    assert [r.doc_id for r in index.orderBy("start").collect()] == want
     assert got == want and len(set(want)) < len(want) and want != sorted(want)
 
 
