@@ -16,6 +16,7 @@ from .quality import KEEP, score_quality, train
 from .records import encode_to_records
 from .secrets import scan_secrets
 from .sharding import shard_by_bytes
+from .suffixes import repeated_spans
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +74,14 @@ def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_karmarkar_karp_shards, op4_html_crf, op5_poisson_mixing, op6_chat_format, op7_winnowing, op8_kneser_ney_rules, op9_token_records, op10_secret_automata)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_karmarkar_karp_shards, op4_html_crf, op5_poisson_mixing, op6_chat_format, op7_winnowing, op8_kneser_ney_rules, op9_token_records, op10_secret_automata, op11_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
