@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import digest_formatted, format_conversations
+from .collocations import collocations
 from .common import table
 from .decontaminate import contamination
 from .html_extract import extract_pages
@@ -80,8 +81,12 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_karmarkar_karp_shards, op4_html_crf, op5_poisson_mixing, op6_chat_format, op7_winnowing, op8_kneser_ney_rules, op9_token_records, op10_secret_automata, op11_suffix_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_karmarkar_karp_shards, op4_html_crf, op5_poisson_mixing, op6_chat_format, op7_winnowing, op8_kneser_ney_rules, op9_token_records, op10_secret_automata, op11_suffix_dedup, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
