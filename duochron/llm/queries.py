@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .html_extract import extract_pages
 from .jaccard import near_duplicates
 from .mixing import mix_sources
+from .negatives import hard_negatives
 from .perplexity import quality_rules
 from .quality import KEEP, score_quality, train
 from .records import encode_to_records
@@ -81,12 +82,17 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", turned), F.col("vec_id") % 100 == 0)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_karmarkar_karp_shards, op4_html_crf, op5_poisson_mixing, op6_chat_format, op7_winnowing, op8_kneser_ney_rules, op9_token_records, op10_secret_automata, op11_suffix_dedup, op13_collocations)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_karmarkar_karp_shards, op4_html_crf, op5_poisson_mixing, op6_chat_format, op7_winnowing, op8_kneser_ney_rules, op9_token_records, op10_secret_automata, op11_suffix_dedup, op12_hard_negatives, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
