@@ -34,11 +34,11 @@ TOP = 2000
 #: A dictionary of more words isn't sent to the tasks; words are then joined with it.
 DICTIONARY_WORDS = 1_000_000
 #: Bytes of text that a task tokenizes at a time, places it sorts at a time, and distinct words it counts at a time.
-TEXT_BYTES = 4 << 20
-SORT_KEYS = 2_000_000
-COUNTED_WORDS = 500_000
+TEXT_BYTES = 2 << 20
+SORT_KEYS = 1_000_000
+COUNTED_WORDS = 200_000
 #: Bytes of text behind one range of keys, and sampled keys for each range's border.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
 SAMPLES_PER_RANGE = 50
 
 #: What ends a piece. Spaces and tabs part words.

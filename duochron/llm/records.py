@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,9 @@ from .shingles import hash_spans
 #: UTF-8 bytes of text whose ids go to one file; a reader holds one file in memory.
 FILE_TEXT_BYTES = 16 << 20
 NULL_ID = -(1 << 63)
-#: Pieces whose ids a worker remembers before it starts afresh.
-CACHE_PIECES = 1_000_000
+#: Pieces whose ids a worker remembers before it starts afresh, and characters that it encodes at a time (or one longer text).
+CACHE_PIECES = 200_000
+ENCODE_CHARS = 1 << 20
 #: Other texts are encoded whole: an apostrophe may begin a contraction, and Unicode tables of two libraries may differ elsewhere.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x26\x28-\x7e\xa1-ɏ]*")
 
@@ -176,6 +178,16 @@ class PieceEncoder:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def parts_by_size(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most so many bytes, or one row."""
+    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0), np.int64)
+    ends, lo = np.cumsum(sizes), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
@@ -203,8 +215,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_file, end_id)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in parts_by_size(batch, ENCODE_CHARS):
                 ids = own.encode(part.column("text").to_pylist())
                 rows = [frame(struct.pack("<q", d) + b) for d, b in zip(part.column("doc_id").to_pylist(), ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])

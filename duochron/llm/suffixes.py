@@ -48,7 +48,9 @@ PRINT_BYTES = 64 << 20
 HOT_KEY = 50_000
 #: Positions whose keys are looked for at a time.
 CHUNK = 1 << 17
+#: Sampled keys for each range, and bytes of a block that its samples come from.
 SAMPLES_PER_RANGE = 20
+SAMPLE_BYTES = 1 << 16
 
 _NOTE = "block long, kind int, part int, payload binary"
 _RUN = "part int, block long, payload binary"
@@ -222,12 +224,15 @@ def _seen(blocks: DataFrame, cut: Cut, parts: int) -> DataFrame:
 
 
 def _splitters(blocks: DataFrame, ranges: int, cut: Cut, n_blocks: int) -> list[bytes]:
-    """Strings that cut the order of suffixes into ranges, from a sample of positions of every block: SAMPLES_PER_RANGE a range in all."""
+    """Strings that cut the order of suffixes into ranges, from a sample of the keys of every block: SAMPLES_PER_RANGE a range in all."""
     each = max(1, math.ceil(SAMPLES_PER_RANGE * ranges / max(n_blocks, 1)))
 
     def take(block, ids, starts, data, notes):
-        at = np.random.default_rng(block).integers(0, max(len(data) - cut.least, 1), each) if len(data) else []
-        return [pa.array([data[k : k + cut.least] for k in at], pa.binary())]
+        rng = np.random.default_rng(block)
+        lo = int(rng.integers(0, max(len(data) - SAMPLE_BYTES, 0) + 1))
+        some = data[lo : lo + SAMPLE_BYTES]  # keys prefer some strings, so places alone are no sample of them
+        keys = window_keys(some, np.array([0, len(some)]), cut)[0]
+        return [pa.array([some[k : k + cut.least] for k in rng.choice(keys, each)] if len(keys) else [], pa.binary())]
 
     if ranges == 1:
         return []
