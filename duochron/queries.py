@@ -20,19 +20,21 @@ from .plans.parameters import parameter_table
 from .sources.events import HOURLY_SQL
 from .sources.events import SQL as BASE
 from .sources.events import angle_table, events_dataset, frame_table, intensity
+from .sources.tables import SQL as WIDE
+from .sources.tables import customer_rows, part_frames, supplier_angles
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, base: bool = True):
-    """Register a query under its function's name; ``sql`` continues the adapter's WITH clause or, without ``base``, stands alone."""
+def query(sql: str | None = None, base: bool | str = True):
+    """Register a query under its function's name; ``sql`` continues the adapter's WITH clause (or another ``base``) or, without ``base``, stands alone."""
 
     def register(f):
         _QUERIES[f.__name__] = f
         if sql is not None:
             text = sql.strip()
-            _SQL[f.__name__] = (BASE + (text if text.upper().startswith("SELECT") else ", " + text)) if base else text
+            _SQL[f.__name__] = ((base if isinstance(base, str) else BASE) + (text if text.upper().startswith("SELECT") else ", " + text)) if base else text
         return f
 
     return register
@@ -101,48 +103,49 @@ def cache_metadata(spark, sf_dir):
     return q.crossJoin(d.frame.agg(F.min("i").alias("first_frame"), F.max("i").alias("last_frame")))
 
 
-@query("SELECT sha256(string_agg(name || '=' || q::VARCHAR, ',' ORDER BY name)) AS cache_key FROM angle")
+@query("SELECT sha256(string_agg(name || '=' || q::VARCHAR, ',' ORDER BY name)) AS cache_key FROM angle", base=WIDE)
 def cache_key(spark, sf_dir):
-    rows = angle_table(spark).select(F.concat_ws("=", "name", F.col("q").cast("string")).alias("kv"))
+    rows = supplier_angles(spark, sf_dir).select(F.concat_ws("=", "name", F.col("q").cast("string")).alias("kv"))
     return rows.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("kv"))), 256).alias("cache_key"))
 
 
-@query("SELECT format('{:.6f}', phi) AS phi_text, format('{:.8e}', q) AS q_text FROM angle")
+@query("SELECT format('{:.6f}', phi) AS phi_text, format('{:.8e}', q) AS q_text FROM angle", base=WIDE)
 def text_lists(spark, sf_dir):
-    return angle_table(spark).select(F.format_string("%.6f", "phi").alias("phi_text"), F.format_string("%.8e", "q").alias("q_text"))
+    return supplier_angles(spark, sf_dir).select(F.format_string("%.6f", "phi").alias("phi_text"), F.format_string("%.8e", "q").alias("q_text"))
 
 
-@query("SELECT ((k - 1) // 5)::INTEGER AS q_idx, ((k - 1) % 5)::INTEGER AS phi_idx, k AS processed_bin FROM range(1, 40) r(k) WHERE (k - 1) // 5 < 6", base=True)
+@query("SELECT ((k - 1) // 5)::INTEGER AS q_idx, ((k - 1) % 5)::INTEGER AS phi_idx, k AS processed_bin FROM (SELECT p_partkey AS k FROM part) WHERE k >= 1 AND (k - 1) // 5 < 390", base=WIDE)
 def bin_decode(spark, sf_dir):
-    return Fl.decode_bins(spark.range(1, 40).withColumnRenamed("id", "processed_bin"), 6, 5)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return Fl.decode_bins(parts.select(F.col("p_partkey").alias("processed_bin")), 390, 5)
 
 
-@query("near AS (SELECT a.*, abs(a.q - 0.0068) AS gap FROM angle a), best AS (SELECT arg_min(q, gap) AS q0 FROM near), ok AS (SELECT count(*) FILTER (WHERE abs(q - q0) <= 0.1 * q0) AS n FROM near, best), top AS (SELECT angle_idx FROM near ORDER BY gap, angle_idx LIMIT 3) SELECT angle_idx, name, q, phi FROM near, best, ok WHERE (n >= 2 AND abs(q - q0) <= 0.1 * q0) OR (n < 2 AND angle_idx IN (SELECT angle_idx FROM top))")
+@query("near AS (SELECT a.*, abs(a.q - 0.0068) AS gap FROM angle a), best AS (SELECT arg_min(q, gap) AS q0 FROM near), ok AS (SELECT count(*) FILTER (WHERE abs(q - q0) <= 0.1 * q0) AS n FROM near, best), top AS (SELECT angle_idx FROM near ORDER BY gap, angle_idx LIMIT 3) SELECT angle_idx, name, q, phi FROM near, best, ok WHERE (n >= 2 AND abs(q - q0) <= 0.1 * q0) OR (n < 2 AND angle_idx IN (SELECT angle_idx FROM top))", base=WIDE)
 def legacy_q_selection(spark, sf_dir):
-    return Fl.near_q(angle_table(spark), 0.0068, least=2, fallback=3)
+    return Fl.near_q(supplier_angles(spark, sf_dir), 0.0068, least=2, fallback=3)
 
 
 # ---- filters ----
 
 
-@query("SELECT count(*) FILTER (WHERE q BETWEEN 0.006 AND 0.008) AS selected, count(*) AS total, count(*) FILTER (WHERE q BETWEEN 0.006 AND 0.008) / count(*) AS fraction, min(q) AS data_min, max(q) AS data_max FROM angle")
+@query("SELECT count(*) FILTER (WHERE q BETWEEN 0.006 AND 0.008) AS selected, count(*) AS total, count(*) FILTER (WHERE q BETWEEN 0.006 AND 0.008) / count(*) AS fraction, min(q) AS data_min, max(q) AS data_max FROM angle", base=WIDE)
 def q_range_filter(spark, sf_dir):
-    return Fl.filter_statistics(angle_table(spark), "q", Fl.q_range(F.col("q"), 0.006, 0.008))
+    return Fl.filter_statistics(supplier_angles(spark, sf_dir), "q", Fl.q_range(F.col("q"), 0.006, 0.008))
 
 
-@query("SELECT * FROM angle WHERE phi >= 170 OR phi <= -160")
+@query("SELECT * FROM angle WHERE phi >= 170 OR phi <= -160", base=WIDE)
 def phi_range_wrap(spark, sf_dir):
-    return angle_table(spark).where(S.angle_between(F.col("phi"), 170.0, -160.0))
+    return supplier_angles(spark, sf_dir).where(S.angle_between(F.col("phi"), 170.0, -160.0))
 
 
-@query("SELECT * FROM angle WHERE phi BETWEEN -10 AND 90")
+@query("SELECT * FROM angle WHERE phi BETWEEN -10 AND 90", base=WIDE)
 def angle_in_range(spark, sf_dir):
-    return angle_table(spark).where(S.angle_between(F.col("phi"), -10.0, 90.0))
+    return supplier_angles(spark, sf_dir).where(S.angle_between(F.col("phi"), -10.0, 90.0))
 
 
-@query("SELECT angle_idx, CASE WHEN ((a % 360) + 360) % 360 > 180 THEN ((a % 360) + 360) % 360 - 360 ELSE ((a % 360) + 360) % 360 END AS phi FROM (SELECT angle_idx, phi * 3 - 370 AS a FROM angle)")
+@query("SELECT angle_idx, CASE WHEN ((a % 360) + 360) % 360 > 180 THEN ((a % 360) + 360) % 360 - 360 ELSE ((a % 360) + 360) % 360 END AS phi FROM (SELECT angle_idx, phi * 3 - 370 AS a FROM angle)", base=WIDE)
 def normalise_angles(spark, sf_dir):
-    return angle_table(spark).select("angle_idx", S.normalise_angle(F.col("phi") * 3 - 370).alias("phi"))
+    return supplier_angles(spark, sf_dir).select("angle_idx", S.normalise_angle(F.col("phi") * 3 - 370).alias("phi"))
 
 
 _RANGES = [(-10.0, 10.0), (170.0, -165.0)]
@@ -150,30 +153,30 @@ _RANGE_SQL = "ranges(min_angle, max_angle) AS (VALUES (-10.0::DOUBLE, 10.0::DOUB
 _IN_RANGE = "CASE WHEN min_angle <= max_angle THEN phi BETWEEN min_angle AND max_angle ELSE phi >= min_angle OR phi <= max_angle END"
 
 
-@query(f"{_RANGE_SQL} SELECT * FROM angle WHERE EXISTS (SELECT 1 FROM ranges WHERE {_IN_RANGE})")
+@query(f"{_RANGE_SQL} SELECT * FROM angle WHERE EXISTS (SELECT 1 FROM ranges WHERE {_IN_RANGE})", base=WIDE)
 def multi_range_angles(spark, sf_dir):
-    return Fl.semi_join_ranges(angle_table(spark), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))
+    return Fl.semi_join_ranges(supplier_angles(spark, sf_dir), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))
 
 
-@query("SELECT * FROM angle WHERE phi BETWEEN -10 AND 10 OR phi >= 170 OR phi <= -170")
+@query("turned AS (SELECT *, ((phi % 360) + 360) % 360 AS m FROM angle) SELECT angle_idx, name, q, phi FROM turned WHERE m <= 10 OR m >= 350 OR m BETWEEN 170 AND 190", base=WIDE)
 def angles_for_optimisation(spark, sf_dir):
-    return Fl.select_angles(angle_table(spark), Fl.DEFAULT_RANGES, normalise=True)
+    return Fl.select_angles(supplier_angles(spark, sf_dir), Fl.DEFAULT_RANGES, normalise=True)
 
 
-@query("SELECT * FROM angle WHERE phi BETWEEN -10 AND 10 OR phi BETWEEN 80 AND 100 OR phi BETWEEN 170 AND 190 OR phi BETWEEN 260 AND 280")
+@query("SELECT * FROM angle WHERE phi BETWEEN -10 AND 10 OR phi BETWEEN 80 AND 100 OR phi BETWEEN 170 AND 190 OR phi BETWEEN 260 AND 280", base=WIDE)
 def anisotropic_angles(spark, sf_dir):
-    return Fl.select_angles(angle_table(spark), Fl.ANISOTROPIC_RANGES)
+    return Fl.select_angles(supplier_angles(spark, sf_dir), Fl.ANISOTROPIC_RANGES)
 
 
-@query("SELECT * FROM angle")
+@query("SELECT * FROM angle", base=WIDE)
 def fallback_on_empty(spark, sf_dir):
-    return Fl.or_all(angle_table(spark), Fl.q_range(F.col("q"), 0.5, 0.6))
+    return Fl.or_all(supplier_angles(spark, sf_dir), Fl.q_range(F.col("q"), 0.5, 0.6))
 
 
-@query("SELECT angle_idx, (q >= 0.006) AND (phi > 0) AS both_masks, (q >= 0.006) OR (phi > 0) AS either_mask FROM angle")
+@query("SELECT angle_idx, (q >= 0.006) AND (phi > 0) AS both_masks, (q >= 0.006) OR (phi > 0) AS either_mask FROM angle", base=WIDE)
 def mask_combination(spark, sf_dir):
     masks = {"q": Fl.q_range(F.col("q"), 0.006), "phi": F.col("phi") > 0}
-    return angle_table(spark).select("angle_idx", Fl.combine(masks, "AND").alias("both_masks"), Fl.combine(masks, "OR").alias("either_mask"))
+    return supplier_angles(spark, sf_dir).select("angle_idx", Fl.combine(masks, "AND").alias("both_masks"), Fl.combine(masks, "OR").alias("either_mask"))
 
 
 @query("SELECT count(*) FILTER (WHERE idx < 0) AS negative, count(*) FILTER (WHERE idx >= 100) AS too_large, count(idx) - count(DISTINCT idx) AS repeated FROM (SELECT l_suppkey - 5 AS idx FROM lineitem)", base=True)
@@ -181,20 +184,20 @@ def index_sanity(spark, sf_dir):
     return Fl.index_sanity(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") - 5).alias("idx")), 100)
 
 
-@query("SELECT count(*) AS total, min(phi) AS phi_min, max(phi) AS phi_max, avg(phi) AS phi_mean, round(stddev_pop(phi), 9) AS phi_std FROM angle")
+@query("SELECT count(*) AS total, min(phi) AS phi_min, max(phi) AS phi_max, avg(phi) AS phi_mean, round(stddev_pop(phi), 9) AS phi_std FROM angle", base=WIDE)
 def angle_statistics(spark, sf_dir):
-    out = Fl.angle_statistics(angle_table(spark), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))[0]
+    out = Fl.angle_statistics(supplier_angles(spark, sf_dir), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))[0]
     return out.withColumn("phi_std", r9("phi_std"))
 
 
-@query(f"{_RANGE_SQL} SELECT min_angle, max_angle, count(angle_idx) AS n, 100.0 * count(angle_idx) / 5 AS percent FROM ranges LEFT JOIN angle ON {_IN_RANGE} GROUP BY 1, 2")
+@query(f"{_RANGE_SQL} SELECT min_angle, max_angle, count(angle_idx) AS n, 100.0 * count(angle_idx) / (SELECT count(*) FROM angle) AS percent FROM ranges LEFT JOIN angle ON {_IN_RANGE} GROUP BY 1, 2", base=WIDE)
 def angle_range_counts(spark, sf_dir):
-    return Fl.angle_statistics(angle_table(spark), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))[1]
+    return Fl.angle_statistics(supplier_angles(spark, sf_dir), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))[1]
 
 
-@query("want(w) AS (VALUES (5.4::DOUBLE), (84.2::DOUBLE)), near AS (SELECT w, arg_min(angle_idx, abs(phi - w)) AS angle_idx, min(abs(phi - w)) AS gap FROM angle, want GROUP BY w) SELECT * FROM angle WHERE (SELECT max(gap) FROM near) > 1.0 OR angle_idx IN (SELECT angle_idx FROM near)")
+@query("want(w) AS (VALUES (5.4::DOUBLE), (84.2::DOUBLE)), near AS (SELECT w, arg_min(angle_idx, abs(phi - w)) AS angle_idx, min(abs(phi - w)) AS gap FROM angle, want GROUP BY w) SELECT * FROM angle WHERE (SELECT max(gap) FROM near) > 1.0 OR angle_idx IN (SELECT angle_idx FROM near)", base=WIDE)
 def requested_angles(spark, sf_dir):
-    return Fl.subset_by_request(angle_table(spark), spark.createDataFrame([(5.4,), (84.2,)], "want double"))
+    return Fl.subset_by_request(supplier_angles(spark, sf_dir), spark.createDataFrame([(5.4,), (84.2,)], "want double"))
 
 
 @query("SELECT angle_idx, i - 4 AS i, j - 4 AS j, c2 FROM c2 WHERE i >= 4 AND j >= 4 AND i < 20 AND j < 20")
@@ -202,14 +205,14 @@ def frame_slice(spark, sf_dir):
     return Fl.slice_frames(cells(spark, sf_dir), 5, 20)
 
 
-@query("SELECT * FROM angle ORDER BY abs(q - 0.0064), angle_idx LIMIT 1")
+@query("SELECT * FROM angle ORDER BY abs(q - 0.0064), angle_idx LIMIT 1", base=WIDE)
 def nearest_wavevector(spark, sf_dir):
-    return Fl.nearest(angle_table(spark), "q", 0.0064, "angle_idx")
+    return Fl.nearest(supplier_angles(spark, sf_dir), "q", 0.0064, "angle_idx")
 
 
-@query("SELECT * FROM angle ORDER BY abs(q - 0.0064), angle_idx LIMIT 3")
+@query("SELECT * FROM angle ORDER BY abs(q - 0.0064), angle_idx LIMIT 3", base=WIDE)
 def nearest_wavevectors(spark, sf_dir):
-    return Fl.nearest_k(angle_table(spark), "q", 0.0064, "angle_idx", 3)
+    return Fl.nearest_k(supplier_angles(spark, sf_dir), "q", 0.0064, "angle_idx", 3)
 
 
 @query("SELECT angle_idx, i, j, c2 FROM c2 WHERE i > 0 AND j > 0 AND i <> j")
@@ -257,9 +260,9 @@ def default_sigma(spark, sf_dir):
     return Fl.with_defaults(cells(spark, sf_dir))
 
 
-@query("SELECT angle_idx AS idx, phi AS angle, q AS wavevector FROM angle")
+@query("SELECT angle_idx AS idx, phi AS angle, q AS wavevector FROM angle", base=WIDE)
 def column_aliases(spark, sf_dir):
-    return angle_table(spark).select(F.col("angle_idx").alias("idx"), F.col("phi").alias("angle"), F.col("q").alias("wavevector"))
+    return supplier_angles(spark, sf_dir).select(F.col("angle_idx").alias("idx"), F.col("phi").alias("angle"), F.col("q").alias("wavevector"))
 
 
 # ---- joins ----
@@ -284,9 +287,9 @@ def diagonal_neighbours(spark, sf_dir):
     return M._band(cells(spark, sf_dir), 3).groupBy("angle_idx", F.col("at").alias("k")).agg(F.count(F.lit(1)).alias("n"), r9(F.sum("c2")).alias("total"))
 
 
-@query("SELECT a.i, b.i AS j, a.t * b.t AS product, a.t - b.t AS difference FROM frame a, frame b")
+@query("SELECT a.i, b.i AS j, a.t * b.t AS product, a.t - b.t AS difference FROM frame a, frame b", base=WIDE)
 def outer_products(spark, sf_dir):
-    p = K.frame_pairs(frame_table(spark, 30), ["t"])
+    p = K.frame_pairs(part_frames(spark, sf_dir), ["t"])
     return p.select("i", "j", (F.col("t_i") * F.col("t_j")).alias("product"), (F.col("t_i") - F.col("t_j")).alias("difference"))
 
 
@@ -296,16 +299,17 @@ def scaling_gather(spark, sf_dir):
     return cells(spark, sf_dir).join(F.broadcast(s), "angle_idx").select("angle_idx", "i", "j", r9(F.col("contrast") * F.col("c2") + 1).alias("scaled"))
 
 
-@query("SELECT angle_idx FROM angle WHERE q >= 0.006 INTERSECT SELECT angle_idx FROM angle WHERE phi > 0")
+@query("SELECT angle_idx FROM angle WHERE q >= 0.006 INTERSECT SELECT angle_idx FROM angle WHERE phi > 0", base=WIDE)
 def index_intersection(spark, sf_dir):
-    a = angle_table(spark)
+    a = supplier_angles(spark, sf_dir)
     return a.where("q >= 0.006").select("angle_idx").intersect(a.where("phi > 0").select("angle_idx"))
 
 
-@query("wanted(name) AS (VALUES ('D0'), ('alpha'), ('phi0'), ('contrast')), param(name, lower, upper) AS (VALUES ('D0', 100.0::DOUBLE, 100000.0::DOUBLE), ('alpha', -2.0::DOUBLE, 2.0::DOUBLE), ('phi0', -10.0::DOUBLE, 10.0::DOUBLE), ('contrast', 0.0::DOUBLE, 1.0::DOUBLE)) SELECT name, lower, upper FROM wanted JOIN param USING (name)")
+@query("wanted AS (SELECT p_partkey AS part, ['D0', 'alpha', 'phi0', 'contrast', 'unknown'][p_partkey % 5 + 1] AS name FROM part), param(name, lower, upper) AS (VALUES ('D0', 100.0::DOUBLE, 100000.0::DOUBLE), ('alpha', -2.0::DOUBLE, 2.0::DOUBLE), ('phi0', -10.0::DOUBLE, 10.0::DOUBLE), ('contrast', 0.0::DOUBLE, 1.0::DOUBLE)) SELECT part, name, lower, upper FROM wanted JOIN param USING (name)", base=WIDE)
 def parameter_bounds(spark, sf_dir):
-    wanted = spark.createDataFrame([("D0",), ("alpha",), ("phi0",), ("contrast",)], "name string")
-    return wanted.join(F.broadcast(parameter_table(spark)), "name").select("name", "lower", "upper")
+    names = F.array(*(F.lit(n) for n in ("D0", "alpha", "phi0", "contrast", "unknown")))
+    wanted = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("part"), F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")).alias("name"))
+    return wanted.join(F.broadcast(parameter_table(spark)), "name").select("part", "name", "lower", "upper")  # a row a parameter
 
 
 @query("SELECT a.angle_idx, a.i, a.j, a.c2, b.c2 AS c2t FROM c2 a JOIN c2 b ON a.angle_idx = b.angle_idx AND a.i = b.j AND a.j = b.i")
@@ -443,9 +447,10 @@ def correlation_checks(spark, sf_dir):
     return A.correlation_checks(cells(spark, sf_dir))
 
 
-@query("p(param, value, lower, upper) AS (VALUES ('a', 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('b', 0.5::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('c', 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE)) SELECT *, CASE WHEN abs(value - lower) <= 1e-8 THEN 'at_lower' WHEN abs(value - upper) <= 1e-8 THEN 'at_upper' ELSE 'active' END AS status FROM p")
+@query("p AS (SELECT i::VARCHAR AS param, (i % 5) / 4.0::DOUBLE AS value, 0.0::DOUBLE AS lower, 1.0::DOUBLE AS upper FROM person) SELECT *, CASE WHEN abs(value - lower) <= 1e-8 THEN 'at_lower' WHEN abs(value - upper) <= 1e-8 THEN 'at_upper' ELSE 'active' END AS status FROM p", base=WIDE)
 def parameter_status(spark, sf_dir):
-    return V.parameter_status(spark.createDataFrame([("a", 0.0, 0.0, 1.0), ("b", 0.5, 0.0, 1.0), ("c", 1.0, 0.0, 1.0)], "param string, value double, lower double, upper double"))
+    p = customer_rows(spark, sf_dir).select(F.col("i").cast("string").alias("param"), (F.col("i") % 5 / 4.0).alias("value"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"))
+    return V.parameter_status(p)
 
 
 @query("SELECT angle_idx, round(CASE WHEN abs(avg(c2)) > 1e-10 THEN stddev_pop(c2) / abs(avg(c2)) ELSE stddev_pop(c2) END, 9) AS cv FROM c2 GROUP BY 1")
@@ -459,7 +464,7 @@ def artefact_check(spark, sf_dir):
     return A.artefact_free(cells(spark, sf_dir))
 
 
-@query("SELECT (29 * 28)::DOUBLE / 900 AS retention, 1.0::DOUBLE AS fidelity FROM frame LIMIT 1")
+@query("SELECT count(*) FILTER (WHERE i > 0 AND j > 0 AND i <> j)::DOUBLE / count(*) AS retention, 1.0::DOUBLE AS fidelity FROM c2")
 def retention(spark, sf_dir):
     c = cells(spark, sf_dir)
     return A.retention(c, Fl.off_diagonal(c))
@@ -531,26 +536,26 @@ def residual_limit(spark, sf_dir):
 _RATE = "r AS (SELECT i, t, greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10) AS v FROM frame), mids AS (SELECT i, coalesce((lag(v) OVER (ORDER BY i) + v) / 2, 0.0) AS m FROM r), cum AS (SELECT i, sum(m) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM mids)"
 
 
-def _cumulative(spark):
-    f = frame_table(spark, 30).withColumn("v", S.rate(F.col("t"), 1000.0, 0.5, 10.0, 1.0))
+def _cumulative(spark, sf_dir):
+    f = part_frames(spark, sf_dir).withColumn("v", S.rate(F.col("t"), 1000.0, 0.5, 10.0, 1.0))
     return K.cumulative_trapezoid(f, "v", "c")
 
 
-@query(f"{_RATE} SELECT i, round(c, 6) AS c FROM cum")
+@query(f"{_RATE} SELECT i, round(c, 6) AS c FROM cum", base=WIDE)
 def cumulative_integral(spark, sf_dir):
-    return _cumulative(spark).select("i", F.round("c", 6).alias("c"))
+    return _cumulative(spark, sf_dir).select("i", F.round("c", 6).alias("c"))
 
 
-@query(f"{_RATE} SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN 0.0 ELSE round(sqrt((a.c - b.c) * (a.c - b.c) + 1e-12), 6) END AS integral, round(b.c - a.c, 6) AS signed FROM cum a, cum b")
+@query(f"{_RATE} SELECT a.i, b.i AS j, CASE WHEN a.i = b.i THEN 0.0 ELSE round(sqrt((a.c - b.c) * (a.c - b.c) + 1e-12), 6) END AS integral, round(b.c - a.c, 6) AS signed FROM cum a, cum b", base=WIDE)
 def integral_matrices(spark, sf_dir):
-    p = K.frame_pairs(_cumulative(spark), ["c"])
+    p = K.frame_pairs(_cumulative(spark, sf_dir), ["c"])
     d = F.col("c_i") - F.col("c_j")
     return p.select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.round(K.time_integral(d), 6)).alias("integral"), F.round(-d, 6).alias("signed"))
 
 
-@query("SELECT TRUE AS monotone FROM frame LIMIT 1")
+@query("SELECT bool_and(t >= before) AS monotone FROM (SELECT t, lag(t, 1, t) OVER (ORDER BY i) AS before FROM frame)", base=WIDE)
 def monotone_time(spark, sf_dir):
-    return W.is_monotone(frame_table(spark, 30))
+    return W.is_monotone(part_frames(spark, sf_dir))
 
 
 @query("s AS (SELECT s_suppkey AS start, s_acctbal AS cost FROM supplier), k AS (SELECT greatest(3, floor(count(*) * 0.5)) AS k FROM s), rk AS (SELECT *, row_number() OVER (ORDER BY cost, start)::INTEGER AS rank FROM s) SELECT start, cost, rank FROM rk, k WHERE rank <= k")
@@ -706,7 +711,7 @@ def preprocessing_pipeline(spark, sf_dir):
 # ---- scalar functions ----
 
 
-@query("""x AS (SELECT i, i / 10.0 - 1.5 AS x FROM frame) SELECT i,
+@query("""x AS (SELECT i, (i % 30) / 10.0::DOUBLE - 1.5::DOUBLE AS x FROM person) SELECT i,
 round(exp(greatest(least(x * 100, 700), -700)) / exp(150.0), 9) AS safe_exp, round(CASE WHEN abs(x) < 1e-4 THEN 1 - x * x / 6 + pow(x, 4) / 120 ELSE sin(x) / x END, 9) AS sinc,
 round(CASE WHEN x > 0 THEN pow(x, 0.7) ELSE 0 END, 9) AS power, round(CASE WHEN abs(x) > 1e-30 THEN 1 / x ELSE -1 END, 9) AS divide,
 round(ln(greatest(x, 1e-30)), 9) AS log, round(sqrt(greatest(x, 0.0)), 9) AS root, round(sqrt(x * x + 1e-12), 9) AS sabs,
@@ -714,10 +719,10 @@ round(1 - (greatest(50 * (1 - l), 0) + ln(1 + exp(-abs(50 * (1 - l))))) / 50, 9)
 round(abs(x - 1) / greatest(abs(x), 1, 1e-10), 9) AS reldiff, round(greatest(3 * pow(greatest(x, 0.5), 0.5) - 2, 1e-10), 9) AS rate,
 round(greatest(3 * CASE WHEN x > 0 THEN pow(x, 0.5) ELSE 0 END - 2, 0.0), 9) AS transport, round(3 * CASE WHEN x > 0 THEN pow(x, 0.5) ELSE 0 END - 2, 9) AS velocity,
 round((x + 2) / 5, 9) AS unit, round(least(greatest(x, -1), 1), 9) AS clipped
-FROM (SELECT i, x, (greatest(50 * x, 0) + ln(1 + exp(-abs(50 * x)))) / 50 AS l FROM x)""")
+FROM (SELECT i, x, (greatest(50 * x, 0) + ln(1 + exp(-abs(50 * x)))) / 50 AS l FROM x)""", base=WIDE)
 def scalar_functions(spark, sf_dir):
     x = F.col("x")
-    f = frame_table(spark, 30).select("i", (F.col("i") / 10.0 - 1.5).alias("x"))
+    f = customer_rows(spark, sf_dir).select("i", (F.col("i") % 30 / 10.0 - 1.5).alias("x"))
     out = {
         "safe_exp": S.safe_exp(x * 100) / F.exp(F.lit(150.0)), "sinc": S.sinc_taylor(x), "power": S.safe_power(x, 0.7), "divide": S.safe_divide(F.lit(1.0), x, -1.0), "log": S.safe_log(x), "root": S.safe_sqrt(x), "sabs": S.smooth_abs(x), "sclip": S.smooth_clip(x),
         "reldiff": S.relative_difference(x, F.lit(1.0)), "rate": S.rate(x, 3.0, 0.5, -2.0, 1.0), "transport": S.transport_rate(x, 3.0, 0.5, -2.0), "velocity": S.velocity_rate(x, 3.0, 0.5, -2.0), "unit": S.to_unit(x, -2.0, 3.0), "clipped": S.clip(x, -1.0, 1.0),
@@ -725,9 +730,9 @@ def scalar_functions(spark, sf_dir):
     return f.select("i", *(r9(v).alias(k) for k, v in out.items()))
 
 
-@query("SELECT angle_idx, round(1 / (q * q * 1000) * 1.5, 9) AS tau, round((0.1 + 0.9 * pow(abs(cos(radians(10 - phi))), 2)) / (SELECT avg(0.1 + 0.9 * pow(abs(cos(radians(10 - phi))), 2)) FROM angle), 9) AS shear, round(cos(2 * radians(phi)), 9) AS c2phi, round(sin(2 * radians(phi)), 9) AS s2phi FROM angle")
+@query("SELECT angle_idx, round(1 / (q * q * 1000) * 1.5, 9) AS tau, round((0.1 + 0.9 * pow(abs(cos(radians(10 - phi))), 2)) / (SELECT avg(0.1 + 0.9 * pow(abs(cos(radians(10 - phi))), 2)) FROM angle), 9) AS shear, round(cos(2 * radians(phi)), 9) AS c2phi, round(sin(2 * radians(phi)), 9) AS s2phi FROM angle", base=WIDE)
 def angle_functions(spark, sf_dir):
-    a = angle_table(spark).withColumn("w", S.shear_weight(F.col("phi"), 10.0, 0.1, 2.0))
+    a = supplier_angles(spark, sf_dir).withColumn("w", S.shear_weight(F.col("phi"), 10.0, 0.1, 2.0))
     mean = F.broadcast(a.agg(F.avg("w").alias("mean")))
     return a.crossJoin(mean).select("angle_idx", r9(S.correlation_time(F.col("q"), 1000.0, 0.5)).alias("tau"), r9(F.col("w") / F.col("mean")).alias("shear"), r9(F.cos(2 * F.radians("phi"))).alias("c2phi"), r9(F.sin(2 * F.radians("phi"))).alias("s2phi"))
 
@@ -752,17 +757,17 @@ def _cum(name: str, expression: str) -> str:
 _PAIR = "sqrt(({0}a.c - {0}b.c) * ({0}a.c - {0}b.c) + 1e-12)"
 
 
-@query(_cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + f" SELECT angle_idx, da.i, db.i AS j, round(1.0 + 0.3 * pow(greatest(exp(greatest(-0.5 * q * q * CASE WHEN da.i = db.i THEN 0 ELSE {_PAIR.format('d')} END, -700)), 1e-10), 2), 9) AS g2 FROM d da, d db, angle")
+@query(_cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + f" SELECT angle_idx, da.i, db.i AS j, round(1.0 + 0.3 * pow(greatest(exp(greatest(-0.5 * q * q * CASE WHEN da.i = db.i THEN 0 ELSE {_PAIR.format('d')} END, -700)), 1e-10), 2), 6) AS g2 FROM d da, d db, angle", base=WIDE)
 def homodyne_static_g2(spark, sf_dir):
-    s = K.homodyne_surface(frame_table(spark, 30), angle_table(spark), STATIC, 1.0)
-    return s.select("angle_idx", "i", "j", r9(K.scaled(F.col("g1"), F.lit(0.3), F.lit(1.0))).alias("g2"))
+    s = K.homodyne_surface(part_frames(spark, sf_dir), supplier_angles(spark, sf_dir), STATIC, 1.0)
+    return s.select("angle_idx", "i", "j", F.round(K.scaled(F.col("g1"), F.lit(0.3), F.lit(1.0)), 6).alias("g2"))
 
 
 @query(_cum("d", "greatest(1000 * pow(greatest(t, 0.5), 0.5) + 10, 1e-10)") + ", " + _cum("g", "greatest(0.01 * pow(greatest(t, 0.5), 0.3) + 0.001, 1e-10)") + f""", x AS (SELECT angle_idx, da.i, db.i AS j, exp(greatest(-0.5 * q * q * CASE WHEN da.i = db.i THEN 0 ELSE {_PAIR.format('d')} END, -700)) AS e,
 q * 2e6 / (2 * pi()) * cos(radians(5 - phi)) * CASE WHEN da.i = db.i THEN 0 ELSE {_PAIR.format('g')} END AS a FROM d da, d db, g ga, g gb, angle WHERE ga.i = da.i AND gb.i = db.i),
-y AS (SELECT angle_idx, i, j, e, CASE WHEN abs(a) < 1e-4 THEN 1 - a * a / 6 + pow(a, 4) / 120 ELSE sin(a) / a END AS s FROM x) SELECT angle_idx, i, j, round(greatest(e * s * s, 1e-10), 9) AS g1 FROM y""")
+y AS (SELECT angle_idx, i, j, e, CASE WHEN abs(a) < 1e-4 THEN 1 - a * a / 6 + pow(a, 4) / 120 ELSE sin(a) / a END AS s FROM x) SELECT angle_idx, i, j, round(greatest(e * s * s, 1e-10), 6) AS g1 FROM y""", base=WIDE)
 def homodyne_flow_g1(spark, sf_dir):
-    return K.homodyne_surface(frame_table(spark, 30), angle_table(spark), FLOW, 1.0).withColumn("g1", r9("g1"))
+    return K.homodyne_surface(part_frames(spark, sf_dir), supplier_angles(spark, sf_dir), FLOW, 1.0).withColumn("g1", F.round("g1", 6))
 
 
 _T = "CASE WHEN t > 0 THEN pow(t, {}) ELSE 0 END"
@@ -772,9 +777,9 @@ _T = "CASE WHEN t > 0 THEN pow(t, {}) ELSE 0 END"
 fr AS (SELECT i, 1 - (greatest(50 * (1 - l), 0) + ln(1 + exp(-abs(50 * (1 - l))))) / 50 AS f FROM (SELECT i, (greatest(50 * x, 0) + ln(1 + exp(-abs(50 * x)))) / 50 AS l FROM (SELECT i, 0.5 * exp(0.01 * (t - 1)) + 0.1 AS x FROM frame))),
 z AS (SELECT angle_idx, ra.i, rb.i AS j, fa.f AS fi, fb.f AS fj, exp(greatest(-0.5 * q * q * sqrt((rb.c - ra.c) * (rb.c - ra.c) + 1e-12), -700)) AS hr, exp(greatest(-0.5 * q * q * sqrt((mb.c - ma.c) * (mb.c - ma.c) + 1e-12), -700)) AS hs, cos(q * cos(radians(phi + 2)) * (vb.c - va.c)) AS beat
 FROM cr ra, cr rb, cm ma, cm mb, cv va, cv vb, fr fa, fr fb, angle WHERE ma.i = ra.i AND mb.i = rb.i AND va.i = ra.i AND vb.i = rb.i AND fa.i = ra.i AND fb.i = rb.i)
-SELECT angle_idx, i, j, round((pow((1 - fi) * (1 - fj) * hr, 2) + pow(fi * fj * hs, 2) + 2 * (1 - fi) * fi * (1 - fj) * fj * hr * hs * beat) / greatest((fi * fi + (1 - fi) * (1 - fi)) * (fj * fj + (1 - fj) * (1 - fj)), 1e-10), 9) AS model FROM z""")
+SELECT angle_idx, i, j, round((pow((1 - fi) * (1 - fj) * hr, 2) + pow(fi * fj * hs, 2) + 2 * (1 - fi) * fi * (1 - fj) * fj * hr * hs * beat) / greatest((fi * fi + (1 - fi) * (1 - fi)) * (fj * fj + (1 - fj) * (1 - fj)), 1e-10), 6) AS model FROM z""", base=WIDE)
 def heterodyne_surface(spark, sf_dir):
-    return K.heterodyne_surface(frame_table(spark, 30), angle_table(spark), TWO, 1.0).withColumn("model", r9("model"))
+    return K.heterodyne_surface(part_frames(spark, sf_dir), supplier_angles(spark, sf_dir), TWO, 1.0).withColumn("model", F.round("model", 6))
 
 
 # ---- views ----
@@ -804,20 +809,24 @@ def correlation_matrix(spark, sf_dir):
     return V.correlation_of(cov).withColumn("value", r9("value"))
 
 
-@query("SELECT k::INTEGER AS angle_idx, 0.1 * (k + 1) AS contrast, 1 + 0.01 * k AS off FROM range(5) r(k)")
+@query("SELECT n_nationkey::INTEGER AS angle_idx, round(0.01::DOUBLE * (n_nationkey + 1), 9) AS contrast, round(1 + 0.01::DOUBLE * n_regionkey, 9) AS off FROM nation", base=WIDE)
 def expanded_scaling(spark, sf_dir):
-    s = spark.createDataFrame([([0.1 * (k + 1) for k in range(5)], [1 + 0.01 * k for k in range(5)])], "contrast array<double>, offset array<double>")
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", (0.01 * (F.col("n_nationkey") + 1)).alias("c"), (1 + 0.01 * F.col("n_regionkey")).alias("o"))
+    s = n.agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "c", "o"))).alias("x")).select(F.col("x.c").alias("contrast"), F.col("x.o").alias("offset"))  # a row a nation
     return V.expand_scaling(s).withColumnRenamed("offset", "off").select("angle_idx", r9("contrast").alias("contrast"), r9("off").alias("off"))
 
 
-@query("SELECT k AS n_parameters, greatest(900 - k, 1)::BIGINT AS dof FROM range(1, 8) r(k)")
+@query("SELECT angle_idx, k AS n_parameters, greatest(count(*) - k, 1)::BIGINT AS dof FROM c2, range(1, 8) r(k) WHERE i <> j GROUP BY 1, 2")
 def degrees_of_freedom(spark, sf_dir):
-    return spark.range(1, 8).select(F.col("id").alias("n_parameters"), F.greatest(900 - F.col("id"), F.lit(1)).cast("long").alias("dof"))
+    counted = cells(spark, sf_dir).where("i <> j").groupBy("angle_idx").agg(F.count(F.lit(1)).alias("n"))
+    tried = counted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("n_parameters"))
+    return tried.select("angle_idx", "n_parameters", F.greatest(F.col("n") - F.col("n_parameters"), F.lit(1)).cast("long").alias("dof"))
 
 
-@query("f(k, reduced, cond, sig) AS (VALUES (0, 1.5::DOUBLE, 1e3::DOUBLE, 5.0::DOUBLE), (1, 3.0::DOUBLE, 1e3::DOUBLE, 5.0::DOUBLE), (2, 9.0::DOUBLE, 1e3::DOUBLE, 5.0::DOUBLE), (3, 1.5::DOUBLE, 1e13::DOUBLE, 5.0::DOUBLE)) SELECT k, CASE WHEN cond > 1e12 OR sig < 2 THEN 'poor' WHEN reduced <= 2 THEN 'good' WHEN reduced <= 5 THEN 'marginal' ELSE 'poor' END AS quality FROM f")
+@query("f AS (SELECT i AS k, (i % 13) * 0.75::DOUBLE AS reduced, CASE WHEN i % 7 = 0 THEN 1e13 ELSE 1e3 END AS cond, (i % 5) + 0.5::DOUBLE AS sig FROM person) SELECT k, CASE WHEN cond > 1e12 OR sig < 2 THEN 'poor' WHEN reduced <= 2 THEN 'good' WHEN reduced <= 5 THEN 'marginal' ELSE 'poor' END AS quality FROM f", base=WIDE)
 def fit_quality_bands(spark, sf_dir):
-    f = spark.createDataFrame([(0, 1.5, 1e3, 5.0), (1, 3.0, 1e3, 5.0), (2, 9.0, 1e3, 5.0), (3, 1.5, 1e13, 5.0)], "k int, reduced double, cond double, sig double")
+    i = F.col("i")
+    f = customer_rows(spark, sf_dir).select(i.alias("k"), (i % 13 * 0.75).alias("reduced"), F.when(i % 7 == 0, 1e13).otherwise(1e3).alias("cond"), (i % 5 + 0.5).alias("sig"))
     return f.select("k", A.fit_quality(F.col("reduced"), F.col("cond"), F.col("sig")).alias("quality"))
 
 
@@ -837,10 +846,10 @@ def theoretical_fit(spark, sf_dir):
     return both.join(fit, "angle_idx").select("angle_idx", "i", "j", r9(fitted).alias("fitted"), r9(F.col("c2") - fitted).alias("residual"))
 
 
-@query(_cum("cr", f"greatest(5000 * {_T.format(0.5)} + 100, 0.0)") + ", " + _cum("cm", f"greatest(4000 * {_T.format(0.4)} + 80, 0.0)") + ", " + _cum("cv", f"50 * {_T.format(0.5)} + 5") + " SELECT i, round(cr.c, 6) AS cr, round(cm.c, 6) AS cm, round(cv.c, 6) AS cv FROM cr JOIN cm USING (i) JOIN cv USING (i)")
+@query(_cum("cr", f"greatest(5000 * {_T.format(0.5)} + 100, 0.0)") + ", " + _cum("cm", f"greatest(4000 * {_T.format(0.4)} + 80, 0.0)") + ", " + _cum("cv", f"50 * {_T.format(0.5)} + 5") + " SELECT i, round(cr.c, 6) AS cr, round(cm.c, 6) AS cm, round(cv.c, 6) AS cv FROM cr JOIN cm USING (i) JOIN cv USING (i)", base=WIDE)
 def heterodyne_vectors(spark, sf_dir):
     """The one-dimensional integrals that every two-component evaluation starts from."""
-    return K.heterodyne_frames(frame_table(spark, 30), TWO, 1.0).select("i", *(F.round(c, 6).alias(c) for c in ("cr", "cm", "cv")))
+    return K.heterodyne_frames(part_frames(spark, sf_dir), TWO, 1.0).select("i", *(F.round(c, 6).alias(c) for c in ("cr", "cm", "cv")))
 
 
 _SCATTERED = "p AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, (l_suppkey % 5)::INTEGER AS angle_idx, (l_orderkey % 30)::INTEGER AS i, (l_partkey % 30)::INTEGER AS j FROM lineitem), "
@@ -853,7 +862,8 @@ def _scattered(spark, sf_dir):
 
 def _at_points(surface_sql: str, column: str) -> str:
     """The SQL of a surface, looked up at the scattered points."""
-    inner, last = surface_sql[len(BASE):].rsplit(" SELECT angle_idx, ", 1) if " SELECT angle_idx, " in surface_sql else surface_sql[len(BASE):].rsplit("\nSELECT angle_idx, ", 1)
+    own = surface_sql[len(WIDE) :]
+    inner, last = own.rsplit(" SELECT angle_idx, ", 1) if " SELECT angle_idx, " in own else own.rsplit("\nSELECT angle_idx, ", 1)
     return f"{_SCATTERED}{inner.lstrip(', ')}, surface AS (SELECT angle_idx, {last}) SELECT point_id, p.angle_idx, p.i, p.j, {column} FROM p JOIN surface s ON s.angle_idx = p.angle_idx AND s.i = p.i AND s.j = p.j"
 
 
@@ -861,22 +871,22 @@ def _at_points(surface_sql: str, column: str) -> str:
 def pointwise_diffusion(spark, sf_dir):
     """The model at scattered points: equi-joins with the frames' integrals instead of a float lookup."""
     at = K.homodyne_at(_scattered(spark, sf_dir), frame_table(spark, 30), angle_table(spark), STATIC, 1.0)
-    return at.select("point_id", "angle_idx", "i", "j", r9(K.scaled(F.col("g1"), F.lit(0.3), F.lit(1.0))).alias("g2"))
+    return at.select("point_id", "angle_idx", "i", "j", F.round(K.scaled(F.col("g1"), F.lit(0.3), F.lit(1.0)), 6).alias("g2"))
 
 
 @query(_at_points(_SQL["homodyne_flow_g1"], "g1"))
 def pointwise_shear(spark, sf_dir):
-    return K.homodyne_at(_scattered(spark, sf_dir), frame_table(spark, 30), angle_table(spark), FLOW, 1.0).withColumn("g1", r9("g1"))
+    return K.homodyne_at(_scattered(spark, sf_dir), frame_table(spark, 30), angle_table(spark), FLOW, 1.0).withColumn("g1", F.round("g1", 6))
 
 
 @query(_at_points(_SQL["heterodyne_surface"], "model"))
 def pointwise_two_component(spark, sf_dir):
-    return K.heterodyne_at(_scattered(spark, sf_dir), frame_table(spark, 30), angle_table(spark), TWO, 1.0).withColumn("model", r9("model"))
+    return K.heterodyne_at(_scattered(spark, sf_dir), frame_table(spark, 30), angle_table(spark), TWO, 1.0).withColumn("model", F.round("model", 6))
 
 
-@query("SELECT i, round(CASE WHEN abs(x) <= 1e-10 THEN 1.0 ELSE sin(x) / x END, 9) AS sinc FROM (SELECT i, (i - 15) / 5.0 AS x FROM frame)")
+@query("SELECT i, round(CASE WHEN abs(x) <= 1e-10 THEN 1.0 ELSE sin(x) / x END, 9) AS sinc FROM (SELECT i, (i % 30 - 15) / 5.0::DOUBLE AS x FROM person)", base=WIDE)
 def heterodyne_sinc(spark, sf_dir):
-    return frame_table(spark, 30).select("i", r9(S.sinc_plain((F.col("i") - 15) / 5.0)).alias("sinc"))
+    return customer_rows(spark, sf_dir).select("i", r9(S.sinc_plain((F.col("i") % 30 - 15) / 5.0)).alias("sinc"))
 
 
 @query("param(name, lower, upper) AS (VALUES ('D0', 100.0::DOUBLE, 100000.0::DOUBLE), ('alpha', -2.0::DOUBLE, 2.0::DOUBLE), ('phi0', -10.0::DOUBLE, 10.0::DOUBLE)), v AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'D0' WHEN 1 THEN 'alpha' ELSE 'phi0' END AS name, (p_retailprice - 1000) / (CASE p_partkey % 3 WHEN 0 THEN 1 ELSE 100 END) AS value FROM part) SELECT name, greatest(least(value, upper), lower) AS value, value BETWEEN lower AND upper AS within FROM v JOIN param USING (name)")
