@@ -14,8 +14,10 @@
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -37,6 +39,8 @@ DICTIONARY_WORDS = 1_000_000
 TEXT_BYTES = 2 << 20
 SORT_KEYS = 1_000_000
 COUNTED_WORDS = 200_000
+#: Bytes of text behind one share of the words.
+WORD_BYTES = 16 << 20
 #: Bytes of text behind one range of keys, and sampled keys for each range's border.
 RANGE_BYTES = 8 << 20
 SAMPLES_PER_RANGE = 50
@@ -68,16 +72,28 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
             yield lang, _BREAK.join(texts)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, word, f) of texts (lang, text as binary)."""
+def word_counts(texts: DataFrame, parts: int, least: int) -> DataFrame:
+    """(lang, word, f) of texts (lang, text as binary): words met ``least`` times, and rows with a null word that add up to all words of a language.
+
+    A task's counts travel as one packed row for each of ``parts`` shares of the words.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
 
         def rows() -> pa.RecordBatch:
-            found = [(lang, w, n) for lang, c in counts.items() for w, n in c.items() if w != _BREAK]
+            shares: dict[int, tuple[list, list, list]] = {}
+            for lang, own in counts.items():
+                own.pop(_BREAK, None)
+                for word, n in own.items():
+                    share = shares.setdefault(zlib.crc32(word) % parts, ([], [], []))
+                    share[0].append(word)
+                    share[1].append(n)
+                for share in shares.values():
+                    share[2].append((lang, len(share[0])))
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.int64())], ["lang", "word", "f"])
+            payloads = [_pack(json.dumps(langs).encode(), b" ".join(words), np.array(n, "<i8")) for words, n, langs in shares.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(shares), pa.int32()), pa.array(payloads, pa.binary())], ["part", "payload"])
 
         for lang, text in _chunks(batches):
             counts.setdefault(lang, Counter()).update(tokens(text))
@@ -85,7 +101,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 yield rows()
         yield rows()
 
-    return texts.mapInArrow(count, "lang string, word binary, f long").groupBy("lang", F.col("word").cast("string").alias("word")).agg(F.sum("f").alias("f"))
+    def add(rows: pa.Table) -> pa.Table:
+        totals: dict[str, Counter] = {}
+        for x in rows.column("payload"):
+            langs, words, n = _unpack(x.as_py())
+            words, n, lo = words.split(b" "), np.frombuffer(n, "<i8").tolist(), 0
+            for lang, hi in json.loads(langs):
+                own = totals.setdefault(lang, Counter())
+                for word, f in zip(words[lo:hi], n[lo:hi]):
+                    own[word] += f
+                lo = hi
+        found = [(lang, w, f) for lang, own in totals.items() for w, f in own.items() if f >= least]
+        found += [(lang, None, own.total()) for lang, own in totals.items()]
+        return pa.table({"lang": pa.array([x[0] for x in found], pa.string()), "word": pa.array([x[1] for x in found], pa.binary()), "f": pa.array([x[2] for x in found], pa.int64())})
+
+    found = texts.mapInArrow(count, "part int, payload binary").groupBy("part").applyInArrow(add, "lang string, word binary, f long")
+    return found.withColumn("word", F.col("word").cast("string"))
 
 
 def _numbered(words: DataFrame) -> DataFrame:
@@ -278,12 +309,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     table gives no rows; other columns don't matter.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    words = materialize(word_counts(texts), "collocation-words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    dictionary = materialize(_numbered(words.where(F.col("f") >= least)), "collocation-dictionary")
+    bytes_ = docs.agg(F.sum(utf8_size(F.col("text")))).first()[0] or 0
+    words = materialize(word_counts(texts, max(1, math.ceil(bytes_ / WORD_BYTES)), least), "collocation-words")
+    totals = words.where("word IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
+    dictionary = materialize(_numbered(words.where("word IS NOT NULL")), "collocation-dictionary")
     size, largest = dictionary.agg(F.count(F.lit(1)), F.max("id")).first()
     kind = _id_type(largest or 0)
-    bytes_ = docs.agg(F.sum(utf8_size(F.col("text")))).first()[0] or 0
     ranges = max(1, math.ceil(bytes_ / RANGE_BYTES))
     ids = encoded(texts, dictionary, size, kind)
     if size > DICTIONARY_WORDS:

@@ -44,7 +44,7 @@ def made_rows(seed):
 @pytest.mark.parametrize(("seed", "words"), [(1, 1_000_000), (2, 0)])
 def test_equals_brute_force(spark, monkeypatch, seed, words):
     """Many ranges and small sorts; a bound of no words joins words with the dictionary."""
-    for name, value in {"DICTIONARY_WORDS": words, "SORT_KEYS": 150, "RANGE_BYTES": 1500, "TEXT_BYTES": 300, "COUNTED_WORDS": 20}.items():
+    for name, value in {"DICTIONARY_WORDS": words, "SORT_KEYS": 150, "RANGE_BYTES": 1500, "WORD_BYTES": 2000, "TEXT_BYTES": 300, "COUNTED_WORDS": 20}.items():
         monkeypatch.setattr(C, name, value)
     rows = made_rows(seed)
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "lang string, text string, n int, key string").repartition(4)
