@@ -90,8 +90,13 @@ class Homodyne:
         return model, out
 
 
+def _soft(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smooth positive part of x and its derivative."""
+    return np.logaddexp(0, 50 * x) / 50, 1 / (1 + np.exp(-np.clip(50 * x, -700, 700)))
+
+
 class Heterodyne:
-    """Two components; derivatives by contrast and offset are exact, by physics central differences of the per-frame form."""
+    """Two components, with exact derivatives: each parameter's derivative is a vector along frames, which a cell gathers."""
 
     def __init__(self, t: np.ndarray, q: np.ndarray, phi: np.ndarray, dt: float, shared_scaling: bool = False):
         self.t, self.q, self.phi, self.dt = t, q, phi, dt
@@ -102,41 +107,82 @@ class Heterodyne:
     def size(self) -> int:
         return 2 * self.n_scaling + len(self.names)
 
-    def shape(self, v: np.ndarray, a: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        t = self.t
+    def _running(self, scale: float, power: float, offset: float, floor: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The running integral of scale * t**power + offset and of its three derivatives; with ``floor`` negative rates count as 0."""
+        base = _power(self.t, power)
+        log = np.where(self.t > 0, np.log(np.maximum(self.t, 1e-30)), 0.0)
+        rate = scale * base + offset
+        kept = rate > 0 if floor else np.ones(len(rate), bool)
+        parts = (base, scale * base * log, np.ones_like(rate))
+        return _integral(np.where(kept, rate, 0.0), self.dt), [_integral(np.where(kept, d, 0.0), self.dt) for d in parts]
+
+    def _fraction(self, f0: float, f1: float, f2: float, f3: float) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The sample's fraction along frames, kept in [0, 1] smoothly, and its four derivatives."""
+        x = f1 * (self.t - f2)
+        inside = np.abs(x) < 700
+        e = np.exp(np.clip(x, -700, 700))
+        low, d_low = _soft(f0 * e + f3)
+        high, d_high = _soft(1 - low)
+        slope = d_high * d_low
+        return 1 - high, [slope * d for d in (e, np.where(inside, f0 * e * (self.t - f2), 0.0), np.where(inside, -f0 * f1 * e, 0.0), np.ones_like(e))]
+
+    def shape(self, v: np.ndarray, a: np.ndarray, i: np.ndarray, j: np.ndarray, derivatives: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(the model without scaling, its (cell, parameter) derivatives)."""
+        q = self.q[a]
 
-        def half(scale, power, offset):
-            cum = _integral(np.maximum(scale * _power(t, power) + offset, 0.0), self.dt)
-            d = cum[j] - cum[i]
-            return np.exp(np.clip(-0.5 * q * q * np.sqrt(d * d + 1e-12), -700.0, 0.0))
+        def span(along: np.ndarray) -> np.ndarray:
+            return along[j] - along[i]
 
-        q = self.q[a]
-        hr, hs = half(*v[0:3]), half(*v[3:6])
-        cv = _integral(v[6] * _power(t, v[7]) + v[8], self.dt)
-        raw = v[9] * np.exp(np.clip(v[10] * (t - v[11]), -700, 700)) + v[12]
-        low = np.logaddexp(0, 50 * raw) / 50
-        fs = 1 - np.logaddexp(0, 50 * (1 - low)) / 50
+        def half(cum: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The decay over a cell's interval, and its derivative by that interval's integral."""
+            d = span(cum)
+            length = np.sqrt(d * d + 1e-12)
+            exponent = -0.5 * q * q * length
+            h = np.exp(np.maximum(exponent, -700.0))
+            return h, np.where(exponent > -700.0, -0.5 * q * q * d / length * h, 0.0)
+
+        cr, dcr = self._running(*v[0:3], floor=True)
+        cm, dcm = self._running(*v[3:6], floor=True)
+        cv, dcv = self._running(*v[6:9], floor=False)
+        fs, dfs = self._fraction(*v[9:13])
         fr = 1 - fs
-        beat = np.cos(q * np.cos(np.radians(self.phi[a] + v[13])) * (cv[j] - cv[i]))
-        top = (fr[i] * fr[j] * hr) ** 2 + (fs[i] * fs[j] * hs) ** 2 + 2 * fr[i] * fs[i] * fr[j] * fs[j] * hr * hs * beat
-        norm = fs * fs + fr * fr
-        return top / np.maximum(norm[i] * norm[j], 1e-10)
+        (hr, sr), (hs, ss) = half(cr), half(cm)
+        turn = np.radians(self.phi[a] + v[13])
+        across = q * np.cos(turn)
+        shift = span(cv)
+        beat = np.cos(across * shift)
+        ref, sample = fr[i] * fr[j], fs[i] * fs[j]
+        x, y = ref * hr, sample * hs
+        top = x * x + y * y + 2 * x * y * beat
+        own = fs * fs + fr * fr
+        norm = own[i] * own[j]
+        below = np.maximum(norm, 1e-10)
+        if not derivatives:
+            return top / below, None
+        out = np.empty((len(a), len(v)))
+        by_x, by_y = 2 * (x + y * beat) / below, 2 * (y + x * beat) / below
+        by_beat = -2 * x * y * np.sin(across * shift) / below
+        for m in range(3):
+            out[:, m] = by_x * ref * sr * span(dcr[m])
+            out[:, 3 + m] = by_y * sample * ss * span(dcm[m])
+            out[:, 6 + m] = by_beat * across * span(dcv[m])
+        for m, d in enumerate(dfs):
+            slope = 2 * (fs - fr) * d  # of a frame's norm
+            d_norm = np.where(norm > 1e-10, slope[i] * own[j] + own[i] * slope[j], 0.0)
+            out[:, 9 + m] = by_x * -(d[i] * fr[j] + fr[i] * d[j]) * hr + by_y * (d[i] * fs[j] + fs[i] * d[j]) * hs - top / (below * below) * d_norm
+        out[:, 13] = by_beat * -q * np.sin(turn) * (math.pi / 180) * shift
+        return top / below, out
 
     def evaluate(self, p: np.ndarray, a: np.ndarray, i: np.ndarray, j: np.ndarray, jacobian: bool = True):
         k = self.n_scaling
         s = a if k > 1 else np.zeros_like(a)
-        c, o, v = p[:k][s], p[k : 2 * k][s], p[2 * k :]
-        shape = self.shape(v, a, i, j)
+        c, o = p[:k][s], p[k : 2 * k][s]
+        shape, slopes = self.shape(p[2 * k :], a, i, j, jacobian)
         model = o + c * shape
         if not jacobian:
             return model, None
         out = np.zeros((len(a), self.size))
         rows = np.arange(len(a))
         out[rows, s], out[rows, k + s] = shape, 1.0
-        for m in range(len(v)):
-            h = 1e-6 * max(abs(v[m]), 1.0)
-            up, down = v.copy(), v.copy()
-            up[m] += h
-            down[m] -= h
-            out[:, 2 * k + m] = c * (self.shape(up, a, i, j) - self.shape(down, a, i, j)) / (2 * h)
+        out[:, 2 * k :] = c[:, None] * slopes
         return model, out
