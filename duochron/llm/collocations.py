@@ -120,19 +120,21 @@ def word_counts(texts: DataFrame, parts: int, least: int) -> DataFrame:
 
 
 def _numbered(words: DataFrame) -> DataFrame:
-    """(lang, word, id): ids from 1, close together, without one task that sees all words."""
-    parts = max(1, words.sparkSession.sparkContext.defaultParallelism)
+    """(lang, word, id): ids from 1 without gaps, and no task sees all words: places in partitions, then what the partitions before hold."""
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at = 0
+        at, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            ids = (at + np.arange(batch.num_rows)) * parts + TaskContext.get().partitionId() + 1
+            places = pa.array(np.arange(at, at + batch.num_rows), pa.int64())
             at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], ["lang", "word", "id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), places], ["lang", "word", "part", "place"])
 
-    return words.select("lang", "word").repartition(parts, "lang", "word").mapInArrow(number, "lang string, word string, id long")
+    placed = materialize(words.select("lang", "word").mapInArrow(place, "lang string, word string, part int, place long"), "collocation-places")
+    held = placed.groupBy(F.col("part").alias("of")).agg(F.count(F.lit(1)).alias("held"))
+    before = held.select("of", (F.sum("held").over(Window.orderBy("of")) - F.col("held")).alias("before"))  # one row a partition
+    return placed.join(F.broadcast(before), F.col("part") == F.col("of")).select("lang", "word", (F.col("before") + F.col("place") + 1).alias("id"))
 
 
 def radix_order(keys: np.ndarray) -> np.ndarray:

@@ -65,3 +65,9 @@ def test_exact_beyond_64_bits(spark):
     totals = spark.createDataFrame([((1).to_bytes(8, "big"), "en", 10**16 + 1)], "word binary, lang string, n long")
     row = C._cut_scores(counts, totals).first()
     assert row.score == 1000 * (10**14 + 7) * (10**16 + 1) // (10**15 * 3 * 10**14)
+
+
+def test_ids_have_no_gaps_whatever_the_partitions(spark):
+    words = spark.createDataFrame([("en", f"w{k}") for k in range(100)], "lang string, word string")
+    for n in (1, 7, 40):
+        assert sorted(r.id for r in C._numbered(words.repartition(n)).collect()) == list(range(1, 101))
