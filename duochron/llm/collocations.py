@@ -218,13 +218,15 @@ def encoded(texts: DataFrame, dictionary: DataFrame, words: int, kind: np.dtype)
     return found.select("ids").mapInArrow(to_bytes, "ids binary")
 
 
-def _sample(ids: DataFrame, kind: np.dtype, each: int) -> DataFrame:
+def _sample(ids: DataFrame, kind: np.dtype, share: float) -> DataFrame:
+    """(key): a random share of all keys."""
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
                 keys = window_ids(np.frombuffer(x.as_py(), kind))
-                at = np.random.default_rng(keys.shape[1]).integers(0, max(keys.shape[1], 1), each if keys.shape[1] else 0)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, at].T.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["key"])
+                taken = np.random.default_rng(keys.shape[1]).random(keys.shape[1]) < share
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, taken].T.astype(np.int64).tolist(), pa.list_(pa.int64()))], ["key"])
 
     return ids.mapInArrow(take, "key array<long>")
 
@@ -342,8 +344,9 @@ def _borders(texts: DataFrame, dictionary: DataFrame, size: int, kind: np.dtype,
     if ranges == 1:
         return []
     wanted = SAMPLES_PER_RANGE * ranges
-    rows = texts.count()
-    some = texts.sample(min(1.0, 4 * wanted / max(rows, 1)), seed=1)
-    found = _sample(encoded(some, dictionary, size, kind), kind, max(8, wanted // 50))
-    keys = sorted(tuple(r[0]) for r in found.orderBy(F.xxhash64("key")).limit(wanted).collect())
+    fraction = min(1.0, 4 * wanted / max(texts.count(), 1))
+    some = texts.sample(fraction, seed=1)
+    # A word takes six bytes or so; every key is as likely, whatever its language and the length of its text.
+    share = min(1.0, wanted * 6 / (fraction * ranges * RANGE_BYTES))
+    keys = sorted(tuple(r[0]) for r in _sample(encoded(some, dictionary, size, kind), kind, share).collect())  # SAMPLES_PER_RANGE a range
     return sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
