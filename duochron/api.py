@@ -15,10 +15,14 @@ from .operators import matrix as M
 from .operators import scaling as Sc
 from .operators import views as V
 from .operators import aggregates as A
-from .plans.layouts import Mapped, ScalingMap, hierarchical, recover, shear_weighted, variation_penalty
+from .plans.evolution import bipop, worth_it
+from .plans.hybrid import hybrid
+from .plans.layouts import Log, ScalingMap, Shift, Stack, hierarchical, recover, shear_weighted, variation_penalty
 from .plans.models import Heterodyne, Homodyne
+from .plans.monitor import Collapsed, GradientMonitor
 from .plans.parameters import MODES, REGISTRY, mode_of, scaling_layout
-from .plans.solve import FitResult, cma_es, keep_better, levenberg_marquardt, multistart
+from .plans.solve import FitResult, keep_better, levenberg_marquardt, multistart
+from .plans.stratified import trust_region
 from .schema import Dataset
 from .sources.files import load
 
@@ -77,15 +81,28 @@ def fit(spark: SparkSession, d: Dataset, config: dict | str | None = None) -> tu
     if guard["shear_weighting"] and mode == "laminar_flow":
         turned = d.angle.select(lookup[F.col("angle_idx")].alias("angle_idx"), "phi")
         cells = shear_weighted(cells, turned, own.get("phi0", REGISTRY["phi0"].default))
-    mapping = None
+    # From the fit's vector to the model's: what the physics are measured in, then the scaling.
+    steps: list = []
+    waves = 1 + 2 * order if layout == "fourier" else k
+    if mode == "laminar_flow":
+        place = {n: 2 * waves + m for m, n in enumerate(MODES[mode])}
+        if o["transforms"]["log_shear"]:
+            steps.append(Log([place["gamma_dot_t0"]]))
+        if o["transforms"]["centred_shear"]:
+            steps.append(Shift(place["beta"], float(physics[list(MODES[mode]).index("beta")])))
+    in_arrow = o["method"] == "trust_region" and layout == "individual" and guard["variation_penalty"] <= 0
+    if in_arrow:
+        # Of shared scaling, for sums that are kept per angle; positions count from two scaling parameters.
+        shared_model = Heterodyne(model.t, q, phi, d.dt, True) if mode == "two_component" else Homodyne(model.t, q, phi, d.dt, d.length, mode == "laminar_flow", True)
+        near = [Log([x - 2 * k + 2 for x in s.positions]) if isinstance(s, Log) else Shift(s.position - 2 * k + 2, s.reference) for s in steps]
+        arrow_model = Stack(shared_model, near) if near else shared_model
     if layout == "fourier":
-        mapping = ScalingMap("fourier", phi, order)
-        model, m = Mapped(model, mapping), 1 + 2 * order
-        start, reach = mapping.reduce(start), (high - low) / 2
-        # The mean keeps the bounds of the scaling; waves may take half their width either way.
-        ends = [np.concatenate([e[:1], s * reach[:1].repeat(m - 1), e[k : k + 1], s * reach[k : k + 1].repeat(m - 1), e[2 * k :]]) for e, s in ((low, -1), (high, 1))]
-        low, high = ends
-        k = m
+        steps.append(ScalingMap("fourier", phi, order))
+    stack = Stack(model, steps) if steps else None
+    if stack is not None:
+        model, start = stack, stack.to_fit(start)
+        low, high = stack.bounds(low, high)
+        k = waves
     strength = guard["variation_penalty"]
 
     def penalty(p: np.ndarray) -> tuple:
@@ -97,23 +114,35 @@ def fit(spark: SparkSession, d: Dataset, config: dict | str | None = None) -> tu
             total = total[0], total[1], total[2] + r2
         return total
 
-    options = {"max_iterations": o["max_iterations"], "loss": o["loss"], "penalty": penalty if strength > 0 and k > 1 and mapping is None else None}
+    options = {"max_iterations": o["max_iterations"], "loss": o["loss"], "penalty": penalty if strength > 0 and k > 1 and layout != "fourier" else None}
     if guard["hierarchical"]:
         start = hierarchical(cells, model, start, low, high, k).parameters
-    result = levenberg_marquardt(cells, model, start, low, high, **options)
+    if in_arrow:
+        watch = GradientMonitor(len(MODES[mode])) if guard["monitor"] else None
+        try:
+            found = trust_region(cells, arrow_model, start, low, high, o["max_iterations"], loss=o["loss"], on_step=watch)
+        except Collapsed:
+            # The angles' own scaling takes over: one scaling for all can't.
+            return fit(spark, d, {**c, "optimization": {**o, "per_angle_mode": "averaged"}})
+        # The arrow gives the physics' covariance; the scaling's part of the whole one is its variances.
+        covariance = np.diag(found.uncertainties**2)
+        covariance[2 * k :, 2 * k :] = found.covariance
+        result = replace(found, covariance=covariance)
+    elif o["method"] == "hybrid":
+        result = hybrid(cells, model, start, low, high, **options)
+    else:
+        result = levenberg_marquardt(cells, model, start, low, high, **options)
     if not result.converged and o["recover"]:
-        result = recover(cells, model, result, low, high)
-    if o["cmaes"]["enable"]:
-        best, _ = cma_es(cells, model, result.parameters, low, high)
-        result = keep_better(result, levenberg_marquardt(cells, model, best, low, high, **options))
+        result = recover(cells, model, result, low, high, **options)
+    evolved = o["cmaes"]["enable"]
+    if evolved is True or evolved == "auto" and worth_it(low, high):
+        own = bipop(cells, model, result.parameters, low, high, budget=o["cmaes"]["budget"], restarts=o["cmaes"]["restarts"], seed=o["cmaes"]["seed"])
+        result = keep_better(result, levenberg_marquardt(cells, model, own.parameters, low, high, **options))
     elif o["multi_start"]["enable"]:
         m = o["multi_start"]
-        result = keep_better(result, multistart(cells, model, low, high, m["n_starts"], m["seed"], custom=start[None, :])[0])
-    if mapping is not None:
-        turn = mapping.jacobian(len(MODES[mode]))
-        covariance = turn @ result.covariance @ turn.T
-        result = replace(result, parameters=mapping.expand(result.parameters), covariance=covariance, uncertainties=np.sqrt(np.maximum(np.diag(covariance), 0)))
-    return result, names
+        best, groups = multistart(cells, model, low, high, m["n_starts"], m["seed"], custom=start[None, :], **options)
+        result = replace(keep_better(result, best), basins=groups)
+    return (stack.back(result) if stack is not None else result), names
 
 
 def plot_tables(d: Dataset, contrast: float, offset: float, physics: dict[str, float], mode: str = "static_isotropic", pixels: int = 512) -> dict[str, DataFrame]:

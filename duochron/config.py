@@ -17,11 +17,15 @@ DEFAULTS = {
     "analyzer_parameters": {"dt": 1.0, "start_frame": 1, "end_frame": -1, "wavevector_q": 0.005, "stator_rotor_gap": 2e6},
     "phi_filtering": {"enabled": False, "target_ranges": [], "fallback_on_empty": True},
     "preprocessing": {"repair": "disabled", "diagonal": "statistical", "normalisation": None, "noise": None},
-    "optimization": {"max_iterations": 50, "per_angle_mode": "auto", "loss": "linear", "recover": True, "anti_degeneracy": {"hierarchical": False, "shear_weighting": False, "variation_penalty": 0.0}, "multi_start": {"enable": False, "n_starts": 10, "seed": 42}, "cmaes": {"enable": False}},
+    "optimization": {"max_iterations": 50, "per_angle_mode": "auto", "loss": "linear", "method": "levenberg_marquardt", "recover": True, "transforms": {"log_shear": False, "centred_shear": False}, "anti_degeneracy": {"hierarchical": False, "shear_weighting": False, "variation_penalty": 0.0, "monitor": False}, "multi_start": {"enable": False, "n_starts": 10, "seed": 42}, "cmaes": {"enable": False, "budget": 2000, "restarts": 9, "seed": 42}},
     "initial_parameters": {},
 }
 
 
+#: Ways of fitting: damped Gauss-Newton, the trust region on per-angle sums (where scaling is per angle), a descent first.
+METHODS = ("levenberg_marquardt", "trust_region", "hybrid")
+
+
 class ConfigError(ValueError):
     pass
 
@@ -41,7 +45,7 @@ def check(config: dict) -> list[str]:
     except ValueError as e:
         wrong.append(str(e))
     o = config["optimization"]
-    for name, known in (("per_angle_mode", LAYOUTS), ("loss", LOSSES)):
+    for name, known in (("per_angle_mode", LAYOUTS), ("loss", LOSSES), ("method", METHODS)):
         if o[name] not in known:
             wrong.append(f"no such {name}: {o[name]}; one of {', '.join(known)}")
     if config["preprocessing"]["repair"] not in REPAIRS:

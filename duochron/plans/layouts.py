@@ -31,87 +31,117 @@ class ScalingMap:
             raise ValueError(f"no such layout: {layout}")
         self.basis, self.n = basis, n
 
-    def expand(self, p: np.ndarray) -> np.ndarray:
+    def forward(self, p: np.ndarray) -> np.ndarray:
         k = self.basis.shape[1]
         return np.concatenate([self.basis @ p[:k], self.basis @ p[k : 2 * k], p[2 * k :]])
 
-    def reduce(self, full: np.ndarray) -> np.ndarray:
+    def inverse(self, full: np.ndarray) -> np.ndarray:
         """The coefficients nearest to given per-angle values."""
         fit = [np.linalg.lstsq(self.basis, x, rcond=None)[0] for x in (full[: self.n], full[self.n : 2 * self.n])]
         return np.concatenate([*fit, full[2 * self.n :]])
 
-    def jacobian(self, physics: int) -> np.ndarray:
+    def matrix(self, p: np.ndarray) -> np.ndarray:
         k = self.basis.shape[1]
-        out = np.zeros((2 * self.n + physics, 2 * k + physics))
+        physics = len(p) - 2 * k
+        out = np.zeros((2 * self.n + physics, len(p)))
         out[: self.n, :k] = out[self.n : 2 * self.n, k : 2 * k] = self.basis
         out[2 * self.n :, 2 * k :] = np.eye(physics)
         return out
 
-
-class Mapped:
-    """A model of per-angle scaling seen through a ScalingMap: the accumulator needs no change."""
-
-    def __init__(self, model, mapping: ScalingMap):
-        self.model, self.mapping = model, mapping
-
-    def evaluate(self, p, a, i, j, jacobian=True):
-        value, jac = self.model.evaluate(self.mapping.expand(p), a, i, j, jacobian)
-        return value, None if jac is None else jac @ self.mapping.jacobian(len(self.model.names))
+    def bounds(self, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mean keeps the bounds of the scaling; waves may take half their width either way."""
+        n, waves = self.n, self.basis.shape[1] - 1
+        reach = (upper - lower) / 2
+        ends = [np.concatenate([e[:1], s * reach[:1].repeat(waves), e[n : n + 1], s * reach[n : n + 1].repeat(waves), e[2 * n :]]) for e, s in ((lower, -1), (upper, 1))]
+        return ends[0], ends[1]
 
 
-class LogShear:
-    """Positive rates as logarithms: ``names`` positions of the vector are exponentiated for the model."""
+class Log:
+    """Positive parameters as logarithms: the vector's ``positions`` are exponentiated for the model."""
 
-    def __init__(self, model, positions: list[int]):
-        self.model, self.positions = model, positions
+    def __init__(self, positions: list[int]):
+        self.positions = positions
 
-    def to_model(self, p: np.ndarray) -> np.ndarray:
+    def forward(self, p: np.ndarray) -> np.ndarray:
         out = p.copy()
         out[self.positions] = np.exp(p[self.positions])
         return out
 
-    def to_log(self, p: np.ndarray) -> np.ndarray:
+    def inverse(self, p: np.ndarray) -> np.ndarray:
+        """A value that isn't positive becomes the least one there is."""
         out = p.copy()
         out[self.positions] = np.log(np.maximum(p[self.positions], 1e-300))
         return out
 
-    def bounds(self, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bounds of the logarithms; a bound that isn't positive becomes the least one there is."""
-        return self.to_log(lower), self.to_log(upper)
+    def matrix(self, p: np.ndarray) -> np.ndarray:
+        slope = np.ones(len(p))
+        slope[self.positions] = np.exp(p[self.positions])
+        return np.diag(slope)
 
-    def evaluate(self, p, a, i, j, jacobian=True):
-        full = self.to_model(p)
-        value, jac = self.model.evaluate(full, a, i, j, jacobian)
-        if jac is not None:
-            jac[:, self.positions] *= full[self.positions]
-        return value, jac
-
-    def covariance(self, covariance: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Of the model's own parameters, from that of the logarithms."""
-        scale = np.ones(len(p))
-        scale[self.positions] = np.exp(p[self.positions])
-        return covariance * np.outer(scale, scale)
+    def bounds(self, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.inverse(lower), self.inverse(upper)
 
 
-class Centred:
-    """A power measured from a reference: position ``k`` of the vector is the model's parameter less ``reference``."""
+class Shift:
+    """A power measured from a reference: the vector's ``position`` is the model's parameter less ``reference``."""
 
-    def __init__(self, model, k: int, reference: float):
-        self.model, self.k, self.reference = model, k, reference
+    def __init__(self, position: int, reference: float):
+        self.position, self.reference = position, reference
 
-    def to_model(self, p: np.ndarray) -> np.ndarray:
+    def forward(self, p: np.ndarray) -> np.ndarray:
         out = p.copy()
-        out[self.k] += self.reference
+        out[self.position] += self.reference
         return out
 
-    def to_centred(self, p: np.ndarray) -> np.ndarray:
-        """Of parameters and of bounds alike; the covariance stays as it is."""
+    def inverse(self, p: np.ndarray) -> np.ndarray:
         out = p.copy()
-        out[self.k] -= self.reference
+        out[self.position] -= self.reference
         return out
 
+    def matrix(self, p: np.ndarray) -> np.ndarray:
+        return np.eye(len(p))
+
+    def bounds(self, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.inverse(lower), self.inverse(upper)
+
+
+class Stack:
+    """A model seen through steps that turn the fit's vector into the model's, the first step first; derivatives by the chain rule."""
+
+    def __init__(self, model, steps: list):
+        self.model, self.steps, self.names = model, steps, model.names
+
+    def to_model(self, p: np.ndarray) -> np.ndarray:
+        for s in self.steps:
+            p = s.forward(p)
+        return p
+
+    def to_fit(self, p: np.ndarray) -> np.ndarray:
+        for s in self.steps[::-1]:
+            p = s.inverse(p)
+        return p
+
+    def matrix(self, p: np.ndarray) -> np.ndarray:
+        """Derivatives of the model's vector by the fit's."""
+        out = np.eye(len(p))
+        for s in self.steps:
+            out, p = s.matrix(p) @ out, s.forward(p)
+        return out
+
+    def bounds(self, lower: np.ndarray, upper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for s in self.steps[::-1]:
+            lower, upper = s.bounds(lower, upper)
+        return lower, upper
+
     def evaluate(self, p, a, i, j, jacobian=True):
-        return self.model.evaluate(self.to_model(p), a, i, j, jacobian)
+        value, jac = self.model.evaluate(self.to_model(p), a, i, j, jacobian)
+        return value, None if jac is None else jac @ self.matrix(p)
+
+    def back(self, fit: FitResult) -> FitResult:
+        """The fit in the model's own parameters."""
+        turn = self.matrix(fit.parameters)
+        covariance = turn @ fit.covariance @ turn.T
+        return replace(fit, parameters=self.to_model(fit.parameters), covariance=covariance, uncertainties=np.sqrt(np.maximum(np.diag(covariance), 0)))
 
 
 def variation_penalty(values: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -144,16 +174,34 @@ def hierarchical(cells: DataFrame, model, start: np.ndarray, lower: np.ndarray,
     return best
 
 
-def recover(cells: DataFrame, model, failed: FitResult, lower: np.ndarray, upper: np.ndarray, tries: int = 3, seed: int = 42) -> FitResult:
-    """Fit again from slightly perturbed starts; the better result stays."""
+#: Ways to try a fit again, in this order.
+RECOVERIES = ("perturbed", "shrunk", "relaxed")
+
+
+def recover(cells: DataFrame, model, failed: FitResult, lower: np.ndarray, upper: np.ndarray, tries: int = 3, seed: int = 42, **options) -> FitResult:
+    """Fit again: from slightly perturbed starts, in a box of half the width about the best so far, at last with a tolerance a hundred times as large.
+
+    The best result stays, and counts as converged only if it did so itself.
+    ``options`` are those of the first fit, so that costs are of one kind.
+    """
     rng = np.random.default_rng(seed)
-    for _ in range(tries):
-        if failed.converged and np.isfinite(failed.chi_squared):
+    options = {"max_iterations": 100, **options}
+    best = failed
+    for way in [RECOVERIES[0]] * tries + list(RECOVERIES[1:]):
+        if best.converged and np.isfinite(best.chi_squared):
             break
-        start = failed.parameters * (1 + 0.05 * rng.uniform(-1, 1, len(failed.parameters)))
-        again = levenberg_marquardt(cells, model, start, lower, upper, 100)
-        failed = again if again.chi_squared <= failed.chi_squared or not np.isfinite(failed.chi_squared) else replace(failed, converged=again.converged)
-    return failed
+        start, low, high, own = best.parameters, lower, upper, dict(options)
+        if way == "perturbed":
+            start = start * (1 + 0.05 * rng.uniform(-1, 1, len(start)))
+        elif way == "shrunk":
+            quarter = (upper - lower) / 4
+            low, high = np.maximum(lower, start - quarter), np.minimum(upper, start + quarter)
+        else:
+            own["tolerance"] = 100 * own.get("tolerance", 1e-6)
+        again = levenberg_marquardt(cells, model, start, low, high, **own)
+        if np.isfinite(again.chi_squared) and (again.chi_squared <= best.chi_squared or not np.isfinite(best.chi_squared)):
+            best = again
+    return best
 
 
 def gradient_ratio(cells: DataFrame, model, p: np.ndarray, n_scaling: int) -> float:

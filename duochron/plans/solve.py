@@ -32,6 +32,8 @@ class FitResult:
     history: list[float] = field(default_factory=list)
     #: converged, no_step (every trial was refused), max_iterations or not_finite.
     status: str = ""
+    #: Of a fit from several starts: groups of starts that end alike; more than one means that the data don't decide.
+    basins: list[list[int]] = field(default_factory=list)
 
     @property
     def reduced_chi_squared(self) -> float:
@@ -142,52 +144,6 @@ def levenberg_marquardt(cells: DataFrame, model, start: np.ndarray, lower: np.nd
         cells.unpersist()
 
 
-def fit_angles(cells: DataFrame, make_model, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, least: int = 10) -> DataFrame:
-    """Sequential fits: one local fit for each angle, all angles in parallel.
-
-    (angle_idx, success, chi2, n, parameters, uncertainties). An angle is a group in a task.
-    """
-    schema = "angle_idx int, success boolean, chi2 double, n long, parameters array<double>, uncertainties array<double>"
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        angle = int(rows["angle_idx"].iloc[0])
-        n = len(rows)
-        if n < least:
-            return pd.DataFrame([(angle, False, float("nan"), n, None, None)], columns=["angle_idx", "success", "chi2", "n", "parameters", "uncertainties"])
-        model = make_model(angle)
-        a, i, j = np.zeros(n, int), rows["i"].to_numpy(), rows["j"].to_numpy()
-        y, w = rows["c2"].to_numpy(), 1 / rows["sigma"].to_numpy()
-        p, lam = np.clip(np.asarray(start, float), lower, upper), 0.01
-        value, jac = model.evaluate(p, a, i, j)
-        r = (y - value) * w
-        for _ in range(100):
-            jw = jac * w[:, None]
-            g, h = jw.T @ jw, jw.T @ r
-            better = False
-            for _ in range(10):
-                d = np.maximum(np.diag(g), 1e-300)
-                scale = 1 / np.sqrt(d * (1 + lam))
-                step = scale * np.linalg.lstsq((g + lam * np.diag(d)) * np.outer(scale, scale), h * scale, rcond=1e-12)[0]
-                trial = np.clip(p + step, lower, upper)
-                value, jac2 = model.evaluate(trial, a, i, j)
-                r2 = (y - value) * w
-                if r2 @ r2 < r @ r:
-                    better = True
-                    break
-                lam *= 10
-            if not better:
-                break
-            done = (r @ r - r2 @ r2) < 1e-10 * (r @ r)
-            p, r, jac, lam = trial, r2, jac2, max(lam * 0.1, 1e-7)
-            if done:
-                break
-        jw = jac * w[:, None]
-        cov = (r @ r) / max(n - len(p), 1) * np.linalg.pinv(jw.T @ jw)
-        return pd.DataFrame({"angle_idx": [angle], "success": [bool(np.isfinite(r @ r))], "chi2": [float(r @ r)], "n": [n], "parameters": [p.tolist()], "uncertainties": [np.sqrt(np.maximum(np.diag(cov), 0)).tolist()]})
-
-    return cells.select("angle_idx", "i", "j", "c2", "sigma").groupBy("angle_idx").applyInPandas(fit, schema)
-
-
 def latin_hypercube(n: int, lower: np.ndarray, upper: np.ndarray, seed: int = 42) -> np.ndarray:
     rng = np.random.default_rng(seed)
     u = np.stack([(rng.permutation(n) + rng.random(n)) / n for _ in lower], axis=1)
@@ -201,8 +157,8 @@ def centre_distance(starts: np.ndarray, lower: np.ndarray, upper: np.ndarray) ->
     return np.where(((starts <= lower) | (starts >= upper)).any(axis=1), 1e20, cost)
 
 
-def chi_squared_of(cells: DataFrame, model, candidates: np.ndarray) -> np.ndarray:
-    """Chi-squared of many parameter vectors in one job: a generation of a population, or all starts."""
+def chi_squared_of(cells: DataFrame, model, candidates: np.ndarray, loss: str = "linear") -> np.ndarray:
+    """The cost of many parameter vectors in one job: a generation of a population, or all starts."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(candidates))
@@ -212,7 +168,7 @@ def chi_squared_of(cells: DataFrame, model, candidates: np.ndarray) -> np.ndarra
             w = np.where(s > 0, 1.0 / np.where(s > 0, s, 1.0), 0.0)
             for k, p in enumerate(candidates):
                 r = (y - model.evaluate(p, a, i, j, False)[0]) * w
-                total[k] += r @ r
+                total[k] += r @ r if loss == "linear" else (2 * (np.sqrt(1 + r * r) - 1)).sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(candidates)), pa.int32()), pa.array(total)], ["k", "chi2"])
 
     rows = cells.select("angle_idx", "i", "j", "c2", "sigma").mapInArrow(fold, "k int, chi2 double").groupBy("k").agg(F.sum("chi2").alias("chi2")).collect()
@@ -222,14 +178,14 @@ def chi_squared_of(cells: DataFrame, model, candidates: np.ndarray) -> np.ndarra
     return out
 
 
-def multistart(cells: DataFrame, model, lower: np.ndarray, upper: np.ndarray, n_starts: int = 10, seed: int = 42, custom: np.ndarray | None = None, keep: int | None = None) -> tuple[FitResult, list[list[int]]]:
-    """Latin-hypercube starts, screened, evaluated in one job; all of them (or the best ``keep``) fitted in full. (best fit, basins of start numbers)."""
+def multistart(cells: DataFrame, model, lower: np.ndarray, upper: np.ndarray, n_starts: int = 10, seed: int = 42, custom: np.ndarray | None = None, keep: int | None = None, **options) -> tuple[FitResult, list[list[int]]]:
+    """Latin-hypercube starts, screened, evaluated in one job; all of them (or the best ``keep``) fitted in full, with ``options`` of the fit. (best fit, basins of start numbers)."""
     starts = latin_hypercube(n_starts, lower, upper, seed)
     starts = starts[np.argsort(centre_distance(starts, lower, upper), kind="stable")[: max(3, n_starts // 2)]]
     if custom is not None:
         starts = np.concatenate([custom[((custom >= lower) & (custom <= upper)).all(axis=1)], starts])
-    order = np.argsort(chi_squared_of(cells, model, starts), kind="stable")[:keep]
-    fits = [levenberg_marquardt(cells, model, starts[k], lower, upper) for k in order]
+    order = np.argsort(chi_squared_of(cells, model, starts, options.get("loss", "linear")), kind="stable")[:keep]
+    fits = [levenberg_marquardt(cells, model, starts[k], lower, upper, **options) for k in order]
     return min(fits, key=lambda f: f.chi_squared), basins(fits)
 
 
@@ -251,48 +207,20 @@ def basins(fits: list[FitResult], gap: float = 0.1, distance: float = 0.2) -> li
     return groups
 
 
-def cma_es(cells: DataFrame, model, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, generations: int = 40, population: int | None = None, seed: int = 42, sigma: float = 0.3) -> tuple[np.ndarray, float]:
-    """Covariance matrix adaptation in the unit box; a generation is evaluated in one job. (parameters, chi2)."""
-    rng, n = np.random.default_rng(seed), len(start)
-    lam = population or 4 + int(3 * np.log(n))
-    mu = lam // 2
-    w = np.log(mu + 0.5) - np.log(np.arange(1, mu + 1))
-    w /= w.sum()
-    eff = 1 / (w**2).sum()
-    cs, cc = (eff + 2) / (n + eff + 5), (4 + eff / n) / (n + 4 + 2 * eff / n)
-    c1 = 2 / ((n + 1.3) ** 2 + eff)
-    cm = min(1 - c1, 2 * (eff - 2 + 1 / eff) / ((n + 2) ** 2 + eff))
-    ds = 1 + cs + 2 * max(0, np.sqrt((eff - 1) / (n + 1)) - 1)
-    width = np.where(upper > lower, upper - lower, 1.0)
-    mean, c, ps, pc_ = (np.clip(start, lower, upper) - lower) / width, np.eye(n), np.zeros(n), np.zeros(n)
-    best = (lower + mean * width, float("inf"))
-    norm = np.sqrt(n) * (1 - 1 / (4 * n) + 1 / (21 * n * n))
-    for g in range(generations):
-        d, b = np.linalg.eigh(c)
-        d = np.sqrt(np.maximum(d, 1e-20))
-        y = rng.standard_normal((lam, n)) * d @ b.T
-        x = np.clip(mean + sigma * y, 0, 1)
-        cost = chi_squared_of(cells, model, lower + x * width)
-        order = np.argsort(cost, kind="stable")[:mu]
-        if cost[order[0]] < best[1]:
-            best = (lower + x[order[0]] * width, float(cost[order[0]]))
-        step = (w[:, None] * (x[order] - mean)).sum(axis=0) / sigma
-        mean = mean + sigma * step
-        ps = (1 - cs) * ps + np.sqrt(cs * (2 - cs) * eff) * b @ ((b.T @ step) / d)
-        on = np.linalg.norm(ps) / np.sqrt(1 - (1 - cs) ** (2 * (g + 1))) < (1.4 + 2 / (n + 1)) * norm
-        pc_ = (1 - cc) * pc_ + on * np.sqrt(cc * (2 - cc) * eff) * step
-        c = (1 - c1 - cm) * c + c1 * np.outer(pc_, pc_) + cm * sum(wk * np.outer(v, v) for wk, v in zip(w, (x[order] - mean + sigma * step) / sigma))
-        sigma *= np.exp(cs / ds * (np.linalg.norm(ps) / norm - 1))
-        if sigma * d.max() < 1e-10:
-            break
-    return best
-
-
 def keep_better(warm: FitResult, candidate: FitResult) -> FitResult:
     """The candidate only if it is finite and no worse."""
     return candidate if np.isfinite(candidate.chi_squared) and candidate.chi_squared <= warm.chi_squared * (1 + 1e-12) else warm
 
 
-def jacobian_statistics(jtj: np.ndarray) -> dict:
+def jacobian_statistics(jtj: np.ndarray, gradient: np.ndarray | None = None, gradient_square: np.ndarray | None = None, n: int = 0) -> dict:
+    """Column norms and condition of the Jacobian; with sums over the n cells of each cell's gradient and its square, the mean's noise as well.
+
+    Sensitivity is a column's root mean square; noise the standard error of the mean gradient over the mean gradient.
+    """
     values = np.linalg.eigvalsh(jtj)
-    return {"column_norms": np.sqrt(np.maximum(np.diag(jtj), 0)), "condition": float(np.sqrt(values.max() / values.min())) if values.min() > 0 else float("inf")}
+    more = {}
+    if gradient is not None and gradient_square is not None and n > 1:
+        mean = gradient / n
+        error = np.sqrt(np.maximum(gradient_square / n - mean * mean, 0) / n)
+        more = {"sensitivity": np.sqrt(np.maximum(np.diag(jtj), 0) / n), "noise": error / np.maximum(np.abs(mean), 1e-300)}
+    return more | {"column_norms": np.sqrt(np.maximum(np.diag(jtj), 0)), "condition": float(np.sqrt(values.max() / values.min())) if values.min() > 0 else float("inf")}

@@ -6,7 +6,7 @@ import pytest
 from duochron.functions import kernels as K
 from duochron.plans.models import Heterodyne, Homodyne
 from duochron.plans.parameters import REGISTRY, clip_to_bounds, mode_from_count, mode_of, scaling_layout, split
-from duochron.plans.solve import FitResult, accumulate, basins, centre_distance, chi_squared_of, cma_es, jacobian_statistics, keep_better, latin_hypercube
+from duochron.plans.solve import FitResult, accumulate, basins, centre_distance, chi_squared_of, jacobian_statistics, keep_better, latin_hypercube
 from duochron.sources.events import angle_table, frame_table
 
 TWO = dict(D0_ref=5000.0, alpha_ref=0.5, D_offset_ref=100.0, D0_sample=5000.0, alpha_sample=0.5, D_offset_sample=100.0, v0=50.0, v_beta=0.5, v_offset=5.0, f0=0.5, f1=0.01, f2=1.0, f3=0.5, phi0_het=2.0)
@@ -89,17 +89,6 @@ def test_fit_recovers_parameters(spark, sf):
         assert r["success"] and math.isclose(r["parameters"][0], 0.3, rel_tol=0.02)
 
 
-def test_cma_es_finds_the_box_minimum(spark):
-    class Bowl:
-        def evaluate(self, p, a, i, j, jacobian=True):
-            return np.full(len(a), ((p - [0.3, 0.7]) ** 2).sum()), None
-
-    cells = spark.createDataFrame([(0, 0, 1, 0.0, 1.0)], "angle_idx int, i int, j int, c2 double, sigma double")
-    best, cost = cma_es(cells, Bowl(), np.array([0.9, 0.1]), np.zeros(2), np.ones(2), generations=25)
-    np.testing.assert_allclose(best, [0.3, 0.7], atol=0.05)
-    assert cost < 1e-4
-
-
 def test_starts_and_guards():
     low, high = np.zeros(3), np.array([1.0, 2.0, 3.0])
     s = latin_hypercube(10, low, high)
