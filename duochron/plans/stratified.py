@@ -142,7 +142,7 @@ def _to_bound(x: np.ndarray, step: np.ndarray, lower: np.ndarray, upper: np.ndar
     return float(np.min(room, initial=np.inf))
 
 
-def trust_region(cells: DataFrame, model, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, max_iterations: int = 100, tolerance: float = 1e-10, loss: str = "linear", on_step=None) -> FitResult:
+def trust_region(cells: DataFrame, model, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, max_iterations: int = 100, tolerance: float = 1e-9, loss: str = "linear", on_step=None) -> FitResult:
     """Bounded least squares of contrast and offset per angle and shared physics, as one vector (contrasts, offsets, physics).
 
     Coleman-Li scaling by the distance to the bound that a variable moves to;
