@@ -32,8 +32,8 @@ from .shingles import hash_spans
 FILE_TEXT_BYTES = 16 << 20
 NULL_ID = -(1 << 63)
 #: Pieces whose ids a worker remembers before it starts afresh, and characters that it encodes at a time (or one longer text).
-CACHE_PIECES = 200_000
-ENCODE_CHARS = 1 << 20
+CACHE_PIECES = 600_000
+ENCODE_CHARS = 3 << 19
 #: Other texts are encoded whole: an apostrophe may begin a contraction, and Unicode tables of two libraries may differ elsewhere.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x26\x28-\x7e\xa1-ɏ]*")
 
