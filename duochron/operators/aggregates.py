@@ -123,9 +123,11 @@ def chunk_balance(chunks: DataFrame) -> DataFrame:
 
 def correlation_checks(cells: DataFrame) -> DataFrame:
     """Per matrix: whether it is symmetric (1e-10 absolute, 1e-5 relative) and its cell (0, 1) lies in [0.5, 2]."""
-    both = cells.join(transpose(cells), ["angle_idx", "i", "j"])
-    close = F.abs(F.col("c2") - F.col("c2t")) <= 1e-10 + 1e-5 * F.abs("c2t")
-    return both.groupBy("angle_idx").agg(F.bool_and(close).alias("symmetric"), F.max(F.when((F.col("i") == 0) & (F.col("j") == 1), F.col("c2"))).between(0.5, 2.0).alias("near_zero_lag_ok"))
+    lag = F.max(F.when((F.col("i") == 0) & (F.col("j") == 1), F.col("c2")))
+    pairs = cells.groupBy("angle_idx", F.least("i", "j").alias("__lo"), F.greatest("i", "j").alias("__hi")).agg(F.count("c2").alias("__n"), F.min("c2").alias("__a"), F.max("c2").alias("__b"), lag.alias("__lag"))
+    whole = (F.col("__lo") == F.col("__hi")) | (F.col("__n") == 2)
+    close = F.when(whole, F.col("__b") - F.col("__a") <= 1e-10 + 1e-5 * F.least(F.abs("__a"), F.abs("__b")))
+    return pairs.groupBy("angle_idx").agg(F.bool_and(close).alias("symmetric"), F.max("__lag").between(0.5, 2.0).alias("near_zero_lag_ok"))
 
 
 def issues(cells: DataFrame) -> DataFrame:

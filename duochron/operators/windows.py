@@ -17,8 +17,7 @@ def is_monotone(frames: DataFrame, value: str = "t") -> DataFrame:
 def keep_best(starts: DataFrame, cost: str = "cost", key: str = "start", share: float = 0.5, least: int = 3) -> DataFrame:
     """The max(least, floor(n * share)) starts of least cost, ranked."""
     n = F.broadcast(starts.agg(F.greatest(F.lit(least), F.floor(F.count(F.lit(1)) * share)).alias("__k")))
-    ranked = starts.withColumn("rank", F.row_number().over(Window.orderBy(cost, key)))
-    return ranked.crossJoin(n).where(F.col("rank") <= F.col("__k")).drop("__k")
+    return numbered(starts, cost, "rank", key).crossJoin(n).where(F.col("rank") <= F.col("__k")).drop("__k")
 
 
 def best_result(results: DataFrame) -> DataFrame:
@@ -26,55 +25,60 @@ def best_result(results: DataFrame) -> DataFrame:
     return results.where("success").agg(F.min_by("start", F.struct("chi2", "start")).alias("start"), F.min("chi2").alias("chi2"))
 
 
-#: Ranges of an ordered history, each one task's work.
-RANGES = 512
+#: Rows of an ordered history that one task orders; the number of ranges grows with the history.
+RANGE_ROWS = 200_000
 
 
-def with_ranges(history: DataFrame, key: str, least: int, ranges: int = RANGES) -> DataFrame:
-    """Add range (0 and on, ascending with ``key``, at least ``least`` rows in each): edges by a sketch, so that no task orders all rows.
+def _among(edges: list, key: Column, first: int = 0) -> Column:
+    """How many of the sorted ``edges`` are at most ``key``, by halving: as many comparisons as there are bits in their number."""
+    if not edges:
+        return F.lit(first)
+    mid = len(edges) // 2
+    return F.when(key < F.lit(edges[mid]), _among(edges[:mid], key, first)).otherwise(_among(edges[mid + 1 :], key, first + mid + 1))
 
-    Keys that repeat stay in one range.
+
+def with_ranges(history: DataFrame, key: str) -> DataFrame:
+    """Add range (0 and on, ascending with ``key``) of about RANGE_ROWS rows: a count and one sketch say where to cut, and no task orders all rows.
+
+    Keys that repeat stay in one range; a range may be empty.
     """
-    n = min(ranges, history.count() // max(4 * least, 1000))
-    while n > 1:
-        edges = sorted(set(history.approxQuantile(key, [k / n for k in range(1, n)], 1 / (8 * n))))
-        dealt = history.withColumn("range", F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e <= F.col(key))))
-        counts = dealt.groupBy("range").count().agg(F.min("count").alias("fewest"), F.count(F.lit(1)).alias("held")).first()
-        if edges and counts["fewest"] >= least and counts["held"] == len(edges) + 1:
-            return dealt
-        n //= 2
-    return history.withColumn("range", F.lit(0))
+    n = -(-history.count() // RANGE_ROWS)
+    if n <= 1:
+        return history.withColumn("range", F.lit(0))
+    edges = sorted(set(history.approxQuantile(key, [k / n for k in range(1, n)], 1 / (8 * n))))
+    return history.withColumn("range", _among(edges, F.col(key)))
 
 
-def over_last(history: DataFrame, key: str, size: int, columns: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
-    """``columns`` (functions of a window) over the last ``size`` rows by ``key``: each range is ordered with the last rows of the one before."""
-    dealt = with_ranges(history, key, size).withColumn("__own", F.lit(True))
-    tail = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("range").orderBy(F.col(key).desc()))).where(F.col("__at") < size).drop("__at")
-    rows = dealt.unionByName(tail.withColumns({"range": F.col("range") + 1, "__own": F.lit(False)}))
-    w = Window.partitionBy("range").orderBy(key).rowsBetween(-(size - 1), 0)
-    return rows.select("*", *(f(w).alias(k) for k, f in columns.items())).where("__own").drop("__own", "range")
-
-
-def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Add ``name``: the row's number (1 and on) by ``key``, from ranges that are numbered apart."""
-    dealt = with_ranges(rows, key, 1)
-    held = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("__n"))  # RANGES rows at most
+def numbered(rows: DataFrame, key: str, name: str, *then: str) -> DataFrame:
+    """Add ``name``: the row's number (1 and on) by ``key``, then by the other columns; ranges are numbered apart, then moved on by what those before hold."""
+    dealt = with_ranges(rows, key)
+    held = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("__n"))  # a row a range
     before = held.select(F.col("range"), (F.sum("__n").over(Window.orderBy("range")) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("range").orderBy(key))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(key, *then))
     return dealt.join(F.broadcast(before), "range").withColumn(name, (own + F.col("__before")).cast("long")).drop("range", "__before")
 
 
+def over_last(history: DataFrame, key: str, size: int, columns: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """``columns`` (functions of a window) over the last ``size`` rows by ``key``: equal blocks of numbered rows, each with the last rows of the one before."""
+    block = max(size, RANGE_ROWS)
+    place = F.col("__row") - 1
+    dealt = numbered(history, key, "__row").withColumns({"__block": F.floor(place / block), "__own": F.lit(True)})
+    tail = dealt.where(place % block > block - size).withColumns({"__block": F.col("__block") + 1, "__own": F.lit(False)})
+    w = Window.partitionBy("__block").orderBy("__row").rowsBetween(-(size - 1), 0)
+    return dealt.unionByName(tail).select("*", *(f(w).alias(k) for k, f in columns.items())).where("__own").drop("__own", "__block", "__row")
+
+
 def consecutive_triggers(history: DataFrame, at: int = 5) -> DataFrame:
     """(step, triggered, run, fires): the length of the run of triggers up to each step, and whether it reaches ``at``.
 
     Runs are counted in each range of steps; what a range's first run brings along is summed over the ranges before.
     """
-    dealt = with_ranges(history, "step", 1)
+    dealt = with_ranges(history, "step")
     whole = Window.partitionBy("range").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     marked = dealt.withColumn("__breaks", F.sum((~F.col("triggered")).cast("int")).over(whole))
     run = F.sum(F.col("triggered").cast("int")).over(Window.partitionBy("range", "__breaks").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     counted = marked.withColumn("__run", F.when(F.col("triggered"), run).otherwise(0))
-    ends = counted.groupBy("range").agg(F.max_by("__run", "step").alias("last"), F.max("__breaks").alias("breaks"))  # RANGES rows at most
+    ends = counted.groupBy("range").agg(F.max_by("__run", "step").alias("last"), F.max("__breaks").alias("breaks"))  # a row a range
     # A range without a break hands on what it got: so do all since the last one with a break.
     ordered = Window.orderBy("range")
     ends = ends.withColumn("since", F.sum((F.col("breaks") > 0).cast("int")).over(ordered))
@@ -98,8 +102,8 @@ def ring_statistics(batches: DataFrame, size: int = 100) -> DataFrame:
 
 def allocate_chunks(points: DataFrame, n_chunks: int, key: str = "point_id") -> DataFrame:
     """Add chunk (0 and on): every angle's points in order, as evenly as possible over all chunks."""
-    ranged = with_ranges(points, key, 1)
-    held = ranged.groupBy("angle_idx", "range").agg(F.count(F.lit(1)).alias("__n"))  # RANGES rows an angle at most
+    ranged = with_ranges(points, key)
+    held = ranged.groupBy("angle_idx", "range").agg(F.count(F.lit(1)).alias("__n"))  # a row an angle and range
     w = Window.partitionBy("angle_idx")
     held = held.select("angle_idx", "range", (F.sum("__n").over(w.orderBy("range")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("__all"))
     at = F.row_number().over(Window.partitionBy("angle_idx", "range").orderBy(key)) - 1 + F.col("__before")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import kernels as K
 from .functions import scalars as S
 from .operators import aggregates as A
+from .operators import asof
 from .operators import filters as Fl
 from .operators import matrix as M
 from .operators import scaling as Sc
@@ -969,3 +970,24 @@ def component_hashes(spark, sf_dir):
         row = A.component_hash(df).select(F.lit(name).alias("component"), "hash", "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+_ASOF = "spots AS (SELECT event_id, epoch_us(ts) / 1000000.0::DOUBLE AS at FROM events WHERE event_type <> 'signup'), grid AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS index FROM (SELECT DISTINCT epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events WHERE event_type = 'signup')) "
+
+
+def _asof(spark, sf_dir, side):
+    """Every event that isn't a signup, looked up on the uneven grid of the signups' times."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", seconds.alias("at"))
+    grid = W.numbered(events.where("event_type = 'signup'").select(F.col("at").alias("t")).distinct(), "t", "index").withColumn("index", F.col("index") - 1)
+    return asof.nearest_on_grid(events.where("event_type <> 'signup'").select("event_id", "at"), grid, "at", "found", side).select("event_id", "found")
+
+
+@query(_ASOF + "SELECT event_id, coalesce(g.index, (SELECT max(index) FROM grid)) AS found FROM spots s ASOF LEFT JOIN grid g ON s.at <= g.t")
+def asof_ceiling(spark, sf_dir):
+    return _asof(spark, sf_dir, "ceiling")
+
+
+@query(_ASOF + "SELECT event_id, coalesce(g.index, 0) AS found FROM spots s ASOF LEFT JOIN grid g ON s.at >= g.t")
+def asof_floor(spark, sf_dir):
+    return _asof(spark, sf_dir, "floor")

@@ -179,7 +179,8 @@ def test_ordered_ranges_equal_one_window(spark, monkeypatch):
     on = rng.random(9000) < 0.9
     on[2000:5000] = True  # a run over several ranges
     h = spark.createDataFrame([(int(s), bool(o), float(v)) for s, o, v in zip(step, on, rng.random(9000))], "step long, triggered boolean, value double").repartition(5)
-    assert W.with_ranges(h, "step", 10).select("range").distinct().count() > 3
+    monkeypatch.setattr(W, "RANGE_ROWS", 700)
+    assert W.with_ranges(h, "step").select("range").distinct().count() > 3
     run, want = 0, {}
     for s, o in zip(step.tolist(), on.tolist()):
         run = run + 1 if o else 0
@@ -241,3 +242,36 @@ def test_stages_are_the_operators_in_turn(spark, cells):
     np.testing.assert_allclose(matrix(at["final"])[1], matrix(want)[1])
     report = {r.stage: r for r in Va.stage_report(at).collect()}
     assert list(at) == list(Va.STAGES) and report["raw"].n == 512 and report["final"].n == 256 and report["final"].finite_fraction == 1
+
+
+@pytest.mark.parametrize("side", ["ceiling", "floor"])
+@pytest.mark.parametrize("small", [True, False])
+def test_lookup_on_an_uneven_grid(spark, monkeypatch, side, small):
+    """Both routes against a binary search: ends, equal values, repeated and null points, an extra column."""
+    from duochron.operators import asof
+
+    monkeypatch.setattr(W, "RANGE_ROWS", 40)
+    monkeypatch.setattr(asof, "GRID_POINTS", 4096 if small else 0)
+    rng = np.random.default_rng(8)
+    grid = np.unique(np.round(rng.random(150) * 100, 1))
+    at = np.concatenate([rng.random(200) * 120 - 10, grid[::7], grid[:3], [-50.0, 500.0]])
+    rows = [(k, float(v), k) for k, v in enumerate(at)] + [(9999, None, 1)]
+    points = spark.createDataFrame(rows, "k int, at double, index int").repartition(4)
+    table = spark.createDataFrame([(float(t), k) for k, t in enumerate(grid)], "t double, index int")
+    got = {r.k: r.found for r in asof.nearest_on_grid(points, table, "at", "found", side).collect()}
+    want = np.searchsorted(grid, at, "left") if side == "ceiling" else np.searchsorted(grid, at, "right") - 1
+    assert got == {**{k: int(v) for k, v in enumerate(np.clip(want, 0, len(grid) - 1))}, 9999: None}
+    assert {r.found for r in asof.nearest_on_grid(points, table.limit(0), "at", "found", side).collect()} == {None}
+
+
+def test_best_starts_are_ranked_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(W, "RANGE_ROWS", 10)
+    rows = [(k, float(k * 7 % 11)) for k in range(60)]  # ties
+    got = sorted((r.rank, r.start) for r in W.keep_best(spark.createDataFrame(rows, "start int, cost double").repartition(3)).collect())
+    assert got == [(n, k) for n, (_, k) in enumerate(sorted((c, k) for k, c in rows)[:30], 1)]
+
+
+def test_symmetry_by_pairs(spark):
+    rows = [(0, 0, 0, 1.0), (0, 0, 1, 1.2), (0, 1, 0, 1.2), (1, 0, 1, 1.2), (1, 1, 0, 1.3), (2, 0, 1, 3.0), (2, 1, 0, 3.0), (3, 0, 1, float("nan")), (3, 1, 0, 1.0), (4, 0, 1, 1.0), (4, 2, 3, 7.0)]
+    got = {r.angle_idx: (r.symmetric, r.near_zero_lag_ok) for r in A.correlation_checks(spark.createDataFrame(rows, "angle_idx int, i int, j int, c2 double")).collect()}
+    assert got == {0: (True, True), 1: (False, True), 2: (True, False), 3: (False, False), 4: (None, True)}
