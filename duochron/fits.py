@@ -74,7 +74,7 @@ def fit_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily cells from a far start: a descent, then Gauss-Newton."""
     far = np.array([0.9, 0.7, 30000.0, -0.5, 3000.0])
-    return _rows(spark, hybrid(observed(spark, sf_dir), _model(spark, STEPS["day"][1]), far, LOWER, UPPER, 25), _NAMES, _TRUTH)
+    return _rows(spark, hybrid(observed(spark, sf_dir), _model(spark, STEPS["day"][1]), far, LOWER, UPPER, 10), _NAMES, _TRUTH)
 
 
 def fit_multistart(spark: SparkSession, sf_dir: str) -> DataFrame:

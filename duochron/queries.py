@@ -159,12 +159,12 @@ def multi_range_angles(spark, sf_dir):
     return Fl.semi_join_ranges(supplier_angles(spark, sf_dir), spark.createDataFrame(_RANGES, "min_angle double, max_angle double"))
 
 
-@query("turned AS (SELECT *, ((phi % 360) + 360) % 360 AS m FROM angle) SELECT angle_idx, name, q, phi FROM turned WHERE m <= 10 OR m >= 350 OR m BETWEEN 170 AND 190", base=WIDE)
+@query("turned AS (SELECT *, ((phi % 360) + 360) % 360 AS m FROM angle), kept AS (SELECT angle_idx FROM turned WHERE m <= 10 OR m >= 350 OR m BETWEEN 170 AND 190) SELECT * FROM angle WHERE angle_idx IN (FROM kept) OR NOT EXISTS (FROM kept)", base=WIDE)
 def angles_for_optimisation(spark, sf_dir):
     return Fl.select_angles(supplier_angles(spark, sf_dir), Fl.DEFAULT_RANGES, normalise=True)
 
 
-@query("SELECT * FROM angle WHERE phi BETWEEN -10 AND 10 OR phi BETWEEN 80 AND 100 OR phi BETWEEN 170 AND 190 OR phi BETWEEN 260 AND 280", base=WIDE)
+@query("kept AS (SELECT angle_idx FROM angle WHERE phi BETWEEN -10 AND 10 OR phi BETWEEN 80 AND 100 OR phi BETWEEN 170 AND 190 OR phi BETWEEN 260 AND 280) SELECT * FROM angle WHERE angle_idx IN (FROM kept) OR NOT EXISTS (FROM kept)", base=WIDE)
 def anisotropic_angles(spark, sf_dir):
     return Fl.select_angles(supplier_angles(spark, sf_dir), Fl.ANISOTROPIC_RANGES)
 
