@@ -79,14 +79,17 @@ def test_accumulated_sums_do_not_depend_on_partitions(spark):
     assert jacobian_statistics(one[0])["column_norms"].shape == (5,)
 
 
-def test_fit_recovers_parameters(spark, sf):
+def test_fits_of_noiseless_cells_recover_the_parameters(spark):
     from duochron import fits
-
-    got = {r["param"]: r["value"] for r in fits.fit_homodyne(spark, sf).collect()}
-    for name, value in {"contrast": 0.3, "offset": 1.0, **fits.TRUTH}.items():
-        assert math.isclose(got[name], value, rel_tol=0.02), (name, got)
-    for r in fits.fit_per_angle(spark, sf).collect():
-        assert r["success"] and math.isclose(r["parameters"][0], 0.3, rel_tol=0.02)
+    from duochron.plans.solve import levenberg_marquardt
+    from duochron.plans.stratified import lockstep
+
+    cells, model = fits.synthetic_cells(spark, 30).cache(), fits._model(spark, 30)
+    whole = levenberg_marquardt(cells, model, fits.START, fits.LOWER, fits.UPPER)
+    np.testing.assert_allclose(whole.parameters, fits._TRUTH, rtol=0.02)
+    for fit in lockstep(cells, model, fits.START, fits.LOWER, fits.UPPER, 5):
+        assert fit.converged
+        np.testing.assert_allclose(fit.parameters[:4], fits._TRUTH[:4], rtol=0.02)
 
 
 def test_starts_and_guards():
