@@ -98,17 +98,23 @@ def normalise(cells: DataFrame, method: str, low: float = 0.25, high: float = 0.
 TILE = 256
 
 
-def stencil(cells: DataFrame, r: int, kernel: Callable[[np.ndarray], np.ndarray], tile: int = TILE) -> DataFrame:
-    """Every cell from the (2r + 1)-square around it, edges reflected: ``kernel`` takes an array with r more on each side.
+#: What a stencil finds beyond a matrix: its cells reflected, 0, or NaN.
+EDGES = ("reflect", "zero", "open")
+
+
+def stencil(cells: DataFrame, r: int, kernel: Callable[..., np.ndarray | tuple[np.ndarray, ...]], tile: int = TILE, edges: str = "reflect", outputs: tuple[str, ...] = ("c2",)) -> DataFrame:
+    """Every cell from the (2r + 1)-square around it: ``kernel`` takes an array with r more on each side and gives the ``outputs``; with open edges it also takes the first row, the first column and the size.
 
     Matrices are cut into tiles; a tile also gets the cells within r of it, so that each cell moves once, a few twice.
     """
+    if edges not in EDGES:
+        raise ValueError(f"no such edges: {edges}")
     n = F.broadcast(cells.groupBy(*BY).agg((F.max("i") + 1).alias("n")))  # one row a matrix
 
     def places(axis: str):
         """(tile, place) of every tile that needs this row or column, as itself or reflected at an edge."""
         k, size = F.col(axis), F.col("n")
-        seen = F.array_compact(F.array(k, F.when(k < r, -k - 1), F.when(k >= size - r, 2 * size - 1 - k)))
+        seen = F.array_compact(F.array(k, F.when(k < r, -k - 1), F.when(k >= size - r, 2 * size - 1 - k))) if edges == "reflect" else F.array(k)
         last = F.floor((size - 1) / tile)
 
         def tiles(at):
@@ -125,16 +131,18 @@ def stencil(cells: DataFrame, r: int, kernel: Callable[[np.ndarray], np.ndarray]
         x, y, v = (rows.column(k).to_numpy() for k in ("x", "y", "c2"))
         angle, ti, tj, size = (rows.column(k)[0].as_py() for k in ("angle_idx", "ti", "tj", "n"))
         height, width = (min(tile, size - t * tile) for t in (ti, tj))
-        a = np.full((height + 2 * r, width + 2 * r), np.nan)
+        a = np.full((height + 2 * r, width + 2 * r), 0.0 if edges == "zero" else np.nan)
         ok = (x < height + 2 * r) & (y < width + 2 * r)
         a[x[ok], y[ok]] = v[ok]
         own = np.zeros((height, width), bool)
         inside = (x >= r) & (x < r + height) & (y >= r) & (y < r + width)
         own[x[inside] - r, y[inside] - r] = True
         i, j = np.nonzero(own)
-        return pa.table({"angle_idx": pa.array(np.full(len(i), angle, np.int32)), "i": pa.array((i + ti * tile).astype(np.int32)), "j": pa.array((j + tj * tile).astype(np.int32)), "c2": pa.array(kernel(a)[i, j])})
+        made = kernel(a, ti * tile, tj * tile, size) if edges == "open" else kernel(a)
+        made = made if isinstance(made, tuple) else (made,)
+        return pa.table({"angle_idx": pa.array(np.full(len(i), angle, np.int32)), "i": pa.array((i + ti * tile).astype(np.int32)), "j": pa.array((j + tj * tile).astype(np.int32)), **{k: pa.array(x[i, j]) for k, x in zip(outputs, made)}})
 
-    return dealt.groupBy("angle_idx", "ti", "tj").applyInArrow(smooth, "angle_idx int, i int, j int, c2 double")
+    return dealt.groupBy("angle_idx", "ti", "tj").applyInArrow(smooth, "angle_idx int, i int, j int, " + ", ".join(f"{k} double" for k in outputs))
 
 
 def median_filter(cells: DataFrame, size: int = 3) -> DataFrame:
@@ -163,12 +171,18 @@ def gaussian_filter(cells: DataFrame, sigma: float = 1.0, truncate: float = 4.0)
 def wiener_filter(cells: DataFrame, size: int = 3, noise: float | None = None) -> DataFrame:
     """Adaptive filter by local mean and variance over size x size cells; outside the matrix is 0."""
     r, area = size // 2, size * size
-    steps = F.array(*(F.lit(k) for k in range(-r, r + 1)))
-    sent = cells.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps)).select("angle_idx", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), "c2")
-    local = sent.groupBy(*BY, "i", "j").agg((F.sum("c2") / area).alias("m"), (F.sum(F.col("c2") * F.col("c2")) / area).alias("sq")).withColumn("v", F.col("sq") - F.col("m") * F.col("m"))
-    local = cells.join(local, [*BY, "i", "j"])
+
+    def kernel(a: np.ndarray) -> tuple[np.ndarray, ...]:
+        def box(x: np.ndarray) -> np.ndarray:
+            down = sum(x[k : len(x) - 2 * r + k] for k in range(size))
+            return sum(down[:, k : down.shape[1] - 2 * r + k] for k in range(size))
+
+        m = box(a) / area
+        return a[r : len(a) - r, r : a.shape[1] - r], m, box(a * a) / area - m * m
+
+    local = stencil(cells, r, kernel, edges="zero", outputs=("c2", "m", "v"))
     if noise is None:
-        local = local.join(F.broadcast(local.groupBy(*BY).agg(F.avg("v").alias("noise"))), BY)
+        local = local.join(F.broadcast(local.groupBy(*BY).agg(F.avg("v").alias("noise"))), BY)  # one row a matrix
     else:
         local = local.withColumn("noise", F.lit(noise))
     gain = 1 - F.col("noise") / F.greatest("v", F.lit(1e-300))
@@ -178,27 +192,29 @@ def wiener_filter(cells: DataFrame, size: int = 3, noise: float | None = None) -
 def savgol_filter(cells: DataFrame, window: int = 5, order: int = 2) -> DataFrame:
     """Polynomial smoothing along rows, then columns; the ends by the polynomial of the first and last window.
 
-    One line of a matrix is a group, a few thousand cells.
+    A tile has the cells within a window of it, so both directions are done at once. A matrix of fewer frames than the window stays as it is.
     """
     positions = np.arange(window)
     vander = np.vander(positions, order + 1, increasing=True).astype(float)
     hat = vander @ np.linalg.pinv(vander)  # row k: the fitted value at place k of a window
-    r = window // 2
-
-    def line(axis: str, other: str):
-        def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(axis)
-            x = rows["c2"].to_numpy(float)
-            if len(x) >= window:
-                y = np.convolve(x, hat[r][::-1], mode="same")
-                y[:r] = hat[:r] @ x[:window]
-                y[-r:] = hat[-r:] @ x[-window:]
-                x = y
-            return pd.DataFrame({"angle_idx": rows["angle_idx"], "i": rows["i"], "j": rows["j"], "c2": x})
-
-        return lambda df: df.groupBy(*BY, other).applyInPandas(smooth, "angle_idx int, i int, j int, c2 double")
-
-    return line("i", "j")(line("j", "i")(cells.select("angle_idx", "i", "j", "c2")))
+    r, rim = window // 2, window - 1
+
+    def along(a: np.ndarray, start: int, n: int) -> np.ndarray:
+        """Rows of ``a`` smoothed, without their rim; the first column inside it is the matrix's ``start``."""
+        width = a.shape[1] - 2 * rim
+        out = sum(hat[r][k] * a[:, rim - r + k : rim - r + k + width] for k in range(window))
+        for k in range(r):
+            for place, first, row in ((k, 0, k), (n - 1 - k, n - window, window - 1 - k)):
+                if start <= place < start + width:
+                    out[:, place - start] = a[:, rim - start + first : rim - start + first + window] @ hat[row]
+        return out
+
+    def kernel(a: np.ndarray, i: int, j: int, n: int) -> np.ndarray:
+        if n < window:
+            return a[rim : len(a) - rim, rim : a.shape[1] - rim]
+        return along(along(a, j, n).T, i, n).T
+
+    return stencil(cells, rim, kernel, edges="open")
 
 
 def denoise(cells: DataFrame, method: str, **options) -> DataFrame:

@@ -275,3 +275,27 @@ def test_symmetry_by_pairs(spark):
     rows = [(0, 0, 0, 1.0), (0, 0, 1, 1.2), (0, 1, 0, 1.2), (1, 0, 1, 1.2), (1, 1, 0, 1.3), (2, 0, 1, 3.0), (2, 1, 0, 3.0), (3, 0, 1, float("nan")), (3, 1, 0, 1.0), (4, 0, 1, 1.0), (4, 2, 3, 7.0)]
     got = {r.angle_idx: (r.symmetric, r.near_zero_lag_ok) for r in A.correlation_checks(spark.createDataFrame(rows, "angle_idx int, i int, j int, c2 double")).collect()}
     assert got == {0: (True, True), 1: (False, True), 2: (True, False), 3: (False, False), 4: (None, True)}
+
+
+@pytest.mark.parametrize("n", [3, 5, 6, 23])
+def test_tiles_of_savgol_and_wiener_equal_whole_matrices(spark, monkeypatch, n):
+    """Small tiles against NumPy on the whole matrix, ends included."""
+    rng = np.random.default_rng(n)
+    a = rng.random((n, n))
+    rows = [(0, i, j, float(a[i, j])) for i in range(n) for j in range(n)]
+    df = spark.createDataFrame(rows, "angle_idx int, i int, j int, c2 double").repartition(3)
+    monkeypatch.setattr(M.stencil, "__defaults__", (7, *M.stencil.__defaults__[1:]))
+    v = np.vander(np.arange(5), 3, increasing=True).astype(float)
+    hat = v @ np.linalg.pinv(v)
+    taps = np.eye(n)
+    if n >= 5:
+        for k in range(n):
+            lo = min(max(k - 2, 0), n - 5)
+            taps[k] = 0
+            taps[k, lo : lo + 5] = hat[k - lo]
+    np.testing.assert_allclose(matrix(M.savgol_filter(df), n, 1)[0], taps @ a @ taps.T, rtol=1e-9)
+    wide = np.pad(a, 1)
+    box = lambda x: sum(x[k : k + n, m : m + n] for k in range(3) for m in range(3)) / 9
+    m, var = box(wide), box(wide * wide) - box(wide) ** 2
+    want = np.where(var < var.mean(), m, m + (1 - var.mean() / var) * (a - m))
+    np.testing.assert_allclose(matrix(M.wiener_filter(df), n, 1)[0], want, rtol=1e-8)
