@@ -68,6 +68,16 @@ def test_near_duplicates_of_split_lists_and_stars(docs, corpus, monkeypatch, shi
     assert Counter(tuple(r) for r in near_duplicates(docs).collect()) == Counter(brute_components(corpus))
 
 
+def test_sketches_are_no_broadcast(docs, corpus, monkeypatch):
+    import duochron.llm.common as C
+    import duochron.llm.jaccard as J
+
+    broadcast, real = [], C.F.broadcast
+    monkeypatch.setattr(C.F, "broadcast", lambda df: broadcast.append(df.columns) or real(df))
+    assert Counter(tuple(r) for r in J.near_duplicates(docs).collect()) == Counter(brute_components(corpus))
+    assert broadcast and not any("sketch" in columns for columns in broadcast)
+
+
 def test_star_links_against_all_pairs():
     rng = np.random.default_rng(3)
     for trial in range(60):
