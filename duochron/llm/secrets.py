@@ -138,6 +138,8 @@ class Automaton:
         self.many = math.sqrt(math.log(2 * len({c for n in self.count for c in n}) / alpha) / math.log(2 / alpha))
         self._merge()
         self._compile()
+        # Only what reads strings is kept: the tree of all examples would take fifty times as much in every worker.
+        del self.next, self.count, self.left, self.size, self.depth, self.via, self.red
 
     def _same(self, a: int, b: int) -> bool:
         """Whether two states' own statistics are compatible."""

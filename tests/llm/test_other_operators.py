@@ -1,6 +1,7 @@
 """Operators 2, 4, 5, 6, 9, 10: round trips, held-out accuracy and brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -318,6 +319,10 @@ def test_automata_on_held_out_strings():
     assert [(n, a) for n, a, _ in scan_run("cfg/prod-east/" + credentials["github"][0] + "/x." + credentials["aws"][0], secret, plain)] == [("github", 14), ("aws", 57)]
 
 
+def test_automata_travel_without_their_examples():
+    assert len(pickle.dumps(trained())) < 2_000_000  # a worker holds twenty times that of a tree of all examples
+
+
 def test_scan_against_every_pair_of_ends():
     secret, plain = trained()
     credentials, harmless = labelled(6, seed=31)
