@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import lean
 from .shingles import _LOWER, gram_hashes, hash_spans, split_words, text_bytes
 
 BUCKETS = 1 << 21
@@ -178,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = FIT_PER_GRADE) ->
     # At most 3 * per_grade rows of two longs.
     sample = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "grade")), "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", "grade")).alias("first")).select("text", "first.*")
 
+    @lean
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, bounds = hashed_features(batch.column("text"))
@@ -199,6 +201,7 @@ def _scored(docs: DataFrame, model: CumulativeLink, text_of) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.weights), model.weights[model.weights != 0], model.cuts))
     schema = StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in _SCORES)])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, values, cuts = shared.value
         weights = np.zeros(N_FEATURES, np.float32)

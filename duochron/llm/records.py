@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, shared_path, utf8_size
+from .common import bounded, lean, shared_path, utf8_size
 from .shingles import hash_spans
 
 #: UTF-8 bytes of text whose ids go to one file; a reader holds one file in memory.
@@ -212,6 +212,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int,
     names = [f"order{k}" for k in range(len(order))]
     ordered = docs.select(doc_id.alias("doc_id"), "text", *(c.alias(n) for c, n in zip(order, names))).repartitionByRange(files, *names).sortWithinPartitions(*names).select("doc_id", "text")
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_file, end_id)
         for batch in batches:
@@ -232,6 +233,7 @@ def read_index(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
     (file, record: its number in the file, offset, length, doc_id, n_tokens, ids_crc32 of the ids as u32, ids_before: ids of the file's records before).
     """
 
+    @lean
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content")):
@@ -253,6 +255,7 @@ def read_at(spark: SparkSession, wanted: DataFrame, path: str, id_bytes: int = 2
     places = wanted.groupBy("file").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("path").alias("file"), "content")
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, offsets in zip(batch.column("content"), batch.column("offsets").to_pylist()):

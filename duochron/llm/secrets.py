@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import lean
 from .shingles import split_words, text_bytes
 
 # The base patterns, and the least length of what they must find.
@@ -384,6 +385,7 @@ def scan_secrets(docs: DataFrame, credentials: dict[str, list[str]] | None = Non
     shared = docs.sparkSession.sparkContext.broadcast(known)
     least = min(a.least for a in known[0].values())
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = hashlib.sha256(b"").hexdigest()
         for whole in batches:

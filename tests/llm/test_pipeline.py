@@ -78,3 +78,27 @@ def test_stages_of_empty_tables_and_nulls(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES[1:]:
             out = stage(spark, docs, sf)
             assert out.count() <= max(len(rows), 1) * 20, name
+
+
+def test_workers_give_memory_back(spark, tmp_path, monkeypatch):
+    import duochron.llm.common as C
+    from duochron.llm.quality import select_good
+    from duochron.llm.secrets import scan_secrets
+
+    rows = [[1], [2]]
+    given = []
+    monkeypatch.setattr(C, "give_back", lambda: given.append(1))
+    assert list(C.lean(lambda batches: (b * 2 for b in batches))(iter(rows))) == [[1, 1], [2, 2]] and given == [1]
+    cut = C.lean(lambda batches: (b for b in batches))(iter(rows))
+    next(cut)
+    cut.close()
+    assert given == [1, 1]
+    # What the stages run in workers, all of it.
+    met, kind = [], type(spark.range(1))
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: met.append(f) or real(self, f, *a, **b))
+    docs = spark.createDataFrame([(1, "some words " * 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    select_good(docs, labels)
+    scan_secrets(docs)
+    assert len(met) == 3 and all(hasattr(f, "__wrapped__") for f in met)
