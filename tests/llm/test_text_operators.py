@@ -1,5 +1,6 @@
 """Operators 1, 3, 7, 8 against brute force on a small hard corpus."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -15,6 +16,8 @@ from duochron.llm.perplexity import base_counts, quality_rules
 from duochron.llm.sharding import difference, shard_by_bytes, write_shards
 from duochron.llm.shingles import hash_spans, shingle_sets, word_hashes
 
+from .conftest import words
+
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -78,6 +81,47 @@ def test_sketches_are_no_broadcast(docs, corpus, monkeypatch):
     assert broadcast and not any("sketch" in columns for columns in broadcast)
 
 
+@pytest.mark.parametrize("longest", [1, 8])
+def test_pairs_that_share_few_lists_go(spark, monkeypatch, longest):
+    import duochron.llm.jaccard as J
+
+    # Seven texts that share a rare passage and no more; what else they hold is met in many other texts. And near copies of other texts.
+    rng = random.Random(8)
+    passage, bodies = words(rng, 9, 10**6), [words(rng, 80, 10**6) for _ in range(7)]
+    rows = [(k, passage + " " + body) for k, body in enumerate(bodies)]
+    rows += [(10 + 10 * k + j, body + " " + words(rng, 300, 10**6)) for k, body in enumerate(bodies) for j in range(10)]
+    for k in range(8):
+        w = words(rng, 90, 10**6).split()
+        for copy in range(k + 4):
+            other = list(w)
+            other[rng.randrange(90)] = f"c{copy}"
+            if copy % 3 == 2:
+                other[rng.randrange(90)] = f"d{copy}"
+            rows.append((100 * (k + 1) + copy, " ".join(other[copy:])))
+    seen, real = [], J._stars
+    monkeypatch.setattr(J, "SHORT_LIST", longest)
+    monkeypatch.setattr(J, "_stars", lambda *args: seen.append(real(*args)) or seen[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in J.near_duplicates(docs).collect()) == Counter(brute_components(rows))
+    ids = dict(zip((r[0] for r in rows), J._set_ids(shingle_sets(pa.array([r[1] for r in rows]))).tolist()))
+    apart = {ids[k] for k in range(7)}
+    met = [r for r in seen[0].collect() if {r["a"], r["b"]} & apart]
+    assert bool(met) == (longest < 8)
+
+
+def test_sets_that_link_meet_in_the_lists_needed():
+    from duochron.llm.jaccard import lists_needed
+
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        every = rng.permutation(rng.integers(1, 60))
+        a, b = (np.sort(every[rng.random(len(every)) < rng.choice([0.8, 0.9, 1.0])]) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= 75 * (len(a) + len(b) - both):
+            met = len(np.intersect1d(a[: prefix_length(len(a), 75)], b[: prefix_length(len(b), 75)]))
+            assert met >= max(1, lists_needed(len(a), len(b), 75))
+
+
 def test_star_links_against_all_pairs():
     rng = np.random.default_rng(3)
     for trial in range(60):
