@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import lean
+from .common import give_back, lean
 from .shingles import _LOWER, gram_hashes, hash_spans, split_words, text_bytes
 
 BUCKETS = 1 << 21
@@ -112,21 +112,28 @@ def screen(features: np.ndarray, owner: np.ndarray, grades: np.ndarray, least: i
     ``deviations`` standard errors and ``lift`` times; features that only follow
     the length of a text don't.
     """
-    n, seen = len(grades), np.bincount(features, minlength=N_FEATURES)
     keep = np.zeros(N_FEATURES, bool)
+    keep[features] = True
+    used = np.flatnonzero(keep)  # counts are of these only: arrays of all features would fill the driver
+    place = np.zeros(N_FEATURES, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    features = place[features]
+    n, seen = len(grades), np.bincount(features, minlength=len(used))
+    marks, of = np.zeros(len(used), bool), grades.astype(np.int8)[owner]
     pooled = np.clip(seen / max(n, 1), 1e-9, 1 - 1e-9)
     for g in np.unique(grades):
         m = int((grades == g).sum())
-        own = np.bincount(features[grades[owner] == g], minlength=N_FEATURES)
+        own = np.bincount(features[of == g], minlength=len(used))
         share, rest = own / m, (seen - own) / max(n - m, 1)
-        keep |= (share - rest > deviations * np.sqrt(pooled * (1 - pooled) * (1 / m + 1 / max(n - m, 1)))) & (share > lift * rest)
-    return keep & (seen >= least)
+        marks |= (share - rest > deviations * np.sqrt(pooled * (1 - pooled) * (1 / m + 1 / max(n - m, 1)))) & (share > lift * rest)
+    keep[used] = marks & (seen >= least)
+    return keep
 
 
 def fit(features: np.ndarray, bounds: np.ndarray, grades: np.ndarray, totals: np.ndarray | None = None, top: int = TOP_GRADE, rounds: int = 300, rate: float = 0.05, penalty: float = 1e-4, least: int = 8, deviations: float = 5.0, lift: float = 6.0) -> CumulativeLink:
     """Penalised maximum likelihood of the cumulative-link model on the screened features; ``totals``: of how many texts of each grade these are a sample."""
     n, k = len(grades), top
-    owner = np.repeat(np.arange(n), np.diff(bounds))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
     keep = screen(features, owner, grades, least, deviations, lift)[features]
     used, columns = np.unique(features[keep], return_inverse=True)
     owner = owner[keep]
@@ -191,7 +198,11 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = FIT_PER_GRADE) ->
         return CumulativeLink(np.zeros(N_FEATURES, np.float32), np.array([-5.0, -4.0]))  # p_good is above any threshold in use
     lists = rows["features"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return fit(lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), rows["grade"].to_numpy().astype(int), np.array([totals.get(g, 0) for g in range(3)]))
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)])
+    model = fit(lists.flatten().to_numpy(), bounds, rows["grade"].to_numpy().astype(int), np.array([totals.get(g, 0) for g in range(3)]))
+    del rows, lists
+    give_back()  # the driver's, before the next jobs
+    return model
 
 
 _SCORES = ("expected_grade", "p_toxic_or_good", "p_good")

@@ -1,6 +1,7 @@
 """The cumulative-link fit against its own objective, written out plainly; features against a Python loop."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +74,14 @@ def test_features_of_a_text_do_not_depend_on_its_batch():
     # Distinct words and stems, whatever their case: "some" twice is one feature, and its own stem.
     words = {w.lower() for w in ("Some", "plain", "words", "again")}
     assert bounds[1] - bounds[0] <= 2 * len(words) and len(set(features[: bounds[1]].tolist())) == bounds[1]
+
+
+def test_the_fit_holds_no_arrays_of_all_features():
+    rng = np.random.default_rng(2)
+    n = 300
+    features, grades = np.sort(rng.integers(0, Q.N_FEATURES, (n, 20)), axis=1).ravel(), np.arange(n) % 3
+    tracemalloc.start()
+    Q.fit(features, np.arange(0, 20 * n + 1, 20), grades, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6  # one array of doubles of all features takes 17 MB
