@@ -122,6 +122,53 @@ def test_sets_that_link_meet_in_the_lists_needed():
             assert met >= max(1, lists_needed(len(a), len(b), 75))
 
 
+@pytest.mark.parametrize("lists", [1, 2, 12])
+def test_sets_that_link_meet_early_in_the_lists_needed(monkeypatch, lists):
+    import duochron.llm.jaccard as J
+
+    monkeypatch.setattr(J, "LISTS", lists)
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        every = rng.permutation(rng.integers(1, 160))
+        sets = [np.sort(every[rng.random(len(every)) < rng.choice([0.8, 0.9, 1.0])]) for _ in range(2)]
+        a, b = sorted(sets, key=len)
+        both = np.intersect1d(a, b)
+        if len(both) and 100 * len(both) >= 75 * (len(a) + len(b) - len(both)):
+            met = np.intersect1d(*(s[: prefix_length(len(s), 75)] for s in (a, b)))
+            meta = np.stack([(np.searchsorted(s, met) << 32) + len(s) for s in (a, b)], axis=1).ravel()
+            starts, counts = np.arange(len(met)) * 2, np.full(len(met), 2)
+            rows = J._pairs(meta, np.tile([7, 8], len(met)), starts, counts, 75)
+            needed = min(lists, int(J.lists_needed(len(a), len(b), 75)))
+            assert rows[:, 3].min() == needed <= len(rows)
+            # In long lists as many are seen, by both sets.
+            seen = J._blocks_that_reach(meta, starts, counts, 75, lists - 1)
+            assert min(seen[::2].sum(), seen[1::2].sum()) >= needed
+
+
+def test_sets_that_meet_by_chance_give_no_rows(spark):
+    import duochron.llm.jaccard as J
+
+    def groups(size):
+        """Texts of 60, 90, 135 ... words that share the passage of their group, and one near copy of each text."""
+        rng = random.Random(9)
+        rows = []
+        for g in range(10):
+            passage = words(rng, 14, 10**6)
+            for k in range(size):
+                w = words(rng, 60 * 3**k // 2**k, 10**6)
+                rows += [(1000 * g + 10 * k, f"{passage} {w}"), (1000 * g + 10 * k + 1, f"{passage} {w} end")]
+        return rows
+
+    found = {}
+    for size in (2, 4):
+        rows = groups(size)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert Counter(tuple(r) for r in J.near_duplicates(docs).collect()) == Counter(brute_components(rows))
+        index = J._index(docs, 5, 75, np.zeros(1 << J.SKETCH_BITS, np.uint8), 255).repartition(1)
+        found[size] = J._lists(index, 75).where("kind = 2").select("x", "sid").distinct().count()
+    assert found == {2: 20, 4: 40}  # a pair of each text and its copy; all pairs are 60 and 280
+
+
 def test_star_links_against_all_pairs():
     rng = np.random.default_rng(3)
     for trial in range(60):
