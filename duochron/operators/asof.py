@@ -36,13 +36,13 @@ def nearest_on_grid(points: DataFrame, grid: DataFrame, value: str, out: str, si
     # Of equal values, the grid's row lies where the window looks: behind the points, or before them.
     both = own.where("__at IS NOT NULL").unionByName(marks, allowMissingColumns=True)
     dealt = with_ranges(both, "__at").withColumn("__late", (F.col("__point") != F.lit(up)).cast("int"))
-    order = Window.partitionBy("range").orderBy("__at", "__late")
-    window = order.rowsBetween(0, Window.unboundedFollowing) if up else order.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if up else F.last
-    seen = dealt.withColumn("__found", pick("__index", ignorenulls=True).over(window))
+    # The ceiling is read from the largest value down: a frame that runs on to its end would be read anew for each row.
+    turned = F.desc if up else F.asc
+    window = Window.partitionBy("range").orderBy(turned("__at"), turned("__late")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = dealt.withColumn("__found", F.last("__index", ignorenulls=True).over(window))
     ends = dealt.groupBy("range").agg(F.min("__index").alias("lo"), F.max("__index").alias("hi"))  # a row a range
-    ranges = Window.orderBy("range")
-    beyond = F.min("lo").over(ranges.rowsBetween(1, Window.unboundedFollowing)) if up else F.max("hi").over(ranges.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = Window.orderBy(turned("range")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = (F.min("lo") if up else F.max("hi")).over(ranges)
     everywhere = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     clip = (F.max("hi") if up else F.min("lo")).over(everywhere)
     ends = ends.select("range", F.coalesce(beyond, clip).alias("__beyond"))

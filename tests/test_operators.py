@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -264,6 +266,19 @@ def test_lookup_on_an_uneven_grid(spark, monkeypatch, side, small):
     assert {r.found for r in asof.nearest_on_grid(points, table.limit(0), "at", "found", side).collect()} == {None}
 
 
+@pytest.mark.parametrize("side", ["ceiling", "floor"])
+def test_lookup_reads_no_frame_anew_for_each_row(spark, monkeypatch, side):
+    from duochron.operators import asof
+
+    monkeypatch.setattr(asof, "GRID_POINTS", 0)
+    monkeypatch.setattr(W, "RANGE_ROWS", 40)
+    points = spark.range(100).select("id", F.col("id").cast("double").alias("at"))
+    grid = spark.range(50).select((F.col("id") * 2.0).alias("t"), F.col("id").alias("index"))
+    plan = asof.nearest_on_grid(points, grid, "at", "found", side)._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((.*?)\)\)", plan)
+    assert frames and not [f for f in frames if "unboundedfollowing" in f and "unboundedpreceding" not in f]
+
+
 def test_best_starts_are_ranked_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(W, "RANGE_ROWS", 10)
     rows = [(k, float(k * 7 % 11)) for k in range(60)]  # ties
