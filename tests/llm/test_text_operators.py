@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from duochron.llm.components import connected_components
 from duochron.llm.decontaminate import contamination, drop_contaminated
@@ -81,6 +82,32 @@ def test_sketches_are_no_broadcast(docs, corpus, monkeypatch):
     assert broadcast and not any("sketch" in columns for columns in broadcast)
 
 
+def test_broadcasts_stay_below_what_a_small_driver_holds(spark, monkeypatch):
+    import duochron.llm.common as C
+
+    held, real = [], C.F.broadcast
+    monkeypatch.setattr(C.F, "broadcast", lambda df: held.append(df.count()) or real(df))
+    links = spark.range(60_000).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"))
+    assert connected_components(links).where("component != node - node % 2").isEmpty()
+    assert all(n <= 50_000 for n in held)
+
+
+def test_only_wanted_texts_move(docs, corpus, spark, monkeypatch):
+    import duochron.llm.jaccard as J
+
+    monkeypatch.setattr(J, "FEW_ROWS", 0)
+    moved, real = [], J._among
+    monkeypatch.setattr(J, "_among", lambda every, where: moved.append((real(every, where), where)) or moved[-1][0])
+    assert Counter(tuple(r) for r in J.near_duplicates(docs).collect()) == Counter(brute_components(corpus))
+    assert moved
+    for left, where in moved:
+        assert {r.k for r in left.collect()} == {r.at_k for r in where.collect()}
+    many = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.xxhash64("id").alias("k"))
+    wanted = many.where("doc_id < 60000").select(F.col("k").alias("at_k"))
+    left = real(many, wanted)
+    assert left.where("doc_id < 60000").count() == 60_000 and left.count() < 61_000
+
+
 @pytest.mark.parametrize("longest", [1, 8])
 def test_pairs_that_share_few_lists_go(spark, monkeypatch, longest):
     import duochron.llm.jaccard as J
